@@ -12,6 +12,11 @@ from .license_scan import scan_licences
 from .secret_scan import scan_secrets
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .toxicity import score_toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 #: Words are counted from 1; a window is the item's words s to s + n - 1, n being 10 or the item's length.
@@ -61,7 +66,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_dedup, op6_decontamination, op7_token_counts, op8_secret_scan, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op4_simhash_dedup, op6_decontamination, op7_token_counts, op8_secret_scan, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
