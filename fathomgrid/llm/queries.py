@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
 from .license_scan import scan_licences
+from .line_dedup import dedup_lines
 from .secret_scan import scan_secrets
 from .simhash import simhash_components
 from .token_counts import token_counts
@@ -47,6 +49,11 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_n_near").alias("n_near"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
@@ -66,7 +73,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_simhash_dedup, op6_decontamination, op7_token_counts, op8_secret_scan, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op4_simhash_dedup, op5_line_dedup, op6_decontamination, op7_token_counts, op8_secret_scan, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
