@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import table
 from .decontaminate import decontaminate
 from .license_scan import scan_licences
 from .line_dedup import dedup_lines
+from .packing import pack
 from .secret_scan import scan_secrets
 from .simhash import simhash_components
 from .token_counts import token_counts
@@ -21,6 +23,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 #: Words are counted from 1; a window is the item's words s to s + n - 1, n being 10 or the item's length.
 OP6_SQL = r"""
 WITH docs AS (
@@ -45,6 +51,10 @@ FROM docs LEFT JOIN hit USING (k) LEFT JOIN named USING (k)
 """
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -73,7 +83,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_simhash_dedup, op5_line_dedup, op6_decontamination, op7_token_counts, op8_secret_scan, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_neighbours, op4_simhash_dedup, op5_line_dedup, op6_decontamination, op7_token_counts, op8_secret_scan, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
