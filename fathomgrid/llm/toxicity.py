@@ -251,3 +251,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col:
     score = toxicity_score(fit(docs, labels.select("doc_id", "toxic"), **options))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
     return scored.select("*", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """``docs`` without the rows that score ``cut`` or more; columns stay as they are."""
+    score = toxicity_score(fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels.select("doc_id", "toxic"), **options))
+    return docs.filter(score(F.col(text_col)) < cut)

@@ -10,6 +10,9 @@ from fathomgrid.llm.line_dedup import Powers, dedup_lines, halves, variants, wit
 
 
 def edit(a, b):
+    """The edit distance of two word lists, or 2 where it is plainly larger than 1."""
+    if abs(len(a) - len(b)) > 1 or len(set(a) ^ set(b)) > 2:
+        return 2
     d = np.arange(len(b) + 1)
     for i, x in enumerate(a, 1):
         row = [i]
