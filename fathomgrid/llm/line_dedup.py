@@ -57,14 +57,13 @@ def _mix(h: np.ndarray, *salt: int | np.ndarray) -> np.ndarray:
     return h
 
 
-def halves(words: list[bytes], powers: Powers) -> list[int]:
+def halves(words: list[bytes]) -> list[int]:
     """Keys of which two near lines share one: first and last h words, for both sizes of a half."""
-    p, n = _prefixes(words, powers), len(words)
+    n, digest = len(words), xxhash.xxh64_intdigest
     out = []
     for h in {n // 2, (n - 1) // 2}:
-        ends = (p[n:] - p[n - h : n - h + 1]) * powers.down[n - h : n - h + 1]
-        out += [_mix(p[h : h + 1], h, 1), _mix(ends, h, 2)]
-    return np.concatenate(out).view(np.int64).tolist()
+        out += [digest(b" ".join(words[:h]), 11), digest(b" ".join(words[n - h :]), 12)]
+    return out
 
 
 def variants(words: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -90,23 +89,25 @@ def _lines(docs: DataFrame, least: int, fuzzy: int) -> DataFrame:
     schema = "owner long, text_hash long, line int, n int, h1 long, h2 long, keys array<long>"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            row, line, n, h1, h2, keys = [], [], [], [], [], []
+            row, line, n, whole, keys, starts = [], [], [], [], [], [0]
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for k, body in enumerate(text.encode().lower().split(b"\n") if text else ()):
                     words = body.split()
-                    if len(words) >= least:
-                        whole = b" ".join(words)
+                    size = len(words)
+                    if size >= least:
                         row.append(i)
                         line.append(k)
-                        n.append(len(words))
-                        h1.append(xxhash.xxh64_intdigest(whole, 1))
-                        h2.append(xxhash.xxh64_intdigest(whole, 2))
-                        keys.append(halves(words, powers) if len(words) >= fuzzy else [])
+                        n.append(size)
+                        whole.append(digest(b" ".join(words)))
+                        if size >= fuzzy:
+                            keys += halves(words)
+                        starts.append(len(keys))
             take = pa.array(row, pa.int64())
-            hashes = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), pa.array(n, pa.int32()), *hashes, pa.array(keys, pa.list_(pa.int64()))], names=[x.split()[0] for x in schema.split(", ")])
+            h = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), pa.array(n, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), lists], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select("owner", "text_hash", "text").mapInArrow(split, schema)
 
@@ -180,9 +181,11 @@ def _rewrite(docs: DataFrame) -> DataFrame:
             gone = set(drop)
             return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
-        return pd.Series([cut(t, d) for t, d in zip(texts, drops, strict=True)], dtype="object")
+        return pd.Series([None if t is None else cut(t, d) for t, d in zip(texts, drops, strict=True)], dtype="object")
 
-    return docs.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(without(F.coalesce("_text", F.lit("")), F.coalesce("_drop", F.array().cast("array<int>")))))
+    many = F.size("_drop") > 64  # a look-up in the array for each line would take too long; other rows send Python a null
+    few = F.array_join(F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")
+    return docs.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_text")).when(many, without(F.when(many, F.col("_text")), F.when(many, F.col("_drop")))).otherwise(few))
 
 
 def dedup_lines(docs: DataFrame, least: int = 3, fuzzy: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +212,7 @@ def dedup_lines(docs: DataFrame, least: int = 3, fuzzy: int = 8, id_col: str = "
     done = _rewrite(joined).withColumns(
         {
             text_col: F.col("_kept"),
-            "_n_lines": F.when(F.length("_text") > 0, F.length("_text") - F.length(F.translate("_text", "\n", "")) + 1).otherwise(0).cast("long"),
+            "_n_lines": F.when(F.octet_length("_text") > 0, F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long"),
             "_n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
             "_n_near": F.coalesce("_n_near", F.lit(0)).cast("long"),
         }
