@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .license_scan import scan_licences
 from .line_dedup import dedup_lines
+from .lm_score import backoff_scores
 from .packing import pack
 from .secret_scan import scan_secrets
 from .simhash import simhash_components
@@ -78,12 +79,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_neighbours, op4_simhash_dedup, op5_line_dedup, op6_decontamination, op7_token_counts, op8_secret_scan, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_neighbours, op4_simhash_dedup, op5_line_dedup, op6_decontamination, op7_token_counts, op8_secret_scan, op9_lm_score, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
