@@ -114,5 +114,6 @@ def better_of(a: DataFrame, b: DataFrame, keys: Sequence[str], score: str) -> Da
 def sessions(events: DataFrame, user: str, time: str, gap_seconds: int) -> DataFrame:
     """Session numbers (an extension): a new one after more than ``gap_seconds`` without events."""
     over = Window.partitionBy(user).orderBy(time)
-    apart = F.unix_seconds(F.col(time)) - F.unix_seconds(F.lag(time).over(over))
+    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
+    apart = seconds(F.col(time)) - seconds(F.lag(time).over(over))
     return events.withColumn("session", F.sum(F.when(apart <= gap_seconds, 0).otherwise(1)).over(over))

@@ -113,7 +113,8 @@ def tree_paths(nodes: DataFrame, key: str, parent: str, name: str, depth: int =
     level = nodes.filter(F.col(parent).isNull()).select(F.col(key).alias("id"), F.col(name).cast("string").alias("full_path"), F.lit(0).alias("depth"))
     out = level
     for d in range(1, depth + 1):
-        level = nodes.join(level, F.col(parent) == F.col("id")).select(F.col(key).alias("id"), F.concat_ws(separator, "full_path", F.col(name)).alias("full_path"), F.lit(d).alias("depth"))
+        above = level.select(F.col("id").alias("_above"), F.col("full_path").alias("_path"))
+        level = nodes.join(above, F.col(parent) == F.col("_above")).select(F.col(key).alias("id"), F.concat_ws(separator, "_path", F.col(name)).alias("full_path"), F.lit(d).alias("depth"))
         if level.isEmpty():
             break
         out = out.unionByName(level)

@@ -1,21 +1,671 @@
-"""The registered queries over the fixture tables, each with its SQL counterpart."""
+"""The registered queries: each operator over the fixture tables, with its SQL counterpart.
+
+The fixture tables are orders, events and documents, so an operator meets an analogue
+of its own tables: line items are facts of parts, orders nets, events reviews.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from fathomgrid.functions import text as T
+from fathomgrid.functions import units as U
+from fathomgrid.operators import aggregates as A
+from fathomgrid.operators import graph as G
+from fathomgrid.operators import joins as J
+from fathomgrid.operators import parametric as P
+from fathomgrid.operators import ranking as R
+from fathomgrid.operators import relational as L
+from fathomgrid.operators import retrieval as V
+from fathomgrid.operators import rules as K
+from fathomgrid.plans.hybrid import hybrid
 from fathomgrid.session import load
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "nation")
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of parts: one row a line item and symbol."""
+    li = load(spark, sf, "lineitem")
+    row = lambda s, lo, typ, hi: F.struct(F.lit(s).alias("symbol"), F.col(lo).cast("double").alias("value_min"), F.col(typ).cast("double").alias("value_typ"), F.col(hi).cast("double").alias("value_max"))
+    rows = F.explode(F.array(row("en", "l_discount", "l_quantity", "l_quantity"), row("tol", "l_tax", "l_discount", "l_tax"), row("PSRR", "l_quantity", "l_tax", "l_discount"))).alias("f")
+    return li.select(F.col("l_partkey").alias("component_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("parameter_id"), rows).select("component_id", "parameter_id", "f.*")
+
+
+# Scans, look-ups and upserts
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_name = 'Customer#000000042' ORDER BY c_custkey LIMIT 1")
+def a2_point_lookup(spark, sf):
+    found = L.lookup(load(spark, sf, "customer"), "c_name", "Customer#000000042", owner=load(spark, sf, "nation"), on=("c_nationkey", "n_nationkey"), order="c_custkey")
+    return found.select("c_custkey", "c_name", "c_acctbal", "n_name")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'")
+def a3_current_approved(spark, sf):
+    rows = load(spark, sf, "orders").withColumn("until", F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderdate")))
+    return L.current(rows, "o_orderstatus", "F", "until").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT n_nationkey, n_name, CAST(count(s_suppkey) AS INTEGER) AS n_children, coalesce(string_agg(s_name, ',' ORDER BY s_suppkey), '') AS names FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY ALL")
+def a5_parents_with_children(spark, sf):
+    out = L.with_children(load(spark, sf, "nation"), load(spark, sf, "supplier"), "n_nationkey", "s_nationkey", "s_suppkey")
+    return out.select("n_nationkey", "n_name", F.size("children").alias("n_children"), F.array_join(F.transform("children", lambda c: c["s_name"]), ",").alias("names"))
+
+
+@query("SELECT p_partkey, p_name, n_name FROM part JOIN supplier ON p_partkey % 100 = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey = 1")
+def a6_component_details(spark, sf):
+    part, supplier, nation = (load(spark, sf, t) for t in ("part", "supplier", "nation"))
+    some = nation.filter("n_regionkey = 1")
+    return part.join(supplier, F.col("p_partkey") % 100 == F.col("s_suppkey")).join(some, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("p_partkey", "p_name", "n_name")
+
+
+@query(
+    """WITH changes AS (SELECT * FROM (SELECT o_custkey AS c_custkey, o_orderstatus AS c_mktsegment, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey, o_orderstatus, o_orderkey FROM orders WHERE o_custkey % 3 = 0)) WHERE r = 1)
+SELECT coalesce(c.c_custkey, n.c_custkey) AS c_custkey, coalesce(n.c_mktsegment, c.c_mktsegment) AS c_mktsegment FROM customer c FULL JOIN changes n ON c.c_custkey = n.c_custkey"""
+)
+def a7_upsert(spark, sf):
+    base = load(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.lit(0).cast("long").alias("v"))
+    key = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey"))
+    changes = load(spark, sf, "orders").filter("o_custkey % 3 = 0").select(key.alias("c_custkey"), F.col("o_orderstatus").alias("c_mktsegment"), F.col("o_orderkey").alias("v"))
+    return L.upsert(base, changes, ["c_custkey"], "v").select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def a8_last_wins(spark, sf):
+    return L.last_wins(load(spark, sf, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "value")
+
+
+@query("SELECT c_custkey, coalesce(status, 'unknown') AS status FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderstatus) AS status FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def a9_status_lookup(spark, sf):
+    cache = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderstatus").alias("status"))
+    return L.status_of(load(spark, sf, "customer").select("c_custkey"), cache, "c_custkey")
+
+
+@query(
+    """SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 = 0 THEN 'first' END, CASE WHEN p_partkey % 2 = 0 THEN 'second' END, 'none') AS origin,
+CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 WHEN p_partkey % 2 = 0 THEN 2 END AS INTEGER) AS source_rank FROM part"""
+)
+def a22_fallback_chain(spark, sf):
+    part = load(spark, sf, "part").select("p_partkey")
+    first, second = (part.filter(F.col("p_partkey") % n == 0).withColumn("origin", F.lit(name)) for n, name in ((3, "first"), (2, "second")))
+    return L.first_found(part, "p_partkey", [first, second], "origin", "none")
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS n FROM documents GROUP BY 1 HAVING min(doc_id) >= 100")
+def a23_store_new_content(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    stored = docs.filter("doc_id < 100").select(F.sha2("text", 256).alias("content_hash"))
+    new = L.store_new(docs.filter("doc_id >= 100"), stored, "text").select("content_hash")
+    return docs.select(F.sha2("text", 256).alias("content_hash")).join(new, "content_hash", "left_semi").groupBy("content_hash").agg(F.count("*").alias("n"))
+
+
+@query("SELECT name, CAST(source AS INTEGER) AS source FROM (SELECT name, source, row_number() OVER (PARTITION BY lower(name) ORDER BY source, name) AS r FROM (SELECT upper(p_name) AS name, 1 AS source FROM part UNION ALL SELECT p_name, 0 FROM part WHERE p_size < 20)) WHERE r = 1")
+def a24_discover_names(spark, sf):
+    part = load(spark, sf, "part")
+    return L.discover([part.filter("p_size < 20").select(F.col("p_name").alias("name")), part.select(F.upper("p_name").alias("name"))], "name")
+
+
+# Predicates and parametric search
+
+_FACT_SQL = """facts AS (
+  SELECT l_partkey AS component_id, l_orderkey * 10 + l_linenumber AS parameter_id, 'en' AS symbol, l_discount AS value_min, l_quantity AS value_typ, l_quantity AS value_max FROM lineitem
+  UNION ALL SELECT l_partkey, l_orderkey * 10 + l_linenumber, 'tol', l_tax, l_discount, l_tax FROM lineitem
+  UNION ALL SELECT l_partkey, l_orderkey * 10 + l_linenumber, 'PSRR', l_quantity, l_tax, l_discount FROM lineitem)"""
+_REQUIRED = {"noise_nV_rtHz": "<2", "tolerance_pct": ">=0.08", "psrr_dB": "==50"}
+
+
+@query(
+    f"""WITH {_FACT_SQL} SELECT p_partkey AS component_id, p_name FROM part WHERE p_size > 5
+AND EXISTS (SELECT 1 FROM facts f WHERE f.component_id = p_partkey AND symbol = 'en' AND value_typ < 2)
+AND EXISTS (SELECT 1 FROM facts f WHERE f.component_id = p_partkey AND symbol = 'tol' AND value_max >= 0.08)
+AND EXISTS (SELECT 1 FROM facts f WHERE f.component_id = p_partkey AND symbol = 'PSRR' AND value_min = 50)
+ORDER BY p_partkey LIMIT 20"""
+)
+def b3_parametric_search(spark, sf):
+    parts = load(spark, sf, "part").select(F.col("p_partkey").alias("component_id"), "p_name", "p_size")
+    return P.parametric_search(parts, _facts(spark, sf), _REQUIRED, active=F.col("p_size") > 5).select("component_id", "p_name")
+
+
+@query("SELECT p_partkey AS component_id FROM part WHERE p_size > 5 ORDER BY 1 LIMIT 20")
+def b4_no_requirements(spark, sf):
+    parts = load(spark, sf, "part").select(F.col("p_partkey").alias("component_id"), "p_size")
+    return P.parametric_search(parts, _facts(spark, sf), {}, active=F.col("p_size") > 5).select("component_id")
+
+
+@query(
+    f"""WITH {_FACT_SQL}, v AS (SELECT component_id, symbol, CASE symbol WHEN 'en' THEN value_typ ELSE value_max END AS value, parameter_id FROM facts WHERE symbol IN ('en', 'tol')),
+first AS (SELECT component_id, symbol, min_by(value, parameter_id) AS value FROM v GROUP BY 1, 2)
+SELECT p_partkey AS component_id, max(CASE symbol WHEN 'en' THEN value END) AS noise, max(CASE symbol WHEN 'tol' THEN value END) AS tolerance, CAST(1 + 2 - count(symbol) AS INTEGER) AS n_missing FROM part LEFT JOIN first ON component_id = p_partkey GROUP BY 1"""
+)
+def b5_matched_attributes(spark, sf):
+    parts = load(spark, sf, "part").select(F.col("p_partkey").alias("component_id"))
+    out = P.matched_attributes(parts, _facts(spark, sf), ["noise_nV_rtHz", "tolerance_pct", "absent"])
+    return out.select("component_id", F.try_element_at("matched", F.lit("noise_nV_rtHz")).alias("noise"), F.try_element_at("matched", F.lit("tolerance_pct")).alias("tolerance"), F.size("missing").alias("n_missing"))
+
+
+@query("SELECT event_id, props FROM events WHERE try_cast(json_extract_string(props, '$.k') AS DOUBLE) IS NULL OR abs(try_cast(json_extract_string(props, '$.k') AS DOUBLE) - 50) <= 10")
+def b6_frequency_tolerance(spark, sf):
+    return load(spark, sf, "events").filter(P.within_tolerance(F.get_json_object("props", "$.k"), 50.0)).select("event_id", "props")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'error') AND event_type NOT IN ('error')")
+def b7_methodology_filter(spark, sf):
+    return load(spark, sf, "events").filter(P.methodology_filter(["click", "view", "error"], ["error"], F.col("event_type"))).select("event_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'P' AND o_totalprice >= 300000) OR lower(o_orderpriority) LIKE '%urgent%'")
+def b15_axiom_language(spark, sf):
+    orders = load(spark, sf, "orders")
+    rule = {"any_of": [{"all_of": ["o_orderstatus == P", "o_totalprice >= 300000"]}, "o_orderpriority contains URGENT", "nothing == 1"]}
+    return orders.filter(P.axiom(rule, orders.columns)).select("o_orderkey")
+
+
+# Joins
+
+
+@query("SELECT s_nationkey, a.s_suppkey AS s_suppkey_a, b.s_suppkey AS s_suppkey_b FROM supplier a JOIN supplier b USING (s_nationkey) WHERE a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) > 2000")
+def c9_apart_pairs(spark, sf):
+    return J.apart_pairs(load(spark, sf, "supplier"), ["s_nationkey"], "s_suppkey", "s_acctbal", 2000.0).select("s_nationkey", "s_suppkey_a", "s_suppkey_b")
+
+
+@query("SELECT c_nationkey, c_mktsegment, min(c_acctbal) AS low, max(c_acctbal) AS high, count(c_acctbal) AS n FROM customer GROUP BY ALL HAVING max(c_acctbal) - min(c_acctbal) > 9000")
+def c10_conflicting_groups(spark, sf):
+    return J.conflicting_groups(load(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"], "c_acctbal", 9000.0)
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey, l_returnflag FROM lineitem WHERE l_orderkey % 20 = 0)
+SELECT a.l_suppkey AS a, b.l_suppkey AS b, string_agg(DISTINCT a.l_returnflag, ',' ORDER BY a.l_returnflag) AS labels FROM m a JOIN m b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY ALL"""
+)
+def c12_co_occurrence(spark, sf):
+    rows = load(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
+    return J.co_occurrence(rows, "l_orderkey", "l_suppkey", "l_returnflag").select("a", "b", F.array_join("labels", ",").alias("labels"))
+
+
+@query("WITH f AS (SELECT o_orderkey, o_custkey, 'sheet' AS origin FROM orders WHERE o_orderstatus = 'F') SELECT * FROM f UNION ALL SELECT o_orderkey, o_custkey, 'graph' FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM f)")
+def c13_priority_merge(spark, sf):
+    orders = load(spark, sf, "orders")
+    of = lambda rows, name: rows.select("o_orderkey", "o_custkey", F.lit(name).alias("origin"))
+    return L.priority_merge(of(orders.filter("o_orderstatus = 'F'"), "sheet"), of(orders, "graph"), ["o_custkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <> 7)")
+def c14_orphans(spark, sf):
+    return L.orphans(load(spark, sf, "lineitem"), load(spark, sf, "part").filter("p_size <> 7"), "l_partkey", "p_partkey").select("l_orderkey", "l_linenumber")
+
+
+@query(
+    """WITH r AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS lo, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size + 2 END AS hi FROM part WHERE p_partkey < 300)
+SELECT a.p_partkey AS a, b.p_partkey AS b FROM r a JOIN r b ON a.p_partkey < b.p_partkey AND coalesce(a.lo, a.hi) <= coalesce(b.hi, b.lo) AND coalesce(b.lo, b.hi) <= coalesce(a.hi, a.lo)"""
+)
+def c18_range_overlap(spark, sf):
+    rows = load(spark, sf, "part").filter("p_partkey < 300").select("p_partkey", F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("lo"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") + 2).alias("hi"))
+    a, b = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "ab")
+    meets = J.overlaps(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b"))
+    return a.join(b, (F.col("p_partkey_a") < F.col("p_partkey_b")) & meets).select(F.col("p_partkey_a").alias("a"), F.col("p_partkey_b").alias("b"))
+
+
+@query("SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice BETWEEN p_retailprice * 100 AND p_retailprice * 100 + 50 WHERE o_orderkey % 4 = 0")
+def c22_range_join(spark, sf):
+    points = load(spark, sf, "orders").filter("o_orderkey % 4 = 0").select("o_orderkey", "o_totalprice")
+    ranges = load(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("low"), (F.col("p_retailprice") * 100 + 50).alias("high"))
+    return J.range_join(points, ranges, "o_totalprice", "low", "high", 200.0).select("o_orderkey", "p_partkey")
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT least(l_suppkey, l_partkey % 100) AS u, greatest(l_suppkey, l_partkey % 100) AS v FROM lineitem WHERE l_suppkey <> l_partkey % 100 AND l_orderkey % 40 = 0)
+SELECT x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON x.v = y.u JOIN e z ON z.u = x.u AND z.v = y.v"""
+)
+def c23_triangles(spark, sf):
+    edges = load(spark, sf, "lineitem").filter("l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") % 100).alias("v"))
+    return J.triangles(edges)
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT u, v FROM (SELECT l_suppkey AS u, l_partkey % 100 AS v FROM lineitem WHERE l_orderkey % 200 = 0 UNION ALL SELECT l_partkey % 100, l_suppkey FROM lineitem WHERE l_orderkey % 200 = 0) WHERE u <> v),
+k AS (SELECT s_suppkey AS node, s_nationkey % 3 AS kind FROM supplier)
+SELECT a.node AS x1, b.node AS x2, c.node AS x3 FROM k a JOIN e p ON p.u = a.node JOIN k b ON b.node = p.v JOIN e q ON q.u = b.node JOIN k c ON c.node = q.v
+WHERE a.kind = 0 AND b.kind = 1 AND c.kind = 2 AND a.node <> c.node AND NOT EXISTS (SELECT 1 FROM e n WHERE n.u = a.node AND n.v = c.node)"""
+)
+def c23_induced_chain(spark, sf):
+    edges = load(spark, sf, "lineitem").filter("l_orderkey % 200 = 0").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") % 100).alias("v"))
+    kinds = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") % 3).alias("kind"))
+    return J.chain_motif(edges, kinds, [0, 1, 2])
+
+
+@query("SELECT e.event_id, (SELECT arg_max(p.value, p.ts) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts) AS last_value FROM events e WHERE e.event_type = 'error'")
+def ext_as_of_join(spark, sf):
+    events = load(spark, sf, "events")
+    left = events.filter("event_type = 'error'").select("user_id", "event_id", "ts")
+    right = events.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), F.col("value").alias("last_value"))
+    return J.nearest_before(left, right, ["user_id"], "ts", "at", "last_value").select("event_id", "last_value")
+
+
+# Aggregates
+
+
+@query(
+    f"""WITH {_FACT_SQL} SELECT symbol, count(DISTINCT component_id) AS n_with, (SELECT count(*) FROM part WHERE p_size > 5) AS n_active, round(count(DISTINCT component_id) / (SELECT count(*) FROM part WHERE p_size > 5), 4) AS coverage FROM facts WHERE value_typ > 0.05 GROUP BY 1"""
+)
+def d1_coverage(spark, sf):
+    return L.coverage(load(spark, sf, "part"), _facts(spark, sf).filter("value_typ > 0.05"), "p_partkey", "component_id", "symbol", F.col("p_size") > 5)
+
+
+@query(
+    """SELECT p_brand, greatest(0.0, least(1.0, round(sum(p_size / 100.0 * w) / sum(w), 4))) AS score FROM (SELECT p_brand, CAST(p_size AS DOUBLE) AS p_size, CASE WHEN p_name LIKE '%widget%' THEN 2.0 WHEN p_name LIKE '%ring%' THEN 0.5 ELSE 1.0 END AS w FROM part) GROUP BY 1"""
+)
+def d2_weighted_mean(spark, sf):
+    weight = A.keyed_value(F.col("p_name"), {"widget": 2.0, "ring": 0.5}, 1.0)
+    return A.weighted_mean(load(spark, sf, "part"), ["p_brand"], F.col("p_size").cast("double") / 100.0, weight)
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
+def d4_arg_max(spark, sf):
+    return A.arg_max(load(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "o_orderkey")
+
+
+@query("SELECT CAST(k AS INTEGER) AS l_linenumber, count(l_orderkey) AS n FROM range(1, 12) r(k) LEFT JOIN lineitem ON l_linenumber = k GROUP BY 1")
+def d6_filled_counts(spark, sf):
+    return A.filled_counts(load(spark, sf, "lineitem"), "l_linenumber", 1, 11)
+
+
+@query("SELECT printf('kg-v%d.%d', (SELECT count(*) FROM customer), (SELECT count(*) FROM orders)) AS version")
+def d7_version_string(spark, sf):
+    return A.version_string(load(spark, sf, "customer"), load(spark, sf, "orders"))
+
+
+@query("SELECT c_custkey, round(coalesce(avg(o_totalprice), 0.5), 1) AS mean_price FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY 1")
+def d8_mean_or_default(spark, sf):
+    joined = load(spark, sf, "customer").join(load(spark, sf, "orders").filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.groupBy("c_custkey").agg(F.round(A.mean_or(F.col("o_totalprice"), 0.5), 1).alias("mean_price"))
+
+
+@query(
+    """WITH a AS (SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, event_type = 'purchase' AS passed, value AS score FROM events),
+p AS (SELECT task_id, bool_or(passed AND attempt = 1) AS first, bool_or(passed AND attempt <= 3) AS any3, max(CASE WHEN attempt = 1 THEN score END) AS score FROM a GROUP BY 1)
+SELECT count(*) AS n_tasks, round(avg(CASE WHEN first THEN 1.0 ELSE 0.0 END), 4) AS pass_at_1, round(avg(CASE WHEN any3 THEN 1.0 ELSE 0.0 END), 4) AS pass_at_n, round(avg(score), 4) AS mean_first_score FROM customer LEFT JOIN p ON task_id = c_custkey"""
+)
+def d13_pass_rates(spark, sf):
+    over = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    results = load(spark, sf, "events").select(F.col("user_id").alias("task_id"), F.row_number().over(over).alias("attempt"), (F.col("event_type") == "purchase").alias("passed"), F.col("value").alias("score"))
+    return A.pass_rates(load(spark, sf, "customer").select(F.col("c_custkey").alias("task_id")), results, 3)
+
+
+@query("WITH f AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), t AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 300000) SELECT count(*) FILTER (f.k IS NOT NULL AND t.k IS NOT NULL) AS true_positives, round(count(*) FILTER (f.k IS NOT NULL AND t.k IS NOT NULL) / count(f.k), 4) AS precision, round(count(*) FILTER (f.k IS NOT NULL AND t.k IS NOT NULL) / count(t.k), 4) AS recall FROM f FULL JOIN t ON f.k = t.k")
+def d24_precision_recall(spark, sf):
+    orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus", "o_totalprice")
+    return A.precision_recall(orders.filter("o_orderstatus = 'P'"), orders.filter("o_totalprice > 300000"), ["k"])
+
+
+@query("SELECT o_custkey, round(CAST(sum((o_orderstatus <> 'P')::INT + (o_totalprice >= 100000)::INT) AS DOUBLE) / (count(*) * 2), 4) AS filled FROM orders GROUP BY 1")
+def d20_field_coverage(spark, sf):
+    orders = load(spark, sf, "orders").select("o_custkey", F.when(F.col("o_orderstatus") != "P", 1).alias("a"), F.when(F.col("o_totalprice") >= 100000, 1).alias("b"))
+    return orders.groupBy("o_custkey").agg(F.round(A.fill_ratio(["a", "b"]), 4).alias("filled"))
+
+
+@query("SELECT user_id, string_agg(k || '=' || v, ',' ORDER BY k) AS entries FROM (SELECT user_id, event_type AS k, CAST(arg_max(event_id, ts) AS VARCHAR) AS v FROM events GROUP BY ALL) GROUP BY 1")
+def d27_merged_maps(spark, sf):
+    rows = load(spark, sf, "events").select("user_id", "ts", F.create_map("event_type", F.col("event_id").cast("string")).alias("m"))
+    return A.merged_maps(rows, ["user_id"], "m", "ts").select("user_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("entries"))
+
+
+# Ranks and islands
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3")
+def e1_top_n(spark, sf):
+    return R.top_n(load(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3)
+
+
+@query("SELECT p_partkey, pre || row_number() OVER (PARTITION BY p_brand, pre ORDER BY p_partkey) AS ref FROM (SELECT p_partkey, p_brand, CASE WHEN p_name LIKE '%res%' THEN 'R' WHEN p_name LIKE '%ind%' THEN 'L' WHEN p_name LIKE '%led%' THEN 'D' ELSE 'U' END AS pre FROM (SELECT p_partkey, p_brand, CASE p_partkey % 4 WHEN 0 THEN 'chip_resistor' WHEN 1 THEN 'power_inductor' WHEN 2 THEN 'led' ELSE 'mcu' END AS p_name FROM part))")
+def e2_designators(spark, sf):
+    n = F.col("p_partkey") % 4
+    bom = load(spark, sf, "part").select("p_partkey", "p_brand", F.when(n == 0, "chip_resistor").when(n == 1, "power_inductor").when(n == 2, "led").otherwise("mcu").alias("kind"))
+    return R.designators(bom, "p_brand", "kind", "p_partkey").select("p_partkey", "ref")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def e3_latest(spark, sf):
+    return R.latest(load(spark, sf, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query(
+    """WITH p AS (SELECT event_type AS kind, user_id AS part, avg(value) AS m, count(*) AS n FROM events GROUP BY ALL), q AS (SELECT *, sum(n) OVER (PARTITION BY kind) AS nk FROM p)
+SELECT kind, part, round(m, 6) AS mean_score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(m, 9) DESC, part) AS r FROM q WHERE nk >= 3) WHERE r <= 2"""
+)
+def e4_preferred_parts(spark, sf):
+    history = load(spark, sf, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("part"), "value")
+    return R.preferred(history, "kind", "part", "value").select("kind", "part", F.round("mean_score", 6).alias("mean_score"), "rank")
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_id, event_type, ts, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM s)
+SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS length FROM r GROUP BY 1, 2"""
+)
+def e6_islands(spark, sf):
+    return R.islands(load(spark, sf, "events"), ["user_id"], "event_id", "event_type")
+
+
+@query(
+    """WITH g AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), o AS (SELECT *, coalesce(sum((n + 2) * 5.0) OVER (PARTITION BY l_orderkey ORDER BY l_returnflag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM g)
+SELECT l_orderkey, pos, CAST((row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY pos) - 1) * 5.0 + off AS DOUBLE) AS x FROM (SELECT l_orderkey, l_returnflag, l_linenumber * 1000000 + l_partkey * 100 + l_suppkey AS pos FROM lineitem) JOIN o USING (l_orderkey, l_returnflag)"""
+)
+def e10_positions(spark, sf):
+    rows = load(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", (F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("pos"))
+    return R.positions(rows, "l_orderkey", "l_returnflag", "pos").select("l_orderkey", "pos", "x")
+
+
+@query("SELECT user_id, event_type, event_id AS from_pin, nxt AS to_pin FROM (SELECT user_id, event_type, event_id, lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nxt FROM events) WHERE nxt IS NOT NULL")
+def e11_wires(spark, sf):
+    return R.wires(load(spark, sf, "events"), "user_id", "event_type", "event_id", "event_id")
+
+
+@query("SELECT event_id, CAST(sum(CASE WHEN gap <= 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session FROM (SELECT *, floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) AS gap FROM events)")
+def ext_sessions(spark, sf):
+    return R.sessions(load(spark, sf, "events"), "user_id", "ts", 3600).select("event_id", "session")
+
+
+# Retrieval
+
+_TERMS = ["the", "and", "license"]
+
+
+@query(
+    """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)
+SELECT doc_id, round(len(list_filter(w, lambda x: x IN ('the', 'and', 'license'))) / len(w), 9) AS rank_score FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'and') AND list_contains(w, 'license')
+ORDER BY len(list_filter(w, lambda x: x IN ('the', 'and', 'license'))) / len(w) DESC, doc_id LIMIT 20"""
+)
+def j3_full_text_search(spark, sf):
+    return V.text_search(load(spark, sf, "documents"), _TERMS, "doc_id", "text").select("doc_id", F.round("rank_score", 9).alias("rank_score"))
+
+
+def _vector(spark, sf) -> list[float]:
+    return load(spark, sf, "embeddings").filter("vec_id = 0").first().embedding
+
+
+@query(
+    """WITH q AS (SELECT embedding AS x FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round(s, 4) AS similarity FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(x AS DOUBLE[])) AS s FROM embeddings, q) WHERE s > 0.1 ORDER BY s DESC, vec_id LIMIT 20"""
+)
+def j4_vector_search(spark, sf):
+    return V.vector_search(load(spark, sf, "embeddings"), _vector(spark, sf), "vec_id", "embedding", 0.1).select("vec_id", F.round("similarity", 4).alias("similarity"))
+
+
+@query(
+    """WITH q AS (SELECT embedding AS x FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round(s, 4) AS similarity FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(x AS DOUBLE[])) AS s FROM embeddings, q WHERE label = 3) WHERE s > -1 ORDER BY s DESC, vec_id LIMIT 5"""
+)
+def b17_filtered_vector_search(spark, sf):
+    return V.vector_search(load(spark, sf, "embeddings"), _vector(spark, sf), "vec_id", "embedding", -1.0, 5, F.col("label") == 3).select("vec_id", F.round("similarity", 4).alias("similarity"))
+
+
+_RRF_SQL = """WITH l AS (
+SELECT p_brand AS q, p_partkey AS id, 'size' AS layer, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS r FROM part WHERE p_size > 10
+UNION ALL SELECT p_brand, p_partkey, 'price', row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) FROM part WHERE p_size < 40),
+f AS (SELECT q, id, sum(1.0 / (r + 60)) AS s, string_agg(layer, ',' ORDER BY layer) AS layers FROM l GROUP BY ALL)
+SELECT q AS p_brand, id AS p_partkey, round(s, 9) AS final_score, layers, CAST(p AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 12) DESC, id) AS p FROM f) WHERE p <= 10"""
+
+
+def _fused(spark, sf) -> DataFrame:
+    part = load(spark, sf, "part")
+    layers = V.ranked(part.filter("p_size > 10"), "size", F.col("p_size"), "p_partkey", "p_brand").unionByName(V.ranked(part.filter("p_size < 40"), "price", F.col("p_retailprice"), "p_partkey", "p_brand"))
+    return V.fuse(layers, "p_partkey", "p_brand")
+
+
+@query(_RRF_SQL)
+def j6_rank_fusion(spark, sf):
+    return _fused(spark, sf).select("p_brand", "p_partkey", F.round("final_score", 9).alias("final_score"), F.array_join("source_layers", ",").alias("layers"), "position")
+
+
+@query(f"WITH r AS ({_RRF_SQL}) SELECT 'price' AS layer, count(*) FILTER (list_contains(string_split(layers, ','), 'price')) AS hits FROM r UNION ALL SELECT 'size', count(*) FILTER (list_contains(string_split(layers, ','), 'size')) FROM r UNION ALL SELECT 'other', 0")
+def d14_layer_hits(spark, sf):
+    return V.layer_hits(_fused(spark, sf), ["size", "price", "other"])
+
+
+_HYBRID_SQL = f"""WITH {_FACT_SQL},
+p1 AS (SELECT component_id AS id, 1.0 AS score FROM facts GROUP BY 1 HAVING bool_or(symbol = 'en' AND value_typ < 2) AND bool_or(symbol = 'tol' AND value_max >= 0.08)),
+p2 AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS score FROM part WHERE p_name LIKE '%ring%'),
+p3 AS (SELECT p_partkey AS id, p_retailprice AS score FROM part WHERE p_retailprice > 1000),
+p4 AS (SELECT l_partkey AS id, 0.8 AS score FROM lineitem GROUP BY 1 HAVING count(*) >= 40),
+l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r, 'parametric' AS layer FROM p1 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id), 'fts' FROM p2 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id), 'vector' FROM p3 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id), 'kg' FROM p4),
+f AS (SELECT id, sum(1.0 / (r + 60)) AS s, string_agg(layer, ',' ORDER BY layer) AS layers FROM l GROUP BY 1)
+SELECT id AS p_partkey, round(s, 9) AS final_score, layers, CAST(p AS INTEGER) AS position FROM (SELECT *, row_number() OVER (ORDER BY round(s, 12) DESC, id) AS p FROM f) WHERE p <= 10"""
+
+
+@query(_HYBRID_SQL)
+def j7_hybrid_retrieval(spark, sf):
+    return flagship(spark, sf)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval over parts: four ranked layers, fused."""
+    part = load(spark, sf_dir, "part")
+    conditions = P.predicates({"noise_nV_rtHz": "<2", "tolerance_pct": ">=0.08"})
+    parametric = P.search(_facts(spark, sf_dir), conditions, "component_id").select(F.col("component_id").alias("p_partkey"), F.lit(1.0).alias("score"))
+    text = part.filter(F.contains("p_name", F.lit("ring"))).select("p_partkey", F.col("p_size").cast("double").alias("score"))
+    vector = part.filter("p_retailprice > 1000").select("p_partkey", F.col("p_retailprice").alias("score"))
+    related = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n")).filter("n >= 40").select("p_partkey", F.lit(0.8).alias("score"))
+    found = hybrid(parametric, text, vector, related, "p_partkey")
+    return found.select("p_partkey", F.round("final_score", 9).alias("final_score"), F.array_join("source_layers", ",").alias("layers"), "position")
+
+
+# Graph
+
+_EDGE_SQL = """edges AS (
+  SELECT 'R' || n_regionkey AS s, 'N' || n_nationkey AS t, 0.95 AS c FROM nation
+  UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, 0.6 + (c_custkey % 5) / 20.0 FROM customer
+  UNION ALL SELECT 'N' || s_nationkey, 'C' || (s_suppkey * 7), 0.9 FROM supplier
+  UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey, 0.55 + (o_orderkey % 9) / 20.0 FROM orders)"""
+
+
+def _edges(spark, sf) -> DataFrame:
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string") if isinstance(c, str) else c)
+    of = lambda t, s, e, c: load(spark, sf, t).select(s.alias("source_id"), F.lit("REQUIRES").alias("relation"), e.alias("target_id"), c.cast("double").alias("confidence"))
+    return (
+        of("nation", name("R", "n_regionkey"), name("N", "n_nationkey"), F.lit(0.95))
+        .unionByName(of("customer", name("N", "c_nationkey"), name("C", "c_custkey"), F.lit(0.6) + (F.col("c_custkey") % 5) / 20.0))
+        .unionByName(of("supplier", name("N", "s_nationkey"), F.concat(F.lit("C"), (F.col("s_suppkey") * 7).cast("string")), F.lit(0.9)))
+        .unionByName(of("orders", name("C", "o_custkey"), name("O", "o_orderkey"), F.lit(0.55) + (F.col("o_orderkey") % 9) / 20.0))
+    )
+
+
+@query(
+    f"""WITH {_EDGE_SQL}, good AS (SELECT * FROM edges WHERE c >= 0.6), l1 AS (SELECT t AS id, max(c) AS p FROM good WHERE s = 'R1' GROUP BY 1),
+l2 AS (SELECT t AS id, max(p * c) AS p FROM good JOIN l1 ON s = l1.id WHERE t <> 'R1' AND t NOT IN (SELECT id FROM l1) GROUP BY 1),
+l3 AS (SELECT t AS id, max(p * c) AS p FROM good JOIN l2 ON s = l2.id WHERE t <> 'R1' AND t NOT IN (SELECT id FROM l1) AND t NOT IN (SELECT id FROM l2) GROUP BY 1)
+SELECT id, CAST(depth AS INTEGER) AS depth, round(p, 9) AS confidence FROM (SELECT 'R1' AS id, 0 AS depth, 1.0 AS p UNION ALL SELECT id, 1, p FROM l1 UNION ALL SELECT id, 2, p FROM l2 UNION ALL SELECT id, 3, p FROM l3)"""
+)
+def i3_bounded_reach(spark, sf):
+    start = spark.createDataFrame([("R1",)], "id string")
+    return G.reach(_edges(spark, sf), start, 3)[0].select("id", "depth", F.round("confidence", 9).alias("confidence"))
+
+
+@query(f"WITH {_EDGE_SQL} SELECT DISTINCT t AS id FROM edges WHERE s = 'N3' AND c >= 0.7")
+def i1_neighbours(spark, sf):
+    edges = _edges(spark, sf)
+    nodes = edges.select(F.col("target_id").alias("id")).distinct()
+    return G.neighbours(nodes, edges, spark.createDataFrame([("N3",)], "id string"), 0.7)
+
+
+@query(f"WITH {_EDGE_SQL}, n AS (SELECT 'C' || c_custkey AS id FROM customer WHERE c_custkey % 10 <> 0) SELECT 'orphan_source' AS problem, count(*) AS n FROM edges WHERE s LIKE 'C%' AND s NOT IN (SELECT id FROM n) UNION ALL SELECT 'edge_confidence', count(*) FROM edges WHERE s LIKE 'C%' AND NOT c + 0.1 BETWEEN 0 AND 1")
+def i13_integrity(spark, sf):
+    edges = _edges(spark, sf).filter("source_id LIKE 'C%'").withColumn("confidence", F.col("confidence") + 0.1)
+    nodes = load(spark, sf, "customer").filter("c_custkey % 10 <> 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.lit("x").alias("label"), F.lit(1.0).alias("confidence"))
+    found = G.integrity(nodes, edges).filter("problem <> 'orphan_target'")
+    return found.groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH n AS (SELECT 'R' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, n_name FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, c_name FROM customer)
+SELECT a.id, a.name AS full_path, 0 AS depth FROM n a WHERE parent IS NULL UNION ALL SELECT b.id, a.name || '/' || b.name, 1 FROM n a JOIN n b ON b.parent = a.id WHERE a.parent IS NULL
+UNION ALL SELECT c.id, a.name || '/' || b.name || '/' || c.name, 2 FROM n a JOIN n b ON b.parent = a.id JOIN n c ON c.parent = b.id WHERE a.parent IS NULL"""
+)
+def h37_tree_paths(spark, sf):
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nodes = load(spark, sf, "region").select(key("R", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
+    nodes = nodes.unionByName(load(spark, sf, "nation").select(key("N", "n_nationkey").alias("id"), key("R", "n_regionkey").alias("parent"), F.col("n_name").alias("name")))
+    nodes = nodes.unionByName(load(spark, sf, "customer").select(key("C", "c_custkey").alias("id"), key("N", "c_nationkey").alias("parent"), F.col("c_name").alias("name")))
+    return L.tree_paths(nodes, "id", "parent", "name")
+
+
+# Rules
+
+
+def _nets(spark, sf) -> tuple[DataFrame, DataFrame]:
+    li = load(spark, sf, "lineitem").filter("l_orderkey % 5 = 0")
+    nets = li.select(F.lit("d").alias("design_id"), F.concat(F.when(F.col("l_orderkey") % 2 == 0, "VCC_").otherwise("N"), F.col("l_orderkey").cast("string")).alias("net_name"), F.when(F.col("l_orderkey") % 2 == 0, "power").otherwise("signal").alias("net_type"), F.concat(F.lit("U"), F.col("l_partkey").cast("string")).alias("ref"), F.col("l_suppkey").cast("string").alias("pin_number")).distinct()
+    kind = F.col("pin_number").cast("int") % 4
+    pins = nets.select("design_id", "ref", "pin_number").distinct().select("*", F.when(kind == 0, "output").when(kind == 1, "input").when(kind == 2, "io").otherwise("power").alias("pin_type"), F.when(kind == 3, F.when(F.col("pin_number").cast("int") % 3 == 0, "POWER_POSITIVE").otherwise("POWER_GROUND")).alias("function"), F.when(kind == 0, "SIGNAL_OUT").when(kind == 1, "SIGNAL_IN").when(kind == 3, "POWER_OUT").alias("role"))
+    return nets, pins
+
+
+_NET_SQL = """nets AS (SELECT DISTINCT 'd' AS design_id, CASE WHEN l_orderkey % 2 = 0 THEN 'VCC_' ELSE 'N' END || l_orderkey AS net_name, CASE WHEN l_orderkey % 2 = 0 THEN 'power' ELSE 'signal' END AS net_type, l_partkey AS ref, l_suppkey AS pin FROM lineitem WHERE l_orderkey % 5 = 0),
+p AS (SELECT net_name, net_type, count(*) FILTER (pin % 4 IN (0, 2)) AS outputs, bool_or(pin % 4 = 3 AND pin % 3 = 0) AS sourced, count(*) FILTER (pin % 4 IN (1, 2)) AS inputs FROM nets GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_NET_SQL} SELECT 'no_output_conflict' AS rule, net_name AS subject FROM p WHERE outputs > 1 UNION ALL SELECT 'power_net_has_source', net_name FROM p WHERE net_name LIKE 'VCC%' AND NOT sourced UNION ALL SELECT 'no_floating_inputs', net_name FROM p WHERE net_type <> 'power' AND outputs = 0 AND inputs > 0"""
+)
+def k6_electrical_checks(spark, sf):
+    return K.electrical_checks(*_nets(spark, sf)).select("rule", "subject")
+
+
+@query(
+    f"""WITH {_NET_SQL}, r AS (SELECT net_name, net_type, count(*) FILTER (pin % 4 = 0) AS so, count(*) FILTER (pin % 4 = 3) AS po, count(*) FILTER (pin % 4 <> 2) AS known FROM nets GROUP BY ALL)
+SELECT 'driver_conflict' AS rule, net_name || ':SIGNAL_OUT' AS subject FROM r WHERE so > 1 UNION ALL SELECT 'driver_conflict', net_name || ':POWER_OUT' FROM r WHERE po > 1 UNION ALL SELECT 'power_undriven', net_name FROM r WHERE net_type = 'power' AND known > 0 AND po = 0"""
+)
+def k11_role_checks(spark, sf):
+    return K.role_checks(*_nets(spark, sf))[0].select("rule", "subject")
+
+
+@query(
+    f"""WITH {_NET_SQL}, r AS (SELECT net_name, net_type, count(*) FILTER (pin % 4 = 0) AS so, count(*) FILTER (pin % 4 = 3) AS po, count(*) FILTER (pin % 4 <> 2) AS known FROM nets GROUP BY ALL),
+t AS (SELECT sum(CASE WHEN net_type = 'power' THEN 3 ELSE 2 END) AS checked, sum((so > 1)::INT + (po > 1)::INT) AS critical, sum((net_type = 'power' AND known > 0 AND po = 0)::INT) AS warning FROM r)
+SELECT 'd' AS design_id, CAST(checked AS BIGINT) AS checked, CAST(critical AS BIGINT) AS critical, CAST(warning AS BIGINT) AS warning, round(greatest(0.0, least(1.0, (checked - critical - 0.5 * warning) / CAST(checked AS DOUBLE))), 4) AS score FROM t"""
+)
+def d16_penalty_score(spark, sf):
+    return K.scores(*K.role_checks(*_nets(spark, sf)))
+
+
+@query(
+    """SELECT user_id, round(greatest(0.0, least(1.0, sum(s * w) / sum(w))), 4) AS score FROM (SELECT user_id, 1 + event_id % 5 AS layer, avg(value) / 100 AS s FROM events GROUP BY ALL) JOIN (VALUES (1, 0.35), (2, 0.3), (3, 0.2), (4, 0.1), (5, 0.05)) v(layer, w) USING (layer) GROUP BY 1"""
+)
+def d17_layered_score(spark, sf):
+    layers = load(spark, sf, "events").groupBy("user_id", (F.col("event_id") % 5 + 1).alias("layer")).agg((F.avg("value") / 100).alias("score"))
+    return A.layered_score(layers, "user_id")
+
+
+@query(
+    """WITH p AS (SELECT l_partkey AS component_id, 'p' || l_linenumber AS name, CASE l_linenumber WHEN 1 THEN 'V_CC' WHEN 2 THEN 'PSRR' ELSE 'x' END AS symbol, l_discount * 300 AS lo, l_quantity AS typ, l_quantity * 1.5 AS hi, 1 - l_tax * 5 AS confidence FROM lineitem)
+SELECT component_id, string_agg(DISTINCT name, ',' ORDER BY name) FILTER (confidence < 0.7 OR lo > hi) AS failed, string_agg(DISTINCT name, ',' ORDER BY name) FILTER ((symbol = 'V_CC' AND (typ < 0.5 OR typ > 60 OR hi < 0.5 OR hi > 60)) OR (symbol = 'PSRR' AND (typ > 150 OR hi > 150))) AS warnings FROM p GROUP BY 1"""
+)
+def k1_quality_gate(spark, sf):
+    n = F.col("l_linenumber")
+    rows = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("component_id"), F.concat(F.lit("p"), n.cast("string")).alias("parameter_name"), F.when(n == 1, "V_CC").when(n == 2, "PSRR").otherwise("x").alias("symbol"), (F.col("l_discount") * 300).alias("value_min"), F.col("l_quantity").alias("value_typ"), (F.col("l_quantity") * 1.5).alias("value_max"), (1 - F.col("l_tax") * 5).alias("confidence"))
+    text = lambda c: F.nullif(F.array_join(c, ","), F.lit(""))
+    return K.quality_gate(rows).select("component_id", text("failed").alias("failed"), text("warnings").alias("warnings"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN lo > typ THEN 'min_above_typ' WHEN typ > hi THEN 'typ_above_max' WHEN typ IS NULL AND lo > hi THEN 'min_above_max' END AS problem
+FROM (SELECT l_orderkey, l_linenumber, l_discount AS lo, CASE WHEN l_linenumber % 2 = 0 THEN l_tax END AS typ, l_tax AS hi FROM lineitem) WHERE lo > typ OR typ > hi OR (typ IS NULL AND lo > hi)"""
+)
+def k2_ordering(spark, sf):
+    rows = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("value_min"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax")).alias("value_typ"), F.col("l_tax").alias("value_max"))
+    return K.ordering_problems(rows).select("l_orderkey", "l_linenumber", "problem")
+
+
+@query("SELECT c_custkey, 'balance' AS \"check\" FROM customer WHERE NOT c_acctbal >= 0 UNION ALL SELECT c_custkey, 'segment' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+def k4_constraints(spark, sf):
+    return K.check_constraints(load(spark, sf, "customer"), {"balance": F.col("c_acctbal") >= 0, "segment": F.col("c_mktsegment").isin("BUILDING", "MACHINERY")}, "c_custkey")
+
+
+@query(
+    """SELECT o_orderkey, min_input_v, required_mw, string_agg(x, ',') AS conflicts FROM (SELECT o_orderkey, round(out + CASE WHEN o_orderstatus = 'F' THEN 0.3 ELSE 0 END, 6) AS min_input_v, out * ma AS required_mw, unnest([CASE WHEN sup < round(out + CASE WHEN o_orderstatus = 'F' THEN 0.3 ELSE 0 END, 6) THEN 'voltage_chain' END, CASE WHEN out * ma > budget THEN 'power_budget' END]) AS x
+FROM (SELECT o_orderkey, o_orderstatus, CAST(o_orderkey % 12 AS DOUBLE) AS sup, CAST(o_custkey % 10 AS DOUBLE) AS out, CAST(o_orderkey % 500 AS DOUBLE) AS ma, o_totalprice / 200 AS budget FROM orders WHERE o_orderstatus IN ('F', 'P'))) GROUP BY 1, 2, 3"""
+)
+def h39_interval_conflicts(spark, sf):
+    orders = load(spark, sf, "orders").filter("o_orderstatus IN ('F', 'P')")
+    rows = orders.select(F.col("o_orderkey").alias("design_id"), F.when(F.col("o_orderstatus") == "F", "ldo").otherwise("buck_converter").alias("topology"), (F.col("o_orderkey") % 12).cast("double").alias("supply_max_v"), (F.col("o_custkey") % 10).cast("double").alias("output_v"), (F.col("o_orderkey") % 500).cast("double").alias("output_ma"), (F.col("o_totalprice") / 200).alias("budget_mw"))
+    return K.interval_conflicts(rows).select(F.col("design_id").alias("o_orderkey"), "min_input_v", "required_mw", F.nullif(F.array_join("conflicts", ","), F.lit("")).alias("conflicts"))
+
+
+# Scalar functions
+
+
+@query(
+    r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '([0-9A-Za-z_])-[ \t\r]*\n\s*([0-9A-Za-z_])', '\1\2', 'g'), '\s+', ' ', 'g'))) AS text_hash FROM pages"""
+)
+def h21_clean_html(spark, sf):
+    return load(spark, sf, "pages").select("page_id", F.sha2(T.clean_html(F.col("html")), 256).alias("text_hash"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def h36_content_hash(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+@query("SELECT n, CAST(greatest(10, least(1000, floor(sqrt(n)))) AS INTEGER) AS lists FROM (SELECT l_partkey * 1000 AS n FROM lineitem GROUP BY 1) WHERE n >= 10000")
+def h38_index_lists(spark, sf):
+    n = load(spark, sf, "lineitem").select((F.col("l_partkey") * 1000).alias("n")).distinct().filter("n >= 10000")
+    return n.select("n", F.greatest(F.lit(10), F.least(F.lit(1000), F.floor(F.sqrt("n")))).cast("int").alias("lists"))
+
+
+@query(
+    """SELECT p_partkey, round(v * CASE u WHEN 'mV' THEN 1e-3 WHEN 'kohm' THEN 1e3 WHEN 'MHz' THEN 1e6 ELSE 1 END, 6) AS value, CASE u WHEN 'mV' THEN 'V' WHEN 'kohm' THEN 'Ω' WHEN 'MHz' THEN 'Hz' ELSE u END AS unit, u <> 'furlong' AS known
+FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS v, CASE p_partkey % 5 WHEN 0 THEN 'mV' WHEN 1 THEN 'kohm' WHEN 2 THEN 'MHz' WHEN 3 THEN '°C' ELSE 'furlong' END AS u FROM part)"""
+)
+def h3_units(spark, sf):
+    n = F.col("p_partkey") % 5
+    unit = F.when(n == 0, "mV").when(n == 1, "kohm").when(n == 2, "MHz").when(n == 3, "°C").otherwise("furlong")
+    q = load(spark, sf, "part").select("p_partkey", U.quantity(F.concat_ws(" ", F.col("p_size").cast("string"), unit)).alias("q"))
+    return q.select("p_partkey", F.round("q.value", 6).alias("value"), "q.unit", "q.known")
+
+
+@query("SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]\\s+'), lambda s: len(regexp_split_to_array(trim(s), '\\s+'))), lambda n: n BETWEEN 8 AND 60)) AS INTEGER) AS n_sentences FROM documents")
+def b14_sentence_lengths(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name || ' / ' || p_type || '!')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
+def h25_slugs(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", T.slug(F.concat("p_name", F.lit(" / "), "p_type", F.lit("!"))).alias("slug"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def ext_windowed_counts(spark, sf):
+    from fathomgrid.streaming.review import windowed_counts
+
+    return windowed_counts(load(spark, sf, "events"), "ts", "event_type", size="1 hour")
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def ext_rollup(spark, sf):
+    return load(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count("*").alias("n"))
