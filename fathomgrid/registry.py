@@ -300,10 +300,10 @@ def d7_version_string(spark, sf):
     return A.version_string(load(spark, sf, "customer"), load(spark, sf, "orders"))
 
 
-@query("SELECT c_custkey, round(coalesce(avg(o_totalprice), 0.5), 1) AS mean_price FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY 1")
+@query("SELECT c_custkey, round(coalesce(avg(floor(o_totalprice)), 0.5), 4) AS mean_price FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY 1")
 def d8_mean_or_default(spark, sf):
     joined = load(spark, sf, "customer").join(load(spark, sf, "orders").filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left")
-    return joined.groupBy("c_custkey").agg(F.round(A.mean_or(F.col("o_totalprice"), 0.5), 1).alias("mean_price"))
+    return joined.groupBy("c_custkey").agg(F.round(A.mean_or(F.floor("o_totalprice"), 0.5), 4).alias("mean_price"))
 
 
 @query(
