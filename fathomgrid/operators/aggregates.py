@@ -103,9 +103,9 @@ def fill_ratio(columns: Sequence[str]) -> Column:
 
 def merged_maps(rows: DataFrame, keys: Sequence[str], entries: str, order: str) -> DataFrame:
     """One map a group; of a repeated entry the value of the last row in ``order`` stays."""
-    long = rows.select(*keys, order, F.explode(entries).alias("k", "v"))
-    last = long.groupBy(*keys, "k").agg(F.max_by("v", order).alias("v"))
-    return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(entries))
+    long = rows.select(*keys, order, F.explode(entries).alias("_entry", "_value"))
+    last = long.groupBy(*keys, "_entry").agg(F.max_by("_value", order).alias("_value"))
+    return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_entry", "_value")))).alias(entries))
 
 
 def version_string(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -114,5 +114,5 @@ def version_string(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def values_confidence(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Mean of all the confidences in several columns, nulls apart."""
-    long = rows.select(*keys, F.explode(F.array(*columns)).alias("c"))
-    return long.groupBy(*keys).agg(F.round(F.avg("c"), 4).alias("confidence"))
+    long = rows.select(*keys, F.explode(F.array(*columns)).alias("_c"))
+    return long.groupBy(*keys).agg(F.round(F.avg("_c"), 4).alias("confidence"))
