@@ -1,14 +1,26 @@
 """Stupid-backoff scores of documents, computed relationally.
 
 A word pair that the corpus has ``least`` times or more scores c(v w) / c(v); any other
-word scores 0.4 c(w) / N. Words and pairs are 64-bit hashes. The count tables are
-partitioned by hash; a document's distinct pairs, exploded with their numbers, are
-joined to the pair table, what that decides is joined to the word table, and the
-logarithms are summed for each document. No count is capped and every pair is joined.
+word scores 0.4 c(w) / N. Words are 64-bit hashes. The pair table is partitioned by
+hash; a document's distinct pairs, exploded with their numbers, go to the partition
+that holds their count, meet it there, and the logarithms are summed for each document.
+
+Three bounds keep frequent items from piling up. Words that make up at least one in
+2**20 of all words number at most 2**20, so their counts are broadcast. Pairs of words
+that each make up one in 2**12 are counted beforehand, and of these the pairs that make
+up one in 2**16, at most 2**16, are broadcast too and scored where they stand. A pair
+with a rarer second word goes to the partition of that word, which therefore knows the
+word's count as well; all other pairs are dealt by the hash of both words. What is left
+to look up, the counts of rare words that begin a known pair, is one more join. Every
+pair of every document is counted and scored.
+
+Between the executors, pairs travel in arrays, a row for each partition and few
+thousand documents, which takes about a third of the space of a row for each pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,40 +32,211 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 _START = xxhash.xxh64_intdigest(b"\n")  # what stands before the first word; no word holds white space
+_FLUSH_PAIRS, _FLUSH_DOCS = 1_500_000, 30_000
+
+_PACKED = "p int, owner array<long>, v array<long>, times array<int>, w array<long>, doc array<short>, n array<int>, words array<int>, known array<int>, score array<double>"
+_OUT = "owner long, asked long, n long, known long, score double"
+
+
+class Hasher(dict):
+    """Word -> hash, cleared when it holds too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    def words(self, text: str | None) -> np.ndarray:
+        """The start mark and the words of a text; empty without words."""
+        split = text.encode().lower().split() if text else []
+        return np.array([_START, *map(self.__getitem__, split)] if split else [], np.uint64)
+
+
+class Table:
+    """Counts of some keys; 0 for any other."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
 
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
 
-def _pairs(docs: DataFrame) -> DataFrame:
-    """``owner, text_hash, v, w, n``: how often word w follows v in a document."""
-    schema = "owner long, text_hash long, v long, w long, n int"
+    def having(self, least: float) -> Table:
+        keep = self.counts >= least
+        return Table(self.keys[keep], self.counts[keep])
+
+
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    h = (v ^ (v >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + w
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _totals(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of ``n`` (or their number) for each."""
+    if not len(keys):
+        return keys, np.array([], np.int64)
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+    sums = np.diff(first, append=len(keys)) if n is None else np.add.reduceat(n[order], first)
+    return keys[order][first], sums.astype(np.int64)
+
+
+def _counted(docs: DataFrame, hot: Table | None) -> DataFrame:
+    """``key, c``: words, or with ``hot`` the pairs of hot words, counted over all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = Hasher(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, sums = _totals(np.concatenate(held) if held else np.array([], np.uint64))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["key", "c"])
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in batches:
-            rows, vs, ws, ns = [], [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                words = text.encode().lower().split() if text else []
-                if not words:
+            for text in batch.column(0).to_pylist():
+                h = hasher.words(text)
+                if hot is not None and len(h):
+                    known = hot[h] > 0
+                    both = known[1:] & known[:-1]
+                    h = pair_key(h[:-1][both], h[1:][both])
+                held.append(h)
+                size += len(h)
+                if size > 2 * _FLUSH_PAIRS:
+                    yield flush()
+                    size = 0
+        yield flush()
+
+    return docs.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def _collected(rows: DataFrame) -> Table:
+    got = rows.toPandas()
+    return Table(got.key.to_numpy(np.int64).view(np.uint64), got.c.to_numpy(np.int64))
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(x, 1))
+
+
+def _packed(docs: DataFrame, words: Table, pairs: Table, total: int, groups: int, least: int, alpha: float) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    per_word = math.log10(alpha / max(total, 1))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = sent.value
+        hasher, owners, held, size = Hasher(), [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
+            v, w, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+            own, key = np.array(owners, np.int64), pair_key(v, w)
+            c = pairs[key]
+            here = c > 0  # a hot pair; its words are hot too
+            known = here & (c >= least)
+            part = np.where(known, n * (_log(c) - _log(words[v])), n * (_log(words[w]) + per_word))
+            sums = [np.bincount(doc[m], x[m], minlength=len(own)) for m, x in ((here, n), (known, n), (here, part))]
+            yield row(groups + int(doc.size % 8), own, scored=sums)
+            p = (np.where(words[w] > 0, key, pair_key(w, w)) % np.uint64(groups)).astype(np.int32)
+            rest = np.flatnonzero(~here)
+            rest = rest[np.lexsort((v[rest], p[rest]))]
+            ends = np.searchsorted(p[rest], np.arange(groups + 1))
+            for g in range(groups):
+                at = rest[ends[g] : ends[g + 1]]
+                if len(at):
+                    docs_here, local = np.unique(doc[at], return_inverse=True)
+                    first = np.flatnonzero(np.concatenate([[True], v[at][1:] != v[at][:-1]]))
+                    yield row(g, own[docs_here], (v[at][first], np.diff(first, append=len(at)), w[at], local, n[at]))
+            owners.clear()
+            held.clear()
+
+        for batch in batches:
+            for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = hasher.words(text)
+                if not len(h):
                     continue
-                if len(known) > 500_000:
-                    known.clear()
-                for word in set(words) - known.keys():
-                    known[word] = xxhash.xxh64_intdigest(word)
-                h = np.array([_START, *map(known.__getitem__, words)], np.uint64)
                 order = np.lexsort((h[1:], h[:-1]))
                 v, w = h[:-1][order], h[1:][order]
                 first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
-                rows.append(np.full(len(first), i))
-                vs.append(v[first])
-                ws.append(w[first])
-                ns.append(np.diff(first, append=len(v)))
-            join = lambda x, t: np.concatenate(x).view(t) if x else np.array([], t)
-            take = pa.array(join(rows, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(join(vs, np.int64)), pa.array(join(ws, np.int64)), pa.array(join(ns, np.int64).astype(np.int32))], names=[x.split()[0] for x in schema.split(", ")])
+                owners.append(owner)
+                held.append((v[first], w[first], np.diff(first, append=len(v))))
+                size += len(first)
+                if size > _FLUSH_PAIRS or len(held) >= _FLUSH_DOCS:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    def row(p: int, owner: np.ndarray, packed: tuple = (), scored: tuple | list = ()) -> pa.RecordBatch:
+        kinds = (np.int64, np.int32, np.int64, np.int16, np.int32)
+        arrays = [x.view(t) if t == np.int64 else x.astype(t) for x, t in zip(packed, kinds, strict=True)] if len(packed) else [None] * 5
+        arrays += [x.astype(t) for x, t in zip(scored, (np.int32, np.int32, np.float64), strict=True)] if len(scored) else [None] * 3
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int16(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+        lists = [pa.array([x], pa.list_(t)) for x, t in zip([owner, *arrays], types, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *lists], names=[x.split()[0] for x in _PACKED.split(", ")])
+
+    return docs.select("owner", "text").mapInArrow(emit, _PACKED)
+
+
+def _scored(packed: DataFrame, words: Table, total: int, least: int, alpha: float) -> DataFrame:
+    """``owner, asked, n, known, score``: parts of documents' sums; ``asked`` is a word whose logarithm is still to be taken off ``known`` times."""
+    sent = packed.sparkSession.sparkContext.broadcast(words)
+    per_word = math.log10(alpha / max(total, 1))
 
-    return docs.select("owner", "text_hash", "text").mapInArrow(paired, schema)
+    def score(group: pa.Table) -> pa.Table:
+        words, out = sent.value, []
+        col = lambda name: [x.values.to_numpy(zero_copy_only=False) for x in group.column(name) if x.is_valid]
+        join = lambda parts, t: np.concatenate(parts) if parts else np.array([], t)
+        direct = np.array([x.is_valid for x in group.column("score")], bool)
+        owners = [x.values.to_numpy(zero_copy_only=False) for x in group.column("owner")]
+        if direct.any():
+            own = np.concatenate([o for o, d in zip(owners, direct, strict=True) if d])
+            out.append((own, None, join(col("words"), np.int32), join(col("known"), np.int32), join(col("score"), np.float64)))
+        owners = [o for o, d in zip(owners, direct, strict=True) if not d]
+        if owners:
+            base = np.cumsum([0, *map(len, owners)])
+            own = np.concatenate(owners)
+            doc = np.concatenate([d.astype(np.int64) + b for d, b in zip(col("doc"), base, strict=False)])
+            v = np.repeat(join(col("v"), np.int64), join(col("times"), np.int32)).view(np.uint64)
+            w, n = join(col("w"), np.int64).view(np.uint64), join(col("n"), np.int32).astype(np.int64)
+            c = _spread(pair_key(v, w), n)
+            cw = words[w]
+            rare = cw == 0  # all of the word's pairs are here
+            if rare.any():
+                cw[rare] = _spread(w[rare], n[rare])
+            cv, known = words[v], c >= least
+            part = np.where(known, n * (_log(c) - _log(cv)), n * (_log(cw) + per_word))
+            size = len(own)
+            out.append((own, None, np.bincount(doc, n, size), np.bincount(doc[known], n[known], size), np.bincount(doc, part, size)))
+            ask = np.flatnonzero(known & (cv == 0))
+            out.append((own[doc[ask]], v[ask].view(np.int64), np.zeros(len(ask)), n[ask], np.zeros(len(ask))))
+        tables = [
+            pa.table({"owner": pa.array(o), "asked": pa.nulls(len(o), pa.int64()) if a is None else pa.array(a), "n": pa.array(np.asarray(n, np.int64)), "known": pa.array(np.asarray(k, np.int64)), "score": pa.array(np.asarray(s, np.float64))})
+            for o, a, n, k, s in out
+        ]
+        return pa.concat_tables(tables)
 
+    return packed.groupBy("p").applyInArrow(score, _OUT)
 
-def backoff_scores(docs: DataFrame, least: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _spread(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each element the sum of ``n`` over all with its key."""
+    order = np.argsort(keys, kind="stable")
+    new = np.concatenate([[True], np.diff(keys[order]) != 0]) if len(keys) else np.array([], bool)
+    sums = np.add.reduceat(n[order], np.flatnonzero(new)) if len(keys) else n
+    out = np.empty(len(keys), np.int64)
+    out[order] = sums[np.cumsum(new) - 1]
+    return out
+
+
+def backoff_scores(
+    docs: DataFrame, least: int = 2, alpha: float = 0.4, kept: int = 2**20, hot_words: int = 2**12, hot_pairs: int = 2**16, group_bytes: int = 24_000_000, least_groups: int = 32, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per input row: doc_id, n_words, n_pairs_known, log10_score, mean_log10.
 
     Words are split at ASCII white space, A-Z lower-cased; the first word follows a start
@@ -61,24 +244,26 @@ def backoff_scores(docs: DataFrame, least: int = 2, alpha: float = 0.4, id_col:
     mean_log10 that by n_words (null without words, as for null and empty texts).
     Every row counts for the tables, repeated ones too. Null ids are kept; rows alike in
     id and text get the same score. No rows give no rows; other columns are ignored.
+
+    ``kept``, ``hot_words`` and ``hot_pairs`` bound what is broadcast; a partition of the
+    pair table takes about ``group_bytes`` bytes of text.
     """
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("owner"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    copies = keyed.groupBy("owner", "text_hash").agg(F.count("*").alias("times"))
-    pairs = materialise(_pairs(keyed))
-    table2 = pairs.groupBy("v", "w").agg(F.sum("n").alias("c")).filter(F.col("c") >= least).withColumnsRenamed({"v": "v2", "w": "w2"})
-    follow = pairs.groupBy("w").agg(F.sum("n").alias("c"))
-    begin = pairs.groupBy("v").agg(F.sum("n").alias("c")).filter(F.col("v") == int(np.uint64(_START).view(np.int64)))
-    words = materialise(follow.select(F.col("w").alias("word"), "c").union(begin.select("v", "c")))
-    total = pairs.agg(F.sum("n")).first()[0] or 0
-    found = pairs.join(table2, (F.col("v") == F.col("v2")) & (F.col("w") == F.col("w2")), "left")
-    hit = F.col("c").isNotNull()
-    # a word's logarithm is taken off for a pair's context, or added for a word that stands for itself
-    asked = found.select("owner", "text_hash", F.when(hit, F.col("v")).otherwise(F.col("w")).alias("asked"), F.when(hit, -F.col("n")).otherwise(F.col("n")).alias("sign"), F.when(hit, F.col("n") * F.log10("c")).otherwise(F.col("n") * F.log10(F.lit(alpha) / max(total, 1))).alias("part"), "n", F.when(hit, F.col("n")).otherwise(0).alias("known"))
-    asked = asked.groupBy("owner", "text_hash", "asked").agg(F.sum("sign").alias("sign"), F.sum("part").alias("part"), F.sum("n").alias("n"), F.sum("known").alias("known"))
-    joined = asked.join(words, F.col("asked") == F.col("word"))
-    sums = joined.groupBy("owner", "text_hash").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum(F.col("part") + F.col("sign") * F.log10(F.col("c").cast("double"))).alias("score"))
-    # rows alike in id and text emitted the same pairs each
-    sums = sums.join(copies, ["owner", "text_hash"]).select("owner", "text_hash", (F.col("n") / F.col("times")).cast("long").alias("n"), (F.col("known") / F.col("times")).cast("long").alias("known"), (F.col("score") / F.col("times")).alias("score"))
-    out = keyed.select("doc_id", "owner", "text_hash").join(sums, ["owner", "text_hash"], "left")
-    n = F.coalesce("n", F.lit(0).cast("long"))
-    return out.select("doc_id", n.alias("n_words"), F.coalesce("known", F.lit(0).cast("long")).alias("n_pairs_known"), F.coalesce("score", F.lit(0.0)).alias("log10_score"), (F.col("score") / F.col("n")).alias("mean_log10"))
+    text = F.col(text_col)
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("owner"), text.alias("text"))
+    count = materialise(_counted(keyed, None))
+    start = F.col("key") == int(np.uint64(_START).view(np.int64))
+    total = count.filter(~start).agg(F.sum("c")).first()[0] or 0
+    words = _collected(count.filter(start | (F.col("c") * kept >= total)))
+    hot = words.having(max(1, total / hot_words))
+    pairs = _collected(_counted(keyed, hot).filter(F.col("c") * hot_pairs >= total))
+    octets = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(least_groups, math.ceil(octets / group_bytes))
+    parts = materialise(_scored(_packed(keyed, words, pairs, total, groups, least, alpha), words, total, least, alpha).groupBy("owner", "asked").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("score").alias("score")))
+    late = parts.filter("asked IS NOT NULL").join(count, F.col("asked") == F.col("key")).select("owner", "n", F.lit(0).cast("long").alias("known"), (-F.col("known") * F.log10(F.col("c").cast("double"))).alias("score"))
+    sums = parts.filter("asked IS NULL").select("owner", "n", "known", "score").unionByName(late).groupBy("owner").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("score").alias("score"))
+    copies = keyed.groupBy("owner").agg(F.count("*").alias("times"))  # rows alike in id and text gave the same pairs each
+    each = lambda c: (F.col(c) / F.col("times"))
+    sums = sums.join(copies, "owner").select("owner", each("n").cast("long").alias("n"), each("known").cast("long").alias("known"), each("score").alias("score"))
+    out = keyed.select("doc_id", "owner").join(sums, "owner", "left")
+    zero = F.lit(0).cast("long")
+    return out.select("doc_id", F.coalesce("n", zero).alias("n_words"), F.coalesce("known", zero).alias("n_pairs_known"), F.coalesce("score", F.lit(0.0)).alias("log10_score"), (F.col("score") / F.col("n")).alias("mean_log10"))

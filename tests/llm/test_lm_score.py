@@ -28,12 +28,13 @@ def brute(texts, least=2):
     return out
 
 
-def test_equals_counting(spark):
+@pytest.mark.parametrize("bounds", [{}, {"kept": 50, "hot_words": 20, "hot_pairs": 100, "least_groups": 3}, {"kept": 1, "hot_words": 1, "hot_pairs": 1}, {"least": 3, "kept": 3000, "hot_words": 300, "hot_pairs": 3000}])
+def test_equals_counting(spark, bounds):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     texts += [None, "", " \n", "one", "One one ONE", "a b " * 30_000, texts[0], texts[0].upper()]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n int")
-    got = {r.doc_id: r for r in backoff_scores(df).collect()}
-    for i, (n, known, score) in enumerate(brute(texts)):
+    got = {r.doc_id: r for r in backoff_scores(df, **bounds).collect()}
+    for i, (n, known, score) in enumerate(brute(texts, bounds.get('least', 2))):
         assert (got[i].n_words, got[i].n_pairs_known) == (n, known)
         assert got[i].log10_score == pytest.approx(score, abs=1e-6)
         assert got[i].mean_log10 == (pytest.approx(score / n) if n else None)
