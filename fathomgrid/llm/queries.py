@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .common import table
 from .decontaminate import decontaminate
-from .license_scan import scan_licences
+from .license_scan import TEMPLATES, scan_licences
 from .line_dedup import dedup_lines
 from .lm_score import backoff_scores
 from .packing import pack
@@ -56,6 +56,63 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+#: ASCII white space separates words; a line's place is (doc_id, line).
+OP5_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS body FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+words AS (
+  SELECT doc_id, line, body, list_filter(regexp_split_to_array(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM lines),
+firsts AS (SELECT w, min({'d': doc_id, 'l': line}) AS place FROM words WHERE len(w) >= 3 GROUP BY w),
+variants AS (SELECT w, place, i, list_concat(w[1 : i - 1], w[i + 1 :]) AS v FROM (SELECT w, place, unnest(range(1, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 8)),
+replaced AS (SELECT a.place, b.one FROM variants a JOIN (SELECT v, i, min(place) AS one FROM variants GROUP BY v, i) b ON a.v = b.v AND a.i = b.i WHERE b.one < a.place),
+missing AS (SELECT greatest(a.place, f.place) AS place FROM variants a JOIN firsts f ON a.v = f.w WHERE len(f.w) >= 8 AND a.place <> f.place),
+near AS (SELECT place FROM replaced UNION SELECT place FROM missing),
+marked AS (
+  SELECT doc_id, words.line, body, len(w) >= 3 AND (n.place IS NOT NULL OR f.place <> {'d': doc_id, 'l': words.line}) AS gone, n.place IS NOT NULL AS near
+  FROM words LEFT JOIN firsts f USING (w) LEFT JOIN near n ON n.place = f.place)
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE count(*) END AS n_lines, count(*) FILTER (gone) AS n_dropped, count(*) FILTER (gone AND near) AS n_near,
+       sha256(coalesce(string_agg(body, chr(10) ORDER BY line) FILTER (NOT coalesce(gone, false)), '')) AS text_sha256
+FROM marked JOIN documents USING (doc_id) GROUP BY doc_id, text
+"""
+
+OP9_SQL = r"""
+WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents),
+pairs AS (SELECT doc_id, unnest(list_prepend(chr(10), w[1 : len(w) - 1])) AS v, unnest(w) AS w FROM docs WHERE len(w) > 0),
+one AS (SELECT w, count(*) AS c FROM pairs GROUP BY w UNION ALL SELECT v, count(*) FROM pairs WHERE v = chr(10) GROUP BY v),
+two AS (SELECT v, w, count(*) AS c FROM pairs GROUP BY v, w),
+scored AS (
+  SELECT doc_id, two.c >= 2 AS known, CASE WHEN two.c >= 2 THEN log10(two.c) - log10(a.c) ELSE log10(b.c) + log10(0.4 / (SELECT count(*) FROM pairs)) END AS s
+  FROM pairs JOIN two USING (v, w) JOIN one a ON a.w = pairs.v JOIN one b ON b.w = pairs.w)
+SELECT doc_id, CAST(len(docs.w) AS BIGINT) AS n_words, coalesce(n_known, 0) AS n_pairs_known, round(coalesce(total, 0.0), 4) AS log10_score, round(total / len(docs.w), 6) AS mean_log10
+FROM docs LEFT JOIN (SELECT doc_id, count(*) FILTER (known) AS n_known, sum(s) AS total FROM scored GROUP BY doc_id) USING (doc_id)
+"""
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(label, body.replace("'", "''")) for label, body in sorted(TEMPLATES.items()))
+_LICENCE_WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP10_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, {_LICENCE_WORDS.format("text")} AS w FROM documents),
+templates AS (SELECT label, {_LICENCE_WORDS.format("body")} AS w FROM (VALUES {_TEMPLATE_ROWS}) t(label, body)),
+grams AS (SELECT k, p, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] AS gram FROM (SELECT k, w, unnest(range(len(w) - 2)) AS p FROM docs WHERE len(w) >= 3)),
+marks AS (SELECT label, n, t, w[t + 1] || ' ' || w[t + 2] || ' ' || w[t + 3] AS gram FROM (SELECT label, w, len(w) AS n, unnest(range(len(w) - 2)) AS t FROM templates)),
+hits AS (SELECT DISTINCT k, label, n, t, p - t AS diagonal FROM grams JOIN marks USING (gram)),
+diagonals AS (SELECT k, label, diagonal, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY k, label ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT k, label, diagonal FROM hits)),
+runs AS (SELECT k, label, diagonal, sum(new) OVER (PARTITION BY k, label ORDER BY diagonal) AS run FROM diagonals),
+covered AS (SELECT k, label, run, count(DISTINCT q) AS n_covered FROM (SELECT k, label, run, unnest([t, t + 1, t + 2]) AS q FROM hits JOIN runs USING (k, label, diagonal)) GROUP BY ALL),
+spans AS (SELECT k, label, run, n, min(t + diagonal) AS a, max(t + diagonal) + 2 AS b FROM hits JOIN runs USING (k, label, diagonal) GROUP BY ALL),
+kept AS (SELECT k, regexp_replace(label, '-notice$', '') AS label, n_covered / n AS cover FROM spans JOIN covered USING (k, label, run) WHERE n_covered / n >= 0.6 AND n_covered / (b - a + 1) >= 0.5),
+places AS (
+  SELECT k, p, label FROM (SELECT k, w, unnest(range(len(w))) AS p FROM docs), (VALUES ('mit', ['mit', 'license']), ('apache', ['apache', 'license']), ('gpl', ['general', 'public', 'license'])) x(label, phrase)
+  WHERE w[p + 1 : p + len(phrase)] = phrase),
+base AS (SELECT k, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY k),
+labelled AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT k, label FROM kept UNION SELECT k, label FROM places) GROUP BY k),
+best AS (SELECT k, max(cover) AS cover FROM kept GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE least(coalesce(cover, 0.0), 1.0) END AS score
+FROM docs LEFT JOIN base USING (k) LEFT JOIN labelled USING (k) LEFT JOIN best USING (k)
+"""
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -80,7 +137,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(table(spark, sf_dir, "documents"))
+    return backoff_scores(table(spark, sf_dir, "documents")).withColumns({"log10_score": F.round("log10_score", 4), "mean_log10": F.round("mean_log10", 6)})
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +149,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_lm_score": OP9_SQL, "op10_license_scan": OP10_SQL}
