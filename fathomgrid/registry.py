@@ -16,6 +16,7 @@ from fathomgrid.functions import units as U
 from fathomgrid.operators import aggregates as A
 from fathomgrid.operators import graph as G
 from fathomgrid.operators import joins as J
+from fathomgrid.operators import knowledge as N
 from fathomgrid.operators import parametric as P
 from fathomgrid.operators import ranking as R
 from fathomgrid.operators import relational as L
@@ -669,3 +670,198 @@ def ext_windowed_counts(spark, sf):
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def ext_rollup(spark, sf):
     return load(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count("*").alias("n"))
+
+
+# Knowledge, sources and the rest
+
+
+@query(
+    """WITH t AS (SELECT p_partkey AS axiom_id, p_brand AS implication, p_name AS requirement FROM part WHERE p_partkey < 150)
+SELECT a.implication, a.axiom_id AS a, b.axiom_id AS b, round(1 - levenshtein(lower(a.requirement), lower(b.requirement)) / greatest(len(a.requirement), len(b.requirement)), 6) AS ratio FROM t a JOIN t b ON a.implication = b.implication AND a.axiom_id < b.axiom_id WHERE 1 - levenshtein(lower(a.requirement), lower(b.requirement)) / greatest(len(a.requirement), len(b.requirement)) < 0.6"""
+)
+def c11_axiom_conflicts(spark, sf):
+    axioms = load(spark, sf, "part").filter("p_partkey < 150").select(F.col("p_partkey").alias("axiom_id"), F.col("p_brand").alias("implication"), F.col("p_name").alias("requirement"))
+    return N.axiom_conflicts(axioms).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("SELECT r.p_partkey AS pattern_id, s.s_suppkey AS component_id, 1.0 AS score FROM part r JOIN supplier s ON s.s_name = 'Supplier#' || lpad(CAST(r.p_partkey % 150 AS VARCHAR), 9, '0') WHERE r.p_partkey % 2 = 0 UNION ALL SELECT r.p_partkey, s.s_suppkey, 0.8 FROM part r JOIN supplier s ON s.s_nationkey = r.p_size WHERE r.p_partkey % 2 = 1")
+def c4_role_candidates(spark, sf):
+    even = F.col("p_partkey") % 2 == 0
+    roles = load(spark, sf, "part").select(F.col("p_partkey").alias("pattern_id"), F.lit("r").alias("role"), F.when(even, F.concat(F.lit("Supplier#"), F.lpad((F.col("p_partkey") % 150).cast("string"), 9, "0"))).alias("part"), F.when(~even, F.col("p_size")).alias("category"))
+    parts = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("component_id"), F.col("s_name").alias("part"), F.col("s_nationkey").alias("category"))
+    return N.role_candidates(roles, parts).select("pattern_id", "component_id", "score")
+
+
+@query(
+    """WITH d AS (SELECT c_custkey AS design_id, c_acctbal / 50 - 60 AS t, c_nationkey % 2 = 0 AS single, c_mktsegment AS s FROM customer)
+SELECT design_id, 'temperature_grade' AS rule, 'WARNING' AS severity FROM d WHERE t < -40 UNION ALL SELECT design_id, 'no_negative_rail', 'CRITICAL' FROM d WHERE single AND s = 'BUILDING' UNION ALL SELECT design_id, 'no_bypass', 'WARNING' FROM d WHERE s = 'MACHINERY' UNION ALL SELECT design_id, 'protection:esd', 'WARNING' FROM d WHERE s = 'HOUSEHOLD'"""
+)
+def k19_contradictions(spark, sf):
+    segment = F.col("c_mktsegment")
+    designs = load(spark, sf, "customer").select(
+        F.col("c_custkey").alias("design_id"),
+        (F.col("c_acctbal") / 50 - 60).alias("temp_min_c"),
+        F.when(F.col("c_nationkey") % 2 == 0, "single_dc").alias("supply_topology"),
+        F.array(F.when(segment == "BUILDING", "zero_drift_op_amp").when(segment == "MACHINERY", "low_noise_ldo").otherwise("other")).alias("implications"),
+        F.array(F.lit("plain")).alias("requirements"),
+        F.when(segment == "HOUSEHOLD", F.array(F.lit("esd"))).alias("protections"),
+    )
+    return N.contradictions(designs)
+
+
+@query("SELECT lower(replace(p_brand, '#', '_')) AS source_id, CASE p_size % 3 WHEN 0 THEN 'REQUIRES' ELSE 'USES' END AS relation, lower(p_type) AS target_id FROM part WHERE p_size % 3 < 2 AND p_size / 50.0 >= 0.65")
+def b12_triples(spark, sf):
+    n = F.col("p_size") % 3
+    found = load(spark, sf, "part").select(F.col("p_brand").alias("subject"), F.when(n == 0, " Requires").when(n == 1, "uses").otherwise("eats").alias("verb"), F.col("p_type").alias("object"), (F.col("p_size") / 50.0).alias("confidence"))
+    return N.triples(found).select("source_id", "relation", "target_id")
+
+
+@query("SELECT event_type AS outcome, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 4) AS share FROM events GROUP BY 1")
+def e12_outcome_summary(spark, sf):
+    return N.outcome_summary(load(spark, sf, "events").select(F.col("event_type").alias("outcome")))
+
+
+@query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
+def e9_capped_history(spark, sf):
+    return N.capped_history(load(spark, sf, "events"), 500, "ts", "event_id").select("event_id")
+
+
+@query("SELECT c_nationkey AS design_id, count(*) AS n, min(c_acctbal / 10000) AS lowest FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal / 10000 < 0.85 GROUP BY 1")
+def k18_layout_gate(spark, sf):
+    rows = load(spark, sf, "customer").select(F.col("c_nationkey").alias("design_id"), (F.col("c_mktsegment") == "BUILDING").alias("hard"), (F.col("c_acctbal") / 10000).alias("confidence"))
+    return N.layout_gate(rows)
+
+
+@query("SELECT c_custkey, CASE WHEN c < 0.3 THEN 'BLOCK' WHEN c < 0.7 OR seg = 'BUILDING' THEN 'WARN' ELSE 'PASS' END AS verdict FROM (SELECT c_custkey, c_acctbal / 10000 AS c, c_mktsegment AS seg FROM customer)")
+def k5_verdict(spark, sf):
+    flags = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return load(spark, sf, "customer").select("c_custkey", K.verdict(F.col("c_acctbal") / 10000, flags).alias("verdict"))
+
+
+@query(
+    """WITH r AS (SELECT doc_id, lower(text) AS t FROM documents), h AS (SELECT doc_id, CASE WHEN t LIKE '%tion%' THEN 'a' WHEN t LIKE '%ment%' THEN 'b' WHEN t LIKE '%keit%' THEN 'c' ELSE 'OTHER' END AS kind FROM r) SELECT kind, count(*) AS n FROM h GROUP BY 1"""
+)
+def h11_ordered_classifier(spark, sf):
+    kind = T.first_match(F.col("text"), (("a", "tion"), ("b", "ment"), ("c", "keit")), F.lit("OTHER"))
+    return load(spark, sf, "documents").select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_name || CASE WHEN p_name LIKE '%ring%' AND p_name NOT LIKE '%hoop%' THEN ' hoop' ELSE ' ' END AS expanded FROM part")
+def h1_query_expansion(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", V.expand_query(F.col("p_name"), [["ring", "hoop"]]).alias("expanded"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size * 1000.0 WHEN p_size % 3 = 0 THEN p_size / 1000.0 ELSE CAST(p_size AS DOUBLE) END AS value FROM part")
+def h4_numbers(spark, sf):
+    size = F.col("p_size").cast("string")
+    text = F.when(F.col("p_size") % 2 == 0, F.concat(size, F.lit("k"))).when(F.col("p_size") % 3 == 0, F.concat(size, F.lit(" m"))).otherwise(F.concat(F.lit("about "), size))
+    return load(spark, sf, "part").select("p_partkey", F.round(U.number(text), 6).alias("value"))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 99 END, o_orderkey LIMIT 50")
+def f5_priority_order(spark, sf):
+    rank = F.when(F.col("o_orderpriority") == "1-URGENT", "CRITICAL").when(F.col("o_orderpriority") == "2-HIGH", "HIGH")
+    return load(spark, sf, "orders").orderBy(V.priority_rank(rank), "o_orderkey").limit(50).select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT p_partkey FROM part WHERE p_name LIKE '%red%' OR p_name LIKE '%ring%' ORDER BY (p_name LIKE '%red%')::INT + (p_name LIKE '%ring%')::INT DESC, p_partkey LIMIT 5")
+def f6_goal_match(spark, sf):
+    nodes = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
+    words = [F.when(F.contains("label", F.lit(w)), 1).otherwise(0) for w in ("red", "ring")]
+    hits = words[0] + words[1]
+    return nodes.filter(hits > 0).orderBy(hits.desc(), "id").limit(5).select(F.col("id").alias("p_partkey"))
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY md5(text) ORDER BY source, doc_id) AS r FROM documents) WHERE r = 1")
+def g7_first_wins_dedup(spark, sf):
+    return R.top_n(load(spark, sf, "documents").withColumn("h", F.md5("text")), ["h"], [F.col("source"), F.col("doc_id")], 1).select("doc_id", "source")
+
+
+@query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def g6_set_difference(spark, sf):
+    orders = load(spark, sf, "orders")
+    return orders.filter("o_orderstatus = 'F'").select("o_custkey").exceptAll(orders.filter("o_orderstatus = 'P'").select("o_custkey")).distinct().join(orders.filter("o_orderstatus = 'P'").select("o_custkey"), "o_custkey", "left_anti")
+
+
+@query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def g5_set_intersection(spark, sf):
+    orders = load(spark, sf, "orders")
+    return orders.filter("o_orderstatus = 'F'").select("o_custkey").intersect(orders.filter("o_orderstatus = 'P'").select("o_custkey"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 2")
+def e8_best_per_section(spark, sf):
+    return R.top_n(load(spark, sf, "events"), ["user_id", "event_type"], [F.col("value").desc(), F.col("event_id")], 2).select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT user_id, round(avg(c), 4) AS confidence FROM (SELECT user_id, unnest([value / 100, event_id % 10 / 10.0]) AS c FROM events) GROUP BY 1")
+def d23_values_confidence(spark, sf):
+    rows = load(spark, sf, "events").select("user_id", (F.col("value") / 100).alias("a"), (F.col("event_id") % 10 / 10.0).alias("b"))
+    return A.values_confidence(rows, ["user_id"], ["a", "b"])
+
+
+@query("SELECT count(*) AS n_docs, count(*) FILTER (len(text) > 1000) AS n_long, sum(n_chars)::BIGINT AS n_chars FROM documents")
+def d25_import_totals(spark, sf):
+    return load(spark, sf, "documents").agg(F.count("*").alias("n_docs"), F.count_if(F.length("text") > 1000).alias("n_long"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("SELECT conv_id, string_agg(role || ':' || turn, ',' ORDER BY turn) AS turns FROM conversations WHERE text IS NOT NULL GROUP BY 1")
+def d26_ordered_nested(spark, sf):
+    rows = load(spark, sf, "conversations").filter("text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat_ws(":", x["role"], x["turn"].cast("string"))), ",").alias("turns"))
+
+
+@query("SELECT user_id, CASE WHEN decided IS NULL THEN 'pending' ELSE decided END AS status, CAST(greatest(n - 1, 0) AS BIGINT) AS refused FROM (SELECT user_id, arg_min(event_type, (ts, event_id)) FILTER (event_type IN ('click', 'error')) AS decided, count(*) FILTER (event_type IN ('click', 'error')) AS n FROM events GROUP BY 1)")
+def l4_review_states(spark, sf):
+    from fathomgrid.streaming.review import states
+
+    status = F.when(F.col("event_type").isin("click", "error"), F.col("event_type")).otherwise("pending")
+    log = load(spark, sf, "events").select(F.col("user_id").alias("item_id"), F.lit("d").alias("design_id"), F.lit("s").alias("stage"), status.alias("status"), F.lit("").alias("payload"), F.col("ts").alias("created_at"), F.col("event_id").alias("seq"))
+    return states(log).select(F.col("item_id").alias("user_id"), "status", "refused")
+
+
+@query("SELECT c_custkey AS item FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def j8_missing_to_review(spark, sf):
+    from fathomgrid.streaming.review import missing_to_queue
+
+    wanted = load(spark, sf, "customer").select(F.lit("d").alias("design_id"), F.col("c_custkey").alias("component_type"))
+    found = load(spark, sf, "orders").filter("o_totalprice > 200000").select(F.lit("d").alias("design_id"), F.col("o_custkey").alias("component_type"))
+    return missing_to_queue(wanted, found, "2024-01-01 00:00:00").select(F.col("payload").alias("item"))
+
+
+@query()
+def a20_html_tables(spark, sf):
+    from fathomgrid.sources.readers import html_cells
+
+    return html_cells(load(spark, sf, "pages"), "page_id", "html")
+
+
+@query()
+def e5_continuations(spark, sf):
+    tables = load(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").cast("int").alias("page"), F.lit(0).alias("pos"), (F.col("event_id") % 3).cast("int").alias("n_cols"), F.array("event_type").alias("header"))
+    return R.continuations(tables)
+
+
+@query()
+def g8_box_suppression(spark, sf):
+    box = load(spark, sf, "events").select("user_id", F.col("event_id").alias("box_id"), (F.col("value") % 50).alias("x0"), (F.col("event_id") % 40).cast("double").alias("y0"), F.col("value").alias("confidence"))
+    return J.keep_best_boxes(box.withColumns({"x1": F.col("x0") + 20, "y1": F.col("y0") + 20}), ["user_id"])
+
+
+@query()
+def l1_annealing(spark, sf):
+    from fathomgrid.operators.search import anneal, qualities
+
+    return qualities(anneal(_netlists(spark, sf)))
+
+
+@query()
+def l2_beam_search(spark, sf):
+    from fathomgrid.operators.search import beam, qualities
+
+    return qualities(beam(_netlists(spark, sf)))
+
+
+def _netlists(spark, sf) -> DataFrame:
+    role = F.when(F.col("event_type") == "error", "NC").when(F.col("event_type") == "click", "POWER_OUT").when(F.col("event_type") == "view", "SIGNAL_OUT")
+    return load(spark, sf, "events").select(F.col("user_id").cast("string").alias("design_id"), F.concat(F.lit("N"), (F.col("event_id") % 20).cast("string")).alias("net"), F.concat(F.lit("U"), (F.col("event_id") % 7).cast("string")).alias("ref"), F.col("event_id").cast("string").alias("pin"), role.alias("role"))

@@ -219,3 +219,27 @@ def test_interval_and_verdict(spark):
     assert rows(K.interval_conflicts(df), "design_id", "conflicts") == [("a", ["voltage_chain"]), ("b", ["power_budget"]), ("c", [])]
     v = spark.createDataFrame([(0.2, []), (0.6, []), (0.9, ["x"]), (0.9, [])], "c double, f array<string>")
     assert [r.x for r in v.select(K.verdict(F.col("c"), F.col("f")).alias("x")).collect()] == ["BLOCK", "WARN", "WARN", "PASS"]
+
+
+def test_knowledge(spark, tmp_path):
+    from fathomgrid.operators import knowledge as W
+
+    nodes, edges = W.topology_graph(spark)
+    assert nodes.filter("node_type = 'TOPOLOGY'").count() == 2 and edges.count() == nodes.count() - 2
+    boards = W.board_of(spark.createDataFrame([("a", "RF_highfreq"), ("b", "unheard")], "design_id string, methodology string"), spark)
+    assert rows(boards, "design_id", "layers", "material") == [("a", 4, "Rogers_4003C"), ("b", 2, "FR4")]
+    rules = spark.createDataFrame([("C1", "U1", "near", 0.9), ("", "U1", "near", 0.9), ("C2", "U1", "near", 0.1)], "subject string, target string, kind string, confidence double")
+    made, links = W.placement_graph(rules, spark.createDataFrame([("u1",)], "id string"))
+    assert rows(made, "node_type") == [("COMPONENT_TYPE",), ("PLACEMENT_RULE",)] and rows(links, "source_id", "relation") == [("c1", "GOVERNED_BY")]
+    intents = spark.createDataFrame([("d", None, (5.0, None), None)], "design_id string, scope string, electrical struct<vin:double,vout:double>, thermal struct<t:double>")
+    made = W.constraint_nodes(intents, {"electrical": "electrical", "thermal": "thermal"})
+    assert rows(made, "id") == [("constraint:d:electrical:global",)] and made.first().properties == {"vin": "5.0"}
+    phases = spark.createDataFrame([("r", p, i) for i, p in enumerate("abc")], "run_id string, phase string, pos int")
+    assert rows(W.phases_to_run(phases, spark.createDataFrame([("r", "a"), ("r", "c")], "run_id string, phase string")), "phase") == [("b",), ("c",)]
+    labels = spark.createDataFrame([("3.3 V",), ("buck converter",), ("coil",)], "t string")
+    assert [r.x for r in labels.select(W.node_kind(F.col("t")).alias("x")).collect()] == ["PROPERTY", "DESIGN_PATTERN", "COMPONENT_TYPE"]
+    head = spark.createDataFrame([("TPS62933 in SOT-23-5, 3.8V to 30V",)], "t string").select(W.header_fields(F.col("t")).alias("h")).first().h
+    assert (head.part, head.package, head.supply) == ("TPS62933", "SOT-23-5", "3.8V to 30V")
+    (tmp_path / "g.graphml").write_text('<graphml><graph><node id="a"><data key="k">{"x": "1"}</data></node><node id="b"><data key="k">oops</data></node><edge source="a" target="b"><data key="k">{"w": "2"}</data></edge></graph></graphml>')
+    assert rows(W.graphml(spark, str(tmp_path), "node").select("id", F.try_element_at("properties", F.lit("x")).alias("x")), "id", "x") == [("a", "1"), ("b", None)]
+    assert rows(W.graphml(spark, str(tmp_path), "edge"), "source", "target") == [("a", "b")]
