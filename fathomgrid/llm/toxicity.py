@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, mined: int
         times = np.append(np.ones(size, int), 10 * size)
     post, theta, discount = label_model(votes, times, anchor)
     trust = (np.log(theta[1, 2]) - np.log(theta[0, 2])) * discount
-    blank.weights, blank.bias = _linear(votes, times, post, np.clip(trust[:size], 0, 4))
+    blank.weights, blank.bias = _linear(votes, times, np.maximum(post, 0.01), np.clip(trust[:size], 0, 4))  # no text is surely clean
     return blank
 
 
