@@ -21,7 +21,9 @@ thousand documents, which takes about a third of the space of a row for each pai
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,10 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 _START = xxhash.xxh64_intdigest(b"\n")  # what stands before the first word; no word holds white space
-_FLUSH_PAIRS, _FLUSH_DOCS = 1_500_000, 30_000
+_FLUSH_PAIRS, _FLUSH_DOCS = 1_000_000, 30_000
 
-_PACKED = "p int, owner array<long>, v array<long>, times array<int>, w array<long>, doc array<short>, n array<int>, words array<int>, known array<int>, score array<double>"
+_PACKED = "p int, owner array<long>, v array<long>, times array<int>, w array<long>, kept array<int>, doc array<short>, n array<int>, words array<int>, known array<int>, score array<double>"
+_TURNS = 4  # a partition is scored in so many turns, each with a part of its pairs
 _OUT = "owner long, asked long, n long, known long, score double"
 
 
@@ -42,7 +45,7 @@ class Hasher(dict):
     """Word -> hash, cleared when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -50,7 +53,7 @@ class Hasher(dict):
     def words(self, text: str | None) -> np.ndarray:
         """The start mark and the words of a text; empty without words."""
         split = text.encode().lower().split() if text else []
-        return np.array([_START, *map(self.__getitem__, split)] if split else [], np.uint64)
+        return np.fromiter(chain((_START,), map(self.__getitem__, split)), np.uint64, len(split) + 1) if split else np.array([], np.uint64)
 
 
 class Table:
@@ -60,11 +63,16 @@ class Table:
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order]
 
-    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where the keys stand, -1 for those that don't."""
         if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
+            return np.full(len(keys), -1)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.find(keys)
+        return np.where(at >= 0, self.counts[at], 0) if len(self.keys) else np.zeros(len(keys), np.int64)
 
     def having(self, least: float) -> Table:
         keep = self.counts >= least
@@ -77,6 +85,11 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _route(key: np.ndarray, w: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """What deals a pair: its key if the count of its second word is known, else that word."""
+    return np.where(kept >= 0, key, pair_key(w, w))
+
+
 def _totals(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sum of ``n`` (or their number) for each."""
     if not len(keys):
@@ -90,28 +103,44 @@ def _totals(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
 def _counted(docs: DataFrame, hot: Table | None) -> DataFrame:
     """``key, c``: words, or with ``hot`` the pairs of hot words, counted over all documents."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(), [], 0
+    def rows(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["key", "c"])
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, starts = Counter(), 0
 
         def flush() -> pa.RecordBatch:
-            keys, sums = _totals(np.concatenate(held) if held else np.array([], np.uint64))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["key", "c"])
+            keys = np.fromiter(chain((_START,), map(xxhash.xxh64_intdigest, seen)), np.uint64, len(seen) + 1)
+            return rows(keys, np.fromiter(chain((starts,), seen.values()), np.int64, len(seen) + 1))
 
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                split = text.encode().lower().split() if text else []
+                starts += bool(split)
+                seen.update(split)
+                if len(seen) > 400_000:
+                    yield flush()
+                    seen.clear()
+                    starts = 0
+        if seen:
+            yield flush()
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = Hasher(), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 h = hasher.words(text)
-                if hot is not None and len(h):
-                    known = hot[h] > 0
-                    both = known[1:] & known[:-1]
-                    h = pair_key(h[:-1][both], h[1:][both])
-                held.append(h)
-                size += len(h)
+                known = hot[h] > 0
+                both = known[1:] & known[:-1]
+                held.append(pair_key(h[:-1][both], h[1:][both]))
+                size += len(held[-1])
                 if size > 2 * _FLUSH_PAIRS:
-                    yield flush()
-                    size = 0
-        yield flush()
+                    yield rows(*_totals(np.concatenate(held)))
+                    held, size = [], 0
+        if size:
+            yield rows(*_totals(np.concatenate(held)))
 
+    count = count_words if hot is None else count_pairs
     return docs.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
@@ -134,24 +163,29 @@ def _packed(docs: DataFrame, words: Table, pairs: Table, total: int, groups: int
 
         def flush() -> Iterator[pa.RecordBatch]:
             doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-            v, w, n = (np.concatenate([x[i] for x in held]) for i in range(3))
-            own, key = np.array(owners, np.int64), pair_key(v, w)
-            c = pairs[key]
-            here = c > 0  # a hot pair; its words are hot too
-            known = here & (c >= least)
-            part = np.where(known, n * (_log(c) - _log(words[v])), n * (_log(words[w]) + per_word))
-            sums = [np.bincount(doc[m], x[m], minlength=len(own)) for m, x in ((here, n), (known, n), (here, part))]
+            key, v, w, n = (np.concatenate([x[i] for x in held]) for i in range(4))
+            own, c = np.array(owners, np.int64), pairs[key]
+            here = np.flatnonzero(c)  # hot pairs; their words are hot too
+            known = c[here] >= least
+            part = n[here] * np.where(known, _log(c[here]) - _log(words[v[here]]), _log(words[w[here]]) + per_word)
+            sums = [np.bincount(doc[at], x, minlength=len(own)) for at, x in ((here, n[here]), (here[known], n[here[known]]), (here, part))]
             yield row(groups + int(doc.size % 8), own, scored=sums)
-            p = (np.where(words[w] > 0, key, pair_key(w, w)) % np.uint64(groups)).astype(np.int32)
-            rest = np.flatnonzero(~here)
-            rest = rest[np.lexsort((v[rest], p[rest]))]
-            ends = np.searchsorted(p[rest], np.arange(groups + 1))
+            rest = np.flatnonzero(c == 0)
+            kept = words.find(w[rest])
+            p = _route(key[rest], w[rest], kept) % np.uint64(groups)
+            order = np.argsort(p << np.uint64(40) | v[rest] >> np.uint64(24))  # by partition, equal first words together
+            rest, p, kept = rest[order], p[order], kept[order]
+            ends = np.searchsorted(p, np.arange(groups + 1, dtype=np.uint64))
             for g in range(groups):
-                at = rest[ends[g] : ends[g + 1]]
-                if len(at):
-                    docs_here, local = np.unique(doc[at], return_inverse=True)
-                    first = np.flatnonzero(np.concatenate([[True], v[at][1:] != v[at][:-1]]))
-                    yield row(g, own[docs_here], (v[at][first], np.diff(first, append=len(at)), w[at], local, n[at]))
+                here = slice(ends[g], ends[g + 1])
+                for some in (kept[here] >= 0, kept[here] < 0):
+                    at = rest[here][some]
+                    if len(at):
+                        present = np.zeros(len(own), bool)
+                        present[doc[at]] = True
+                        first = np.flatnonzero(np.concatenate([[True], v[at][1:] != v[at][:-1]]))
+                        w_of = (None, kept[here][some]) if kept[here][some][0] >= 0 else (w[at], None)
+                        yield row(g, own[present], (v[at][first], np.diff(first, append=len(at)), *w_of, (np.cumsum(present) - 1)[doc[at]], n[at]))
             owners.clear()
             held.clear()
 
@@ -160,11 +194,9 @@ def _packed(docs: DataFrame, words: Table, pairs: Table, total: int, groups: int
                 h = hasher.words(text)
                 if not len(h):
                     continue
-                order = np.lexsort((h[1:], h[:-1]))
-                v, w = h[:-1][order], h[1:][order]
-                first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+                key, first, n = np.unique(pair_key(h[:-1], h[1:]), return_index=True, return_counts=True)
                 owners.append(owner)
-                held.append((v[first], w[first], np.diff(first, append=len(v))))
+                held.append((key, h[first], h[first + 1], n))
                 size += len(first)
                 if size > _FLUSH_PAIRS or len(held) >= _FLUSH_DOCS:
                     yield from flush()
@@ -173,55 +205,72 @@ def _packed(docs: DataFrame, words: Table, pairs: Table, total: int, groups: int
             yield from flush()
 
     def row(p: int, owner: np.ndarray, packed: tuple = (), scored: tuple | list = ()) -> pa.RecordBatch:
-        kinds = (np.int64, np.int32, np.int64, np.int16, np.int32)
-        arrays = [x.view(t) if t == np.int64 else x.astype(t) for x, t in zip(packed, kinds, strict=True)] if len(packed) else [None] * 5
+        kinds = (np.int64, np.int32, np.int64, np.int32, np.int16, np.int32)
+        arrays = [x if x is None else x.view(t) if t == np.int64 else x.astype(t) for x, t in zip(packed, kinds, strict=True)] if len(packed) else [None] * 6
         arrays += [x.astype(t) for x, t in zip(scored, (np.int32, np.int32, np.float64), strict=True)] if len(scored) else [None] * 3
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int16(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int16(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
         lists = [pa.array([x], pa.list_(t)) for x, t in zip([owner, *arrays], types, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *lists], names=[x.split()[0] for x in _PACKED.split(", ")])
 
     return docs.select("owner", "text").mapInArrow(emit, _PACKED)
 
 
-def _scored(packed: DataFrame, words: Table, total: int, least: int, alpha: float) -> DataFrame:
+def _scored(packed: DataFrame, words: Table, total: int, groups: int, least: int, alpha: float) -> DataFrame:
     """``owner, asked, n, known, score``: parts of documents' sums; ``asked`` is a word whose logarithm is still to be taken off ``known`` times."""
     sent = packed.sparkSession.sparkContext.broadcast(words)
     per_word = math.log10(alpha / max(total, 1))
 
     def score(group: pa.Table) -> pa.Table:
-        words, out = sent.value, []
-        col = lambda name: [x.values.to_numpy(zero_copy_only=False) for x in group.column(name) if x.is_valid]
-        join = lambda parts, t: np.concatenate(parts) if parts else np.array([], t)
-        direct = np.array([x.is_valid for x in group.column("score")], bool)
-        owners = [x.values.to_numpy(zero_copy_only=False) for x in group.column("owner")]
-        if direct.any():
-            own = np.concatenate([o for o, d in zip(owners, direct, strict=True) if d])
-            out.append((own, None, join(col("words"), np.int32), join(col("known"), np.int32), join(col("score"), np.float64)))
-        owners = [o for o, d in zip(owners, direct, strict=True) if not d]
-        if owners:
-            base = np.cumsum([0, *map(len, owners)])
-            own = np.concatenate(owners)
-            doc = np.concatenate([d.astype(np.int64) + b for d, b in zip(col("doc"), base, strict=False)])
-            v = np.repeat(join(col("v"), np.int64), join(col("times"), np.int32)).view(np.uint64)
-            w, n = join(col("w"), np.int64).view(np.uint64), join(col("n"), np.int32).astype(np.int64)
-            c = _spread(pair_key(v, w), n)
-            cw = words[w]
-            rare = cw == 0  # all of the word's pairs are here
-            if rare.any():
-                cw[rare] = _spread(w[rare], n[rare])
-            cv, known = words[v], c >= least
-            part = np.where(known, n * (_log(c) - _log(cv)), n * (_log(cw) + per_word))
-            size = len(own)
-            out.append((own, None, np.bincount(doc, n, size), np.bincount(doc[known], n[known], size), np.bincount(doc, part, size)))
+        return _score_group(group, sent.value, groups, least, per_word)
+
+    return packed.repartition(math.ceil(groups / 4), "p").groupBy("p").applyInArrow(score, _OUT)
+
+
+def _score_group(group: pa.Table, words: Table, groups: int, least: int, per_word: float) -> pa.Table:
+    out = []
+    col = lambda name: [x.values.to_numpy(zero_copy_only=False) for x in group.column(name) if x.is_valid]
+    join = lambda parts, t: np.concatenate(parts) if parts else np.array([], t)
+    direct = np.array([x.is_valid for x in group.column("score")], bool)
+    owners = [x.values.to_numpy(zero_copy_only=False) for x in group.column("owner")]
+    if direct.any():
+        own = np.concatenate([o for o, d in zip(owners, direct, strict=True) if d])
+        out.append((own, None, join(col("words"), np.int32), join(col("known"), np.int32), join(col("score"), np.float64)))
+    owners = [o for o, d in zip(owners, direct, strict=True) if not d]
+    if owners:
+        base = np.cumsum([0, *map(len, owners)])
+        own, size = np.concatenate(owners), int(base[-1])
+        doc = np.concatenate([d.astype(np.int32) + np.int32(b) for d, b in zip(col("doc"), base, strict=False)])
+        v = np.repeat(join(col("v"), np.int64), join(col("times"), np.int32)).view(np.uint64)
+        n, kept, w = join(col("n"), np.int32), [], []
+        for x, i in zip(group.column("w"), group.column("kept"), strict=True):
+            if i.is_valid:
+                kept.append(i.values.to_numpy(zero_copy_only=False))
+                w.append(words.keys[kept[-1]])
+            elif x.is_valid:
+                w.append(x.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                kept.append(np.full(len(w[-1]), -1, np.int32))
+        kept, w = np.concatenate(kept), np.concatenate(w)
+        turn = (_route(pair_key(v, w), w, kept) // np.uint64(groups) % np.uint64(_TURNS)).astype(np.int8)
+        sums = np.zeros((3, size))
+        for t in range(_TURNS):
+            at = np.flatnonzero(turn == t)
+            v_t, w_t, n_t, doc_t = v[at], w[at], n[at].astype(np.int64), doc[at]
+            c = _spread(pair_key(v_t, w_t), n_t)
+            rare = kept[at] < 0  # all of the word's pairs are here
+            cw = np.empty(len(at), np.int64)
+            cw[~rare] = words.counts[kept[at][~rare]]
+            cw[rare] = _spread(w_t[rare], n_t[rare])
+            cv, known = words[v_t], c >= least
+            part = np.where(known, n_t * (_log(c) - _log(cv)), n_t * (_log(cw) + per_word))
+            sums += np.stack([np.bincount(doc_t, n_t, size), np.bincount(doc_t[known], n_t[known], size), np.bincount(doc_t, part, size)])
             ask = np.flatnonzero(known & (cv == 0))
-            out.append((own[doc[ask]], v[ask].view(np.int64), np.zeros(len(ask)), n[ask], np.zeros(len(ask))))
-        tables = [
-            pa.table({"owner": pa.array(o), "asked": pa.nulls(len(o), pa.int64()) if a is None else pa.array(a), "n": pa.array(np.asarray(n, np.int64)), "known": pa.array(np.asarray(k, np.int64)), "score": pa.array(np.asarray(s, np.float64))})
-            for o, a, n, k, s in out
-        ]
-        return pa.concat_tables(tables)
-
-    return packed.groupBy("p").applyInArrow(score, _OUT)
+            out.append((own[doc_t[ask]], v_t[ask].view(np.int64), np.zeros(len(ask)), n_t[ask], np.zeros(len(ask))))
+        out.append((own, None, *sums))
+    tables = [
+        pa.table({"owner": pa.array(o), "asked": pa.nulls(len(o), pa.int64()) if a is None else pa.array(a), "n": pa.array(np.asarray(n, np.int64)), "known": pa.array(np.asarray(k, np.int64)), "score": pa.array(np.asarray(s, np.float64))})
+        for o, a, n, k, s in out
+    ]
+    return pa.concat_tables(tables)
 
 
 def _spread(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -235,7 +284,7 @@ def _spread(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def backoff_scores(
-    docs: DataFrame, least: int = 2, alpha: float = 0.4, kept: int = 2**20, hot_words: int = 2**12, hot_pairs: int = 2**16, group_bytes: int = 24_000_000, least_groups: int = 32, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, least: int = 2, alpha: float = 0.4, kept: int = 2**20, hot_words: int = 2**12, hot_pairs: int = 2**16, group_bytes: int = 12_000_000, least_groups: int = 32, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, n_pairs_known, log10_score, mean_log10.
 
@@ -258,7 +307,7 @@ def backoff_scores(
     pairs = _collected(_counted(keyed, hot).filter(F.col("c") * hot_pairs >= total))
     octets = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(least_groups, math.ceil(octets / group_bytes))
-    parts = materialise(_scored(_packed(keyed, words, pairs, total, groups, least, alpha), words, total, least, alpha).groupBy("owner", "asked").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("score").alias("score")))
+    parts = materialise(_scored(_packed(keyed, words, pairs, total, groups, least, alpha), words, total, groups, least, alpha).groupBy("owner", "asked").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("score").alias("score")))
     late = parts.filter("asked IS NOT NULL").join(count, F.col("asked") == F.col("key")).select("owner", "n", F.lit(0).cast("long").alias("known"), (-F.col("known") * F.log10(F.col("c").cast("double"))).alias("score"))
     sums = parts.filter("asked IS NULL").select("owner", "n", "known", "score").unionByName(late).groupBy("owner").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("score").alias("score"))
     copies = keyed.groupBy("owner").agg(F.count("*").alias("times"))  # rows alike in id and text gave the same pairs each
