@@ -116,3 +116,22 @@ def values_confidence(rows: DataFrame, keys: Sequence[str], columns: Sequence[st
     """Mean of all the confidences in several columns, nulls apart."""
     long = rows.select(*keys, F.explode(F.array(*columns)).alias("_c"))
     return long.groupBy(*keys).agg(F.round(F.avg("_c"), 4).alias("confidence"))
+
+
+def extraction_confidence(method: Column, grids: Column, fields: Column) -> Column:
+    """Four parts the method's base confidence, three the grids', three the share of fields found."""
+    return clamp(method * 0.4 + grids * 0.3 + fields * 0.3)
+
+
+def mean_of_both(components: DataFrame, nets: DataFrame, design: str = "design_id", value: str = "confidence") -> DataFrame:
+    """Mean over a design's components and nets together."""
+    return components.select(design, value).unionByName(nets.select(design, value)).groupBy(design).agg(F.round(F.avg(value), 4).alias(value))
+
+
+def merged_grids(grids: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Mean confidence, the first section that isn't OTHER, and whether any grid came from a model.
+
+    ``grids`` has ``confidence, section, from_model`` and the order column.
+    """
+    first = F.min_by("section", F.when(F.col("section") != "OTHER", F.col(order)))
+    return grids.groupBy(*keys).agg(F.round(F.avg("confidence"), 4).alias("confidence"), F.coalesce(first, F.lit("OTHER")).alias("section"), F.bool_or("from_model").alias("from_model"))

@@ -220,3 +220,22 @@ def check_constraints(rows: DataFrame, checks: dict[str, Column], key: str) -> D
     """``check, key`` of rows for which a named condition doesn't hold; null counts as holding."""
     broken = F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in checks.items())))
     return rows.select(F.col(key), F.explode(broken).alias("check"))
+
+
+def out_of_range(parameters: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Parameters ``name, value_min, value_typ, value_max`` with a value outside the first range whose pattern the name contains.
+
+    ``ranges(pos, pattern, low, high)`` is a short list of settings.
+    """
+    hit = parameters.join(F.broadcast(ranges), F.contains(F.lower("name"), F.lower("pattern")))
+    keys = parameters.columns
+    first = hit.groupBy(*keys).agg(F.min_by(F.struct("low", "high"), "pos").alias("r"))
+    values = F.array_compact(F.array("value_min", "value_typ", "value_max"))
+    return first.filter(F.exists(values, lambda v: (v < F.col("r.low")) | (v > F.col("r.high")))).select(*keys, "r.low", "r.high")
+
+
+def placement_problems(constraints: DataFrame) -> DataFrame:
+    """Constraints without a subject or of a confidence under 0.65."""
+    blank = F.coalesce(F.trim("subject"), F.lit("")) == ""
+    problem = F.when(blank, "no_subject").when(F.coalesce(F.col("confidence") < 0.65, F.lit(True)), "low_confidence")
+    return constraints.withColumn("problem", problem).filter("problem IS NOT NULL")

@@ -243,3 +243,16 @@ def test_knowledge(spark, tmp_path):
     (tmp_path / "g.graphml").write_text('<graphml><graph><node id="a"><data key="k">{"x": "1"}</data></node><node id="b"><data key="k">oops</data></node><edge source="a" target="b"><data key="k">{"w": "2"}</data></edge></graph></graphml>')
     assert rows(W.graphml(spark, str(tmp_path), "node").select("id", F.try_element_at("properties", F.lit("x")).alias("x")), "id", "x") == [("a", "1"), ("b", None)]
     assert rows(W.graphml(spark, str(tmp_path), "edge"), "source", "target") == [("a", "b")]
+
+
+def test_grids_and_ranges(spark):
+    g = spark.createDataFrame([("t", 2, 0.5, "PINOUT", False), ("t", 1, 1.0, "OTHER", True), ("t", 3, 0.9, "TIMING", False)], "k string, pos int, confidence double, section string, from_model boolean")
+    assert rows(A.merged_grids(g, ["k"], "pos"), "confidence", "section", "from_model") == [(0.8, "PINOUT", True)]
+    a = spark.createDataFrame([("d", 0.5)], "design_id string, confidence double")
+    assert rows(A.mean_of_both(a, a.withColumn("confidence", F.lit(1.0))), "confidence") == [(0.75,)]
+    assert [round(r.x, 3) for r in a.select(A.extraction_confidence(F.lit(0.97), F.lit(0.95), F.lit(0.88)).alias("x")).collect()] == [0.937]
+    p = spark.createDataFrame([("Supply Voltage", None, 99.0, None), ("supply current", 1.0, None, None), ("gain", 1e9, None, None)], "name string, value_min double, value_typ double, value_max double")
+    r = spark.createDataFrame([(1, "supply voltage", 0.0, 60.0), (2, "supply", 0.0, 5.0)], "pos int, pattern string, low double, high double")
+    assert rows(K.out_of_range(p, r), "name", "high") == [("Supply Voltage", 60.0)]
+    c = spark.createDataFrame([("C1", 0.9), (" ", 0.9), ("C2", 0.2)], "subject string, confidence double")
+    assert rows(K.placement_problems(c), "problem") == [("low_confidence",), ("no_subject",)]

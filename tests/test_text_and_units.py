@@ -48,3 +48,11 @@ def test_small_functions(spark):
     df = spark.createDataFrame([("kitten", "sitting", {"v": "3.3 V", "t": ""}, "a 3.3V part")], "a string, b string, m map<string,string>, q string")
     r = df.select(T.ratio(F.col("a"), F.col("b")).alias("r"), T.matching_properties(F.col("m"), F.col("q")).alias("k")).first()
     assert r.r == pytest.approx(1 - 3 / 7) and r.k == ["v"]
+
+
+def test_goals_and_roles(spark):
+    assert each(spark, ["a_3_3v_ldo", "a_2_4ghz_patch", "the", "buck", "low-noise_preamp_for_the", "build_a_very_long_goal_name_here"], T.clean_goal) == ["ldo_regulator", "patch_antenna", "unknown", "buck_converter", "low_noise_preamp", "very_long_goal_name"]
+    assert each(spark, ["POWER_GROUND", "GPIO", "odd"], T.role) == ["GROUND", "BIDIRECTIONAL", None]
+    df = spark.createDataFrame([(["spi1_sck", "MOSI", "led"],)], "n array<string>")
+    got = df.select(T.alternate_functions(F.col("n"), {"MOSI": "SPI_DATA_IN"}).alias("x")).first().x
+    assert [tuple(g) for g in got] == [("spi1_sck", "SPI1"), ("SPI_DATA_IN", None), ("led", None)]
