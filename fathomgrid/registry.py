@@ -829,11 +829,25 @@ def j8_missing_to_review(spark, sf):
     return missing_to_queue(wanted, found, "2024-01-01 00:00:00").select(F.col("payload").alias("item"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT page_id, regexp_replace(url, '[^a-z0-9]', 'x', 'g') AS u, CAST(length(html) AS VARCHAR) AS n FROM pages)
+SELECT page_id AS grid_id, 0 AS row, 0 AS col, 'Page' AS text, true AS is_header, 2 AS rowspan, 1 AS colspan FROM p UNION ALL SELECT page_id, 0, 1, u, false, 1, 1 FROM p UNION ALL SELECT page_id, 1, 1, n, false, 1, 1 FROM p"""
+)
 def a20_html_tables(spark, sf):
     from fathomgrid.sources.readers import html_cells
 
-    return html_cells(load(spark, sf, "pages"), "page_id", "html")
+    made = F.concat(F.lit('<table><tr><th rowspan="2">Page</th><td> '), F.regexp_replace("url", "[^a-z0-9]", "x"), F.lit("</td></tr>\n<tr><td>"), F.length("html").cast("string"), F.lit("</td></tr></table>"))
+    return html_cells(load(spark, sf, "pages").select("page_id", made.alias("made")), "page_id", "made")
+
+
+@query(
+    """SELECT doc_id AS grid_id, 0 AS row, 0 AS col, 'id' AS text, true AS is_header FROM documents UNION ALL SELECT doc_id, 0, 1, 'n', true FROM documents UNION ALL SELECT doc_id, 1, 0, source, false FROM documents UNION ALL SELECT doc_id, 1, 1, CAST(n_chars AS VARCHAR), false FROM documents"""
+)
+def a19_markdown_tables(spark, sf):
+    from fathomgrid.sources.readers import markdown_cells
+
+    made = F.concat(F.lit("head\n| id | n |\n|---|---|\n| "), "source", F.lit(" | "), F.col("n_chars").cast("string"), F.lit(" |\ntail"))
+    return markdown_cells(load(spark, sf, "documents").select("doc_id", made.alias("made")), "doc_id", "made")
 
 
 @query()
