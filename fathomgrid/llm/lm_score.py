@@ -36,9 +36,9 @@ from .common import materialise
 _START = xxhash.xxh64_intdigest(b"\n")  # what stands before the first word; no word holds white space
 _FLUSH_PAIRS, _FLUSH_DOCS = 1_000_000, 30_000
 
-_PACKED = "p int, owner array<long>, v array<long>, times array<int>, w array<long>, kept array<int>, doc array<short>, n array<int>, words array<int>, known array<int>, score array<double>"
+_PACKED = "p int, flush long, owner array<long>, v array<long>, times array<int>, w array<long>, kept array<int>, doc array<short>, n array<int>, words array<int>, known array<int>, score array<double>"
 _TURNS = 4  # a partition is scored in so many turns, each with a part of its pairs
-_OUT = "owner long, asked long, n long, known long, score double"
+_OUT = "flush long, doc int, owner long, asked long, n long, known long, score double"
 
 
 class Hasher(dict):
@@ -165,11 +165,12 @@ def _packed(docs: DataFrame, words: Table, pairs: Table, total: int, groups: int
             doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
             key, v, w, n = (np.concatenate([x[i] for x in held]) for i in range(4))
             own, c = np.array(owners, np.int64), pairs[key]
+            name = int(np.int64(xxhash.xxh64_intdigest(own.tobytes()) >> 1))  # of these documents, whose numbers below are their places
             here = np.flatnonzero(c)  # hot pairs; their words are hot too
             known = c[here] >= least
             part = n[here] * np.where(known, _log(c[here]) - _log(words[v[here]]), _log(words[w[here]]) + per_word)
             sums = [np.bincount(doc[at], x, minlength=len(own)) for at, x in ((here, n[here]), (here[known], n[here[known]]), (here, part))]
-            yield row(groups + int(doc.size % 8), own, scored=sums)
+            yield row(groups + int(doc.size % 8), name, own, scored=sums)
             rest = np.flatnonzero(c == 0)
             kept = words.find(w[rest])
             p = _route(key[rest], w[rest], kept) % np.uint64(groups)
@@ -181,11 +182,9 @@ def _packed(docs: DataFrame, words: Table, pairs: Table, total: int, groups: int
                 for some in (kept[here] >= 0, kept[here] < 0):
                     at = rest[here][some]
                     if len(at):
-                        present = np.zeros(len(own), bool)
-                        present[doc[at]] = True
                         first = np.flatnonzero(np.concatenate([[True], v[at][1:] != v[at][:-1]]))
                         w_of = (None, kept[here][some]) if kept[here][some][0] >= 0 else (w[at], None)
-                        yield row(g, own[present], (v[at][first], np.diff(first, append=len(at)), *w_of, (np.cumsum(present) - 1)[doc[at]], n[at]))
+                        yield row(g, name, None, (v[at][first], np.diff(first, append=len(at)), *w_of, doc[at], n[at]))
             owners.clear()
             held.clear()
 
@@ -204,19 +203,19 @@ def _packed(docs: DataFrame, words: Table, pairs: Table, total: int, groups: int
         if held:
             yield from flush()
 
-    def row(p: int, owner: np.ndarray, packed: tuple = (), scored: tuple | list = ()) -> pa.RecordBatch:
+    def row(p: int, flush: int, owner: np.ndarray | None, packed: tuple = (), scored: tuple | list = ()) -> pa.RecordBatch:
         kinds = (np.int64, np.int32, np.int64, np.int32, np.int16, np.int32)
         arrays = [x if x is None else x.view(t) if t == np.int64 else x.astype(t) for x, t in zip(packed, kinds, strict=True)] if len(packed) else [None] * 6
         arrays += [x.astype(t) for x, t in zip(scored, (np.int32, np.int32, np.float64), strict=True)] if len(scored) else [None] * 3
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int16(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
         lists = [pa.array([x], pa.list_(t)) for x, t in zip([owner, *arrays], types, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *lists], names=[x.split()[0] for x in _PACKED.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([flush], pa.int64()), *lists], names=[x.split()[0] for x in _PACKED.split(", ")])
 
     return docs.select("owner", "text").mapInArrow(emit, _PACKED)
 
 
 def _scored(packed: DataFrame, words: Table, total: int, groups: int, least: int, alpha: float) -> DataFrame:
-    """``owner, asked, n, known, score``: parts of documents' sums; ``asked`` is a word whose logarithm is still to be taken off ``known`` times."""
+    """``flush, doc, owner, asked, n, known, score``: parts of the sums of a flush's documents, one part with the owner; ``asked`` is a word whose logarithm is still to be taken off ``known`` times."""
     sent = packed.sparkSession.sparkContext.broadcast(words)
     per_word = math.log10(alpha / max(total, 1))
 
@@ -230,16 +229,17 @@ def _score_group(group: pa.Table, words: Table, groups: int, least: int, per_wor
     out = []
     col = lambda name: [x.values.to_numpy(zero_copy_only=False) for x in group.column(name) if x.is_valid]
     join = lambda parts, t: np.concatenate(parts) if parts else np.array([], t)
+    flushes = group.column("flush").to_numpy()
     direct = np.array([x.is_valid for x in group.column("score")], bool)
-    owners = [x.values.to_numpy(zero_copy_only=False) for x in group.column("owner")]
     if direct.any():
-        own = np.concatenate([o for o, d in zip(owners, direct, strict=True) if d])
-        out.append((own, None, join(col("words"), np.int32), join(col("known"), np.int32), join(col("score"), np.float64)))
-    owners = [o for o, d in zip(owners, direct, strict=True) if not d]
-    if owners:
-        base = np.cumsum([0, *map(len, owners)])
-        own, size = np.concatenate(owners), int(base[-1])
-        doc = np.concatenate([d.astype(np.int32) + np.int32(b) for d, b in zip(col("doc"), base, strict=False)])
+        own = col("owner")
+        named = (np.repeat(flushes[direct], [len(o) for o in own]), np.concatenate([np.arange(len(o)) for o in own]))
+        out.append((*named, np.concatenate(own), None, join(col("words"), np.int32), join(col("known"), np.int32), join(col("score"), np.float64)))
+    if not direct.all():
+        flushes, base = np.unique(flushes[~direct], return_inverse=True)
+        docs = col("doc")
+        places, doc = np.unique(np.concatenate([d.astype(np.int64) + b * _FLUSH_DOCS for d, b in zip(docs, base.tolist(), strict=True)]), return_inverse=True)
+        doc, size = doc.astype(np.int32), len(places)
         v = np.repeat(join(col("v"), np.int64), join(col("times"), np.int32)).view(np.uint64)
         n, kept, w = join(col("n"), np.int32), [], []
         for x, i in zip(group.column("w"), group.column("kept"), strict=True):
@@ -264,11 +264,13 @@ def _score_group(group: pa.Table, words: Table, groups: int, least: int, per_wor
             part = np.where(known, n_t * (_log(c) - _log(cv)), n_t * (_log(cw) + per_word))
             sums += np.stack([np.bincount(doc_t, n_t, size), np.bincount(doc_t[known], n_t[known], size), np.bincount(doc_t, part, size)])
             ask = np.flatnonzero(known & (cv == 0))
-            out.append((own[doc_t[ask]], v_t[ask].view(np.int64), np.zeros(len(ask)), n_t[ask], np.zeros(len(ask))))
-        out.append((own, None, *sums))
+            asks = places[doc_t[ask]]
+            out.append((flushes[asks // _FLUSH_DOCS], asks % _FLUSH_DOCS, None, v_t[ask].view(np.int64), np.zeros(len(ask)), n_t[ask], np.zeros(len(ask))))
+        out.append((flushes[places // _FLUSH_DOCS], places % _FLUSH_DOCS, None, None, *sums))
+    none = lambda x, n: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
     tables = [
-        pa.table({"owner": pa.array(o), "asked": pa.nulls(len(o), pa.int64()) if a is None else pa.array(a), "n": pa.array(np.asarray(n, np.int64)), "known": pa.array(np.asarray(k, np.int64)), "score": pa.array(np.asarray(s, np.float64))})
-        for o, a, n, k, s in out
+        pa.table({"flush": pa.array(f), "doc": pa.array(np.asarray(d, np.int32)), "owner": none(o, len(f)), "asked": none(a, len(f)), "n": pa.array(np.asarray(n, np.int64)), "known": pa.array(np.asarray(k, np.int64)), "score": pa.array(np.asarray(x, np.float64))})
+        for f, d, o, a, n, k, x in out
     ]
     return pa.concat_tables(tables)
 
@@ -307,9 +309,11 @@ def backoff_scores(
     pairs = _collected(_counted(keyed, hot).filter(F.col("c") * hot_pairs >= total))
     octets = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(least_groups, math.ceil(octets / group_bytes))
-    parts = materialise(_scored(_packed(keyed, words, pairs, total, groups, least, alpha), words, total, groups, least, alpha).groupBy("owner", "asked").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("score").alias("score")))
-    late = parts.filter("asked IS NOT NULL").join(count, F.col("asked") == F.col("key")).select("owner", "n", F.lit(0).cast("long").alias("known"), (-F.col("known") * F.log10(F.col("c").cast("double"))).alias("score"))
-    sums = parts.filter("asked IS NULL").select("owner", "n", "known", "score").unionByName(late).groupBy("owner").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("score").alias("score"))
+    parts = materialise(_scored(_packed(keyed, words, pairs, total, groups, least, alpha), words, total, groups, least, alpha).groupBy("flush", "doc", "asked").agg(F.max("owner").alias("owner"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("score").alias("score")))
+    late = parts.filter("asked IS NOT NULL").join(count, F.col("asked") == F.col("key")).select("flush", "doc", "owner", "n", F.lit(0).cast("long").alias("known"), (-F.col("known") * F.log10(F.col("c").cast("double"))).alias("score"))
+    sum_up = [F.sum(c).alias(c) for c in ("n", "known", "score")]
+    whole = parts.filter("asked IS NULL").select(*late.columns).unionByName(late).groupBy("flush", "doc").agg(F.max("owner").alias("owner"), *sum_up)
+    sums = whole.groupBy("owner").agg(*sum_up)
     copies = keyed.groupBy("owner").agg(F.count("*").alias("times"))  # rows alike in id and text gave the same pairs each
     each = lambda c: (F.col(c) / F.col("times"))
     sums = sums.join(copies, "owner").select("owner", each("n").cast("long").alias("n"), each("known").cast("long").alias("known"), each("score").alias("score"))
