@@ -41,10 +41,17 @@ def vector_search(items: DataFrame, query: Sequence[float], id_col: str, vector_
     return rows.filter(F.col("similarity") > threshold).orderBy(F.col("similarity").desc(), id_col).limit(limit)
 
 
-def ranked(rows: DataFrame, layer: str, score: Column, id_col: str, query: str | None = None) -> DataFrame:
-    """One layer's candidates with their rank, best score first, ties by id."""
+def ranked(rows: DataFrame, layer: str, score: Column, id_col: str, query: str | None = None, depth: int | None = None) -> DataFrame:
+    """One layer's candidates with their rank, best score first, ties by id; the first ``depth`` only, if given.
+
+    Without a query column the whole layer is one ranking: give a depth, then the top is
+    taken in parallel and only that many rows are numbered in one task.
+    """
+    if query is None and depth is not None:
+        rows = rows.orderBy(score.desc(), id_col).limit(depth)
     over = Window.partitionBy(*([query] if query else [F.lit(0)])).orderBy(score.desc(), id_col)
-    return rows.select(*([query] if query else []), id_col, F.lit(layer).alias("layer"), score.cast("double").alias("layer_score"), F.row_number().over(over).alias("rank"))
+    out = rows.select(*([query] if query else []), id_col, F.lit(layer).alias("layer"), score.cast("double").alias("layer_score"), F.row_number().over(over).alias("rank"))
+    return out if depth is None else out.filter(F.col("rank") <= depth)
 
 
 def fuse(layers: DataFrame, id_col: str, query: str | None = None, limit: int = 10, once: bool = False) -> DataFrame:

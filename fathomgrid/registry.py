@@ -456,7 +456,7 @@ p2 AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS score FROM part WHERE p
 p3 AS (SELECT p_partkey AS id, p_retailprice AS score FROM part WHERE p_retailprice > 1000),
 p4 AS (SELECT l_partkey AS id, 0.8 AS score FROM lineitem GROUP BY 1 HAVING count(*) >= 40),
 l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r, 'parametric' AS layer FROM p1 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id), 'fts' FROM p2 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id), 'vector' FROM p3 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id), 'kg' FROM p4),
-f AS (SELECT id, sum(1.0 / (r + 60)) AS s, string_agg(layer, ',' ORDER BY layer) AS layers FROM l GROUP BY 1)
+f AS (SELECT id, sum(1.0 / (r + 60)) AS s, string_agg(layer, ',' ORDER BY layer) AS layers FROM l WHERE r <= 20 GROUP BY 1)
 SELECT id AS p_partkey, round(s, 9) AS final_score, layers, CAST(p AS INTEGER) AS position FROM (SELECT *, row_number() OVER (ORDER BY round(s, 12) DESC, id) AS p FROM f) WHERE p <= 10"""
 
 
