@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
+NOWHERE = 2**63 - 1  # the id of rows without one, where such rows come last
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,3 +53,8 @@ def ascii_lower(text: Column) -> Column:
 def plain_words(text: Column) -> Column:
     """Words of a whole text (null: none) as the licence operator takes them."""
     return F.filter(F.split(F.coalesce(ascii_lower(text), F.lit("")), WORD_GAP), lambda w: w != "")
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int = 200_000) -> DataFrame:
+    """Broadcast ``small`` if it has at most ``rows`` rows, so that ``big`` isn't shuffled; else a plain join."""
+    return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)

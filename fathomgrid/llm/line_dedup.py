@@ -23,11 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import NOWHERE, materialise, sized_join
 
 _B = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_B, -1, 2**64)
-_NOWHERE = 2**63 - 1  # the id of rows without one, so that they come last
 
 AT = ["owner", "text_hash", "line"]  # where a line stands; rows alike in the first two are one document
 
@@ -133,11 +132,6 @@ def _neighbourhood(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return sized_join(docs, asked, ["owner", "text_hash"], "inner").select("owner", "text_hash", "text", "lines").mapInArrow(emit, schema)
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int = 200_000) -> DataFrame:
-    """Broadcast ``small`` if it has at most ``rows`` rows, so that ``big`` isn't shuffled; else a plain join."""
-    return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
-
-
 def _near(variant: DataFrame) -> DataFrame:
     """Pairs ``later, earlier`` of places of near lines; every line with an earlier near line is in one.
 
@@ -199,7 +193,7 @@ def dedup_lines(docs: DataFrame, least: int = 3, fuzzy: int = 8, id_col: str = "
     all go is left with an empty text. Every row and column of ``docs`` is kept. No
     rows give no rows.
     """
-    keyed = docs.withColumns({"_owner": F.coalesce(F.col(id_col).cast("long"), F.lit(_NOWHERE)), "_text": F.col(text_col)}).withColumn("_hash", F.xxhash64("_text"))
+    keyed = docs.withColumns({"_owner": F.coalesce(F.col(id_col).cast("long"), F.lit(NOWHERE)), "_text": F.col(text_col)}).withColumn("_hash", F.xxhash64("_text"))
     plain = keyed.select(F.col("_owner").alias("owner"), F.col("_hash").alias("text_hash"), F.col("_text").alias("text"))
     lines = materialise(_lines(plain, least, fuzzy))
     near = materialise(near_lines(plain, lines, fuzzy))
