@@ -222,7 +222,7 @@ def _scored(packed: DataFrame, words: Table, total: int, groups: int, least: int
     def score(group: pa.Table) -> pa.Table:
         return _score_group(group, sent.value, groups, least, per_word)
 
-    return packed.repartition(math.ceil(groups / 4), "p").groupBy("p").applyInArrow(score, _OUT)
+    return packed.repartition(math.ceil(groups / 2), "p").groupBy("p").applyInArrow(score, _OUT)
 
 
 def _score_group(group: pa.Table, words: Table, groups: int, least: int, per_word: float) -> pa.Table:
