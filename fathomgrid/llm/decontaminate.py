@@ -23,6 +23,7 @@ KEY = ["doc_id", "text_hash"]
 _INDEX = "doc_id long, text_hash long, term int, positions array<int>"
 _OTHER = {"doc_id": "other_id", "text_hash": "other_hash", "term": "other_term"}
 _SAME = "doc_id <=> other_id AND text_hash = other_hash AND term = other_term"
+_FEW = 200_000
 _LENGTH = -1  # the pseudo-term whose only position is the number of words
 
 
@@ -117,7 +118,10 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 10, slop: int =
         )
         near.append(both.join(F.broadcast(names), "item").select(*KEY, "item_id").distinct())
         asked = both.filter("exact").join(F.broadcast(spelled), "item")
-        held = asked.join(listed, F.expr(_SAME)).filter(F.array_contains("positions", F.col("delta") + F.col("o"))).select(*KEY, "item", "n", "delta", "o").distinct()
+        hit = both.filter("exact").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+        few = F.broadcast(hit) if hit.count() <= _FEW else hit  # so that only these documents' lists are shuffled
+        of_hit = listed.join(few, F.expr("other_id <=> hit_id AND other_hash = hit_hash"), "left_semi")
+        held = asked.join(of_hit, F.expr(_SAME)).filter(F.array_contains("positions", F.col("delta") + F.col("o"))).select(*KEY, "item", "n", "delta", "o").distinct()
         line = Window.partitionBy(*KEY, "item", "n", "delta")
         runs = held.withColumn("run", F.col("o") - F.row_number().over(line.orderBy("o"))).groupBy(*KEY, "item", "n", "delta", "run").agg((F.min("o") + F.col("delta")).alias("start"), (F.max("o") + F.col("delta")).alias("end"))
         phrases.append(runs.filter(F.col("end") - F.col("start") + 1 >= F.col("n")).join(F.broadcast(names), "item").select(*KEY, "item_id", "start", "end"))
