@@ -162,6 +162,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """``docs`` without the rows that hold a window of an item; columns stay as they are."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    hit = find_items(plain, benchmark.select("item_id", "text"), window, **options)[1].select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
-    keyed = docs.withColumns({"_key": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
-    return keyed.join(hit, F.expr("_key <=> _hit_id AND _hash = _hit_hash"), "left_anti").select(*docs.columns)
+    hit = find_items(plain, benchmark.select("item_id", "text"), window, **options)[1].select(F.col("doc_id").alias("__fg_hit_id"), F.col("text_hash").alias("__fg_hit_hash")).distinct()
+    keyed = docs.withColumns({"__fg_key": F.col(id_col).cast("long"), "__fg_hash": F.xxhash64(text_col)})
+    return keyed.join(hit, F.expr("__fg_key <=> __fg_hit_id AND __fg_hash = __fg_hit_hash"), "left_anti").drop("__fg_key", "__fg_hash")

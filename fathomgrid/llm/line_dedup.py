@@ -167,7 +167,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, fuzzy: int) -> DataFrame:
 
 
 def _rewrite(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines in the array column ``_drop`` taken out of ``_text``."""
+    """``docs`` with the lines in the array column ``__fg_drop`` taken out of ``__fg_text``."""
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, drops: pd.Series) -> pd.Series:
@@ -177,9 +177,9 @@ def _rewrite(docs: DataFrame) -> DataFrame:
 
         return pd.Series([None if t is None else cut(t, d) for t, d in zip(texts, drops, strict=True)], dtype="object")
 
-    many = F.size("_drop") > 64  # a look-up in the array for each line would take too long; other rows send Python a null
-    few = F.array_join(F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    return docs.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_text")).when(many, without(F.when(many, F.col("_text")), F.when(many, F.col("_drop")))).otherwise(few))
+    many = F.size("__fg_drop") > 64  # a look-up in the array for each line would take too long; other rows send Python a null
+    few = F.array_join(F.filter(F.split("__fg_text", "\n"), lambda x, i: ~F.array_contains("__fg_drop", i)), "\n")
+    return docs.withColumn("__fg_kept", F.when(F.col("__fg_drop").isNull(), F.col("__fg_text")).when(many, without(F.when(many, F.col("__fg_text")), F.when(many, F.col("__fg_drop")))).otherwise(few))
 
 
 def dedup_lines(docs: DataFrame, least: int = 3, fuzzy: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,25 +190,26 @@ def dedup_lines(docs: DataFrame, least: int = 3, fuzzy: int = 8, id_col: str = "
     text, further up. Shorter and blank lines stay. Null ids come last; rows that share
     an id are ordered by a hash of the text, and rows alike in id and text are one
     document: they get the same result. Null texts stay null, a document whose lines
-    all go is left with an empty text. Every row and column of ``docs`` is kept. No
-    rows give no rows.
+    all go is left with an empty text. Every row and column of ``docs`` is kept,
+    but for columns named like the three counts. No rows give no rows.
     """
-    keyed = docs.withColumns({"_owner": F.coalesce(F.col(id_col).cast("long"), F.lit(NOWHERE)), "_text": F.col(text_col)}).withColumn("_hash", F.xxhash64("_text"))
-    plain = keyed.select(F.col("_owner").alias("owner"), F.col("_hash").alias("text_hash"), F.col("_text").alias("text"))
+    keyed = docs.withColumns({"__fg_owner": F.coalesce(F.col(id_col).cast("long"), F.lit(NOWHERE)), "__fg_text": F.col(text_col)}).withColumn("__fg_hash", F.xxhash64("__fg_text"))
+    plain = keyed.select(F.col("__fg_owner").alias("owner"), F.col("__fg_hash").alias("text_hash"), F.col("__fg_text").alias("text"))
     lines = materialise(_lines(plain, least, fuzzy))
     near = materialise(near_lines(plain, lines, fuzzy))
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct(*AT)).alias("place"), F.max(F.struct(*AT)).alias("last"))
     marked = first.join(near.select(F.struct(*AT).alias("place"), F.lit(True).alias("near")), "place", "left")
     bad = materialise(marked.filter(F.col("near") | (F.col("place") != F.col("last"))).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "place", F.coalesce("near", F.lit(False)).alias("near")))
     gone = lines.join(bad, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).filter(F.col("near") | (F.struct(*AT) != F.col("place")))
-    drops = gone.groupBy(F.col("owner").alias("_owner"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line").alias("_drop"), F.count_if("near").alias("_n_near"))
-    joined = sized_join(keyed, materialise(drops), ["_owner", "_hash"], "left")
+    drops = gone.groupBy(F.col("owner").alias("__fg_owner"), F.col("text_hash").alias("__fg_hash")).agg(F.collect_set("line").alias("__fg_drop"), F.count_if("near").alias("__fg_near"))
+    joined = sized_join(keyed, materialise(drops), ["__fg_owner", "__fg_hash"], "left")
     done = _rewrite(joined).withColumns(
         {
-            text_col: F.col("_kept"),
-            "_n_lines": F.when(F.octet_length("_text") > 0, F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long"),
-            "_n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-            "_n_near": F.coalesce("_n_near", F.lit(0)).cast("long"),
+            text_col: F.col("__fg_kept"),
+            "_n_lines": F.when(F.octet_length("__fg_text") > 0, F.octet_length("__fg_text") - F.octet_length(F.replace("__fg_text", F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long"),
+            "_n_dropped": F.coalesce(F.size("__fg_drop"), F.lit(0)).cast("long"),
+            "_n_near": F.coalesce("__fg_near", F.lit(0)).cast("long"),
         }
     )
-    return done.select(*docs.columns, "_n_lines", "_n_dropped", "_n_near")
+    counts = ["_n_lines", "_n_dropped", "_n_near"]
+    return done.select(*(f"`{c}`" for c in docs.columns if c not in counts), *counts)

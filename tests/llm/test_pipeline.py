@@ -3,7 +3,11 @@
 import numpy as np
 
 import corpus_pipeline
+from fathomgrid.llm.decontaminate import drop_contaminated
+from fathomgrid.llm.line_dedup import dedup_lines
 from fathomgrid.llm.near_dedup import _Tree, drop_near_duplicates, near_duplicates
+from fathomgrid.llm.packing import pack
+from fathomgrid.llm.toxicity import drop_toxic
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_line_dedup import brute as deduped
 from tests.llm.test_simhash import brute_roots
@@ -91,3 +95,28 @@ def test_stages(spark):
 
     packed = corpus_pipeline.run(spark, d)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == text(safe).keys()
+
+
+def test_clashing_and_odd_columns(spark):
+    names = ["_owner", "_hash", "_text", "_drop", "_kept", "_key", "near", "line", "node", "size", "a.b", "fp", "term", "item", "n", "score", "bucket", "shard"]
+    df = spark.createDataFrame([(i, f"document number {i} has some words of its own {i * i}", *range(len(names))) for i in range(4)], ["doc_id", "text", *names])
+    empty = spark.createDataFrame([], "item_id long, text string, doc_id long, toxic int")
+    for out in (drop_near_duplicates(df), dedup_lines(df).drop("_n_lines", "_n_dropped", "_n_near"), drop_contaminated(df, empty), drop_toxic(df, empty)):
+        assert out.columns == df.columns
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+    assert pack(df).count() == 4
+
+
+def test_stages_take_nulls_repeats_and_nothing(spark):
+    d = "/root/testdata/sf0.001"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None, None, None, None), (None, None, "en", "s", 0), (2, "", None, "s", 0), (3, "one plain text of a few words", "en", None, 5), (3, "one plain text of a few words", "en", None, 5), (None, "another plain text that stands alone here", "en", "s", None), (4, "w " * 50_000, "en", "s", 1)]
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, d)
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+            kept = docs.collect()
+            assert len(kept) == (0 if not some else 5 if name in ("simhash_near_dedup", "decontamination") else 7), name
+            docs = spark.createDataFrame(kept, schema)
+        assert corpus_pipeline.packing(spark, docs, d).count() >= len(kept)
