@@ -689,7 +689,8 @@ def c4_role_candidates(spark, sf):
     even = F.col("p_partkey") % 2 == 0
     roles = load(spark, sf, "part").select(F.col("p_partkey").alias("pattern_id"), F.lit("r").alias("role"), F.when(even, F.concat(F.lit("Supplier#"), F.lpad((F.col("p_partkey") % 150).cast("string"), 9, "0"))).alias("part"), F.when(~even, F.col("p_size")).alias("category"))
     parts = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("component_id"), F.col("s_name").alias("part"), F.col("s_nationkey").alias("category"))
-    return N.role_candidates(roles, parts).select("pattern_id", "component_id", "score")
+    # both scores are exact at one decimal, the type that the SQL gives them
+    return N.role_candidates(roles, parts).select("pattern_id", "component_id", F.col("score").cast("decimal(2,1)").alias("score"))
 
 
 @query(
