@@ -51,6 +51,30 @@ def test_near_copies(spark):
     assert kept.columns == df.columns and kept.count() == len(docs) - len(gone)
 
 
+def starred(copies, seed=5):
+    """One original and copies that are near it, but not near each other."""
+    rng = np.random.default_rng(seed)
+    words = ["w%d" % x for x in rng.integers(0, 3000, 300)]
+    docs = [(0, " ".join(words))]
+    for i in range(1, copies + 1):
+        w = list(words)
+        for n, at in enumerate(rng.choice(58, 5, replace=False)):
+            w[5 + 5 * at] = f"e{i}x{n}"
+        docs.append((i, " ".join(w)))
+    return docs
+
+
+def test_an_original_keeps_all_its_copies(spark):
+    docs = starred(600)
+    sets = [grams(t) for _, t in docs]
+    assert all(len(sets[0] & s) >= 0.8 * len(sets[0] | s) for s in sets)
+    siblings = [len(a & b) / len(a | b) for n, a in enumerate(sets[1:60]) for b in sets[1 : n + 1]]
+    assert np.median(siblings) < 0.75
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for options in ({}, {"leaf": 16, "shingles": 20_000}):
+        assert [r.doc_id for r in drop_near_duplicates(df, **options).collect()] == [0], options
+
+
 def test_null_ids_repeats_and_no_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (6, "quite another text")], "doc_id long, text string")
     assert sorted(r.doc_id for r in drop_near_duplicates(df).collect()) == [5, 5, 6]
