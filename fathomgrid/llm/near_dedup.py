@@ -79,12 +79,19 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select(*_KEY, "text").mapInArrow(signed, schema)
 
 
+def _trees(texts: DataFrame, leaf: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The top of a tree for each part, from about 32 signatures a shard, picked by hash."""
+    n = texts.count()
+    depth = min(16, max(0, math.ceil(math.log2(max(n, 1) / (4 * leaf)))))
+    every = max(1, n // (32 * 2**depth))
+    sample = texts.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("sig").toPandas().sig if depth else []
+    values = _fingerprints(pa.array(list(sample), pa.binary()))
+    return [build(values[:, part], depth, RADIUS) for part in range(PARTS)]
+
+
 def _dealt(texts: DataFrame, leaf: int) -> DataFrame:
     """``texts(node, size, sig)`` once for each fingerprint, band and shard: columns band, part, shard, home."""
-    depth = min(16, max(0, math.ceil(math.log2(max(texts.count(), 1) / (4 * leaf)))))
-    # fingerprints of 24 votes are spread almost evenly, so evenly spread ones serve as the tree's sample
-    tree = build(np.random.default_rng(0).integers(0, 2**BITS, 32 * 2**depth, dtype=np.uint64), depth, RADIUS)
-    sent = texts.sparkSession.sparkContext.broadcast(tree)
+    sent = texts.sparkSession.sparkContext.broadcast(_trees(texts, leaf))
     schema = "band int, part int, shard int, home boolean, node long, size int, sig binary"
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +101,7 @@ def _dealt(texts: DataFrame, leaf: int) -> DataFrame:
             high = np.floor(np.log(np.maximum(size, 1) / SIMILAR) / math.log(_BAND) + 1e-9).astype(np.int64)
             values = _fingerprints(batch.column(2))
             for part in range(PARTS):
-                rows, shard = route(values[:, part], sent.value, RADIUS)
+                rows, shard = route(values[:, part], sent.value[part], RADIUS)
                 next_band = high[rows] > band[rows]
                 take = np.concatenate([rows, rows[next_band]])
                 home = np.concatenate([np.ones(len(rows), bool), np.zeros(next_band.sum(), bool)])
@@ -112,6 +119,13 @@ def _paired(rows: DataFrame, n_blocks: Column) -> DataFrame:
     return rows.withColumn("_pair", F.explode(F.transform(F.sequence(F.lit(0), n_blocks.cast("int") - 1), pair))).select("*", "_pair.i", "_pair.j").drop("_pair")
 
 
+def _blocked(dealt: DataFrame, block: int) -> DataFrame:
+    """``dealt`` with the columns i and j: shards of more than ``block`` rows as pairs of blocks of about ``block``."""
+    key = ["band", "part", "shard"]
+    large = materialise(dealt.groupBy(*key).agg(F.ceil(F.count("*") / block).alias("n_blocks")).filter("n_blocks > 1"))
+    return _paired(sized_join(dealt, large, key, "left"), F.coalesce("n_blocks", F.lit(1))).drop("n_blocks")
+
+
 def _fingerprints(sigs: pa.Array) -> np.ndarray:
     b = np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(-1, PARTS, BITS // 8).astype(np.uint64)
     return b[..., 0] << np.uint64(16) | b[..., 1] << np.uint64(8) | b[..., 2]
@@ -148,7 +162,7 @@ class _Tree:
 
 
 def shard_edges(shard: pd.DataFrame, part: int) -> pd.DataFrame:
-    """Candidate pairs of one shard: a spanning forest of its candidate graph."""
+    """Candidate pairs of one shard, or of two blocks of one: a spanning forest of its candidate graph."""
     size, home, node = shard["size"].to_numpy(), shard.home.to_numpy(), shard.node.to_numpy()
     wide = np.frombuffer(b"".join(shard.sig), np.uint64).reshape(len(shard), -1)
     value = _fingerprints(pa.array(shard.sig, pa.binary()))[:, part].astype(np.uint32)
@@ -222,7 +236,7 @@ def _verified(docs: DataFrame, rows: DataFrame, loose: DataFrame, shingles: int)
     return paired.select("cell", "i", "j", "node", "root", "text").groupBy("cell", "i", "j").applyInPandas(verified, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, leaf: int = 2048, shingles: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, leaf: int = 2048, block: int = 16_384, shingles: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``owner, text_hash, kept_owner, kept_hash`` of every document that isn't its group's first.
 
     Groups are the components of near copies; the first of a group has the smallest
@@ -233,11 +247,15 @@ def near_duplicates(docs: DataFrame, leaf: int = 2048, shingles: int = 1_000_000
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NOWHERE)).alias("owner"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     rows = materialise(_signed(keyed))
     texts = materialise(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).filter("size > 0"))
+    # texts of one signature and size have the same candidates and are each other's, so one of them is dealt
+    alike = materialise(texts.groupBy("sig", "size").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    placed = materialise(sized_join(texts, alike, ["sig", "size"], "left").select("node", "size", "sig", F.coalesce("least", "node").alias("least")))
 
     def local(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         return shard_edges(shard, key[1])
 
-    pairs = _dealt(texts, leaf).groupBy("band", "part", "shard").applyInPandas(local, "u long, v long").union(_banded(texts))
+    dealt = _blocked(_dealt(placed.filter("node = least"), leaf), block)
+    pairs = dealt.groupBy("band", "part", "shard", "i", "j").applyInPandas(local, "u long, v long").union(placed.filter("node <> least").select("least", "node")).union(_banded(texts))
     roots = connected_components(_verified(keyed, rows, connected_components(pairs), shingles))
     members = rows.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(*_KEY, F.coalesce("root", "node").alias("root"))
     kept = members.groupBy("root").agg(F.min(F.struct(*_KEY)).alias("kept"), F.max(F.struct(*_KEY)).alias("last")).filter("kept <> last").select(F.col("root").alias("group"), "kept")

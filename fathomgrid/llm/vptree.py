@@ -68,7 +68,7 @@ def blocks(values: np.ndarray, rows: np.ndarray, radius: int) -> Iterator[np.nda
             v, mu = _vantage(values[rows])
             d = distance(values[rows], v).astype(np.int64)
             left, right = rows[d <= mu + radius], rows[d > mu]
-            if len(left) < len(rows):
+            if len(left) ** 2 + len(right) ** 2 < len(rows) ** 2:  # else the sides have more pairs than the whole
                 stack += [left, right]
                 continue
         yield rows

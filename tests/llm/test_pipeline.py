@@ -5,7 +5,7 @@ import numpy as np
 import corpus_pipeline
 from fathomgrid.llm.decontaminate import drop_contaminated
 from fathomgrid.llm.line_dedup import dedup_lines
-from fathomgrid.llm.near_dedup import _Tree, drop_near_duplicates, near_duplicates
+from fathomgrid.llm.near_dedup import _blocked, _Tree, drop_near_duplicates, near_duplicates
 from fathomgrid.llm.packing import pack
 from fathomgrid.llm.toxicity import drop_toxic
 from tests.llm.test_decontaminate import brute as contaminated
@@ -71,10 +71,25 @@ def test_an_original_keeps_all_its_copies(spark):
     siblings = [len(a & b) / len(a | b) for n, a in enumerate(sets[1:60]) for b in sets[1 : n + 1]]
     assert np.median(siblings) < 0.75
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    for options in ({}, {"leaf": 16, "shingles": 20_000}):
+    for options in ({}, {"leaf": 16, "block": 100, "shingles": 20_000}):
         assert [r.doc_id for r in drop_near_duplicates(df, **options).collect()] == [0], options
 
 
+def test_large_shards_are_split_into_block_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, 0, int(s), True, i, 100, rng.integers(0, 256, 24, dtype=np.uint8).tobytes()) for i, s in enumerate([0] * 1000 + [1] * 5)]
+    df = spark.createDataFrame(rows, "band int, part int, shard int, home boolean, node long, size int, sig binary")
+    tasks = {}
+    for r in _blocked(df, 100).collect():
+        tasks.setdefault((r.shard, r.i, r.j), set()).add(r.node)
+    assert tasks.pop((1, 0, 0)) == set(range(1000, 1005))
+    assert len(tasks) == 55 and max(map(len, tasks.values())) < 350
+    met = np.eye(1000, dtype=bool)
+    for nodes in tasks.values():
+        met[np.ix_(list(nodes), list(nodes))] = True
+    assert met.all()
+
+
 def test_null_ids_repeats_and_no_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (6, "quite another text")], "doc_id long, text string")
     assert sorted(r.doc_id for r in drop_near_duplicates(df).collect()) == [5, 5, 6]
