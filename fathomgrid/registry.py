@@ -205,7 +205,15 @@ def c10_conflicting_groups(spark, sf):
 SELECT a.l_suppkey AS a, b.l_suppkey AS b, string_agg(DISTINCT a.l_returnflag, ',' ORDER BY a.l_returnflag) AS labels FROM m a JOIN m b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY ALL"""
 )
 def c12_co_occurrence(spark, sf):
-    rows = load(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
+    return _co_occurrence(load(spark, sf, "lineitem").filter("l_orderkey % 20 = 0"))
+
+
+@query()
+def c12_co_occurrence_whole(spark, sf):
+    return _co_occurrence(load(spark, sf, "lineitem"))
+
+
+def _co_occurrence(rows):
     return J.co_occurrence(rows, "l_orderkey", "l_suppkey", "l_returnflag").select("a", "b", F.array_join("labels", ",").alias("labels"))
 
 
@@ -234,7 +242,16 @@ def c18_range_overlap(spark, sf):
 
 @query("SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice BETWEEN p_retailprice * 100 AND p_retailprice * 100 + 50 WHERE o_orderkey % 4 = 0")
 def c22_range_join(spark, sf):
-    points = load(spark, sf, "orders").filter("o_orderkey % 4 = 0").select("o_orderkey", "o_totalprice")
+    return _range_join(spark, sf, load(spark, sf, "orders").filter("o_orderkey % 4 = 0"))
+
+
+@query()
+def c22_range_join_whole(spark, sf):
+    return _range_join(spark, sf, load(spark, sf, "orders"))
+
+
+def _range_join(spark, sf, orders):
+    points = orders.select("o_orderkey", "o_totalprice")
     ranges = load(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("low"), (F.col("p_retailprice") * 100 + 50).alias("high"))
     return J.range_join(points, ranges, "o_totalprice", "low", "high", 200.0).select("o_orderkey", "p_partkey")
 
@@ -244,8 +261,16 @@ def c22_range_join(spark, sf):
 SELECT x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON x.v = y.u JOIN e z ON z.u = x.u AND z.v = y.v"""
 )
 def c23_triangles(spark, sf):
-    edges = load(spark, sf, "lineitem").filter("l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") % 100).alias("v"))
-    return J.triangles(edges)
+    return J.triangles(_supply_edges(load(spark, sf, "lineitem").filter("l_orderkey % 40 = 0")))
+
+
+@query()
+def c23_triangles_whole(spark, sf):
+    return J.triangles(_supply_edges(load(spark, sf, "lineitem")))
+
+
+def _supply_edges(rows):
+    return rows.select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") % 100).alias("v"))
 
 
 @query(
@@ -255,9 +280,17 @@ SELECT a.node AS x1, b.node AS x2, c.node AS x3 FROM k a JOIN e p ON p.u = a.nod
 WHERE a.kind = 0 AND b.kind = 1 AND c.kind = 2 AND a.node <> c.node AND NOT EXISTS (SELECT 1 FROM e n WHERE n.u = a.node AND n.v = c.node)"""
 )
 def c23_induced_chain(spark, sf):
-    edges = load(spark, sf, "lineitem").filter("l_orderkey % 200 = 0").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") % 100).alias("v"))
+    return _induced_chain(spark, sf, load(spark, sf, "lineitem").filter("l_orderkey % 200 = 0"))
+
+
+@query()
+def c23_induced_chain_whole(spark, sf):
+    return _induced_chain(spark, sf, load(spark, sf, "lineitem"))
+
+
+def _induced_chain(spark, sf, rows):
     kinds = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") % 3).alias("kind"))
-    return J.chain_motif(edges, kinds, [0, 1, 2])
+    return J.chain_motif(_supply_edges(rows), kinds, [0, 1, 2])
 
 
 @query("SELECT e.event_id, (SELECT arg_max(p.value, p.ts) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts) AS last_value FROM events e WHERE e.event_type = 'error'")
@@ -539,8 +572,9 @@ def h37_tree_paths(spark, sf):
 # Rules
 
 
-def _nets(spark, sf) -> tuple[DataFrame, DataFrame]:
-    li = load(spark, sf, "lineitem").filter("l_orderkey % 5 = 0")
+def _nets(spark, sf, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    li = load(spark, sf, "lineitem")
+    li = li if whole else li.filter("l_orderkey % 5 = 0")
     nets = li.select(F.lit("d").alias("design_id"), F.concat(F.when(F.col("l_orderkey") % 2 == 0, "VCC_").otherwise("N"), F.col("l_orderkey").cast("string")).alias("net_name"), F.when(F.col("l_orderkey") % 2 == 0, "power").otherwise("signal").alias("net_type"), F.concat(F.lit("U"), F.col("l_partkey").cast("string")).alias("ref"), F.col("l_suppkey").cast("string").alias("pin_number")).distinct()
     kind = F.col("pin_number").cast("int") % 4
     pins = nets.select("design_id", "ref", "pin_number").distinct().select("*", F.when(kind == 0, "output").when(kind == 1, "input").when(kind == 2, "io").otherwise("power").alias("pin_type"), F.when(kind == 3, F.when(F.col("pin_number").cast("int") % 3 == 0, "POWER_POSITIVE").otherwise("POWER_GROUND")).alias("function"), F.when(kind == 0, "SIGNAL_OUT").when(kind == 1, "SIGNAL_IN").when(kind == 3, "POWER_OUT").alias("role"))
@@ -558,6 +592,11 @@ def k6_electrical_checks(spark, sf):
     return K.electrical_checks(*_nets(spark, sf)).select("rule", "subject")
 
 
+@query()
+def k6_electrical_checks_whole(spark, sf):
+    return K.electrical_checks(*_nets(spark, sf, whole=True)).select("rule", "subject")
+
+
 @query(
     f"""WITH {_NET_SQL}, r AS (SELECT net_name, net_type, count(*) FILTER (pin % 4 = 0) AS so, count(*) FILTER (pin % 4 = 3) AS po, count(*) FILTER (pin % 4 <> 2) AS known FROM nets GROUP BY ALL)
 SELECT 'driver_conflict' AS rule, net_name || ':SIGNAL_OUT' AS subject FROM r WHERE so > 1 UNION ALL SELECT 'driver_conflict', net_name || ':POWER_OUT' FROM r WHERE po > 1 UNION ALL SELECT 'power_undriven', net_name FROM r WHERE net_type = 'power' AND known > 0 AND po = 0"""
@@ -566,6 +605,11 @@ def k11_role_checks(spark, sf):
     return K.role_checks(*_nets(spark, sf))[0].select("rule", "subject")
 
 
+@query()
+def k11_role_checks_whole(spark, sf):
+    return K.role_checks(*_nets(spark, sf, whole=True))[0].select("rule", "subject")
+
+
 @query(
     f"""WITH {_NET_SQL}, r AS (SELECT net_name, net_type, count(*) FILTER (pin % 4 = 0) AS so, count(*) FILTER (pin % 4 = 3) AS po, count(*) FILTER (pin % 4 <> 2) AS known FROM nets GROUP BY ALL),
 t AS (SELECT sum(CASE WHEN net_type = 'power' THEN 3 ELSE 2 END) AS checked, sum((so > 1)::INT + (po > 1)::INT) AS critical, sum((net_type = 'power' AND known > 0 AND po = 0)::INT) AS warning FROM r)
@@ -575,6 +619,11 @@ def d16_penalty_score(spark, sf):
     return K.scores(*K.role_checks(*_nets(spark, sf)))
 
 
+@query()
+def d16_penalty_score_whole(spark, sf):
+    return K.scores(*K.role_checks(*_nets(spark, sf, whole=True)))
+
+
 @query(
     """SELECT user_id, round(greatest(0.0, least(1.0, sum(s * w) / sum(w))), 4) AS score FROM (SELECT user_id, 1 + event_id % 5 AS layer, avg(value) / 100 AS s FROM events GROUP BY ALL) JOIN (VALUES (1, 0.35), (2, 0.3), (3, 0.2), (4, 0.1), (5, 0.05)) v(layer, w) USING (layer) GROUP BY 1"""
 )

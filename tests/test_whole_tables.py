@@ -1,0 +1,36 @@
+"""Whole-table queries against the SQL of their sampled counterparts, freed of its filter."""
+
+import pytest
+
+from fathomgrid import registry
+from tests.test_registry import SF, duck, plain  # noqa: F401
+
+FILTERS = {
+    "c12_co_occurrence": " WHERE l_orderkey % 20 = 0",
+    "c22_range_join": " WHERE o_orderkey % 4 = 0",
+    "c23_triangles": " AND l_orderkey % 40 = 0",
+    "c23_induced_chain": " WHERE l_orderkey % 200 = 0",
+    "k6_electrical_checks": " WHERE l_orderkey % 5 = 0",
+    "k11_role_checks": " WHERE l_orderkey % 5 = 0",
+    "d16_penalty_score": " WHERE l_orderkey % 5 = 0",
+}
+
+
+@pytest.mark.parametrize("name", sorted(FILTERS))
+def test_whole_table(spark, duck, name):  # noqa: F811
+    sql = registry.oracle_sql()[name]
+    assert FILTERS[name] in sql
+    want = duck.sql(sql.replace(FILTERS[name], ""))
+    rows = want.fetchall()
+    df = registry.queries()[f"{name}_whole"](spark, SF)
+    assert sorted(df.columns) == sorted(want.columns)
+    got = sorted((tuple(map(plain, r)) for r in df.select(*(f"`{c}`" for c in want.columns)).collect()), key=repr)
+    assert got == sorted((tuple(map(plain, r)) for r in rows), key=repr)
+    assert not rows or got != sorted((tuple(map(plain, r)) for r in duck.sql(sql).fetchall()), key=repr)
+
+
+def test_induced_chain_outside_the_sample(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 2), (3, 2, 3), (5, 4, 2)], "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 1)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [tuple(r) for r in registry.queries()["c23_induced_chain_whole"](spark, str(tmp_path)).collect()] == [(1, 2, 3)]
+    assert registry.queries()["c23_induced_chain"](spark, str(tmp_path)).count() == 0
