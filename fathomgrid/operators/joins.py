@@ -27,6 +27,16 @@ def overlaps(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
     return F.coalesce((la <= hb) & (lb <= ha), F.lit(False))
 
 
+def overlapping_pairs(rows: DataFrame, key: str, low: str, high: str, width: float) -> DataFrame:
+    """Pairs of keys ``a < b`` whose ranges meet as ``overlaps`` has it, through bins of ``width``: each pair in the first bin that both touch."""
+    lo, hi = F.coalesce(low, high), F.coalesce(high, low)
+    spans = rows.select(F.col(key).alias("k"), lo.alias("lo"), hi.alias("hi"), F.floor(F.least(lo, hi) / width).alias("first"), F.floor(F.greatest(lo, hi) / width).alias("last")).filter("lo IS NOT NULL")
+    binned = spans.withColumn("_bin", F.explode(F.sequence("first", "last"))).drop("last")
+    a, b = (binned.select("_bin", *(F.col(c).alias(f"{c}_{s}") for c in ("k", "lo", "hi", "first"))) for s in "ab")
+    meets = overlaps(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b"))
+    return a.join(b, "_bin").filter((F.col("k_a") < F.col("k_b")) & (F.col("_bin") == F.greatest("first_a", "first_b")) & meets).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, on: Sequence[str] = ()) -> DataFrame:
     """Points joined to the ranges that hold them, through bins of ``width``, so that it is an equi-join.
 

@@ -234,10 +234,17 @@ def c14_orphans(spark, sf):
 SELECT a.p_partkey AS a, b.p_partkey AS b FROM r a JOIN r b ON a.p_partkey < b.p_partkey AND coalesce(a.lo, a.hi) <= coalesce(b.hi, b.lo) AND coalesce(b.lo, b.hi) <= coalesce(a.hi, a.lo)"""
 )
 def c18_range_overlap(spark, sf):
-    rows = load(spark, sf, "part").filter("p_partkey < 300").select("p_partkey", F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("lo"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") + 2).alias("hi"))
-    a, b = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "ab")
-    meets = J.overlaps(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b"))
-    return a.join(b, (F.col("p_partkey_a") < F.col("p_partkey_b")) & meets).select(F.col("p_partkey_a").alias("a"), F.col("p_partkey_b").alias("b"))
+    return _range_overlap(load(spark, sf, "part").filter("p_partkey < 300"))
+
+
+@query()
+def c18_range_overlap_whole(spark, sf):
+    return _range_overlap(load(spark, sf, "part"))
+
+
+def _range_overlap(part):
+    rows = part.select("p_partkey", F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("lo"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") + 2).alias("hi"))
+    return J.overlapping_pairs(rows, "p_partkey", "lo", "hi", 2.0)
 
 
 @query("SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice BETWEEN p_retailprice * 100 AND p_retailprice * 100 + 50 WHERE o_orderkey % 4 = 0")
@@ -729,7 +736,16 @@ def ext_rollup(spark, sf):
 SELECT a.implication, a.axiom_id AS a, b.axiom_id AS b, round(1 - levenshtein(lower(a.requirement), lower(b.requirement)) / greatest(len(a.requirement), len(b.requirement)), 6) AS ratio FROM t a JOIN t b ON a.implication = b.implication AND a.axiom_id < b.axiom_id WHERE 1 - levenshtein(lower(a.requirement), lower(b.requirement)) / greatest(len(a.requirement), len(b.requirement)) < 0.6"""
 )
 def c11_axiom_conflicts(spark, sf):
-    axioms = load(spark, sf, "part").filter("p_partkey < 150").select(F.col("p_partkey").alias("axiom_id"), F.col("p_brand").alias("implication"), F.col("p_name").alias("requirement"))
+    return _axiom_conflicts(load(spark, sf, "part").filter("p_partkey < 150"))
+
+
+@query()
+def c11_axiom_conflicts_whole(spark, sf):
+    return _axiom_conflicts(load(spark, sf, "part"))
+
+
+def _axiom_conflicts(part):
+    axioms = part.select(F.col("p_partkey").alias("axiom_id"), F.col("p_brand").alias("implication"), F.col("p_name").alias("requirement"))
     return N.axiom_conflicts(axioms).withColumn("ratio", F.round("ratio", 6))
 
 

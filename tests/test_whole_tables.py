@@ -34,3 +34,16 @@ def test_induced_chain_outside_the_sample(spark, tmp_path):
     spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 1)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     assert [tuple(r) for r in registry.queries()["c23_induced_chain_whole"](spark, str(tmp_path)).collect()] == [(1, 2, 3)]
     assert registry.queries()["c23_induced_chain"](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize(("name", "prefix"), [("c11_axiom_conflicts", " WHERE p_partkey < 150"), ("c18_range_overlap", " WHERE p_partkey < 300")])
+def test_whole_part(spark, duck, name, prefix):  # noqa: F811
+    large = SF.replace("0.001", "0.01")
+    sql = registry.oracle_sql()[name]
+    assert prefix in sql
+    parts = lambda q: q.replace("FROM part", f"FROM '{large}/part.parquet'")
+    want = duck.sql(parts(sql.replace(prefix, "")))
+    rows = sorted((tuple(map(plain, r)) for r in want.fetchall()), key=repr)
+    got = sorted((tuple(map(plain, r)) for r in registry.queries()[f"{name}_whole"](spark, large).select(*want.columns).toLocalIterator()), key=repr)
+    assert got == rows
+    assert len(got) > len(duck.sql(parts(sql)).fetchall())
