@@ -44,7 +44,7 @@ class Index:
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, threshold: float, enough: float, start: float, growth: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query number, vector row and score of the ``k`` best verified, and all ties with the last.
 
-        ``own`` is the row of the query itself, or -1.
+        ``own`` holds the first of the query's own rows and the one behind the last.
         """
         n, m = len(self.vectors), len(self.order)
         size = np.sqrt((queries**2).sum(1, keepdims=True))
@@ -68,9 +68,9 @@ class Index:
                     hits += np.bincount(np.concatenate(new), minlength=n)
                 before = low, high
                 found = np.flatnonzero(hits >= least)
-                if len(found) >= wanted:
+                if len(found) >= wanted + own[q, 1] - own[q, 0]:
                     break
-            found = found[found != own[q]]
+            found = found[(found < own[q, 0]) | (found >= own[q, 1])]
             score = self.vectors[found] @ vector
             if len(found) > k:
                 found = found[score >= np.partition(score, len(found) - k)[len(found) - k] - 1e-9 * (1 + np.abs(score).max())]
@@ -113,11 +113,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, projections: int =
         x = np.stack(left.x.to_numpy())
         index = Index(x, longest, projections, seed)
         queries = np.stack(right.x.loc[right.vec_id.drop_duplicates().index].to_numpy())
-        at = np.searchsorted(ids, asks)
-        own = np.where((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == asks), at, -1)
+        own = np.stack([np.searchsorted(ids, asks), np.searchsorted(ids, asks, "right")], axis=1)
         q, row, score = index.search(queries, own, k, threshold, enough, start, growth)
-        keep = asks[q] != ids[row]
-        out = pd.DataFrame({"query_id": asks[q[keep]], "vec_id": ids[row[keep]], "score": score[keep]})
+        out = pd.DataFrame({"query_id": asks[q], "vec_id": ids[row], "score": score})
         return out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
     local = base.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(found, "query_id long, vec_id long, score double")

@@ -52,6 +52,16 @@ def test_odd_rows_and_ties(spark):
     assert nearest(frame(spark, [(0, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [-1.0, 0.0])])).count() == 2
 
 
+def test_repeats_of_a_query_take_no_places(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=6)]) for i in range(1, 60) if i % 20]
+    rows += [(20, [9.0] * 6)] * 25
+    for options in ({}, {"shard_rows": 30}):
+        got = nearest(frame(spark, rows), **options).collect()
+        assert {r.query_id for r in got} == {20} and len(got) == 20, options
+        assert 20 not in {r.vec_id for r in got}
+
+
 def test_directions_are_units():
     d = directions(5, 12, 1)
     assert d.shape == (5, 12) and np.allclose((d**2).sum(0), 1)
