@@ -17,6 +17,7 @@ WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 NOWHERE = 2**63 - 1  # the id of rows without one, where such rows come last
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000  # what is broadcast has no more of either
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests in local mode) a temporary one is set.
+    Where the setting is absent, a temporary folder is set in local mode, in which all
+    tasks run on one machine; a cluster without it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         where = "file://" + tempfile.mkdtemp(prefix="fathomgrid-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -38,11 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
 
-    Unlike ``checkpoint()`` this runs the plan once and keeps columnar statistics.
+    Unlike ``checkpoint()`` this runs the plan once and keeps columnar statistics. The
+    folder is deleted when the application ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -55,6 +64,22 @@ def plain_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(ascii_lower(text), F.lit("")), WORD_GAP), lambda w: w != "")
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int = 200_000) -> DataFrame:
-    """Broadcast ``small`` if it has at most ``rows`` rows, so that ``big`` isn't shuffled; else a plain join."""
-    return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
+def _width(df: DataFrame) -> Column:
+    """About the bytes of a row: eight a number, the length of strings and arrays of numbers."""
+    sizes = {"string": lambda c: F.octet_length(c), "binary": lambda c: F.octet_length(c)}
+    parts = []
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        parts.append(F.coalesce(sizes[kind](c), F.lit(0)) if kind in sizes else 8 * F.coalesce(F.size(c), F.lit(0)) if kind == "array" else F.lit(8))
+    return sum(parts, F.lit(16)).cast("long")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and about ``size`` bytes."""
+    found = df.agg(F.count("*").alias("rows"), F.sum(_width(df)).alias("size")).first()
+    return found.rows <= rows and (found.size or 0) <= size
+
+
+def sized_join(big: DataFrame, other: DataFrame, on: list[str] | Column, how: str) -> DataFrame:
+    """Broadcast ``other`` if it is `small`, so that ``big`` isn't shuffled; else a plain join."""
+    return big.join(F.broadcast(other) if small(other) else other, on, how)

@@ -1,44 +1,36 @@
 """Stupid-backoff scores of documents, computed relationally.
 
-A word pair that the corpus has ``least`` times or more scores c(v w) / c(v); any other
-word scores 0.4 c(w) / N. Words are 64-bit hashes. The pair table is partitioned by
-hash; a document's distinct pairs, exploded with their numbers, go to the partition
-that holds their count, meet it there, and the logarithms are summed for each document.
-
-Three bounds keep frequent items from piling up. Words that make up at least one in
-2**20 of all words number at most 2**20, so their counts are broadcast. Pairs of words
-that each make up one in 2**12 are counted beforehand, and of these the pairs that make
-up one in 2**16, at most 2**16, are broadcast too and scored where they stand. A pair
-with a rarer second word goes to the partition of that word, which therefore knows the
-word's count as well; all other pairs are dealt by the hash of both words. What is left
-to look up, the counts of rare words that begin a known pair, is one more join. Every
-pair of every document is counted and scored.
-
-Between the executors, pairs travel in arrays, a row for each partition and few
-thousand documents, which takes about a third of the space of a row for each pair.
+A document is scored by the n-grams of all other rows: of every count the document's
+own occurrences are taken off, as a model that holds the text itself would call any
+text certain. A word scores c(v w) / c(v) for the longest n-gram that other rows hold,
+times ``alpha`` for each word by which the context was shortened; with no context left
+c(w) / N, and a word that nothing else holds ``alpha`` / N more.
+
+Count tables and documents' exploded distinct n-grams are DataFrames, partitioned by the
+hash of the n-gram and joined from the longest order down. What an order explains is
+sent down as two kinds of rows: words explained, for the n-gram's last words, and uses
+as a context, for its first words. Logarithms are summed for each document.
+
+Frequent n-grams don't pile up: those that make up one in ``share`` of all, so no more
+than ``share`` of them, are broadcast with their counts and their rows dealt by document.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, sized_join
 
 _START = xxhash.xxh64_intdigest(b"\n")  # what stands before the first word; no word holds white space
-_FLUSH_PAIRS, _FLUSH_DOCS = 1_000_000, 30_000
-
-_PACKED = "p int, flush long, owner array<long>, v array<long>, times array<int>, w array<long>, kept array<int>, doc array<short>, n array<int>, words array<int>, known array<int>, score array<double>"
-_TURNS = 4  # a partition is scored in so many turns, each with a part of its pairs
-_OUT = "flush long, doc int, owner long, asked long, n long, known long, score double"
+_FLUSH = 2_000_000  # n-grams whose counts are added up before they are sent
 
 
 class Hasher(dict):
@@ -50,273 +42,143 @@ class Hasher(dict):
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
-    def words(self, text: str | None) -> np.ndarray:
-        """The start mark and the words of a text; empty without words."""
+    def words(self, text: str | None, order: int) -> np.ndarray:
+        """The words of a text after ``order - 1`` start marks; empty without words."""
         split = text.encode().lower().split() if text else []
-        return np.fromiter(chain((_START,), map(self.__getitem__, split)), np.uint64, len(split) + 1) if split else np.array([], np.uint64)
-
-
-class Table:
-    """Counts of some keys; 0 for any other."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
+        size = len(split) + order - 1
+        return np.fromiter(chain([_START] * (order - 1), map(self.__getitem__, split)), np.uint64, size) if split else np.array([], np.uint64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Where the keys stand, -1 for those that don't."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
 
-    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
-        at = self.find(keys)
-        return np.where(at >= 0, self.counts[at], 0) if len(self.keys) else np.zeros(len(keys), np.int64)
-
-    def having(self, least: float) -> Table:
-        keep = self.counts >= least
-        return Table(self.keys[keep], self.counts[keep])
-
-
-def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    h = (v ^ (v >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + w
+def _longer(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams that end at each word but the first, one word longer than ``grams``."""
+    h = (grams[:-1] ^ (grams[:-1] >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + words[-len(grams) + 1 :]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def _route(key: np.ndarray, w: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """What deals a pair: its key if the count of its second word is known, else that word."""
-    return np.where(kept >= 0, key, pair_key(w, w))
-
-
-def _totals(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sum of ``n`` (or their number) for each."""
-    if not len(keys):
-        return keys, np.array([], np.int64)
-    order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
-    sums = np.diff(first, append=len(keys)) if n is None else np.add.reduceat(n[order], first)
-    return keys[order][first], sums.astype(np.int64)
-
+def _orders(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """N-grams of every order; those of order k end at word k and all later ones."""
+    out = [words]
+    for _ in range(order - 1):
+        out.append(_longer(out[-1], words))
+    return out
 
-def _counted(docs: DataFrame, hot: Table | None) -> DataFrame:
-    """``key, c``: words, or with ``hot`` the pairs of hot words, counted over all documents."""
 
-    def rows(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["key", "c"])
+def ngram_counts(texts: DataFrame, order: int) -> DataFrame:
+    """``k, g, c``: how often each n-gram of each order stands in ``texts(text)``; those that stand once are left out, as nothing else can hold them."""
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, starts = Counter(), 0
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = Hasher(), [[] for _ in range(order)], 0
 
-        def flush() -> pa.RecordBatch:
-            keys = np.fromiter(chain((_START,), map(xxhash.xxh64_intdigest, seen)), np.uint64, len(seen) + 1)
-            return rows(keys, np.fromiter(chain((starts,), seen.values()), np.int64, len(seen) + 1))
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, parts in enumerate(held, 1):
+                g, c = np.unique(np.concatenate(parts), return_counts=True)
+                parts.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int8)), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], names=["k", "g", "c"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                split = text.encode().lower().split() if text else []
-                starts += bool(split)
-                seen.update(split)
-                if len(seen) > 400_000:
-                    yield flush()
-                    seen.clear()
-                    starts = 0
-        if seen:
-            yield flush()
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(), [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = hasher.words(text)
-                known = hot[h] > 0
-                both = known[1:] & known[:-1]
-                held.append(pair_key(h[:-1][both], h[1:][both]))
-                size += len(held[-1])
-                if size > 2 * _FLUSH_PAIRS:
-                    yield rows(*_totals(np.concatenate(held)))
-                    held, size = [], 0
+                words = hasher.words(text, order)
+                if len(words):
+                    for k, grams in enumerate(_orders(words, order), 1):
+                        held[k - 1].append(grams[max(order - 1 - k, 0) :])  # from the last that is all start marks
+                    size += len(words)
+                    if size > _FLUSH:
+                        yield from flush()
+                        size = 0
         if size:
-            yield rows(*_totals(np.concatenate(held)))
-
-    count = count_words if hot is None else count_pairs
-    return docs.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def _collected(rows: DataFrame) -> Table:
-    got = rows.toPandas()
-    return Table(got.key.to_numpy(np.int64).view(np.uint64), got.c.to_numpy(np.int64))
-
+            yield from flush()
 
-def _log(x: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(x, 1))
+    return texts.select("text").mapInArrow(counted, "k byte, g long, c long").groupBy("k", "g").agg(F.sum("c").alias("c")).filter("c > 1")
 
 
-def _packed(docs: DataFrame, words: Table, pairs: Table, total: int, groups: int, least: int, alpha: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((words, pairs))
-    per_word = math.log10(alpha / max(total, 1))
+def exploded(texts: DataFrame, k: int, order: int) -> DataFrame:
+    """Distinct n-grams of order ``k`` of each text: g, doc, n (times it stands), t (of these, at words), head, tail."""
+    schema = "g long, doc long, n int, t int, head long, tail long"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = sent.value
-        hasher, owners, held, size = Hasher(), [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-            key, v, w, n = (np.concatenate([x[i] for x in held]) for i in range(4))
-            own, c = np.array(owners, np.int64), pairs[key]
-            name = int(np.int64(xxhash.xxh64_intdigest(own.tobytes()) >> 1))  # of these documents, whose numbers below are their places
-            here = np.flatnonzero(c)  # hot pairs; their words are hot too
-            known = c[here] >= least
-            part = n[here] * np.where(known, _log(c[here]) - _log(words[v[here]]), _log(words[w[here]]) + per_word)
-            sums = [np.bincount(doc[at], x, minlength=len(own)) for at, x in ((here, n[here]), (here[known], n[here[known]]), (here, part))]
-            yield row(groups + int(doc.size % 8), name, own, scored=sums)
-            rest = np.flatnonzero(c == 0)
-            kept = words.find(w[rest])
-            p = _route(key[rest], w[rest], kept) % np.uint64(groups)
-            order = np.argsort(p << np.uint64(40) | v[rest] >> np.uint64(24))  # by partition, equal first words together
-            rest, p, kept = rest[order], p[order], kept[order]
-            ends = np.searchsorted(p, np.arange(groups + 1, dtype=np.uint64))
-            for g in range(groups):
-                here = slice(ends[g], ends[g + 1])
-                for some in (kept[here] >= 0, kept[here] < 0):
-                    at = rest[here][some]
-                    if len(at):
-                        first = np.flatnonzero(np.concatenate([[True], v[at][1:] != v[at][:-1]]))
-                        w_of = (None, kept[here][some]) if kept[here][some][0] >= 0 else (w[at], None)
-                        yield row(g, name, None, (v[at][first], np.diff(first, append=len(at)), *w_of, doc[at], n[at]))
-            owners.clear()
-            held.clear()
-
+        hasher = Hasher()
         for batch in batches:
-            for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = hasher.words(text)
-                if not len(h):
+            parts, docs = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = hasher.words(text, order)
+                if not len(words):
                     continue
-                key, first, n = np.unique(pair_key(h[:-1], h[1:]), return_index=True, return_counts=True)
-                owners.append(owner)
-                held.append((key, h[first], h[first + 1], n))
-                size += len(first)
-                if size > _FLUSH_PAIRS or len(held) >= _FLUSH_DOCS:
-                    yield from flush()
-                    size = 0
-        if held:
-            yield from flush()
-
-    def row(p: int, flush: int, owner: np.ndarray | None, packed: tuple = (), scored: tuple | list = ()) -> pa.RecordBatch:
-        kinds = (np.int64, np.int32, np.int64, np.int32, np.int16, np.int32)
-        arrays = [x if x is None else x.view(t) if t == np.int64 else x.astype(t) for x, t in zip(packed, kinds, strict=True)] if len(packed) else [None] * 6
-        arrays += [x.astype(t) for x, t in zip(scored, (np.int32, np.int32, np.float64), strict=True)] if len(scored) else [None] * 3
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int16(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-        lists = [pa.array([x], pa.list_(t)) for x, t in zip([owner, *arrays], types, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([flush], pa.int64()), *lists], names=[x.split()[0] for x in _PACKED.split(", ")])
-
-    return docs.select("owner", "text").mapInArrow(emit, _PACKED)
-
-
-def _scored(packed: DataFrame, words: Table, total: int, groups: int, least: int, alpha: float) -> DataFrame:
-    """``flush, doc, owner, asked, n, known, score``: parts of the sums of a flush's documents, one part with the owner; ``asked`` is a word whose logarithm is still to be taken off ``known`` times."""
-    sent = packed.sparkSession.sparkContext.broadcast(words)
-    per_word = math.log10(alpha / max(total, 1))
-
-    def score(group: pa.Table) -> pa.Table:
-        return _score_group(group, sent.value, groups, least, per_word)
-
-    return packed.repartition(math.ceil(groups / 2), "p").groupBy("p").applyInArrow(score, _OUT)
-
-
-def _score_group(group: pa.Table, words: Table, groups: int, least: int, per_word: float) -> pa.Table:
-    out = []
-    col = lambda name: [x.values.to_numpy(zero_copy_only=False) for x in group.column(name) if x.is_valid]
-    join = lambda parts, t: np.concatenate(parts) if parts else np.array([], t)
-    flushes = group.column("flush").to_numpy()
-    direct = np.array([x.is_valid for x in group.column("score")], bool)
-    if direct.any():
-        own = col("owner")
-        named = (np.repeat(flushes[direct], [len(o) for o in own]), np.concatenate([np.arange(len(o)) for o in own]))
-        out.append((*named, np.concatenate(own), None, join(col("words"), np.int32), join(col("known"), np.int32), join(col("score"), np.float64)))
-    if not direct.all():
-        flushes, base = np.unique(flushes[~direct], return_inverse=True)
-        docs = col("doc")
-        places, doc = np.unique(np.concatenate([d.astype(np.int64) + b * _FLUSH_DOCS for d, b in zip(docs, base.tolist(), strict=True)]), return_inverse=True)
-        doc, size = doc.astype(np.int32), len(places)
-        v = np.repeat(join(col("v"), np.int64), join(col("times"), np.int32)).view(np.uint64)
-        n, kept, w = join(col("n"), np.int32), [], []
-        for x, i in zip(group.column("w"), group.column("kept"), strict=True):
-            if i.is_valid:
-                kept.append(i.values.to_numpy(zero_copy_only=False))
-                w.append(words.keys[kept[-1]])
-            elif x.is_valid:
-                w.append(x.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                kept.append(np.full(len(w[-1]), -1, np.int32))
-        kept, w = np.concatenate(kept), np.concatenate(w)
-        turn = (_route(pair_key(v, w), w, kept) // np.uint64(groups) % np.uint64(_TURNS)).astype(np.int8)
-        sums = np.zeros((3, size))
-        for t in range(_TURNS):
-            at = np.flatnonzero(turn == t)
-            v_t, w_t, n_t, doc_t = v[at], w[at], n[at].astype(np.int64), doc[at]
-            c = _spread(pair_key(v_t, w_t), n_t)
-            rare = kept[at] < 0  # all of the word's pairs are here
-            cw = np.empty(len(at), np.int64)
-            cw[~rare] = words.counts[kept[at][~rare]]
-            cw[rare] = _spread(w_t[rare], n_t[rare])
-            cv, known = words[v_t], c >= least
-            part = np.where(known, n_t * (_log(c) - _log(cv)), n_t * (_log(cw) + per_word))
-            sums += np.stack([np.bincount(doc_t, n_t, size), np.bincount(doc_t[known], n_t[known], size), np.bincount(doc_t, part, size)])
-            ask = np.flatnonzero(known & (cv == 0))
-            asks = places[doc_t[ask]]
-            out.append((flushes[asks // _FLUSH_DOCS], asks % _FLUSH_DOCS, None, v_t[ask].view(np.int64), np.zeros(len(ask)), n_t[ask], np.zeros(len(ask))))
-        out.append((flushes[places // _FLUSH_DOCS], places % _FLUSH_DOCS, None, None, *sums))
-    none = lambda x, n: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
-    tables = [
-        pa.table({"flush": pa.array(f), "doc": pa.array(np.asarray(d, np.int32)), "owner": none(o, len(f)), "asked": none(a, len(f)), "n": pa.array(np.asarray(n, np.int64)), "known": pa.array(np.asarray(k, np.int64)), "score": pa.array(np.asarray(x, np.float64))})
-        for f, d, o, a, n, k, x in out
-    ]
-    return pa.concat_tables(tables)
-
-
-def _spread(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each element the sum of ``n`` over all with its key."""
-    order = np.argsort(keys, kind="stable")
-    new = np.concatenate([[True], np.diff(keys[order]) != 0]) if len(keys) else np.array([], bool)
-    sums = np.add.reduceat(n[order], np.flatnonzero(new)) if len(keys) else n
-    out = np.empty(len(keys), np.int64)
-    out[order] = sums[np.cumsum(new) - 1]
-    return out
-
-
-def backoff_scores(
-    docs: DataFrame, least: int = 2, alpha: float = 0.4, kept: int = 2**20, hot_words: int = 2**12, hot_pairs: int = 2**16, group_bytes: int = 12_000_000, least_groups: int = 32, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_pairs_known, log10_score, mean_log10.
-
-    Words are split at ASCII white space, A-Z lower-cased; the first word follows a start
-    mark, which counts once for each document. log10_score is the sum over words,
-    mean_log10 that by n_words (null without words, as for null and empty texts).
-    Every row counts for the tables, repeated ones too. Null ids are kept; rows alike in
-    id and text get the same score. No rows give no rows; other columns are ignored.
-
-    ``kept``, ``hot_words`` and ``hot_pairs`` bound what is broadcast; a partition of the
-    pair table takes about ``group_bytes`` bytes of text.
+                grams = _orders(words, k)
+                skip = max(order - 1 - k, 0)  # order k's first n-gram ends at word k; the last all of start marks ends at word order - 1
+                g, first, n = np.unique(grams[-1][skip:], return_index=True, return_counts=True)
+                t = n - ((first == 0) if k < order else 0)  # the n-gram of start marks ends at no word
+                shorter = grams[-2] if k > 1 else np.zeros(len(words) + 1, np.uint64)
+                parts.append((g, n, t, shorter[first + skip], shorter[first + skip + 1]))
+                docs.append((doc, len(g)))
+            if parts:
+                g, n, t, head, tail = (np.concatenate([p[i] for p in parts]) for i in range(5))
+                doc = np.repeat(np.array([d for d, _ in docs], np.int64), [size for _, size in docs])
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(head.view(np.int64)), pa.array(tail.view(np.int64))], names=[x.split()[0] for x in schema.split(", ")])
+
+    return texts.select("doc", "text").mapInArrow(emit, schema)
+
+
+def _counted(rows: DataFrame, counts: DataFrame, share: int) -> DataFrame:
+    """``rows`` added up by n-gram and document, with ``others``: how often other rows hold the n-gram."""
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    hot = counts.filter(F.col("c") * share >= total)  # no more than ``share`` of them
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.join(F.broadcast(hot.select("g", F.col("c").alias("often"))), "g", "left")
+    rows = rows.withColumn("salt", F.when(F.col("often").isNull(), 0).otherwise(F.pmod("doc", F.lit(parts)))).repartition("g", "salt")
+    rows = rows.groupBy("g", "salt", "doc").agg(F.max("n").alias("n"), F.max("t").alias("t"), F.max("head").alias("head"), F.max("tail").alias("tail"), F.sum("explained").alias("explained"), F.sum("context").alias("context"), F.max("often").alias("often"))
+    rest = counts.filter(F.col("c") * share < total).select("g", F.lit(0).cast("long").alias("salt"), "c")
+    return rows.join(rest.hint("shuffle_hash"), ["g", "salt"], "left").withColumn("others", F.greatest(F.coalesce("often", "c", F.lit(0)) - F.col("n"), F.lit(0)))
+
+
+def _distinct_texts(keyed: DataFrame) -> DataFrame:
+    """``doc, text`` with one row for each text, but for rows alike in id and text, which are added up later."""
+    plain = keyed.filter(F.octet_length("text") > 0).select("doc", F.coalesce("doc_id", F.lit(0)).alias("id"), "text")
+    copies = plain.groupBy("doc").agg(F.count("*").alias("n"), F.min("id").alias("kept")).filter("n > 1").drop("n")
+    return sized_join(plain, materialise(copies), ["doc"], "left").filter("kept IS NULL OR id = kept").select("doc", "text")
+
+
+def _log(x: Column) -> Column:
+    return F.log10(F.greatest(x.cast("double"), F.lit(1.0)))
+
+
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, share: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_words, n_known, log10_score, mean_log10.
+
+    Words are split at ASCII white space, A-Z lower-cased, and follow ``order`` - 1 start
+    marks. n_known counts the words whose whole n-gram another row holds; log10_score
+    is the sum over words, mean_log10 that by n_words (null without words, as for null
+    and empty texts). Every row counts for the tables, repeated ones too: a row that
+    stands twice is known from its copy. Null ids are kept; rows of the same text get
+    the same score. No rows give no rows; other columns are ignored.
     """
     text = F.col(text_col)
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("owner"), text.alias("text"))
-    count = materialise(_counted(keyed, None))
-    start = F.col("key") == int(np.uint64(_START).view(np.int64))
-    total = count.filter(~start).agg(F.sum("c")).first()[0] or 0
-    words = _collected(count.filter(start | (F.col("c") * kept >= total)))
-    hot = words.having(max(1, total / hot_words))
-    pairs = _collected(_counted(keyed, hot).filter(F.col("c") * hot_pairs >= total))
-    octets = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(least_groups, math.ceil(octets / group_bytes))
-    parts = materialise(_scored(_packed(keyed, words, pairs, total, groups, least, alpha), words, total, groups, least, alpha).groupBy("flush", "doc", "asked").agg(F.max("owner").alias("owner"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("score").alias("score")))
-    late = parts.filter("asked IS NOT NULL").join(count, F.col("asked") == F.col("key")).select("flush", "doc", "owner", "n", F.lit(0).cast("long").alias("known"), (-F.col("known") * F.log10(F.col("c").cast("double"))).alias("score"))
-    sum_up = [F.sum(c).alias(c) for c in ("n", "known", "score")]
-    whole = parts.filter("asked IS NULL").select(*late.columns).unionByName(late).groupBy("flush", "doc").agg(F.max("owner").alias("owner"), *sum_up)
-    sums = whole.groupBy("owner").agg(*sum_up)
-    copies = keyed.groupBy("owner").agg(F.count("*").alias("times"))  # rows alike in id and text gave the same pairs each
-    each = lambda c: (F.col(c) / F.col("times"))
-    sums = sums.join(copies, "owner").select("owner", each("n").cast("long").alias("n"), each("known").cast("long").alias("known"), each("score").alias("score"))
-    out = keyed.select("doc_id", "owner").join(sums, "owner", "left")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc"), text.alias("text"))
+    counts = materialise(ngram_counts(keyed, order))
+    words = keyed.agg(F.sum(_n_words(F.col("text")))).first()[0] or 0
+    texts = _distinct_texts(keyed)
+    below, sums = None, []
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", F.coalesce("n", zero).alias("n_words"), F.coalesce("known", zero).alias("n_pairs_known"), F.coalesce("score", F.lit(0.0)).alias("log10_score"), (F.col("score") / F.col("n")).alias("mean_log10"))
+    for k in range(order, 0, -1):
+        rows = exploded(texts, k, order).withColumns({"explained": zero, "context": zero})
+        if below is not None:
+            rows = rows.unionByName(below, allowMissingColumns=True)
+        seen = _counted(rows, counts.filter(F.col("k") == k), share).withColumns({"left": F.col("t") - F.col("explained"), "known": F.col("others") > 0})
+        gain = F.when(F.col("known"), F.col("left") * (_log(F.col("others")) + (order - k) * math.log10(alpha)) - F.col("context") * _log(F.col("others")))
+        if k > 1:
+            seen = materialise(seen.filter("known").select("doc", "head", "tail", "t", "left", gain.alias("score")))
+            below = seen.select(F.col("tail").alias("g"), "doc", F.col("t").cast("long").alias("explained"), zero.alias("context")).unionByName(seen.select(F.col("head").alias("g"), "doc", zero.alias("explained"), F.col("left").alias("context")))
+            sums.append(seen.select("doc", "score", (F.col("left") if k == order else zero).alias("known"), zero.alias("last"), zero.alias("n")))
+        else:
+            sums.append(seen.select("doc", F.coalesce(gain, F.col("left") * order * math.log10(alpha)).alias("score"), (F.when(F.col("known"), F.col("left")).otherwise(0) if order == 1 else zero).alias("known"), F.col("left").alias("last"), F.col("t").cast("long").alias("n")))
+    every = sums[0]
+    for more in sums[1:]:
+        every = every.unionByName(more)
+    of_doc = every.groupBy("doc").agg(F.sum("score").alias("score"), F.sum("known").alias("known"), F.sum("last").alias("last"), F.sum("n").alias("n"))
+    of_doc = of_doc.select(F.col("doc").alias("of"), "known", "n", (F.col("score") - F.col("last") * _log(F.lit(words) - F.col("n"))).alias("score"))
+    out = keyed.select("doc_id", "doc").join(of_doc, F.col("doc") == F.col("of"), "left")
+    return out.select("doc_id", F.coalesce("n", zero).alias("n_words"), F.coalesce("known", zero).alias("n_known"), F.coalesce("score", F.lit(0.0)).alias("log10_score"), (F.col("score") / F.col("n")).alias("mean_log10"))
+
+
+def _n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))

@@ -75,16 +75,28 @@ SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE count(*) END AS n_l
 FROM marked JOIN documents USING (doc_id) GROUP BY doc_id, text
 """
 
+#: Two start marks stand before the words; o is a row's own count of an n-gram, which its count loses.
 OP9_SQL = r"""
-WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents),
-pairs AS (SELECT doc_id, unnest(list_prepend(chr(10), w[1 : len(w) - 1])) AS v, unnest(w) AS w FROM docs WHERE len(w) > 0),
-one AS (SELECT w, count(*) AS c FROM pairs GROUP BY w UNION ALL SELECT v, count(*) FROM pairs WHERE v = chr(10) GROUP BY v),
-two AS (SELECT v, w, count(*) AS c FROM pairs GROUP BY v, w),
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents),
+tokens AS (
+  SELECT k, p[i - 2] AS u, p[i - 1] AS v, p[i] AS w
+  FROM (SELECT k, p, unnest(range(3, len(p) + 1)) AS i FROM (SELECT k, list_concat([chr(10), chr(10)], w) AS p FROM docs WHERE len(w) > 0))),
+started AS (SELECT DISTINCT k, chr(10) AS s FROM tokens),
+own3 AS (SELECT k, u, v, w, count(*) AS o FROM tokens GROUP BY ALL),
+own2 AS (SELECT k, v, w, count(*) AS o FROM (SELECT k, v, w FROM tokens UNION ALL SELECT k, s, s FROM started) GROUP BY ALL),
+own1 AS (SELECT k, w, count(*) AS o FROM (SELECT k, w FROM tokens UNION ALL SELECT k, s FROM started) GROUP BY ALL),
+c3 AS (SELECT k, u, v, w, sum(o) OVER (PARTITION BY u, v, w) - o AS c FROM own3),
+c2 AS (SELECT k, v, w, sum(o) OVER (PARTITION BY v, w) - o AS c FROM own2),
+c1 AS (SELECT k, w, sum(o) OVER (PARTITION BY w) - o AS c FROM own1),
+sizes AS (SELECT k, count(*) AS n, greatest((SELECT count(*) FROM tokens) - count(*), 1) AS others FROM tokens GROUP BY k),
 scored AS (
-  SELECT doc_id, two.c >= 2 AS known, CASE WHEN two.c >= 2 THEN log10(two.c) - log10(a.c) ELSE log10(b.c) + log10(0.4 / (SELECT count(*) FROM pairs)) END AS s
-  FROM pairs JOIN two USING (v, w) JOIN one a ON a.w = pairs.v JOIN one b ON b.w = pairs.w)
-SELECT doc_id, CAST(len(docs.w) AS BIGINT) AS n_words, coalesce(n_known, 0) AS n_pairs_known, round(coalesce(total, 0.0), 4) AS log10_score, round(total / len(docs.w), 6) AS mean_log10
-FROM docs LEFT JOIN (SELECT doc_id, count(*) FILTER (known) AS n_known, sum(s) AS total FROM scored GROUP BY doc_id) USING (doc_id)
+  SELECT k, c3.c > 0 AS known,
+    CASE WHEN c3.c > 0 THEN log10(c3.c) - log10(h2.c) WHEN c2.c > 0 THEN log10(0.4) + log10(c2.c) - log10(h1.c)
+         WHEN c1.c > 0 THEN 2 * log10(0.4) + log10(c1.c) - log10(others) ELSE 3 * log10(0.4) - log10(others) END AS s
+  FROM tokens t JOIN sizes USING (k) JOIN c3 USING (k, u, v, w) JOIN c2 USING (k, v, w) JOIN c1 USING (k, w)
+  JOIN c2 h2 ON h2.k = t.k AND h2.v = t.u AND h2.w = t.v JOIN c1 h1 ON h1.k = t.k AND h1.w = t.v)
+SELECT doc_id, CAST(len(docs.w) AS BIGINT) AS n_words, CAST(coalesce(n_known, 0) AS BIGINT) AS n_known, round(coalesce(total, 0.0), 4) AS log10_score, round(total / len(docs.w), 6) AS mean_log10
+FROM docs LEFT JOIN (SELECT k, count(*) FILTER (known) AS n_known, sum(s) AS total FROM scored GROUP BY k) USING (k)
 """
 
 _TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(label, body.replace("'", "''")) for label, body in sorted(TEMPLATES.items()))

@@ -3,46 +3,72 @@
 import math
 from collections import Counter
 
+import duckdb
 import pytest
 
 from fathomgrid.llm.lm_score import backoff_scores
+from fathomgrid.llm.queries import op9_lm_score, oracle_sql
 
 
-def brute(texts, least=2):
+def brute(texts, order=3, alpha=0.4):
     split = [[w.decode() for w in (t or "").encode().lower().split()] for t in texts]
-    one, two, begin = Counter(), Counter(), Counter()
-    for w in split:
-        one.update(w)
-        two.update(zip(["\n", *w], w, strict=False))
-    begin["\n"] = sum(1 for w in split if w)
-    total, out = sum(one.values()), []
-    for w in split:
-        score, known = 0.0, 0
-        for p in zip(["\n", *w], w, strict=False):
-            if two[p] >= least:
-                known += 1
-                score += math.log10(two[p] / (one[p[0]] or begin[p[0]]))
-            else:
-                score += math.log10(0.4 * one[p[1]] / total)
-        out.append((len(w), known, score))
+
+    def grams(words):
+        padded = ["\n"] * (order - 1) + words
+        found = Counter()
+        for i in range(order - 1, len(padded)):
+            found.update(tuple(padded[i - k + 1 : i + 1]) for k in range(1, order + 1))
+        found.update(("\n",) * k for k in range(1, order) if words)
+        return found
+
+    each = [grams(w) for w in split]
+    every = Counter()
+    for g in each:
+        every.update(g)
+    total, out = sum(map(len, split)), []
+    for words, own in zip(split, each, strict=True):
+        c = lambda g: every[g] - own[g]  # noqa: E731, B023
+        n = max(total - len(words), 1)
+        padded, score, known = ["\n"] * (order - 1) + words, 0.0, 0
+        for i in range(order - 1, len(padded)):
+            for k in range(order, -1, -1):
+                gram = tuple(padded[i - k + 1 : i + 1])
+                if k == 0:
+                    score += order * math.log10(alpha) - math.log10(n)
+                elif c(gram):
+                    score += math.log10(c(gram) / (c(gram[:-1]) if k > 1 else n)) + (order - k) * math.log10(alpha)
+                    known += k == order
+                    break
+        out.append((len(words), known, score))
     return out
 
 
-@pytest.mark.parametrize("bounds", [{}, {"kept": 50, "hot_words": 20, "hot_pairs": 100, "least_groups": 3}, {"kept": 1, "hot_words": 1, "hot_pairs": 1}, {"least": 3, "kept": 3000, "hot_words": 300, "hot_pairs": 3000}])
-def test_equals_counting(spark, bounds):
+@pytest.mark.parametrize("options", [{}, {"order": 2}, {"order": 1, "alpha": 0.5}, {"order": 4, "share": 20}, {"share": 1}])
+def test_equals_counting(spark, options):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     texts += [None, "", " \n", "one", "One one ONE", "a b " * 30_000, texts[0], texts[0].upper()]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n int")
-    got = {r.doc_id: r for r in backoff_scores(df, **bounds).collect()}
-    for i, (n, known, score) in enumerate(brute(texts, bounds.get('least', 2))):
-        assert (got[i].n_words, got[i].n_pairs_known) == (n, known)
+    got = {r.doc_id: r for r in backoff_scores(df, **options).collect()}
+    assert len(got) == len(texts)
+    share = {k: v for k, v in options.items() if k != "share"}
+    for i, (n, known, score) in enumerate(brute(texts, **share)):
+        assert (got[i].n_words, got[i].n_known) == (n, known), i
         assert got[i].log10_score == pytest.approx(score, abs=1e-6)
         assert got[i].mean_log10 == (pytest.approx(score / n) if n else None)
 
 
 def test_repeated_rows_and_no_rows(spark):
-    texts = ["a b c", "a b c", "a b d", "a b d"]
-    df = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (2, texts[2]), (3, texts[3])], "doc_id long, text string")
-    got = sorted((r.n_words, r.n_pairs_known, round(r.log10_score, 9)) for r in backoff_scores(df).collect())
+    texts = ["a b c", "a b c", "a b d", "a b d", "A b d"]
+    df = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (2, texts[2]), (3, texts[3]), (3, texts[4])], "doc_id long, text string")
+    got = sorted((r.n_words, r.n_known, round(r.log10_score, 9)) for r in backoff_scores(df).collect())
     assert got == sorted((n, k, round(s, 9)) for n, k, s in brute(texts))
     assert backoff_scores(df.limit(0)).count() == 0
+
+
+def test_equals_sql(spark):
+    d = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    got = op9_lm_score(spark, d)
+    want = duck.sql(oracle_sql()["op9_lm_score"])
+    assert sorted(map(tuple, got.collect())) == sorted(want.select(*got.columns).fetchall())
