@@ -1,26 +1,31 @@
-"""Token counts through a finite-state transducer that is compiled from a tokenizer model.
-
-A BPE model with white-space prefixes never merges across the start of a run of
-spaces, and never across a character that no longer piece contains. Such positions
-return the tokenizer to its start state, so a text is a walk through a deterministic
-transducer: the states are prefixes of a segment, moves inside a segment emit
-nothing, and the move that leaves a segment emits that segment's token count. Paths
-are compiled on demand, each by one call of the tokenizer library, and kept in a
-bounded table; a walk over a known path is then one look-up.
-
-A text is cut into chunks. A chunk's effect from any start state is its *state map*
-``(head, emitted, tail)``: the part that belongs to a segment begun before it, the
-tokens emitted by whole segments inside it, and the segment still open at its end.
-State maps compose associatively, so chunks are walked independently and the maps
-are joined by a balanced scan.
+"""Token counts through a finite-state transducer compiled from a byte-pair model.
+
+The model's pieces and merge ranks are compiled; the tokenizer library only reads them
+from the file. Reading a text from left to right, the last token of every prefix is the
+one piece that ends there and that the merges would leave beside the last token of the
+prefix before it. What later characters can still change is bounded by the longest
+piece, so a state is a node of the pieces' suffix automaton with, for each piece begun
+but not ended, the token before it and the tokens emitted since. States and
+transitions are made as they are met, each transition annotated with the tokens it
+emits (a character that completes a longer piece may take some back), and kept in a
+bounded table.
+
+Between two characters that no piece holds side by side the transducer is back in its
+start state. A text is cut there into segments, whose walks are composed once and kept.
+A chunk of a long text has a *state map* ``(head, emitted, tail)``: what belongs to a
+segment begun before it, the tokens of whole segments inside it, and the segment still
+open at its end. State maps compose associatively: chunks of long texts are rows of
+their own, mapped apart, and joined level by level.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,82 +35,269 @@ SPACE = "▁"
 StateMap = tuple[str, int, "str | None"]
 
 
-class Transducer(dict):
-    """Compiled paths: segment -> tokens emitted on leaving it.
+class State:
+    """A node of the suffix automaton; ``open`` gives for each length of a piece begun the token before it and the tokens emitted since."""
+
+    __slots__ = ("node", "next", "open")
+
+    def __init__(self, node: int, begun: dict[int, tuple[str | None, int]]) -> None:
+        self.node, self.open, self.next = node, begun, {}
+
+
+def read_pieces(model: str) -> dict[str, float]:
+    """Ordinary pieces of a sentencepiece model and their scores; the model falls back to bytes."""
+    import sentencepiece
 
-    ``limit`` bounds the paths kept by a Python worker; when it is reached the table
-    is cleared and paths are compiled again as they are met.
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    return {sp.id_to_piece(i): sp.get_score(i) for i in ids}
+
+
+class Transducer:
+    """Transitions between states, and ``known``: segment -> tokens of its whole walk.
+
+    ``limit`` bounds the states and the segments that are kept; beyond it they are made
+    again as they are met.
     """
 
-    def __init__(self, model: str, limit: int = 400_000) -> None:
-        import sentencepiece
+    def __init__(self, pieces: dict[str, float], limit: int = 200_000) -> None:
+        self.pieces, self.limit, self.size = pieces, limit, 0
+        self.beside = {pair for p in pieces for pair in zip(p, p[1:], strict=False)}
+        self._automaton()
+        self.start = State(0, {0: (None, 0)})
+        self.states: dict[tuple, State] = {}
+        order = sorted(set(pieces.values()), reverse=True)
+        at = {score: i for i, score in enumerate(order)}
+        self.rank = {p: at[score] for p, score in pieces.items()}
+        self.halves = _Halves(self)
+        self.known = _Known(self)
+        cut = all(a == SPACE for a, b in self.beside if b == SPACE) and not any("\n" in p for p in pieces)
+        self.segments = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+" if cut else r"(?s:.+)").findall
 
-        super().__init__()
-        self.encode = sentencepiece.SentencePieceProcessor(model_file=model).encode
-        pieces = sentencepiece.SentencePieceProcessor(model_file=model)
-        names = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
-        if any(SPACE in name.lstrip(SPACE) for name in names) or any("\n" in name for name in names):
-            raise ValueError("pieces of this model cross segments, so it has no transducer of this kind")
-        self.limit = limit
-        self.segments = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+").findall
-        self.base = len(self.encode("\n", num_threads=1))  # the prefix and the line break before a segment
+    def _automaton(self) -> None:
+        """Nodes of the pieces' beginnings: children, link to the longest proper suffix, lengths of pieces that end there, lengths of beginnings."""
+        self.children: list[dict[str, int]] = [{}]
+        depth, char, ends = [0], [""], [False]
+        for piece in self.pieces:
+            at = 0
+            for c in piece:
+                if c not in self.children[at]:
+                    self.children[at][c] = len(depth)
+                    self.children.append({})
+                    depth.append(depth[at] + 1)
+                    char.append(c)
+                    ends.append(False)
+                at = self.children[at][c]
+            ends[at] = True
+        self.char, self.link = char, [0] * len(depth)
+        self.ending: list[tuple[int, ...]] = [()] * len(depth)
+        self.begun: list[tuple[int, ...]] = [()] * len(depth)
+        queue = [0]
+        for node in queue:
+            for c, child in self.children[node].items():
+                queue.append(child)
+                link = self.link[node]
+                while link and c not in self.children[link]:
+                    link = self.link[link]
+                self.link[child] = link = self.children[link].get(c, 0) if node else 0
+                self.ending[child] = ((depth[child],) if ends[child] else ()) + self.ending[link]
+                self.begun[child] = ((depth[child],) if self.children[child] else ()) + self.begun[link]
+        self.spelled = [""] * len(depth)
+        for node in queue:
+            for c, child in self.children[node].items():
+                self.spelled[child] = self.spelled[node] + c
 
-    def __missing__(self, segment: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        n = len(self.encode("\n" + segment, num_threads=1)) - self.base
-        if len(segment) <= 256:  # a longer one would hardly come again
-            self[segment] = n
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """The tokens of a short text of known characters: the best adjacent pair is merged, the leftmost of equals, until none is a piece or ``least`` are left."""
+        parts = list(text)
+        while len(parts) > least:
+            score, at = max((self.pieces.get(parts[i] + parts[i + 1], -float("inf")), -i) for i in range(len(parts) - 1))
+            if score == -float("inf"):
+                break
+            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+        return parts
+
+    def _fits(self, a: str, b: str) -> bool:
+        """Whether the merges leave ``b`` beside ``a``.
+
+        The merges that made the two are taken back, the latest first; they don't fit if
+        the parts that then touch would have been merged earlier than that one.
+        """
+        if a[-1] == b[0] == SPACE:  # runs of spaces share a rank
+            return self.merged(a + b) == [a, b]
+        rank, halves, bound = self.rank, self.halves, float("inf")
+        while True:
+            if rank.get(a + b, bound) < bound:
+                return False
+            in_a, in_b = rank[a] if len(a) > 1 else -1, rank[b] if len(b) > 1 else -1
+            if in_a == in_b == -1:
+                return True
+            if in_a > in_b:  # of equal merges the left one comes first
+                bound, a = in_a, halves[a][1]
+            else:
+                bound, b = in_b + 1, halves[b][0]
+
+    def _compile(self, state: State, c: str) -> tuple[State, int]:
+        """The transition for ``c``: the next state and the tokens emitted."""
+        if state.node and (self.char[state.node], c) not in self.beside:
+            state = self.start
+        node = state.node
+        while node and c not in self.children[node]:
+            node = self.link[node]
+        node = self.children[node].get(c, 0)
+        if not node:  # no piece holds it: a token for each byte
+            return self.start, len(c.encode())
+        for length in self.ending[node]:
+            before, since = state.open[length - 1]
+            token = self.spelled[node][-length:]
+            if before is None or self._fits(before, token):
+                break
+        emitted = since + 1
+        begun = {0: (token, 0)}
+        for length in self.begun[node]:
+            before, since = state.open[length - 1]
+            begun[length] = (before, since - emitted)
+        key = (node, *begun.items())
+        found = self.states.get(key)
+        if found is None:
+            if len(self.states) >= self.limit:
+                self.states.clear()
+                self.start.next.clear()
+            found = self.states[key] = State(node, begun)
+        return found, emitted
+
+    def walk(self, text: str) -> int:
+        """Tokens emitted from the start state over a whole text."""
+        state, n = self.start, 0
+        for c in text:
+            step = state.next.get(c)
+            if step is None:
+                step = state.next[c] = self._compile(state, c)
+            state, emitted = step
+            n += emitted
         return n
 
-    def walk(self, chunk: str) -> StateMap:
+    def map(self, chunk: str) -> StateMap:
         found = self.segments(chunk)
         if len(found) < 2:
             return chunk, 0, None
-        return found[0], sum(map(self.__getitem__, found[1:-1])), found[-1]
+        return found[0], sum(map(self.known.__getitem__, found[1:-1])), found[-1]
 
     def join(self, a: StateMap, b: StateMap) -> StateMap:
         (head, n, tail), (head_b, n_b, tail_b) = a, b
         if tail is None:
-            whole = self.segments(head + head_b)
+            head, m, open_ = self.map(head + head_b)
             if tail_b is None:
-                return (whole[0] if whole else "", sum(map(self.__getitem__, whole[1:-1])), whole[-1]) if len(whole) > 1 else (head + head_b, 0, None)
-            return whole[0] if whole else "", n_b + sum(map(self.__getitem__, whole[1:])), tail_b
+                return head, m, open_
+            return head, m + n_b + (self.known[open_] if open_ is not None else 0), tail_b
         middle = self.segments(tail + head_b)
         if tail_b is None:
-            return head, n + sum(map(self.__getitem__, middle[:-1])), middle[-1] if middle else tail
-        return head, n + n_b + sum(map(self.__getitem__, middle)), tail_b
-
-    def count(self, text: str | None, chunk: int) -> int:
-        if not text:
-            return 0
-        text = SPACE + text.replace(" ", SPACE)
-        maps = [self.walk(text[i : i + chunk]) for i in range(0, len(text), chunk)]
+            return head, n + sum(map(self.known.__getitem__, middle[:-1])), middle[-1] if middle else tail
+        return head, n + n_b + sum(map(self.known.__getitem__, middle)), tail_b
+
+    def scan(self, maps: list[StateMap]) -> StateMap:
         while len(maps) > 1:  # one level of the scan
             maps = [self.join(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, n, tail = maps[0]
-        return n + self[head] + (self[tail] if tail is not None else 0)
+        return maps[0]
+
+    def total(self, whole: StateMap) -> int:
+        head, n, tail = whole
+        return n + self.known[head] + (self.known[tail] if tail is not None else 0)
+
+    def count(self, text: str | None) -> int:
+        return sum(map(self.known.__getitem__, self.segments(spaced(text)))) if text else 0
+
+
+class _Halves(dict):
+    """Piece -> the two parts that its last merge joins."""
 
+    def __init__(self, transducer: Transducer) -> None:
+        super().__init__()
+        self.merged = transducer.merged
+
+    def __missing__(self, piece: str) -> tuple[str, str]:
+        found = self[piece] = tuple(self.merged(piece, 2))
+        return found
+
+
+class _Known(dict):
+    """Segment -> tokens of its walk."""
+
+    def __init__(self, transducer: Transducer) -> None:
+        super().__init__()
+        self.walk, self.limit = transducer.walk, 2 * transducer.limit
+
+    def __missing__(self, segment: str) -> int:
+        n = self.walk(segment)
+        if len(segment) <= 256:  # a longer one would hardly come again
+            if len(self) >= self.limit:
+                self.clear()
+            self[segment] = n
+        return n
 
-def token_count(text: Column, model: str, chunk: int = 65_536) -> Column:
+
+def spaced(text: str) -> str:
+    """The text as the model reads it: with a leading space, spaces as a visible mark."""
+    return SPACE + text.replace(" ", SPACE)
+
+
+@lru_cache(maxsize=1)
+def transducer(model: str) -> Transducer:
+    """The transducer of a model file, kept by a Python worker."""
+    return Transducer(read_pieces(model))
+
+
+def token_count(text: Column, model: str) -> Column:
     """Tokens of ``text`` without begin, end or added special tokens; null counts as empty."""
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        transducer = Transducer(model)
+        count = transducer(model).count
         for texts in batches:
-            yield pd.Series([transducer.count(t, chunk) for t in texts], dtype="int64")
+            yield pd.Series([count(t) for t in texts], dtype="int64")
 
     return counted(text)
 
 
-def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _long_counts(docs: DataFrame, model: str, chunk: int) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens`` of long texts: a row a chunk, mapped apart, the maps joined for each text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                text = spaced(text)
+                for at in range(0, len(text), chunk):
+                    yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 1) for j in range(3)), pa.array([at // chunk], pa.int64()), pa.array([text[at : at + chunk]])], names=["row", "doc_id", "n_bytes", "at", "part"])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            head, emitted, tail = zip(*map(transducer(model).map, batch.column(4).to_pylist()), strict=True) if len(batch) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(4)), pa.array(head, pa.string()), pa.array(emitted, pa.int64()), pa.array(tail, pa.string())], names=["row", "doc_id", "n_bytes", "at", "head", "emitted", "tail"])
+
+    def joined(maps: pd.DataFrame) -> pd.DataFrame:
+        t, maps = transducer(model), maps.sort_values("at")
+        parts = [(h, int(n), None if pd.isna(x) else x) for h, n, x in zip(maps["head"], maps["emitted"], maps["tail"], strict=True)]
+        return pd.DataFrame({"doc_id": maps["doc_id"].iloc[:1].astype("Int64"), "n_bytes": maps["n_bytes"].iloc[:1], "n_tokens": [t.total(t.scan(parts))]})
+
+    row = "row long, doc_id long, n_bytes long, at long"
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", "text")
+    chunks = keyed.mapInArrow(cut, f"{row}, part string").repartition("row", "at")
+    maps = chunks.mapInArrow(mapped, f"{row}, head string, emitted long, tail string")
+    return maps.groupBy("row").applyInPandas(joined, "doc_id long, n_bytes long, n_tokens long")
+
+
+def token_counts(docs: DataFrame, model: str, limit: int = 4096, chunk: int = 262_144, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
     A null or empty text has no bytes and no tokens; a null id and repeated rows are
-    kept as they come; no rows give no rows; other columns are ignored. One narrow
-    pass, no shuffle. ``model`` must be readable at the same path on every executor.
+    kept as they come; no rows give no rows; other columns are ignored. Texts of up to
+    ``chunk`` characters are counted in one narrow pass; longer ones are cut into chunks
+    that are dealt anew. ``model``, a byte-pair model with byte fallback, must be
+    readable at the same path on every executor.
     """
     text = F.col(text_col)
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), token_count(text, model).alias("n_tokens"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(text, F.lit("")).alias("text"))
+    short = F.length("text") <= chunk
+    counted = rows.filter(short).select("doc_id", "n_bytes", token_count(F.col("text"), model).alias("n_tokens"))
+    counted = counted.unionByName(_long_counts(rows.filter(~short), model, chunk))
     return counted.select("*", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,6 +1,7 @@
 """Token counts, secrets and licences against brute force."""
 
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -9,7 +10,7 @@ import sentencepiece
 
 from fathomgrid.llm.license_scan import TEMPLATES, scan_licences
 from fathomgrid.llm.secret_scan import guess_cost, scan_secrets
-from fathomgrid.llm.token_counts import Transducer, token_counts
+from fathomgrid.llm.token_counts import SPACE, Transducer, read_pieces, spaced, token_counts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", None, " ", "  ", "a ", " a", "\n", "a\n\n b", "▁x▁▁y", "x" * 3000, "a b " * 900, "é日本　語 \U0001f600", "<s> </s>", "tab\tand\r\nline", "  \n  \n", "DE!! UNE!! ÈTRE"]
@@ -34,11 +35,50 @@ def test_tokens_equal_the_library(spark):
         assert got[i].over_limit == (got[i].n_tokens > 4096)
 
 
+def test_long_texts_are_cut_and_joined(spark):
+    texts = [t for t in ODD + real(spark, 40) if t] + ["日" * 40, "word " * 40]
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    df = frame(spark, texts + texts[:3])
+    for chunk in (5, 30):
+        got = sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts(df, MODEL, chunk=chunk).collect())
+        assert got == [(i, len(t.encode()), len(sp.encode(t))) for i, t in enumerate(texts + texts[:3])]
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 3, 7, 64])
 def test_state_maps_compose(chunk):
-    sp, t = sentencepiece.SentencePieceProcessor(model_file=MODEL), Transducer(MODEL, limit=50)
+    sp, t = sentencepiece.SentencePieceProcessor(model_file=MODEL), Transducer(read_pieces(MODEL), limit=50)
     for text in ODD[2:]:
-        assert t.count(text, chunk) == len(sp.encode(text)), (chunk, text[:60])
+        read = spaced(text)
+        whole = t.scan([t.map(read[i : i + chunk]) for i in range(0, len(read), chunk)])
+        assert t.total(whole) == len(sp.encode(text)) == t.walk(read), (chunk, text[:60])
+
+
+def test_transitions_equal_the_library_on_random_texts():
+    rng, t = random.Random(4), Transducer(read_pieces(MODEL), limit=2000)
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    some = ["a", "the", "▁", " ", "  ", "\n", "é", "日", "tion", "ing", "\t", "<s>", "0", "19", "x", "Q", "😀", "ß", "://", "Sch"]
+    for _ in range(3000):
+        text = "".join(rng.choice(some) if rng.random() < 0.7 else chr(rng.randint(32, 1200)) for _ in range(rng.randint(1, 20)))
+        assert t.count(text) == len(sp.encode(text)), repr(text)
+
+
+def test_pieces_fit_as_the_merges_say():
+    rng, t = random.Random(3), Transducer(read_pieces(MODEL))
+    pieces = [p for p in t.pieces if SPACE not in p]
+    for _ in range(20_000):
+        a, b = rng.choice(pieces), rng.choice(pieces)
+        assert t._fits(a, b) == (t.merged(a + b) == [a, b]), (a, b)
+
+
+def test_pieces_across_segments():
+    """A model whose pieces span spaces has no cuts there and is walked whole."""
+    t = Transducer({"a": -9.0, "b": -10.0, SPACE: -11.0, f"a{SPACE}": -1.0, f"a{SPACE}b": -2.0, f"b{SPACE}": -3.0, f"{SPACE}a": -4.0})
+    for text in ("a b a b", "b a", "aab b", "abaab a", "c a b", "b b a a"):
+        assert t.walk(spaced(text)) == t.count(text)
+        assert t.count(text) == sum(len(t.merged(x)) if "c" not in x else len(x.encode()) for x in re.findall("c|[^c]+", spaced(text))), text
+        for chunk in (1, 2, 3):
+            read = spaced(text)
+            assert t.total(t.scan([t.map(read[i : i + chunk]) for i in range(0, len(read), chunk)])) == t.count(text)
 
 
 def brute_secrets(text):
