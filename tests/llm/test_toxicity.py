@@ -1,5 +1,6 @@
 """The label model on made-up votes, and held-out accuracy on the tables."""
 
+import inspect
 import zlib
 
 import numpy as np
@@ -7,18 +8,62 @@ import numpy as np
 from fathomgrid.llm.toxicity import features, label_model, score_toxicity
 
 
-def test_label_model_finds_accuracies_and_shares_weight():
-    rng = np.random.default_rng(0)
-    truth = rng.random(4000) < 0.15
-    fires = lambda hit, false: np.where(rng.random(4000) < np.where(truth, hit, false), 1, 0)
-    good, weak, noise = fires(0.6, 0.01), fires(0.5, 0.1), fires(0.2, 0.2)
-    votes = np.column_stack([good, weak, noise, good, good]).astype(np.int8)
-    post, theta, discount = label_model(votes, np.ones(4000), None)
-    lift = theta[1, 2] / theta[0, 2]
-    assert lift[0] > lift[1] > lift[2]
-    assert discount[0] < 0.5 < discount[1]
-    seen = votes[:, :2].any(1)
-    assert post[truth & seen].mean() > 0.5 > post[~truth].mean()
+def made_up(n=6000, seed=0):
+    """A hidden class, and voters: good, weak, noise, two copies of the good one, one that repeats the noise."""
+    rng = np.random.default_rng(seed)
+    truth = rng.random(n) < 0.15
+    fires = lambda hit, false: np.where(rng.random(n) < np.where(truth, hit, false), 1, 0)
+    good, other, weak, noise = fires(0.6, 0.005), fires(0.5, 0.005), fires(0.4, 0.03), fires(0.03, 0.03)
+    again = np.where(rng.random(n) < 0.9, noise, 0)
+    return truth, np.column_stack([good, other, weak, noise, good, again]).astype(np.int8)
+
+
+def test_label_model_finds_accuracies_and_dependences():
+    truth, votes = made_up()
+    post, parent, log = label_model(votes, np.ones(len(votes)), 0.15)
+    pairs = {frozenset((j, int(p))) for j, p in enumerate(parent) if p >= 0}
+    assert frozenset((0, 4)) in pairs and frozenset((3, 5)) in pairs
+    fired = [(post @ (v == 1)) / post.sum() / (((1 - post) @ (v == 1)) / (1 - post).sum()) for v in votes.T]
+    assert fired[0] > fired[2] > fired[3] and 0.5 < fired[3] < 3
+    alone = label_model(votes, np.ones(len(votes)), 0.15, least=np.inf)[0]
+    both_noise = (votes[:, 3] == 1) & (votes[:, 5] == 1) & ~votes[:, :3].any(1)
+    assert post[both_noise].mean() < 0.3 < alone[both_noise].mean()  # a voter's echo adds nothing
+    assert post[truth & votes[:, :2].any(1)].mean() > 0.7 > 0.1 > post[~truth].mean()
+
+
+def test_posterior_equals_enumeration():
+    """The posterior is Bayes' rule over the tables that the model returns, whatever the forest."""
+    votes = made_up(400, 3)[1]
+    votes[::7, 2] = -1
+    times = np.arange(1, 401) % 5 + 1
+    for least in (5.0, np.inf):
+        post, parent, log = label_model(votes, times, 0.2, least=least)
+        assert (parent >= 0).any() == (least == 5.0)
+        for row, p in zip(votes.tolist(), post, strict=True):
+            joint = [0.8, 0.2]
+            for c in (0, 1):
+                for j, x in enumerate(row):
+                    above = row[parent[j]] + 1 if parent[j] >= 0 else 0
+                    joint[c] *= np.exp(log[c, j, above, x + 1])
+            assert abs(joint[1] / sum(joint) - p) < 1e-9
+        assert np.allclose(np.exp(log).sum(-1), 1)
+
+
+def test_posterior_is_not_the_gold_label(spark):
+    """The model sees votes and the toxic share only: other labels on the same votes leave its posterior as it is, and it differs from them."""
+    truth, votes = made_up()
+    post = label_model(votes, np.ones(len(votes)), 0.15)[0]
+    wrong = (post > 0.5) != truth
+    assert 0 < wrong.mean() < 0.2
+    assert "toxic" not in inspect.signature(label_model).parameters and "labels" not in inspect.signature(label_model).parameters
+
+
+def test_rows_that_stand_for_many():
+    votes = made_up(500, 1)[1]
+    short, times = np.unique(votes, axis=0, return_counts=True)
+    a, b = label_model(votes, np.ones(500), 0.15)[0], label_model(short, times, 0.15)[0]
+    place = {tuple(r): i for i, r in enumerate(short.tolist())}
+    assert np.allclose(a, [b[place[tuple(r)]] for r in votes.tolist()])
 
 
 def test_features():
