@@ -11,8 +11,9 @@ hash of the n-gram and joined from the longest order down. What an order explain
 sent down as two kinds of rows: words explained, for the n-gram's last words, and uses
 as a context, for its first words. Logarithms are summed for each document.
 
-Frequent n-grams don't pile up: those that make up one in ``share`` of all, so no more
-than ``share`` of them, are broadcast with their counts and their rows dealt by document.
+Frequent n-grams don't pile up: those that stand once in ``share`` words or more, so
+about ``share`` of each order at most, are broadcast with their counts and their rows
+dealt by document.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialise, sized_join
 
 _START = xxhash.xxh64_intdigest(b"\n")  # what stands before the first word; no word holds white space
-_FLUSH = 2_000_000  # n-grams whose counts are added up before they are sent
+_FLUSH = 500_000  # n-grams whose counts are added up before they are sent
 
 
 class Hasher(dict):
@@ -65,16 +66,19 @@ def _orders(words: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def ngram_counts(texts: DataFrame, order: int) -> DataFrame:
-    """``k, g, c``: how often each n-gram of each order stands in ``texts(text)``; those that stand once are left out, as nothing else can hold them."""
+    """``g, c``: how often each n-gram of each order stands in ``texts(text)``; those that stand once are left out, as nothing else can hold them.
+
+    Counts are added up for half a million n-grams at a time before they are dealt, so a frequent one is a row for each of these.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = Hasher(), [[] for _ in range(order)], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for k, parts in enumerate(held, 1):
+            for parts in held:
                 g, c = np.unique(np.concatenate(parts), return_counts=True)
                 parts.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int8)), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], names=["k", "g", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], names=["g", "c"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -89,7 +93,7 @@ def ngram_counts(texts: DataFrame, order: int) -> DataFrame:
         if size:
             yield from flush()
 
-    return texts.select("text").mapInArrow(counted, "k byte, g long, c long").groupBy("k", "g").agg(F.sum("c").alias("c")).filter("c > 1")
+    return texts.select("text").mapInArrow(counted, "g long, c long").repartition("g").groupBy("g").agg(F.sum("c").alias("c")).filter("c > 1")
 
 
 def exploded(texts: DataFrame, k: int, order: int) -> DataFrame:
@@ -119,16 +123,14 @@ def exploded(texts: DataFrame, k: int, order: int) -> DataFrame:
     return texts.select("doc", "text").mapInArrow(emit, schema)
 
 
-def _counted(rows: DataFrame, counts: DataFrame, share: int) -> DataFrame:
-    """``rows`` added up by n-gram and document, with ``others``: how often other rows hold the n-gram."""
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    hot = counts.filter(F.col("c") * share >= total)  # no more than ``share`` of them
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _counted(rows: DataFrame, counts: DataFrame, least: float, parts: int) -> DataFrame:
+    """``rows`` added up by n-gram and document in ``parts`` partitions, with ``others``: how often other rows hold the n-gram; n-grams that stand ``least`` times are broadcast."""
+    hot = counts.filter(F.col("c") >= least)
     rows = rows.join(F.broadcast(hot.select("g", F.col("c").alias("often"))), "g", "left")
-    rows = rows.withColumn("salt", F.when(F.col("often").isNull(), 0).otherwise(F.pmod("doc", F.lit(parts)))).repartition("g", "salt")
+    rows = rows.withColumn("salt", F.when(F.col("often").isNull(), 0).otherwise(F.pmod("doc", F.lit(parts)))).repartition(parts, "g", "salt")
     rows = rows.groupBy("g", "salt", "doc").agg(F.max("n").alias("n"), F.max("t").alias("t"), F.max("head").alias("head"), F.max("tail").alias("tail"), F.sum("explained").alias("explained"), F.sum("context").alias("context"), F.max("often").alias("often"))
-    rest = counts.filter(F.col("c") * share < total).select("g", F.lit(0).cast("long").alias("salt"), "c")
-    return rows.join(rest.hint("shuffle_hash"), ["g", "salt"], "left").withColumn("others", F.greatest(F.coalesce("often", "c", F.lit(0)) - F.col("n"), F.lit(0)))
+    rest = counts.filter(F.col("c") < least).select("g", F.lit(0).cast("long").alias("salt"), "c")
+    return rows.join(rest, ["g", "salt"], "left").withColumn("others", F.greatest(F.coalesce("often", "c", F.lit(0)) - F.col("n"), F.lit(0)))
 
 
 def _distinct_texts(keyed: DataFrame) -> DataFrame:
@@ -142,7 +144,7 @@ def _log(x: Column) -> Column:
     return F.log10(F.greatest(x.cast("double"), F.lit(1.0)))
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, share: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, share: int = 65_536, partition_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_known, log10_score, mean_log10.
 
     Words are split at ASCII white space, A-Z lower-cased, and follow ``order`` - 1 start
@@ -150,20 +152,22 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, share: i
     is the sum over words, mean_log10 that by n_words (null without words, as for null
     and empty texts). Every row counts for the tables, repeated ones too: a row that
     stands twice is known from its copy. Null ids are kept; rows of the same text get
-    the same score. No rows give no rows; other columns are ignored.
+    the same score. No rows give no rows; other columns are ignored. A partition of the
+    exploded n-grams of an order holds those of about ``partition_words`` words.
     """
     text = F.col(text_col)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc"), text.alias("text"))
     counts = materialise(ngram_counts(keyed, order))
     words = keyed.agg(F.sum(_n_words(F.col("text")))).first()[0] or 0
     texts = _distinct_texts(keyed)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / partition_words))
     below, sums = None, []
     zero = F.lit(0).cast("long")
     for k in range(order, 0, -1):
         rows = exploded(texts, k, order).withColumns({"explained": zero, "context": zero})
         if below is not None:
             rows = rows.unionByName(below, allowMissingColumns=True)
-        seen = _counted(rows, counts.filter(F.col("k") == k), share).withColumns({"left": F.col("t") - F.col("explained"), "known": F.col("others") > 0})
+        seen = _counted(rows, counts, max(2, words / share), parts).withColumns({"left": F.col("t") - F.col("explained"), "known": F.col("others") > 0})
         gain = F.when(F.col("known"), F.col("left") * (_log(F.col("others")) + (order - k) * math.log10(alpha)) - F.col("context") * _log(F.col("others")))
         if k > 1:
             seen = materialise(seen.filter("known").select("doc", "head", "tail", "t", "left", gain.alias("score")))
