@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns, and guess costs of the values in credential contexts.
 
 A value's guess cost is the smallest sum, over all ways to segment it, of the log10
-guesses of its parts: dictionary words, dates and years, repeats, keyboard walks and
-brute-forced characters. The dynamic programme is linear in the value's length, so
-values of any length are scored whole.
+guesses of its parts: dictionary words, dates and years, keyboard walks, repeats of what
+stands before and brute-forced characters. Every part but words and dates is paid by
+the character once begun, so all sub-spans of walks and repeats are weighed and the
+dynamic programme is linear in the value's length: values of any length are scored
+whole. The dictionary is a short fixed list and the corpus's own frequent words.
 """
 
 from __future__ import annotations
@@ -11,13 +13,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A run of 24 or more is a match of [0-9a-f]+ that is long enough, and the reverse.
@@ -35,64 +38,92 @@ daniel ginger cookie orange banana computer internet server system root user tes
 private token key data base backup office company service manager support google apple windows linux love money
 the and you for with this that have from your""".split()
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujmikolp")
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
+_DAY, _MONTH, _YEAR, _GAP = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:19|20)[0-9]{2}", "[-/._]?"
+#: Dates, and the log10 guesses of each.
+DATES = tuple((re.compile(p), cost) for p, cost in ((_YEAR, 2.1), (_YEAR + _GAP + _MONTH, 3.3), (_YEAR + _GAP + _MONTH + _GAP + _DAY, 4.6), (_DAY + _GAP + _MONTH + _GAP + _YEAR, 4.6), (_MONTH + _GAP + _DAY + _GAP + _YEAR, 4.6)))
+CHANGED = 0.3  # for capitals, and for characters that stand for others
+WALK_START, WALK_STEP = 3.1, 0.2  # a row, a place and a direction; each further key
+REPEAT_START, REPEAT_STEP, LONGEST_REPEAT = 1.0, 0.1, 16  # how much is repeated; each repeated character
 
-_RANK = {w: math.log10(i + 2) for i, w in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
 _STEP = {pair for row in WALKS for line in (row, row[::-1]) for pair in zip(line, line[1:], strict=False)}
 _LEET = str.maketrans("@4301$57!", "aaeolssti")
 
 
+class Words(dict):
+    """Word -> log10 of its rank, the cheapest first."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        super().__init__()
+        for word in words:
+            self.setdefault(word, math.log10(len(self) + 2))
+        self.longest = max(map(len, self), default=0)
+
+
+_COMMON = Words(COMMON)
+
+
 def _alphabet(value: str) -> float:
     size = 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value)
     return math.log10(max(size, 10))
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation; 0 for an empty value."""
+def _plain(value: str) -> tuple[str, str]:
+    """The value in lower case, and with characters that stand for letters replaced; both as long as it is."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    return low, low.translate(_LEET)
+
+
+def guess_cost(value: str, words: Words = _COMMON) -> float:
+    """log10 of the guesses of the cheapest segmentation; 0 for an empty value.
+
+    ``best[i]`` is the least cost of the first i characters; ``walk`` and ``same[p]`` are
+    the least costs of those whose last part is a walk, or a repeat of the p characters
+    before, that may go on.
+    """
     n, one = len(value), _alphabet(value)
-    low = value.lower()
-    plain = low.translate(_LEET) if len(low) == n else value
-    low = low if len(low) == n else value
+    low, plain = _plain(value)
     best = [0.0] + [math.inf] * n
-    same = walk = n  # where the run that holds i begins, seen from the right
-    run_end, walk_end = [0] * (n + 1), [0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        same = same if i + 1 < n and low[i] == low[i + 1] else i + 1
-        walk = walk if i + 1 < n and (low[i], low[i + 1]) in _STEP else i + 1
-        run_end[i], walk_end[i] = same, walk
+    walk, same = math.inf, [math.inf] * (LONGEST_REPEAT + 1)
     for i in range(n):
         here = best[i]
-        best[i + 1] = min(best[i + 1], here + one)
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(plain[i:j])
-            if rank is not None:
-                capital = 0.3 * (value[i:j] != low[i:j]) + 0.3 * (plain[i:j] != low[i:j])
-                best[j] = min(best[j], here + rank + capital)
-        for end, base in ((run_end[i], one), (walk_end[i], 1.6)):
-            if end - i >= 3:
-                best[end] = min(best[end], here + base + math.log10(end - i))
-        date = DATE.match(value, i)
-        if date:
-            best[date.end()] = min(best[date.end()], here + (2.1 if date.end() - i == 4 else 4.6))
+        cost = here + one
+        walk = min(walk, best[i - 1] + WALK_START) + WALK_STEP if i and (low[i - 1], low[i]) in _STEP else math.inf
+        cost = min(cost, walk)
+        for p in range(1, min(i, LONGEST_REPEAT) + 1):
+            if low[i - p] == low[i]:
+                same[p] = min(same[p], here + REPEAT_START) + REPEAT_STEP
+                cost = min(cost, same[p])
+            else:
+                same[p] = math.inf
+        best[i + 1] = min(best[i + 1], cost)
+        for j in range(i + 2, min(n, i + words.longest) + 1):
+            for spelled in {low[i:j], plain[i:j]}:
+                rank = words.get(spelled)
+                if rank is not None:
+                    best[j] = min(best[j], here + rank + CHANGED * (value[i:j] != low[i:j]) + CHANGED * (spelled != low[i:j]))
+        if low[i].isdigit():
+            for pattern, guesses in DATES:
+                date = pattern.match(value, i)
+                if date:
+                    best[date.end()] = min(best[date.end()], here + guesses)
     return best[n]
 
 
-def scan(text: str, strong: float = 8.0) -> tuple[list[tuple[int, int, int]], float | None]:
+def scan(text: str, strong: float = 8.0, words: Words = _COMMON) -> tuple[list[tuple[int, int, int]], float | None]:
     """Spans ``(start, kind, end)`` in order, and the largest guess cost of a value."""
     spans, costs, taken = [], [], set()
     if ":" in text or "=" in text:
         for m in ASSIGN.finditer(text):
             if m.end(2) - m.start(2) >= 6:
                 spans.append((m.start(), 0, m.end()))
-                costs.append(guess_cost(m[2]))
+                costs.append(guess_cost(m[2], words))
                 taken.add(m.start(2))
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in CONTEXT.finditer(text):
         if m.start(1) not in taken and m.end() - m.start(1) >= 6:
-            cost = guess_cost(m[1])
+            cost = guess_cost(m[1], words)
             if cost >= strong:
                 costs.append(cost)
                 spans.append((m.start(1), 3, m.end(1)))
@@ -102,22 +133,35 @@ def scan(text: str, strong: float = 8.0) -> tuple[list[tuple[int, int, int]], fl
 _SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_credential long, max_guess_log10 double"
 
 
-def scan_secrets(docs: DataFrame, strong: float = 8.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 65_536, share: int = 1_048_576) -> list[str]:
+    """The words of 4 to 24 lower-case letters that are at least one in ``share`` of all such words of the corpus, ``most`` at most, the most frequent first.
+
+    Words that rare texts hold, such as passwords, don't get in. Counting covers all rows.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z]{4,}"), 0)).alias("word")).filter(F.length("word") <= 24)
+    counts = materialise(words.groupBy("word").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [r.word for r in counts.filter((F.col("n") * share >= total) & (F.col("n") >= 20)).orderBy(F.col("n").desc(), "word").limit(most).collect()]
+
+
+def scan_secrets(docs: DataFrame, strong: float = 8.0, dictionary: Iterable[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with the secrets of the whole text; positions are code points.
 
     Kinds assign, access and hex are the fixed patterns. Kind credential is the value
     alone, in a context such as ``pwd=`` or ``passphrase is``, of six characters or more
     whose guess cost is ``strong`` or above. max_guess_log10 is the largest cost among
-    assign and credential values, null without any. A null text is an empty one; null
-    ids and repeated rows stay; no rows give no rows; other columns are ignored. One
-    narrow pass, no shuffle.
+    assign and credential values, null without any. ``dictionary`` lists words from the
+    most common on; by default `frequent_words` of ``docs``, after a fixed list. A null
+    text is an empty one; null ids and repeated rows stay; no rows give no rows; other
+    columns are ignored. The scan is one narrow pass, no shuffle.
     """
+    words = docs.sparkSession.sparkContext.broadcast(Words([*COMMON, *(frequent_words(docs, text_col) if dictionary is None else dictionary)]))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for text in batch.column(1).to_pylist():
-                spans, cost = scan(text or "", strong)
+                spans, cost = scan(text or "", strong, words.value)
                 names = [f"{KINDS[k]}:{a}:{b}" for a, k, b in spans]
                 base = ",".join(name for name, (_, k, _) in zip(names, spans, strict=True) if k < 3)
                 kinds = [k for _, k, _ in spans]

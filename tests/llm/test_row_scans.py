@@ -1,6 +1,7 @@
 """Token counts, secrets and licences against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -9,7 +10,8 @@ import pytest
 import sentencepiece
 
 from fathomgrid.llm.license_scan import TEMPLATES, scan_licences
-from fathomgrid.llm.secret_scan import guess_cost, scan_secrets
+from fathomgrid.llm import secret_scan as S
+from fathomgrid.llm.secret_scan import Words, guess_cost, scan_secrets
 from fathomgrid.llm.token_counts import SPACE, Transducer, read_pieces, spaced, token_counts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -108,8 +110,84 @@ def test_secrets(spark):
 def test_guess_cost_orders_values():
     assert guess_cost("") == 0
     assert guess_cost("password") < guess_cost("P@ssword") < guess_cost("password1987") < guess_cost("Xk9!vQz#7Lm2")
-    assert guess_cost("aaaaaaaaaaaa") < 4 and guess_cost("qwertyuiop") < 4 and guess_cost("2019-04-05") < 6
-    assert guess_cost("q7" * 20_000) > 1000
+    assert guess_cost("aaaaaaaaaaaa") < 4 and guess_cost("qwertyuiop") < 6 and guess_cost("2019-04-05") < 6
+    assert guess_cost("xq7xq7xq7xq7") < 8 < guess_cost("xq7zk4pw2vb9")
+    assert guess_cost("".join(random.Random(1).choices("abcdefgh0123456789XYZ", k=40_000))) > 10_000
+    assert guess_cost("tresor1987", Words(["tresor"])) < guess_cost("tresor1987")
+
+
+def brute_cost(value, words):
+    """The least cost over all segmentations, each span being every kind of part that it can be."""
+    n, low = len(value), "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    plain = low.translate(str.maketrans("@4301$57!", "aaeolssti"))
+    size = 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value)
+    one = math.log10(max(size, 10))
+    steps = {a + b for row in S.WALKS for line in (row, row[::-1]) for a, b in zip(line, line[1:], strict=False)}
+
+    def span(i, j):
+        found = [one] if j == i + 1 else []
+        if j - i >= 2 and all(low[k : k + 2] in steps for k in range(i, j - 1)):
+            found.append(S.WALK_START + S.WALK_STEP * (j - i - 1))
+        for p in range(1, min(i, S.LONGEST_REPEAT) + 1):
+            if all(low[k] == low[k - p] for k in range(i, j)):
+                found.append(S.REPEAT_START + S.REPEAT_STEP * (j - i))
+        for rank, word in enumerate(words):
+            for spelled in (low[i:j], plain[i:j]):
+                if j - i >= 2 and spelled == word:
+                    found.append(math.log10(rank + 2) + 0.3 * (value[i:j] != low[i:j]) + 0.3 * (spelled != low[i:j]))
+        found += [cost for pattern, cost in S.DATES if pattern.fullmatch(value[i:j])]
+        return min(found, default=math.inf)
+
+    best = [0.0]
+    for j in range(1, n + 1):
+        best.append(min(best[i] + span(i, j) for i in range(j)))
+    return best[n]
+
+
+def test_guess_cost_is_the_least():
+    rng = random.Random(7)
+    words = ["pass", "word", "password", "sun", "ford", "asd", "reed"]
+    some = [*words, "Pass", "p@ss", "1987", "2019-04-05", "0512", "19990101", "qwe", "rty", "321", "aaa", "xq7", "abab", "-", "_", "Z", "9", "é", "İ"]
+    for _ in range(1500):
+        value = "".join(rng.choice(some) if rng.random() < 0.8 else chr(rng.randint(33, 126)) for _ in range(rng.randint(1, 6)))
+        value += value[: rng.randint(0, 5)] * rng.randint(0, 2)
+        assert guess_cost(value, Words(words)) == pytest.approx(brute_cost(value, words)), value
+
+
+def brute_spans(text, words):
+    """Values in credential contexts, by plain steps from every keyword."""
+    taken = {m.start(2) for m in S.ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6}
+    found, at = [], 0
+    while at < len(text):
+        key = re.match(r"(?ai:pwd|passphrase|passcode|pass|credentials|credential|authorization|auth|bearer|private[_-]?key|access[_-]?key|client[_-]?key|login|pin)", text[at:])
+        before = at and re.match("[A-Za-z0-9_]", text[at - 1])
+        rest = key and not before and re.match("[\"']?(?:\\x20*[:=]\\x20*|\\x20+(?ai:is)\\x20+)[\"']?([^\\s\"'<>,;]+)", text[at + key.end() :])
+        if not rest:
+            at += 1
+            continue
+        start, end = at + key.end() + rest.start(1), at + key.end() + rest.end(1)
+        if start not in taken and end - start >= 6 and brute_cost(text[start:end], words) >= 8:
+            found.append((start, end))
+        at = end
+    return found
+
+
+def test_credential_spans(spark):
+    made = ["pwd=Xk9!vQz#7Lm2", "pwd=password", "passphrase is Gk7#pLq2!x", "PIN: 'Zz81kQ7w!p' auth=x", "client-key:kD83nVq0Zs and login = qwertyuiop", "xpwd=Xk9!vQz#7Lm2", "token=abcdefgh pass=token=Xk9vQz7Lm2", "auth=İstanbul9kQzX7", "bearer : " + "Qz7kX9" * 30, "pass=pwd=Xk9!vQz#7Lm2"]
+    texts = ODD + made + real(spark)
+    got = {r.doc_id: r for r in scan_secrets(frame(spark, texts), dictionary=[]).collect()}
+    some = 0
+    for i, t in enumerate(texts):
+        want = [f"credential:{a}:{b}" for a, b in brute_spans(t or "", S.COMMON)]
+        assert [x for x in got[i].spans.split(",") if x.startswith("credential")] == want, t
+        some += len(want)
+    assert some >= 6
+
+
+def test_frequent_words(spark):
+    df = spark.createDataFrame([("alpha beta Alpha gamma",)] * 30 + [("onceonly",), (None,), ("a bc def",)], "text string")
+    assert S.frequent_words(df) == ["alpha", "beta", "gamma"] and S.frequent_words(df, most=1) == ["alpha"]
+    assert S.frequent_words(df.limit(0)) == []
 
 
 def brute_places(text):
