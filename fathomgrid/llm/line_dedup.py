@@ -5,7 +5,8 @@ if one word inserted, deleted or replaced turns one into the other. Every line e
 the hashes of all variants within that bound: itself, and itself without each of its
 words. Lines replaced at word i share the variant without word i; a line that lacks a
 word equals a variant of the longer one. Variants are joined as hashed keys, the
-words of each pair are compared, and of near lines the earliest stays.
+words of each pair are compared, and of near lines the earliest stays. A line of one
+word would be near every other, so such lines are compared for equality.
 
 Two filters lose nothing and keep the neighbourhood small: equal lines are one, and
 a line emits variants only if another line has the same first or last half, which an
@@ -57,10 +58,10 @@ def _mix(h: np.ndarray, *salt: int | np.ndarray) -> np.ndarray:
 
 
 def halves(words: list[bytes]) -> list[int]:
-    """Keys of which two near lines share one: first and last h words, for both sizes of a half."""
+    """Keys of which two near lines of two words or more share one: first and last h words, for both sizes of a half."""
     n, digest = len(words), xxhash.xxh64_intdigest
     out = []
-    for h in {n // 2, (n - 1) // 2}:
+    for h in {n // 2, (n - 1) // 2} - {0}:
         out += [digest(b" ".join(words[:h]), 11), digest(b" ".join(words[n - h :]), 12)]
     return out
 
@@ -132,18 +133,27 @@ def _neighbourhood(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return sized_join(docs, asked, ["owner", "text_hash"], "inner").select("owner", "text_hash", "text", "lines").mapInArrow(emit, schema)
 
 
-def _near(variant: DataFrame) -> DataFrame:
+def _near(variant: DataFrame, share: int = 4096) -> DataFrame:
     """Pairs ``later, earlier`` of places of near lines; every line with an earlier near line is in one.
 
-    Lines that share a gap's variant are compared with the earliest of them only.
+    Lines that share a gap's variant are compared with the earliest of them only. Keys
+    that make up one in ``share`` of all, as of a template line in which one word
+    changes, are joined by broadcast.
     """
     place = F.struct(*AT)
     gaps = variant.filter("gap >= 0").select(place.alias("place"), "key", "gap")
     whole = variant.filter("gap < 0").select(place.alias("one"), F.col("key").alias("same"))
-    first = gaps.groupBy(F.col("key").alias("k"), F.col("gap").alias("g")).agg(F.min("place").alias("one"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    replaced = gaps.join(first, (F.col("key") == F.col("k")) & (F.col("gap") == F.col("g"))).filter("place <> one")
-    missing = gaps.join(whole, F.col("key") == F.col("same")).filter("place <> one")
-    pairs = replaced.select("place", "one").union(missing.select("place", "one"))
+    first = materialise(gaps.groupBy(F.col("key").alias("k"), F.col("gap").alias("g")).agg(F.min("place").alias("one"), F.count("*").alias("n")).filter("n > 1"))
+    least = max(1000.0, (first.agg(F.sum("n")).first()[0] or 0) / share)
+    hot = F.broadcast(first.filter(F.col("n") >= least).select(F.col("k").alias("hot")).distinct())  # no more than ``share``
+    often = gaps.join(hot, F.col("key") == F.col("hot"), "left_semi")
+    rest = gaps.join(hot, F.col("key") == F.col("hot"), "left_anti")
+    pairs = []
+    for rows, one, same in ((rest, first, whole), (often, F.broadcast(first.join(hot, F.col("k") == F.col("hot"), "left_semi")), F.broadcast(whole.join(hot, F.col("same") == F.col("hot"), "left_semi")))):
+        replaced = rows.join(one.drop("n"), (F.col("key") == F.col("k")) & (F.col("gap") == F.col("g"))).filter("place <> one")
+        missing = rows.join(same, F.col("key") == F.col("same")).filter("place <> one")
+        pairs += [replaced.select("place", "one"), missing.select("place", "one")]
+    pairs = pairs[0].union(pairs[1]).union(pairs[2]).union(pairs[3])
     return pairs.select(F.greatest("place", "one").alias("later"), F.least("place", "one").alias("earlier")).distinct()
 
 
@@ -182,17 +192,19 @@ def _rewrite(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__fg_kept", F.when(F.col("__fg_drop").isNull(), F.col("__fg_text")).when(many, without(F.when(many, F.col("__fg_text")), F.when(many, F.col("__fg_drop")))).otherwise(few))
 
 
-def dedup_lines(docs: DataFrame, least: int = 3, fuzzy: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated and near lines taken out, and columns _n_lines, _n_dropped, _n_near.
+def dedup_lines(docs: DataFrame, counts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated and near lines taken out of the texts.
 
-    A line of ``least`` words or more goes if an equal line, and one of ``fuzzy`` words or
-    more also if a near line, stands earlier: in a row of smaller id or, in the same
-    text, further up. Shorter and blank lines stay. Null ids come last; rows that share
-    an id are ordered by a hash of the text, and rows alike in id and text are one
-    document: they get the same result. Null texts stay null, a document whose lines
-    all go is left with an empty text. Every row and column of ``docs`` is kept,
-    but for columns named like the three counts. No rows give no rows.
+    A line goes if an equal or a near line stands earlier: in a row of smaller id or, in
+    the same text, further up. Near lines have two words or more each; lines of one word
+    are compared for equality, blank lines stay. Null ids come last; rows that share an
+    id are ordered by a hash of the text, and rows alike in id and text are one document:
+    they get the same result. Null texts stay null, a document whose lines all go is left
+    with an empty text. Every row and column of ``docs`` is kept. No rows give no rows.
+
+    With ``counts`` the columns are instead the id, the text, n_lines, n_dropped and n_near.
     """
+    least, fuzzy = 1, 2  # words of a line that is compared, and of one that can be near
     keyed = docs.withColumns({"__fg_owner": F.coalesce(F.col(id_col).cast("long"), F.lit(NOWHERE)), "__fg_text": F.col(text_col)}).withColumn("__fg_hash", F.xxhash64("__fg_text"))
     plain = keyed.select(F.col("__fg_owner").alias("owner"), F.col("__fg_hash").alias("text_hash"), F.col("__fg_text").alias("text"))
     lines = materialise(_lines(plain, least, fuzzy))
@@ -206,10 +218,11 @@ def dedup_lines(docs: DataFrame, least: int = 3, fuzzy: int = 8, id_col: str = "
     done = _rewrite(joined).withColumns(
         {
             text_col: F.col("__fg_kept"),
-            "_n_lines": F.when(F.octet_length("__fg_text") > 0, F.octet_length("__fg_text") - F.octet_length(F.replace("__fg_text", F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long"),
-            "_n_dropped": F.coalesce(F.size("__fg_drop"), F.lit(0)).cast("long"),
-            "_n_near": F.coalesce("__fg_near", F.lit(0)).cast("long"),
+            "__fg_lines": F.when(F.octet_length("__fg_text") > 0, F.octet_length("__fg_text") - F.octet_length(F.replace("__fg_text", F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long"),
+            "__fg_dropped": F.coalesce(F.size("__fg_drop"), F.lit(0)).cast("long"),
+            "__fg_near": F.coalesce("__fg_near", F.lit(0)).cast("long"),
         }
     )
-    counts = ["_n_lines", "_n_dropped", "_n_near"]
-    return done.select(*(f"`{c}`" for c in docs.columns if c not in counts), *counts)
+    if counts:
+        return done.select(F.col(id_col), F.col(text_col), F.col("__fg_lines").alias("n_lines"), F.col("__fg_dropped").alias("n_dropped"), F.col("__fg_near").alias("n_near"))
+    return done.select(*(f"`{c}`" for c in docs.columns))

@@ -62,13 +62,13 @@ WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS body FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 words AS (
   SELECT doc_id, line, body, list_filter(regexp_split_to_array(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM lines),
-firsts AS (SELECT w, min({'d': doc_id, 'l': line}) AS place FROM words WHERE len(w) >= 3 GROUP BY w),
-variants AS (SELECT w, place, i, list_concat(w[1 : i - 1], w[i + 1 :]) AS v FROM (SELECT w, place, unnest(range(1, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 8)),
+firsts AS (SELECT w, min({'d': doc_id, 'l': line}) AS place FROM words WHERE len(w) >= 1 GROUP BY w),
+variants AS (SELECT w, place, i, list_concat(w[1 : i - 1], w[i + 1 :]) AS v FROM (SELECT w, place, unnest(range(1, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 2)),
 replaced AS (SELECT a.place, b.one FROM variants a JOIN (SELECT v, i, min(place) AS one FROM variants GROUP BY v, i) b ON a.v = b.v AND a.i = b.i WHERE b.one < a.place),
-missing AS (SELECT greatest(a.place, f.place) AS place FROM variants a JOIN firsts f ON a.v = f.w WHERE len(f.w) >= 8 AND a.place <> f.place),
+missing AS (SELECT greatest(a.place, f.place) AS place FROM variants a JOIN firsts f ON a.v = f.w WHERE len(f.w) >= 2 AND a.place <> f.place),
 near AS (SELECT place FROM replaced UNION SELECT place FROM missing),
 marked AS (
-  SELECT doc_id, words.line, body, len(w) >= 3 AND (n.place IS NOT NULL OR f.place <> {'d': doc_id, 'l': words.line}) AS gone, n.place IS NOT NULL AS near
+  SELECT doc_id, words.line, body, len(w) >= 1 AND (n.place IS NOT NULL OR f.place <> {'d': doc_id, 'l': words.line}) AS gone, n.place IS NOT NULL AS near
   FROM words LEFT JOIN firsts f USING (w) LEFT JOIN near n ON n.place = f.place)
 SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE count(*) END AS n_lines, count(*) FILTER (gone) AS n_dropped, count(*) FILTER (gone AND near) AS n_near,
        sha256(coalesce(string_agg(body, chr(10) ORDER BY line) FILTER (NOT coalesce(gone, false)), '')) AS text_sha256
@@ -130,8 +130,8 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_n_near").alias("n_near"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    out = dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "n_dropped", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
