@@ -56,12 +56,18 @@ def test_repeats_of_a_query_take_no_places(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in rng.normal(size=6)]) for i in range(1, 60) if i % 20]
     rows += [(20, [9.0] * 6)] * 25
-    for options in ({}, {"shard_rows": 30}):
+    for options in ({}, {"shard_rows": 30}, {"block_rows": 3}):
         got = nearest(frame(spark, rows), **options).collect()
         assert {r.query_id for r in got} == {20} and len(got) == 20, options
         assert 20 not in {r.vec_id for r in got}
 
 
+def test_repeated_query_ids_with_other_vectors(spark):
+    rows = [(20, [3.0, 1.0]), (20, [1.0, 2.0]), (20, [1.0, 2.0, 3.0]), (7, [0.0, 5.0]), (8, [5.0, 0.0]), (9, [1.0, 1.0, 1.0])]
+    got = sorted((r["rank"], r.vec_id, r.score) for r in nearest(frame(spark, rows)).collect())
+    assert got == [(1, 7, 10.0), (2, 8, 5.0)]
+
+
 def test_directions_are_units():
     d = directions(5, 12, 1)
     assert d.shape == (5, 12) and np.allclose((d**2).sum(0), 1)
