@@ -10,6 +10,8 @@ through the vantage-point tree, among texts of similar size. Texts that agree in
 20 bands of five least shingle hashes are candidates too: at a similarity of 0.8 these
 miss one pair in 3,000, independently of the signatures.
 
+By signature alone, pairs more than 42 bits apart are left to the bands.
+
 Of the candidates only the components are kept, so a shard gives a spanning forest.
 Inside a component every pair of texts that no verified chain connects yet is checked
 with the whole shingle sets; which edges span a component doesn't matter.
@@ -264,7 +266,14 @@ def near_duplicates(docs: DataFrame, leaf: int = 2048, block: int = 16_384, shin
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """``docs`` with one document of each group of near copies; columns stay as they are."""
+    """``docs`` with one document of each group of near copies; columns stay as they are.
+
+    Of rows alike in id and text one stays, whatever their other columns hold.
+    """
     gone = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select(F.col("owner").alias("__fg_owner"), F.col("text_hash").alias("__fg_hash")))
-    keyed = docs.withColumns({"__fg_owner": F.coalesce(F.col(id_col).cast("long"), F.lit(NOWHERE)), "__fg_hash": F.xxhash64(text_col)})
-    return sized_join(keyed, gone, ["__fg_owner", "__fg_hash"], "left_anti").drop("__fg_owner", "__fg_hash")
+    key = ["__fg_owner", "__fg_hash"]
+    keyed = docs.withColumns({"__fg_owner": F.coalesce(F.col(id_col).cast("long"), F.lit(NOWHERE)), "__fg_hash": F.coalesce(F.xxhash64(text_col), F.lit(0))})
+    again = materialise(keyed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    kept = sized_join(keyed, gone, key, "left_anti")
+    single = sized_join(kept, again, key, "left_anti")
+    return single.unionByName(sized_join(kept, again, key, "left_semi").dropDuplicates(key)).drop(*key)
