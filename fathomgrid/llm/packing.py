@@ -23,7 +23,8 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 
     ``best[j]`` is the least padding of the first j lengths; with one more bucket that
     ends at length j and begins after length i it is best[i] + length_j * (rows between)
-    - (tokens between). Ties go to the fewest and smallest boundaries.
+    - (tokens between). The best i never falls as j grows, so the i of the middle j
+    halves the search for the others. Ties go to the fewest and smallest boundaries.
     """
     n = len(lengths)
     if not n:
@@ -36,10 +37,17 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     results = []
     for b in range(1, min(buckets, n) + 1):
         new = np.full(n + 1, np.inf)
-        for j in range(1, n + 1):
-            cost = best[:j] + lengths[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])
-            back[b, j] = int(np.argmin(cost))
-            new[j] = cost[back[b, j]]
+        spans = [(b, n, b - 1, n - 1)]  # lengths whose i is sought, and where it lies
+        while spans:
+            low, high, first, last = spans.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            i = np.arange(first, min(last, j - 1) + 1)
+            cost = best[i] + lengths[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])
+            at = int(i[np.argmin(cost)])
+            back[b, j], new[j] = at, cost.min()
+            spans += [(low, j - 1, first, at), (j + 1, high, at, last)]
         best = new
         results.append(best[n])
     b, j, out = int(np.argmin(results)) + 1, n, []
@@ -68,22 +76,22 @@ def pack(docs: DataFrame, max_len: int = 2048, budget: int = 16_384, buckets: in
     of shards of about ``shard_rows`` rows, so no bucket is sorted in one task.
     """
     n = F.coalesce(tokens if tokens is not None else count_words(F.col(text_col)), F.lit(0)).cast("long")
-    whole = docs.select(F.col(id_col).alias("doc_id"), n.alias("n"))
+    whole = docs.select(F.col(id_col).alias("doc_id"), n.alias("n"), F.monotonically_increasing_id().alias("row"))
     last = F.greatest(F.ceil(F.col("n") / max_len) - 1, F.lit(0)).cast("int")
-    pieces = whole.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = whole.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     first = F.col("piece").cast("long") * max_len
-    pieces = materialise(pieces.select("doc_id", "piece", first.alias("first_token"), F.least(F.col("n") - first, F.lit(max_len)).cast("int").alias("n_tokens")))
+    pieces = materialise(pieces.select("doc_id", "row", "piece", first.alias("first_token"), F.least(F.col("n") - first, F.lit(max_len)).cast("int").alias("n_tokens")))
 
     found = pieces.groupBy("n_tokens").agg(F.count("*").alias("rows")).orderBy("n_tokens").collect()
     lengths, counts = np.array([r.n_tokens for r in found]), np.array([r.rows for r in found])
     ends = boundaries(lengths, counts, buckets)
     shards = max(1, math.ceil(int(counts.sum()) / shard_rows)) if found else 1
     bucket = F.coalesce(*(F.when(F.col("n_tokens") <= end, F.lit(end)) for end in ends)) if ends else F.lit(0)
-    dealt = pieces.withColumns({"bucket": bucket.cast("int"), "shard": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")})
+    dealt = pieces.withColumns({"bucket": bucket.cast("int"), "shard": F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int")})
     sizes = dealt.groupBy("bucket", "shard").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select(F.col("bucket").alias("b"), F.col("shard").alias("s"), F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece")) - 1
+    own = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("row", "piece")) - 1
     ranked = dealt.withColumn("own", own).join(offsets, (F.col("bucket") == F.col("b")) & (F.col("shard") == F.col("s")))
     rank, slots = F.col("own") + F.col("before"), F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("bucket"), F.lit(1))), F.lit(1))
     return ranked.select("doc_id", "piece", "first_token", "n_tokens", "bucket", F.floor(rank / slots).cast("long").alias("batch"), F.pmod(rank, slots).cast("int").alias("slot"), slots.cast("int").alias("n_slots"))
