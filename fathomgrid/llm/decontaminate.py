@@ -1,132 +1,127 @@
 """Benchmark decontamination through a distributed positional inverted index.
 
-The index holds, for every document and every term of the test items, the positions
-at which the term stands. Test windows are looked up from their rarest terms: the
-offset-adjusted position lists of a window's rarest term name candidate alignments,
-its next rarest term confirms or (within a few words) nearly confirms them, and the
-lists of all the item's terms settle which words are part of an exact phrase.
+The index is built once and holds, for every document and every term of the test items,
+the positions at which the term stands. Test windows are looked up from their rarest
+terms: the offset-adjusted position lists of a window's rarest term name candidate
+alignments, its next rarest term confirms or (within a few words) nearly confirms them,
+and the lists of all the item's terms settle which words are part of an exact phrase.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, materialise
+from .common import WORD_BYTES, materialise, plain_words, sized_join, small
 
 KEY = ["doc_id", "text_hash"]
-_INDEX = "doc_id long, text_hash long, term int, positions array<int>"
+_INDEX = "doc_id long, text_hash long, term long, positions array<int>"
 _OTHER = {"doc_id": "other_id", "text_hash": "other_hash", "term": "other_term"}
 _SAME = "doc_id <=> other_id AND text_hash = other_hash AND term = other_term"
-_FEW = 200_000
-_LENGTH = -1  # the pseudo-term whose only position is the number of words
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return WORD_BYTES.findall(text.encode().lower()) if text else []
+class Terms(dict):
+    """Word -> its term, the XXH64 of the word; -1 for words outside a vocabulary, if there is one."""
 
+    def __init__(self, vocabulary: list[str] | None) -> None:
+        super().__init__((w.encode(), _term(w.encode())) for w in vocabulary or ())
+        self.open = vocabulary is None
 
-def build_index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """Postings ``doc_id, text_hash, term, positions`` of ``terms``; term -1 holds the word count.
+    def __missing__(self, word: bytes) -> int:
+        return _term(word) if self.open else -1
 
-    ``terms`` is sent to the executors; `item_blocks` bounds its size.
+
+def _term(word: bytes) -> int:
+    h = xxhash.xxh64_intdigest(word, 42)  # as the SQL function xxhash64 has it
+    return h - 2**64 if h >= 2**63 else h
+
+
+def build_index(docs: DataFrame, vocabulary: list[str] | None = None) -> DataFrame:
+    """Postings ``doc_id, text_hash, term, positions`` of ``docs(doc_id, text_hash, text)``; those of a null term hold the number of words.
+
+    With a ``vocabulary``, which is sent to the executors, only its terms are indexed.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = sent.value.get
+        terms = Terms(sent.value)
+        term_of = terms.__getitem__
         for batch in batches:
             rows, found, starts, places, at = [], [], [0], [], 0
             for i, text in enumerate(batch.column(2).to_pylist()):
-                ids = np.fromiter((get(w, -1) for w in words_of(text)), np.int32)
-                where = np.flatnonzero(ids >= 0)
+                words = WORD_BYTES.findall(text.encode().lower()) if text else []
+                ids = np.fromiter(map(term_of, words), np.int64, len(words))
+                where = np.arange(len(ids)) if terms.open else np.flatnonzero(ids != -1)
                 order = where[np.argsort(ids[where], kind="stable")]
-                cut = np.flatnonzero(np.diff(ids[order], prepend=-1))
+                cut = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0])) if len(order) else np.array([], int)
                 rows.append(np.full(len(cut) + 1, i))
-                found += [np.array([_LENGTH], np.int32), ids[order[cut]]]
+                found += [None, *ids[order[cut]].tolist()]
                 starts += [at + 1, *(at + 1 + np.append(cut[1:], len(order))).tolist()] if len(cut) else [at + 1]
                 places += [np.array([len(ids)], np.int32), order.astype(np.int32)]
                 at += 1 + len(order)
             take = pa.array(np.concatenate(rows) if rows else np.array([], int))
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(places) if places else np.array([], np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(found) if found else np.array([], np.int32)), lists], names=[*KEY, "term", "positions"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(found, pa.int64()), lists], names=[*KEY, "term", "positions"])
 
     return docs.select("doc_id", "text_hash", "text").mapInArrow(posted, _INDEX)
 
 
-def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """Test items ``(id, words)`` in blocks of about ``block_words`` words, one block at a time on the driver."""
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / (4 * block_words)))
-    for b in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect() if n > 1 else items.collect()
-        split = [(r.item_id, words_of(r.text)) for r in rows]
-        yield [x for x in split if x[0] is not None and x[1]]
+def _anchors(spelled: DataFrame, postings: DataFrame, window: int) -> DataFrame:
+    """The two rarest terms of every window that can occur: item, n, o1, term, o2, term2 (offsets in the item)."""
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    n = F.least(F.lit(window), F.col("size"))
+    ranked = spelled.join(df, "term", "left").withColumns({"n": n, "df": F.coalesce("df", F.lit(0))})
+    each = ranked.withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("o") - F.col("n") + 1), F.least("o", F.col("size") - F.col("n")))))
+    rarest = each.groupBy("item", "n", "s").agg(F.array_sort(F.collect_list(F.struct("df", "o", "term"))).alias("terms"))  # a window's, n at most
+    one, two = F.col("terms")[0], F.when(F.size("terms") > 1, F.col("terms")[1]).otherwise(F.col("terms")[0])
+    return rarest.filter(one["df"] > 0).select("item", "n", one["o"].alias("o1"), one["term"].alias("term"), two["o"].alias("o2"), two["term"].alias("term2")).distinct()
 
 
-def _anchors(block: list, df: dict[int, int], terms: dict[bytes, int], window: int) -> list[tuple]:
-    """(item, o1, term1, o2, term2, n): the two rarest terms of every window, once for each item."""
-    found = set()
-    for i, (_, words) in enumerate(block):
-        ids = [terms[w] for w in words]
-        n = min(window, len(words))
-        for s in range(len(words) - n + 1):
-            o1, *o2 = sorted(range(s, s + n), key=lambda o: (df.get(ids[o], 0), o))[:2]
-            if all(df.get(ids[o], 0) for o in (o1, *o2)):  # else the window occurs nowhere
-                found.add((i, o1, ids[o1], o2[0] if o2 else o1, ids[o2[0]] if o2 else ids[o1], n))
-    return sorted(found)
-
-
-def find_items(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 3, block_words: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def find_items(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 3, vocabulary_words: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(lengths, phrases, near)`` for ``docs(doc_id, text)`` and ``items(item_id, text)``.
 
     lengths: one row per document row, with n_words. phrases: doc_id, text_hash, item_id,
     start, end, every maximal run of document words that is made of whole windows of an
     item. near: doc_id, text_hash, item_id where the two rarest terms of a window stand
-    within ``slop`` words of their distance in the window.
+    within ``slop`` words of their distance in the window. Items of more than
+    ``vocabulary_words`` different words have all the documents' terms indexed instead.
     """
-    spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    lengths, phrases, near = [], [], []
-    for block in item_blocks(items, block_words):
-        terms: dict[bytes, int] = {}
-        for _, words in block:
-            for w in words:
-                terms.setdefault(w, len(terms))
-        index = materialise(build_index(keyed, terms))
-        lengths.append(index.filter(F.col("term") == _LENGTH).select(*KEY, F.element_at("positions", 1).cast("long").alias("n_words")))
-        postings = index.filter(F.col("term") >= 0)
-        df = {r.term: r.n for r in postings.groupBy("term").agg(F.count("*").alias("n")).collect()}  # no more rows than terms
-        anchors = spark.createDataFrame(_anchors(block, df, terms, window), "item int, o1 int, term int, o2 int, term2 int, n int")
-        names = spark.createDataFrame([(i, str(name)) for i, (name, _) in enumerate(block)], "item int, item_id string")
-        spelled = spark.createDataFrame([(i, o, terms[w]) for i, (_, words) in enumerate(block) for o, w in enumerate(words)], "item int, o int, term int")
-        first = postings.join(F.broadcast(anchors), "term").select(*KEY, "item", "o2", F.col("term2").alias("term"), "n", F.explode("positions").alias("p"), "o1")
-        first = first.select(*KEY, "item", "o2", "term", "n", (F.col("p") - F.col("o1")).alias("delta"))
-        listed = postings.withColumnsRenamed(_OTHER)
-        second = listed.join(F.broadcast(anchors.select(F.col("term2").alias("other_term")).distinct()), "other_term")
-        both = materialise(
-            first.join(second, F.expr(_SAME))
-            .select(*KEY, "item", "n", "delta", F.array_contains("positions", F.col("delta") + F.col("o2")).alias("exact"), F.exists("positions", lambda p: F.abs(p - F.col("delta") - F.col("o2")) <= slop).alias("close"))
-            .filter("close")
-            .groupBy(*KEY, "item", "n", "delta")
-            .agg(F.max("exact").alias("exact"))
-        )
-        near.append(both.join(F.broadcast(names), "item").select(*KEY, "item_id").distinct())
-        asked = both.filter("exact").join(F.broadcast(spelled), "item")
-        hit = both.filter("exact").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
-        few = F.broadcast(hit) if hit.count() <= _FEW else hit  # so that only these documents' lists are shuffled
-        of_hit = listed.join(few, F.expr("other_id <=> hit_id AND other_hash = hit_hash"), "left_semi")
-        held = asked.join(of_hit, F.expr(_SAME)).filter(F.array_contains("positions", F.col("delta") + F.col("o"))).select(*KEY, "item", "n", "delta", "o").distinct()
-        line = Window.partitionBy(*KEY, "item", "n", "delta")
-        runs = held.withColumn("run", F.col("o") - F.row_number().over(line.orderBy("o"))).groupBy(*KEY, "item", "n", "delta", "run").agg((F.min("o") + F.col("delta")).alias("start"), (F.max("o") + F.col("delta")).alias("end"))
-        phrases.append(runs.filter(F.col("end") - F.col("start") + 1 >= F.col("n")).join(F.broadcast(names), "item").select(*KEY, "item_id", "start", "end"))
-    merged = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(merged(parts[1:]))
-    return lengths[0], merged(phrases), merged(near)
+    named = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("string").alias("item_id"), plain_words(F.col("text")).alias("w"))
+    words = materialise(named.distinct().select("item", "item_id", F.size("w").alias("size"), F.posexplode("w").alias("o", "word")))
+    spelled = materialise(words.select("item", "size", "o", F.xxhash64("word").alias("term")))
+    names = materialise(words.select("item", "item_id").distinct())
+    distinct = words.select("word").distinct()
+    bounded = small(distinct, vocabulary_words, 64 * vocabulary_words)
+    index = materialise(build_index(keyed, [r.word for r in distinct.collect()] if bounded else None))
+    lengths = index.filter("term IS NULL").select(*KEY, F.element_at("positions", 1).cast("long").alias("n_words"))
+    postings = index.filter("term IS NOT NULL")
+    anchors = materialise(_anchors(spelled, postings, window))
+    first = sized_join(postings, anchors, ["term"], "inner").select(*KEY, "item", "o2", F.col("term2").alias("term"), "n", F.explode("positions").alias("p"), "o1")
+    first = first.select(*KEY, "item", "o2", "term", "n", (F.col("p") - F.col("o1")).alias("delta"))
+    listed = postings.withColumnsRenamed(_OTHER)
+    second = sized_join(listed, anchors.select(F.col("term2").alias("other_term")).distinct(), ["other_term"], "left_semi")
+    both = materialise(
+        first.join(second, F.expr(_SAME))
+        .select(*KEY, "item", "n", "delta", F.array_contains("positions", F.col("delta") + F.col("o2")).alias("exact"), F.exists("positions", lambda p: F.abs(p - F.col("delta") - F.col("o2")) <= slop).alias("close"))
+        .filter("close")
+        .groupBy(*KEY, "item", "n", "delta")
+        .agg(F.max("exact").alias("exact"))
+    )
+    near = sized_join(both.select(*KEY, "item").distinct(), names, ["item"], "inner").select(*KEY, "item_id").distinct()
+    asked = sized_join(both.filter("exact"), spelled.select("item", "o", "term"), ["item"], "inner")
+    hit = both.filter("exact").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+    of_hit = sized_join(listed, hit, F.expr("other_id <=> hit_id AND other_hash = hit_hash"), "left_semi")  # so that only these documents' lists are shuffled
+    held = asked.join(of_hit, F.expr(_SAME)).filter(F.array_contains("positions", F.col("delta") + F.col("o"))).select(*KEY, "item", "n", "delta", "o").distinct()
+    line = Window.partitionBy(*KEY, "item", "n", "delta")
+    runs = held.withColumn("run", F.col("o") - F.row_number().over(line.orderBy("o"))).groupBy(*KEY, "item", "n", "delta", "run").agg((F.min("o") + F.col("delta")).alias("start"), (F.max("o") + F.col("delta")).alias("end"))
+    phrases = sized_join(runs.filter(F.col("end") - F.col("start") + 1 >= F.col("n")), names, ["item"], "inner").select(*KEY, "item_id", "start", "end")
+    return lengths, phrases, near
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:

@@ -28,7 +28,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-#: Words are counted from 1; a window is the item's words s to s + n - 1, n being 10 or the item's length.
+#: A window is the item's words s to s + n - 1, n being 10 or the item's length; n_near counts the items of which the two rarest words of a window stand within 3 words of their distance.
 OP6_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -45,10 +45,22 @@ grams AS (
   FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM docs, sizes WHERE len(w) >= n)),
 found AS (SELECT k, p, g.n, item_id FROM grams g JOIN windows USING (n, gram)),
 hit AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(range(p, p + n)) AS q FROM found) GROUP BY k),
+spelled AS (SELECT r, item_id, len(w) AS size, least(len(w), 10) AS n, unnest(range(len(w))) AS o, unnest(w) AS word FROM (SELECT row_number() OVER () AS r, * FROM items) WHERE len(w) > 0),
+places AS (SELECT k, word, p FROM (SELECT k, unnest(w) AS word, unnest(range(len(w))) AS p FROM docs) SEMI JOIN spelled USING (word)),
+df AS (SELECT word, count(DISTINCT k) AS c FROM places GROUP BY word),
+ranked AS (
+  SELECT r, s, item_id, o, word, c, row_number() OVER (PARTITION BY r, s ORDER BY c, o) AS rank
+  FROM (SELECT r, item_id, o, word, coalesce(c, 0) AS c, unnest(range(greatest(0, o - n + 1), least(o, size - n) + 1)) AS s FROM spelled LEFT JOIN df USING (word))),
+anchors AS (
+  SELECT DISTINCT a.item_id, a.o AS o1, a.word AS word1, coalesce(b.o, a.o) AS o2, coalesce(b.word, a.word) AS word2
+  FROM ranked a LEFT JOIN ranked b ON a.r = b.r AND a.s = b.s AND b.rank = 2 WHERE a.rank = 1 AND a.c > 0),
+close AS (
+  SELECT k, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_near
+  FROM (SELECT x.k, item_id FROM anchors JOIN places x ON x.word = word1 JOIN places y ON y.k = x.k AND y.word = word2 WHERE abs(y.p - (x.p - o1) - o2) <= 3) GROUP BY k),
 named AS (SELECT k, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN hit USING (k) LEFT JOIN named USING (k)
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM docs LEFT JOIN hit USING (k) LEFT JOIN named USING (k) LEFT JOIN close USING (k)
 """
 
 
@@ -135,7 +147,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

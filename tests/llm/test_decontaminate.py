@@ -49,7 +49,7 @@ def test_equals_brute_force(spark):
     docs, items = cases()
     got = sorted(map(tuple, run(spark, docs, items).drop("n_near").collect()), key=str)
     assert got == brute(docs, items)
-    assert got == sorted(map(tuple, run(spark, docs, items, block_words=5).drop("n_near").collect()), key=str)
+    assert got == sorted(map(tuple, run(spark, docs, items, vocabulary_words=5).drop("n_near").collect()), key=str)
 
 
 def test_on_the_tables(spark):
