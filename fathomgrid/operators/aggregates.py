@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +73,36 @@ def pass_rates(tasks: DataFrame, results: DataFrame, within: int) -> DataFrame:
     return joined.agg(F.count("*").alias("n_tasks"), rate("first").alias("pass_at_1"), rate("any").alias("pass_at_n"), F.round(F.avg("score"), 4).alias("mean_first_score"))
 
 
+def rates_by(tasks: DataFrame, results: DataFrame, level: str) -> DataFrame:
+    """``level, n_tasks, pass_rate``: the share of each level's tasks that passed at some attempt."""
+    won = results.filter("passed").select("task_id").distinct().withColumn("_won", F.lit(1.0))
+    return tasks.join(won, "task_id", "left").groupBy(level).agg(F.count("*").alias("n_tasks"), F.round(F.avg(F.coalesce("_won", F.lit(0.0))), 4).alias("pass_rate"))
+
+
+def failed_tasks(tasks: DataFrame, results: DataFrame) -> DataFrame:
+    """Tasks that passed at no attempt."""
+    return tasks.select("task_id").join(results.filter("passed"), "task_id", "left_anti")
+
+
+def section_accuracy(found: DataFrame, truth: DataFrame, keys: Sequence[str], section: str) -> DataFrame:
+    """Share of matched keys whose section is the true one."""
+    both = found.select(*keys, F.col(section).alias("_f")).join(truth.select(*keys, F.col(section).alias("_t")), list(keys))
+    return both.agg(F.count("*").alias("matched"), F.round(F.avg(F.when(F.col("_f") == F.col("_t"), 1.0).otherwise(0.0)), 4).alias("section_accuracy"))
+
+
+def coverage_map(wanted: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Wanted keys with whether something was found for them."""
+    hit = found.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    return wanted.select(*keys).distinct().join(hit, list(keys), "left").select(*keys, F.coalesce("_hit", F.lit(False)).alias("covered"))
+
+
+def criticality_level(kind: Column, critical: Sequence[str], minor: Sequence[str]) -> Column:
+    """Weight 2 for types that hold a critical word, 0.5 for those with a minor one, else 1."""
+    low = F.lower(kind)
+    any_of = lambda words: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+    return F.when(any_of(critical), 2.0).when(any_of(minor), 0.5).otherwise(1.0)
+
+
 def precision_recall(found: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
     """True positives, precision and recall of distinct keys; null where there is nothing to divide by."""
     f, t = found.select(*keys).distinct(), truth.select(*keys).distinct()

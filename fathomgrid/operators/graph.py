@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomgrid.session import written
+
 from .aggregates import filled_counts
 from .relational import last_wins
 
@@ -32,6 +34,14 @@ def usable(edges: DataFrame, least: float = 0.0, relations: Sequence[str] | None
     return kept.filter(F.col("relation").isin(*relations)) if relations else kept
 
 
+def select_nodes(nodes: DataFrame, node_type: str | None = None, layer: int | None = None, ids: Sequence[str] | None = None, having: str | None = None) -> DataFrame:
+    """Nodes of a type, a layer, some ids, or with a value in a column; what isn't given doesn't filter."""
+    tests = [F.col("node_type") == node_type if node_type is not None else None, F.col("layer") == layer if layer is not None else None, F.col("id").isin(*ids) if ids is not None else None, F.col(having).isNotNull() if having is not None else None]
+    for test in tests:
+        nodes = nodes.filter(test) if test is not None else nodes
+    return nodes
+
+
 def neighbours(nodes: DataFrame, edges: DataFrame, start: DataFrame, least: float = 0.0, relations: Sequence[str] | None = None) -> DataFrame:
     """Nodes at the end of an edge from ``start(id)``."""
     out = usable(edges, least, relations).join(start.select(F.col("id").alias("source_id")), "source_id", "left_semi")
@@ -44,9 +54,8 @@ def reach(edges: DataFrame, start: DataFrame, depth: int = 4, least: float = 0.6
     The confidence of a path is the product of its edges'. A node keeps its first
     level; among that level's edges the one of highest path confidence wins, then the
     smallest source. Levels are a driver loop, each a join and an aggregation; from the
-    second on they are written to the checkpoint folder, if one is set, to cut the lineage.
+    first on they are written to the checkpoint folder, if one is set, so each runs once.
     """
-    spark = edges.sparkSession
     good = usable(edges, least, relations).select("source_id", "target_id", "relation", F.col("confidence").alias("edge_confidence"))
     visited = start.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence"))
     frontier, crossed = visited, None
@@ -57,8 +66,7 @@ def reach(edges: DataFrame, start: DataFrame, depth: int = 4, least: float = 0.6
         # the smallest source among equal paths
         best = step.groupBy("target_id").agg(F.min(F.struct((-F.col("path")).alias("neg"), "source_id", "relation", "edge_confidence")).alias("b"))
         new = best.select(F.col("target_id").alias("id"), F.lit(level).alias("depth"), (-F.col("b.neg")).alias("confidence"), "b.source_id", "b.relation", "b.edge_confidence")
-        if spark.conf.get("spark.checkpoint.dir", None):
-            new = new.checkpoint()
+        new = written(new)
         if new.isEmpty():
             break
         part = new.select("source_id", "relation", F.col("id").alias("target_id"), F.col("edge_confidence").alias("confidence"), "depth")
@@ -70,6 +78,26 @@ def reach(edges: DataFrame, start: DataFrame, depth: int = 4, least: float = 0.6
     return visited, crossed
 
 
+def query_graph(nodes: DataFrame, edges: DataFrame, goals: DataFrame, active: Sequence[str] = (), suppressed: Sequence[str] = (), depth: int = 4, least: float = 0.60) -> tuple[DataFrame, DataFrame]:
+    """``(found, rules)`` for ``goals(slug)``: start nodes, what is reached from them, and the crossed edges that carry constraints.
+
+    ``found`` has the nodes' columns with depth, path_confidence and category: a type in
+    ``active`` (any, if empty) and not in ``suppressed`` is kept. ``edges`` may have a
+    map column ``constraints``. No match gives no rows.
+    """
+    start = start_nodes(nodes, edges, goals)
+    visited, crossed = reach(edges, start, depth, least)
+    if "constraints" in edges.columns:
+        given = edges.select("source_id", "target_id", "relation", "constraints")
+        crossed = crossed.join(given, ["source_id", "target_id", "relation"])
+    found, rules = subgraph(nodes, visited, crossed)
+    kind = F.col("node_type")
+    keep = kind.isin(*active) if active else F.lit(True)
+    kept = found.filter(keep & ~kind.isin(*suppressed)) if suppressed else found.filter(keep)
+    category = F.when(kind.isin("COMPONENT_TYPE", "COMPONENT_INSTANCE"), "components").when(kind == "TOPOLOGY", "topologies").when(kind == "FUNCTIONAL_BLOCK", "blocks").when(kind == "PROPERTY", "properties").otherwise("other")
+    return kept.withColumn("category", category), rules
+
+
 def start_nodes(nodes: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame:
     """Ids for ``goals(slug)``: nodes whose last id part is the slug, and all that are part of such a topology."""
     hit = nodes.join(goals.select(F.col("slug").alias("_s")).distinct(), F.element_at(F.split("id", ":"), -1) == F.col("_s"), "left_semi")

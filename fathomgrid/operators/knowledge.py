@@ -11,10 +11,16 @@ from fathomgrid.functions.text import contains_any, mapped, ratio, slug
 
 #: Verbs by the relation that they express.
 VERBS = {
-    "require": "REQUIRES", "requires": "REQUIRES", "need": "REQUIRES", "needs": "REQUIRES", "must have": "REQUIRES", "depends on": "REQUIRES", "necessitates": "REQUIRES",
-    "use": "USES", "uses": "USES", "utilizes": "USES", "employs": "USES", "implements": "USES", "applies": "USES",
-    "is a": "IS_A", "is an": "IS_A", "refers to": "IS_A", "is defined as": "IS_A",
-    "has": "HAS_PROPERTY", "have": "HAS_PROPERTY", "exhibits": "HAS_PROPERTY", "provides": "HAS_PROPERTY", "offers": "HAS_PROPERTY",
+    "require": "REQUIRES", "requires": "REQUIRES", "need": "REQUIRES", "needs": "REQUIRES", "must have": "REQUIRES", "depend on": "REQUIRES", "depends on": "REQUIRES", "requirement": "REQUIRES", "needs to have": "REQUIRES", "must possess": "REQUIRES", "necessitate": "REQUIRES", "necessitates": "REQUIRES",
+    "use": "USES", "uses": "USES", "utilize": "USES", "utilizes": "USES", "employ": "USES", "employs": "USES", "implement": "USES", "implements": "USES", "apply": "USES", "applies": "USES",
+    "is a": "IS_A", "is an": "IS_A", "is called": "IS_A", "is known as": "IS_A", "refers to": "IS_A", "is classified as": "IS_A", "belongs to the category": "IS_A", "is considered": "IS_A", "defines": "IS_A", "defines a": "IS_A", "is defined as": "IS_A",
+    "has": "HAS_PROPERTY", "have": "HAS_PROPERTY", "exhibit": "HAS_PROPERTY", "exhibits": "HAS_PROPERTY", "possess": "HAS_PROPERTY", "possesses": "HAS_PROPERTY", "provide": "HAS_PROPERTY", "provides": "HAS_PROPERTY", "offers": "HAS_PROPERTY", "features": "HAS_PROPERTY", "includes": "HAS_PROPERTY", "contains": "HAS_PROPERTY", "is characterized by": "HAS_PROPERTY", "demonstrates": "HAS_PROPERTY", "show": "HAS_PROPERTY", "shows": "HAS_PROPERTY",
+    "connect": "CONNECTS_TO", "connects": "CONNECTS_TO", "connect to": "CONNECTS_TO", "connects to": "CONNECTS_TO", "wire": "CONNECTS_TO", "wires": "CONNECTS_TO", "wire to": "CONNECTS_TO", "link": "CONNECTS_TO", "links": "CONNECTS_TO", "couple": "CONNECTS_TO", "couples": "CONNECTS_TO", "attach": "CONNECTS_TO", "attaches": "CONNECTS_TO", "interface": "CONNECTS_TO", "interfaces": "CONNECTS_TO", "interface with": "CONNECTS_TO",
+    "part of": "PART_OF", "component of": "PART_OF", "belong to": "PART_OF", "belongs to": "PART_OF", "constituent of": "PART_OF", "member of": "PART_OF", "element of": "PART_OF", "section of": "PART_OF", "module of": "PART_OF",
+    "incompatible": "INCOMPATIBLE_WITH", "incompatible with": "INCOMPATIBLE_WITH", "cannot connect": "INCOMPATIBLE_WITH", "conflicts with": "INCOMPATIBLE_WITH", "interferes with": "INCOMPATIBLE_WITH", "cannot interface": "INCOMPATIBLE_WITH", "mutually exclusive": "INCOMPATIBLE_WITH", "opposes": "INCOMPATIBLE_WITH",
+    "override": "OVERRIDES", "overrides": "OVERRIDES", "supersede": "OVERRIDES", "supersedes": "OVERRIDES",
+    "governed by": "GOVERNED_BY", "controlled by": "GOVERNED_BY", "regulated by": "GOVERNED_BY", "constrained by": "GOVERNED_BY", "limited by": "GOVERNED_BY",
+    "replace": "REPLACES", "replaces": "REPLACES", "substitute": "REPLACES", "substitutes": "REPLACES", "substitute for": "REPLACES", "is alternative to": "REPLACES", "is an alternative to": "REPLACES",
 }
 
 #: Circuit topologies and the blocks they are made of.
@@ -114,6 +120,23 @@ def role_candidates(roles: DataFrame, components: DataFrame) -> DataFrame:
     return named.select("pattern_id", "role", "component_id", F.lit(1.0).alias("score")).unionByName(open_.select("pattern_id", "role", "component_id", F.lit(0.8).alias("score")))
 
 
+def scoped_records(nodes: DataFrame, design: str, kind: str) -> DataFrame:
+    """The records of one design and kind."""
+    return nodes.filter((F.col("design_id") == design) & (F.col("kind") == kind))
+
+
+def resolve_symbols(bom: DataFrame, generated: DataFrame, fixed: DataFrame, by_type: DataFrame, default: str = "Device:IC") -> DataFrame:
+    """``symbol, symbol_source, needs_review`` for ``bom(part, component_type)``: a generated map by part, a fixed map by part, a map by type, else the default, to be reviewed.
+
+    The maps are ``(part, symbol)``, ``(part, symbol)`` and ``(component_type, symbol)``;
+    a key that is repeated takes its smallest symbol.
+    """
+    one = lambda rows, key, name: rows.groupBy(F.col(key).alias(f"_{name}")).agg(F.min("symbol").alias(name))
+    out = bom.join(one(generated, "part", "g"), F.col("part") == F.col("_g"), "left").join(one(fixed, "part", "f"), F.col("part") == F.col("_f"), "left").join(one(by_type, "component_type", "t"), F.col("component_type") == F.col("_t"), "left")
+    source = F.when(F.col("g").isNotNull(), "generated").when(F.col("f").isNotNull(), "fixed").when(F.col("t").isNotNull(), "type").otherwise("default")
+    return out.select(*bom.columns, F.coalesce("g", "f", "t", F.lit(default)).alias("symbol"), source.alias("symbol_source"), (source == "default").alias("needs_review"))
+
+
 def layout_gate(constraints: DataFrame, least: float = 0.85) -> DataFrame:
     """Designs with a hard constraint of too little confidence."""
     return constraints.filter(F.col("hard") & (F.col("confidence") < least)).groupBy("design_id").agg(F.count("*").alias("n"), F.min("confidence").alias("lowest"))

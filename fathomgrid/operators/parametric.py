@@ -84,7 +84,7 @@ def matched_attributes(candidates: DataFrame, facts: DataFrame, attributes: Sequ
 
 def within_tolerance(value: Column, target: float, share: float = 0.2) -> Column:
     """Whether a number lies within a share of the target; what isn't a number is kept."""
-    number = value.cast("string").try_cast("double") if hasattr(value, "try_cast") else F.expr("null")
+    number = value.cast("string").try_cast("double")
     return number.isNull() | (F.abs(number - target) <= share * abs(target))
 
 

@@ -20,15 +20,18 @@ def latest(rows: DataFrame, keys: Sequence[str], time: str, tie: str) -> DataFra
     return top_n(rows, keys, [F.col(time).desc(), F.col(tie).desc()], 1).drop("rank")
 
 
-def preferred(history: DataFrame, kind: str, part: str, score: str, least: int = 3, n: int = 2) -> DataFrame:
+def preferred(history: DataFrame, kind: str, part: str, score: str, least: int = 3, n: int = 2, current: DataFrame | None = None) -> DataFrame:
     """The ``n`` parts of best mean score for each kind with ``least`` observations; ties by name.
 
-    Kinds are trimmed and lower-cased, observations without a part don't count.
+    Kinds are trimmed and lower-cased, observations without a part don't count, nor do
+    the kinds' parts in ``current``, which are to be replaced.
     """
     kept = history.filter(F.col(part).isNotNull()).withColumn(kind, F.trim(F.lower(F.col(kind))))
     per = kept.groupBy(kind, part).agg(F.avg(score).alias("mean_score"), F.count("*").alias("n_obs"))
     over = Window.partitionBy(kind)
     enough = per.withColumn("n_kind", F.sum("n_obs").over(over)).filter(F.col("n_kind") >= least)
+    if current is not None:
+        enough = enough.join(current.select(F.trim(F.lower(F.col(kind))).alias(kind), part).distinct(), [kind, part], "left_anti")
     return top_n(enough, [kind], [F.round("mean_score", 9).desc(), F.col(part)], n)
 
 
@@ -61,6 +64,12 @@ def merged_cells(cells: DataFrame) -> DataFrame:
     return runs.select("grid_id", "row", F.col("first").alias("col"), "text", F.when(F.length("text") > 0, F.col("length")).otherwise(1).alias("colspan"))
 
 
+def merged_rows(cells: DataFrame) -> DataFrame:
+    """Row spans of ``grid_id, row, col, text``: runs of the same non-empty text in a column."""
+    runs = islands(cells, ["grid_id", "col"], "row", "text")
+    return runs.select("grid_id", F.col("first").alias("row"), "col", "text", F.when(F.length("text") > 0, F.col("length")).otherwise(1).alias("rowspan"))
+
+
 def continuations(tables: DataFrame, least: float = 0.8) -> DataFrame:
     """Whether a table continues the last one that isn't itself a continuation, on a following page, with a like header.
 

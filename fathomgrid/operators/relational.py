@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomgrid.session import written
+
 
 def lookup(rows: DataFrame, key: str, value: object, *, owner: DataFrame | None = None, on: tuple[str, str] | None = None, order: str | None = None) -> DataFrame:
     """The row of one key, with its owner's columns if ``owner`` is given."""
@@ -108,15 +110,19 @@ def coverage(entities: DataFrame, facts: DataFrame, entity_key: str, fact_key: s
 def tree_paths(nodes: DataFrame, key: str, parent: str, name: str, depth: int = 32, separator: str = "/") -> DataFrame:
     """Full path and depth of every node of a forest, by levels from the roots.
 
-    The loop ends with the deepest level; nodes on a cycle are never reached.
+    The loop ends with the deepest level, each written once; a forest deeper than
+    ``depth`` is an error. Nodes on a cycle are never reached.
     """
     level = nodes.filter(F.col(parent).isNull()).select(F.col(key).alias("id"), F.col(name).cast("string").alias("full_path"), F.lit(0).alias("depth"))
     out = level
-    for d in range(1, depth + 1):
+    for d in range(1, depth + 2):
         above = level.select(F.col("id").alias("_above"), F.col("full_path").alias("_path"))
         level = nodes.join(above, F.col(parent) == F.col("_above")).select(F.col(key).alias("id"), F.concat_ws(separator, "_path", F.col(name)).alias("full_path"), F.lit(d).alias("depth"))
+        level = written(level)
         if level.isEmpty():
             break
+        if d > depth:
+            raise ValueError(f"the forest has more than {depth} levels below its roots")
         out = out.unionByName(level)
     return out
 

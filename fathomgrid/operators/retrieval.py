@@ -24,6 +24,44 @@ def text_search(docs: DataFrame, terms: Sequence[str], id_col: str, text_col: st
     return maybe.filter(all_there).select(id_col, (hits / F.size("w")).alias("rank_score")).orderBy(F.col("rank_score").desc(), id_col).limit(limit)
 
 
+#: Kinds of node that a search index holds, and English words that no search asks for.
+SEARCHABLE = ("COMPONENT_TYPE", "COMPONENT_INSTANCE", "DESIGN_RECIPE")
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+
+
+def searchable(nodes: DataFrame, kinds: Sequence[str] = SEARCHABLE) -> DataFrame:
+    return nodes.filter(F.col("node_type").isin(*kinds))
+
+
+def stem(word: Column) -> Column:
+    """A word without the commonest English endings, of three letters or more."""
+    return F.regexp_replace(word, r"^(.{3,}?)(ings?|edly|ed|ly|es|s)$", "$1")
+
+
+def stemmed_search(docs: DataFrame, query: str, id_col: str, text_col: str, limit: int = 20) -> DataFrame:
+    """Documents that hold the stems of all words of ``query`` but stop words, by the share of their words that have such a stem; ties by id.
+
+    A query of nothing but stop words finds nothing.
+    """
+    wanted = F.array_distinct(F.transform(F.filter(tokens(F.lit(query)), lambda t: ~t.isin(*STOP_WORDS)), stem))
+    rows = docs.select(F.col(id_col), F.filter(tokens(F.col(text_col)), lambda t: ~t.isin(*STOP_WORDS)).alias("w")).select(id_col, F.transform("w", stem).alias("w"))
+    found = rows.withColumn("hits", F.size(F.filter("w", lambda t: F.array_contains(wanted, t))))
+    kept = found.filter((F.size(wanted) > 0) & (F.size(F.array_intersect(wanted, F.col("w"))) == F.size(wanted)))
+    return kept.select(id_col, (F.col("hits") / F.size("w")).alias("rank_score")).orderBy(F.col("rank_score").desc(), id_col).limit(limit)
+
+
+def rank_documents(found: DataFrame, id_col: str, limit: int = 10) -> DataFrame:
+    """``found(id, relevance, query_pos)`` once for each id, of the first query that found it, the most relevant first."""
+    once = found.groupBy(id_col).agg(F.min_by("relevance", "query_pos").alias("relevance"))
+    return once.orderBy(F.col("relevance").desc(), id_col).limit(limit)
+
+
+def top_by_kind(results: DataFrame, kind: str, id_col: str, n: int = 5) -> DataFrame:
+    """The ``n`` best fused results of each component type."""
+    over = Window.partitionBy(kind).orderBy(F.round("final_score", 12).desc(), id_col)
+    return results.withColumn("kind_rank", F.row_number().over(over)).filter(F.col("kind_rank") <= n)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -44,10 +82,12 @@ def vector_search(items: DataFrame, query: Sequence[float], id_col: str, vector_
 def ranked(rows: DataFrame, layer: str, score: Column, id_col: str, query: str | None = None, depth: int | None = None) -> DataFrame:
     """One layer's candidates with their rank, best score first, ties by id; the first ``depth`` only, if given.
 
-    Without a query column the whole layer is one ranking: give a depth, then the top is
+    Without a query column the whole layer is one ranking and needs a depth: the top is
     taken in parallel and only that many rows are numbered in one task.
     """
-    if query is None and depth is not None:
+    if query is None and depth is None:
+        raise ValueError("a ranking without a query column needs a depth, or it would be numbered in one task")
+    if query is None:
         rows = rows.orderBy(score.desc(), id_col).limit(depth)
     over = Window.partitionBy(*([query] if query else [F.lit(0)])).orderBy(score.desc(), id_col)
     out = rows.select(*([query] if query else []), id_col, F.lit(layer).alias("layer"), score.cast("double").alias("layer_score"), F.row_number().over(over).alias("rank"))

@@ -113,6 +113,81 @@ def ground_checks(nets: DataFrame, pins: DataFrame, bom: DataFrame, analog: Sequ
     return union([_violation(grounds, "WARNING", "many_grounds", F.array(), F.col("n").cast("string")), _violation(shorted, "CRITICAL", "kelvin_short", F.array("ref"), F.col("net_name")), _violation(shared, "WARNING", "shared_ground", F.col("refs"), F.col("net_name"))])
 
 
+#: Circuit patterns; vertices with the word that their type must contain, and edges with the net type that they must share.
+PATTERNS = {
+    "ldo": ({"src": "", "ldo": "ldo", "load": "", "gnd": ""}, (("src", "ldo", "power"), ("ldo", "load", "power"), ("ldo", "gnd", "ground"), ("load", "gnd", "ground"))),
+    "buck_converter": ({"src": "", "buck": "buck", "ind": "inductor", "load": "", "gnd": ""}, (("src", "buck", "power"), ("buck", "ind", None), ("ind", "load", "power"), ("load", "gnd", "ground"), ("buck", "gnd", "ground"))),
+    "inverting_amplifier": ({"amp": "op_amp", "r_in": "resistor", "r_fb": "resistor", "vcc": "", "gnd": ""}, (("amp", "r_in", None), ("amp", "r_fb", None), ("amp", "vcc", "power"), ("amp", "gnd", "ground"))),
+    "voltage_divider": ({"r_top": "resistor", "r_bot": "resistor", "vcc": "", "gnd": ""}, (("vcc", "r_top", "power"), ("r_top", "r_bot", None), ("r_bot", "gnd", "ground"))),
+    "rc_lowpass": ({"r": "resistor", "c": "capacitor", "src": "", "gnd": ""}, (("src", "r", None), ("r", "c", None), ("c", "gnd", "ground"))),
+    "current_source": ({"amp": "op_amp", "r_set": "resistor", "vcc": "", "gnd": ""}, (("amp", "r_set", None), ("amp", "vcc", "power"), ("r_set", "gnd", "ground"))),
+}
+
+
+def connections(nets: DataFrame, bom: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(vertices, edges)``: every ref on a net with its lower-cased type, and every ordered pair of refs that share one, with whether a power or ground net is among them."""
+    on = nets.select("design_id", "net_name", "ref", F.coalesce("net_type", F.lit("signal")).alias("net_type")).distinct()
+    vertices = on.select("design_id", "ref").distinct().join(bom.select("design_id", "ref", F.lower("component_type").alias("kind")), ["design_id", "ref"], "left")
+    other = on.select("design_id", "net_name", F.col("ref").alias("other"))
+    edges = on.join(other, ["design_id", "net_name"]).filter("ref <> other").groupBy("design_id", "ref", "other").agg(F.bool_or(F.col("net_type") == "power").alias("power"), F.bool_or(F.col("net_type") == "ground").alias("ground"))
+    return vertices.fillna("", ["kind"]), edges
+
+
+def pattern_found(name: str, vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Designs that hold a pattern as an induced subgraph.
+
+    Vertices are bound one after the other, those with a word first, each joined through
+    an edge to one that is bound; pairs without an edge in the pattern must have none.
+    """
+    kinds, links = PATTERNS[name]
+    wanted = {frozenset(e[:2]): e[2] for e in links}
+    fits = lambda word: vertices.filter(F.contains("kind", F.lit(word))) if word else vertices
+    order = [next(v for v, word in kinds.items() if word)]
+    while len(order) < len(kinds):
+        near = [v for v in kinds if v not in order and any(frozenset((v, o)) in wanted for o in order)]
+        order.append(next((v for v in near if kinds[v]), near[0]))
+    bound = fits(kinds[order[0]]).select("design_id", F.col("ref").alias(order[0]))
+    for i, v in enumerate(order[1:], 1):
+        first = next(o for o in order[:i] if frozenset((v, o)) in wanted)
+        bound = bound.join(edges.select("design_id", F.col("ref").alias(first), F.col("other").alias(v), F.col("power").alias("_p"), F.col("ground").alias("_g")), ["design_id", first])
+        bound = bound.filter(_carries(wanted[frozenset((v, first))])).drop("_p", "_g")
+        if kinds[v]:
+            bound = bound.join(fits(kinds[v]).select("design_id", F.col("ref").alias(v)), ["design_id", v], "left_semi")
+        for o in order[:i]:
+            if o == first:
+                continue
+            bound = bound.filter(F.col(v) != F.col(o))
+            pair = edges.select("design_id", F.col("ref").alias(o), F.col("other").alias(v), F.col("power").alias("_p"), F.col("ground").alias("_g"))
+            if frozenset((v, o)) in wanted:
+                bound = bound.join(pair, ["design_id", o, v]).filter(_carries(wanted[frozenset((v, o))])).drop("_p", "_g")
+            else:
+                bound = bound.join(pair, ["design_id", o, v], "left_anti")
+    return bound.select("design_id").distinct()
+
+
+def _carries(kind: str | None) -> Column:
+    return F.lit(True) if kind is None else F.col("_p") | F.col("_g") if kind == "ground" else F.col("_p")
+
+
+def topology_checks(nets: DataFrame, bom: DataFrame, names: Sequence[str] = tuple(PATTERNS)) -> tuple[DataFrame, DataFrame]:
+    """``(violations, checked)``: of the patterns whose word is in a design's types, those that it lacks.
+
+    A design with fewer refs than a pattern has vertices gets a warning, any other a
+    critical finding.
+    """
+    vertices, edges = connections(nets, bom)
+    size = vertices.groupBy("design_id").agg(F.count("*").alias("n"))
+    parts, asked = [], []
+    for name in names:
+        word = next(w for w in PATTERNS[name][0].values() if w)
+        due = bom.filter(F.contains(F.lower("component_type"), F.lit(word))).select("design_id").distinct().join(size, "design_id", "left").fillna(0, ["n"])
+        asked.append(due.select("design_id"))
+        few = F.col("n") < len(PATTERNS[name][0])
+        parts.append(_violation(due.filter(few), "WARNING", "topology_too_small", F.array(), F.lit(name)))
+        parts.append(_violation(due.filter(~few).join(pattern_found(name, vertices, edges), "design_id", "left_anti"), "CRITICAL", "topology_missing", F.array(), F.lit(name)))
+    return union(parts), union(asked).groupBy("design_id").agg(F.count("*").alias("checked"))
+
+
 def scores(violations: DataFrame, checked: DataFrame) -> DataFrame:
     """Score of each design from its violations and the number of checks."""
     per = violations.groupBy("design_id").agg(F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "WARNING").alias("warning"))
@@ -186,7 +261,7 @@ def ordering_problems(parameters: DataFrame) -> DataFrame:
 
 def limits_exceeded(operating: DataFrame, absolute: DataFrame, key: str = "component_id") -> DataFrame:
     """Operating maxima above the absolute maximum of the same parameter, names compared without case and suffix."""
-    base = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[_ ]*(abs|max|absolute|maximum|rating)+$", "")
+    base = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"([_ ]*(abs|max|absolute|maximum|rating))+$", "")
     a = operating.select(key, base("parameter_name").alias("name"), F.col("value_max").alias("operating_max"))
     b = absolute.select(key, base("parameter_name").alias("name"), F.col("value_max").alias("absolute_max"))
     return a.join(b, [key, "name"]).filter("operating_max > absolute_max")
@@ -206,13 +281,14 @@ def verdict(confidence: Column, flags: Column) -> Column:
 
 
 def interval_conflicts(intents: DataFrame) -> DataFrame:
-    """Supply too low for output and dropout, rails beyond the power budget.
+    """Supply too low for output and dropout, rails beyond the power budget, a noise limit below the parts' own.
 
-    ``intents(design_id, topology, supply_max_v, output_v, output_ma, budget_mw)``.
+    ``intents(design_id, topology, supply_max_v, output_v, output_ma, budget_mw)``, and
+    ``noise_limit_uv, noise_have_uv`` where they are given.
     """
     dropout = F.when(F.col("topology").isin("ldo", "linear_regulator"), F.lit(0.3)).when(F.col("topology").isin("buck_converter", "buck"), F.lit(0.0))
     need, power = F.round(F.col("output_v") + dropout, 6), F.col("output_v") * F.col("output_ma")
-    found = F.array_compact(F.array(F.when(F.col("supply_max_v") < need, F.lit("voltage_chain")), F.when(power > F.col("budget_mw"), F.lit("power_budget"))))
+    found = F.array_compact(F.array(F.when(F.col("supply_max_v") < need, F.lit("voltage_chain")), F.when(power > F.col("budget_mw"), F.lit("power_budget")), F.when(F.col("noise_have_uv") > F.col("noise_limit_uv"), F.lit("noise_pair")) if "noise_limit_uv" in intents.columns else F.lit(None).cast("string")))
     return intents.select("design_id", need.alias("min_input_v"), power.alias("required_mw"), (F.col("budget_mw") - power).alias("remaining_mw"), found.alias("conflicts"))
 
 

@@ -11,6 +11,7 @@ import random
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _DRIVERS = ("POWER_OUT", "SIGNAL_OUT", "ANALOG_OUT")
 _SCHEMA = "design_id string, net string, ref string, pin string, role string"
@@ -83,7 +84,7 @@ def beam(pins: DataFrame, width: int = 3, depth: int = 4, actions: int = 5) -> D
         states = [(quality(first, roles), first)]
         best = states[0]
         for _ in range(depth):
-            tried = [_moved(s, *move) for _, s in states for move in conflicts(s, roles)[:actions]]
+            tried = [_moved(s, *move) for _, s in states for move in list(dict.fromkeys(conflicts(s, roles)))[:actions]]
             if not tried or best[0] >= 1.0:
                 break
             states = sorted(((quality(s, roles), s) for s in tried), key=lambda x: -x[0])[:width]
@@ -93,6 +94,11 @@ def beam(pins: DataFrame, width: int = 3, depth: int = 4, actions: int = 5) -> D
     return pins.groupBy("design_id").applyInPandas(run, _SCHEMA)
 
 
+def distinct_moves(moves: DataFrame, key: tuple[str, ...] = ("design_id", "kind", "net", "ref", "pin"), order: str = "pos") -> DataFrame:
+    """Moves of designs without those that repeat an earlier one of the same kind, net, ref and pin."""
+    return moves.groupBy(*key).agg(F.min(order).alias(order))
+
+
 def qualities(pins: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         roles = {(r, p): (x if isinstance(x, str) else None) for r, p, x in zip(pdf.ref, pdf.pin, pdf.role, strict=True)}

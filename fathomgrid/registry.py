@@ -201,15 +201,10 @@ def c10_conflicting_groups(spark, sf):
 
 
 @query(
-    """WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey, l_returnflag FROM lineitem WHERE l_orderkey % 20 = 0)
+    """WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey, l_returnflag FROM lineitem)
 SELECT a.l_suppkey AS a, b.l_suppkey AS b, string_agg(DISTINCT a.l_returnflag, ',' ORDER BY a.l_returnflag) AS labels FROM m a JOIN m b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY ALL"""
 )
 def c12_co_occurrence(spark, sf):
-    return _co_occurrence(load(spark, sf, "lineitem").filter("l_orderkey % 20 = 0"))
-
-
-@query()
-def c12_co_occurrence_whole(spark, sf):
     return _co_occurrence(load(spark, sf, "lineitem"))
 
 
@@ -230,15 +225,10 @@ def c14_orphans(spark, sf):
 
 
 @query(
-    """WITH r AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS lo, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size + 2 END AS hi FROM part WHERE p_partkey < 300)
+    """WITH r AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS lo, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size + 2 END AS hi FROM part)
 SELECT a.p_partkey AS a, b.p_partkey AS b FROM r a JOIN r b ON a.p_partkey < b.p_partkey AND coalesce(a.lo, a.hi) <= coalesce(b.hi, b.lo) AND coalesce(b.lo, b.hi) <= coalesce(a.hi, a.lo)"""
 )
 def c18_range_overlap(spark, sf):
-    return _range_overlap(load(spark, sf, "part").filter("p_partkey < 300"))
-
-
-@query()
-def c18_range_overlap_whole(spark, sf):
     return _range_overlap(load(spark, sf, "part"))
 
 
@@ -247,13 +237,8 @@ def _range_overlap(part):
     return J.overlapping_pairs(rows, "p_partkey", "lo", "hi", 2.0)
 
 
-@query("SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice BETWEEN p_retailprice * 100 AND p_retailprice * 100 + 50 WHERE o_orderkey % 4 = 0")
+@query("SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice BETWEEN p_retailprice * 100 AND p_retailprice * 100 + 50")
 def c22_range_join(spark, sf):
-    return _range_join(spark, sf, load(spark, sf, "orders").filter("o_orderkey % 4 = 0"))
-
-
-@query()
-def c22_range_join_whole(spark, sf):
     return _range_join(spark, sf, load(spark, sf, "orders"))
 
 
@@ -264,15 +249,10 @@ def _range_join(spark, sf, orders):
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT least(l_suppkey, l_partkey % 100) AS u, greatest(l_suppkey, l_partkey % 100) AS v FROM lineitem WHERE l_suppkey <> l_partkey % 100 AND l_orderkey % 40 = 0)
+    """WITH e AS (SELECT DISTINCT least(l_suppkey, l_partkey % 100) AS u, greatest(l_suppkey, l_partkey % 100) AS v FROM lineitem WHERE l_suppkey <> l_partkey % 100)
 SELECT x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON x.v = y.u JOIN e z ON z.u = x.u AND z.v = y.v"""
 )
 def c23_triangles(spark, sf):
-    return J.triangles(_supply_edges(load(spark, sf, "lineitem").filter("l_orderkey % 40 = 0")))
-
-
-@query()
-def c23_triangles_whole(spark, sf):
     return J.triangles(_supply_edges(load(spark, sf, "lineitem")))
 
 
@@ -281,23 +261,14 @@ def _supply_edges(rows):
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT u, v FROM (SELECT l_suppkey AS u, l_partkey % 100 AS v FROM lineitem WHERE l_orderkey % 200 = 0 UNION ALL SELECT l_partkey % 100, l_suppkey FROM lineitem WHERE l_orderkey % 200 = 0) WHERE u <> v),
-k AS (SELECT s_suppkey AS node, s_nationkey % 3 AS kind FROM supplier)
-SELECT a.node AS x1, b.node AS x2, c.node AS x3 FROM k a JOIN e p ON p.u = a.node JOIN k b ON b.node = p.v JOIN e q ON q.u = b.node JOIN k c ON c.node = q.v
-WHERE a.kind = 0 AND b.kind = 1 AND c.kind = 2 AND a.node <> c.node AND NOT EXISTS (SELECT 1 FROM e n WHERE n.u = a.node AND n.v = c.node)"""
+    """WITH e AS (SELECT DISTINCT l_suppkey AS s, 1000000 + l_partkey AS p FROM lineitem), k AS (SELECT s_suppkey AS node, s_nationkey % 3 AS kind FROM supplier)
+SELECT a.s AS x1, a.p AS x2, b.s AS x3 FROM e a JOIN e b USING (p) JOIN k x ON x.node = a.s JOIN k y ON y.node = b.s WHERE x.kind = 0 AND y.kind = 1 AND a.s <> b.s"""
 )
 def c23_induced_chain(spark, sf):
-    return _induced_chain(spark, sf, load(spark, sf, "lineitem").filter("l_orderkey % 200 = 0"))
-
-
-@query()
-def c23_induced_chain_whole(spark, sf):
-    return _induced_chain(spark, sf, load(spark, sf, "lineitem"))
-
-
-def _induced_chain(spark, sf, rows):
+    edges = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v"))
     kinds = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") % 3).alias("kind"))
-    return J.chain_motif(_supply_edges(rows), kinds, [0, 1, 2])
+    parts = load(spark, sf, "part").select((F.col("p_partkey") + 1000000).alias("node"), F.lit(9).alias("kind"))
+    return J.chain_motif(edges, kinds.unionByName(parts), [0, 9, 1])
 
 
 @query("SELECT e.event_id, (SELECT arg_max(p.value, p.ts) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts) AS last_value FROM events e WHERE e.event_type = 'error'")
@@ -492,12 +463,15 @@ def d14_layer_hits(spark, sf):
 
 _HYBRID_SQL = f"""WITH {_FACT_SQL},
 p1 AS (SELECT component_id AS id, 1.0 AS score FROM facts GROUP BY 1 HAVING bool_or(symbol = 'en' AND value_typ < 2) AND bool_or(symbol = 'tol' AND value_max >= 0.08)),
-p2 AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS score FROM part WHERE p_name LIKE '%ring%'),
-p3 AS (SELECT p_partkey AS id, p_retailprice AS score FROM part WHERE p_retailprice > 1000),
-p4 AS (SELECT l_partkey AS id, 0.8 AS score FROM lineitem GROUP BY 1 HAVING count(*) >= 40),
+w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ({{STOP}})) AS w FROM documents),
+st AS (SELECT doc_id, list_transform(w, lambda x: regexp_replace(x, '^(.{{3,}}?)(ings?|edly|ed|ly|es|s)$', '\\1')) AS w FROM w),
+p2 AS (SELECT doc_id AS id, len(list_filter(w, lambda x: x IN ('releas', 'software'))) / len(w) AS score FROM st WHERE list_contains(w, 'releas') AND list_contains(w, 'software')),
+q AS (SELECT embedding AS x FROM embeddings WHERE vec_id = 0),
+p3 AS (SELECT vec_id AS id, s AS score FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(x AS DOUBLE[])) AS s FROM embeddings, q) WHERE s > 0.1),
+p4 AS (SELECT s_suppkey AS id, 1.0 AS score FROM supplier WHERE s_name = 'Supplier#000000007' UNION ALL SELECT s_suppkey, 0.8 FROM supplier WHERE s_nationkey = 3),
 l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r, 'parametric' AS layer FROM p1 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id), 'fts' FROM p2 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id), 'vector' FROM p3 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id), 'kg' FROM p4),
 f AS (SELECT id, sum(1.0 / (r + 60)) AS s, string_agg(layer, ',' ORDER BY layer) AS layers FROM l WHERE r <= 20 GROUP BY 1)
-SELECT id AS p_partkey, round(s, 9) AS final_score, layers, CAST(p AS INTEGER) AS position FROM (SELECT *, row_number() OVER (ORDER BY round(s, 12) DESC, id) AS p FROM f) WHERE p <= 10"""
+SELECT id, round(s, 9) AS final_score, layers, CAST(p AS INTEGER) AS position FROM (SELECT *, row_number() OVER (ORDER BY round(s, 12) DESC, id) AS p FROM f) WHERE p <= 10""".replace("{STOP}", ", ".join(f"'{w}'" for w in V.STOP_WORDS))
 
 
 @query(_HYBRID_SQL)
@@ -506,15 +480,16 @@ def j7_hybrid_retrieval(spark, sf):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid retrieval over parts: four ranked layers, fused."""
-    part = load(spark, sf_dir, "part")
+    """Hybrid retrieval of items by number: facts of parts, texts of documents, vectors and role candidates, fused by rank."""
     conditions = P.predicates({"noise_nV_rtHz": "<2", "tolerance_pct": ">=0.08"})
-    parametric = P.search(_facts(spark, sf_dir), conditions, "component_id").select(F.col("component_id").alias("p_partkey"), F.lit(1.0).alias("score"))
-    text = part.filter(F.contains("p_name", F.lit("ring"))).select("p_partkey", F.col("p_size").cast("double").alias("score"))
-    vector = part.filter("p_retailprice > 1000").select("p_partkey", F.col("p_retailprice").alias("score"))
-    related = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n")).filter("n >= 40").select("p_partkey", F.lit(0.8).alias("score"))
-    found = hybrid(parametric, text, vector, related, "p_partkey")
-    return found.select("p_partkey", F.round("final_score", 9).alias("final_score"), F.array_join("source_layers", ",").alias("layers"), "position")
+    parametric = P.search(_facts(spark, sf_dir), conditions, "component_id").select(F.col("component_id").alias("id"), F.lit(1.0).alias("score"))
+    text = V.stemmed_search(load(spark, sf_dir, "documents"), "the released software", "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("rank_score").alias("score"))
+    vector = V.vector_search(load(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), "vec_id", "embedding", 0.1).select(F.col("vec_id").alias("id"), F.col("similarity").alias("score"))
+    roles = spark.createDataFrame([(1, "r", "Supplier#000000007", None), (1, "s", None, 3)], "pattern_id int, role string, part string, category int")
+    components = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("component_id"), F.col("s_name").alias("part"), F.col("s_nationkey").alias("category"))
+    related = N.role_candidates(roles, components).select(F.col("component_id").alias("id"), "score")
+    found = hybrid(parametric, text, vector, related, "id")
+    return found.select("id", F.round("final_score", 9).alias("final_score"), F.array_join("source_layers", ",").alias("layers"), "position")
 
 
 # Graph
@@ -555,12 +530,16 @@ def i1_neighbours(spark, sf):
     return G.neighbours(nodes, edges, spark.createDataFrame([("N3",)], "id string"), 0.7)
 
 
-@query(f"WITH {_EDGE_SQL}, n AS (SELECT 'C' || c_custkey AS id FROM customer WHERE c_custkey % 10 <> 0) SELECT 'orphan_source' AS problem, count(*) AS n FROM edges WHERE s LIKE 'C%' AND s NOT IN (SELECT id FROM n) UNION ALL SELECT 'edge_confidence', count(*) FROM edges WHERE s LIKE 'C%' AND NOT c + 0.1 BETWEEN 0 AND 1")
+@query(
+    f"""WITH {_EDGE_SQL}, n AS (SELECT 'C' || c_custkey AS id, CASE WHEN c_custkey % 13 = 0 THEN ' ' ELSE c_name END AS label, c_acctbal / 8000 AS confidence FROM customer WHERE c_custkey % 10 <> 0)
+SELECT 'orphan_source' AS problem, s || '->' || t AS key FROM edges WHERE s NOT IN (SELECT id FROM n) UNION ALL SELECT 'orphan_target', s || '->' || t FROM edges WHERE t NOT IN (SELECT id FROM n) UNION ALL SELECT 'edge_confidence', s || '->' || t FROM edges WHERE NOT c + 0.1 BETWEEN 0 AND 1
+UNION ALL SELECT 'node_confidence', id FROM n WHERE NOT confidence BETWEEN 0 AND 1 UNION ALL SELECT 'blank_label', id FROM n WHERE trim(label) = ''"""
+)
 def i13_integrity(spark, sf):
-    edges = _edges(spark, sf).filter("source_id LIKE 'C%'").withColumn("confidence", F.col("confidence") + 0.1)
-    nodes = load(spark, sf, "customer").filter("c_custkey % 10 <> 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.lit("x").alias("label"), F.lit(1.0).alias("confidence"))
-    found = G.integrity(nodes, edges).filter("problem <> 'orphan_target'")
-    return found.groupBy("problem").agg(F.count("*").alias("n"))
+    edges = _edges(spark, sf).withColumn("confidence", F.col("confidence") + 0.1)
+    label = F.when(F.col("c_custkey") % 13 == 0, " ").otherwise(F.col("c_name"))
+    nodes = load(spark, sf, "customer").filter("c_custkey % 10 <> 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), label.alias("label"), (F.col("c_acctbal") / 8000).alias("confidence"))
+    return G.integrity(nodes, edges)
 
 
 @query(
@@ -579,16 +558,15 @@ def h37_tree_paths(spark, sf):
 # Rules
 
 
-def _nets(spark, sf, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def _nets(spark, sf) -> tuple[DataFrame, DataFrame]:
     li = load(spark, sf, "lineitem")
-    li = li if whole else li.filter("l_orderkey % 5 = 0")
     nets = li.select(F.lit("d").alias("design_id"), F.concat(F.when(F.col("l_orderkey") % 2 == 0, "VCC_").otherwise("N"), F.col("l_orderkey").cast("string")).alias("net_name"), F.when(F.col("l_orderkey") % 2 == 0, "power").otherwise("signal").alias("net_type"), F.concat(F.lit("U"), F.col("l_partkey").cast("string")).alias("ref"), F.col("l_suppkey").cast("string").alias("pin_number")).distinct()
     kind = F.col("pin_number").cast("int") % 4
     pins = nets.select("design_id", "ref", "pin_number").distinct().select("*", F.when(kind == 0, "output").when(kind == 1, "input").when(kind == 2, "io").otherwise("power").alias("pin_type"), F.when(kind == 3, F.when(F.col("pin_number").cast("int") % 3 == 0, "POWER_POSITIVE").otherwise("POWER_GROUND")).alias("function"), F.when(kind == 0, "SIGNAL_OUT").when(kind == 1, "SIGNAL_IN").when(kind == 3, "POWER_OUT").alias("role"))
     return nets, pins
 
 
-_NET_SQL = """nets AS (SELECT DISTINCT 'd' AS design_id, CASE WHEN l_orderkey % 2 = 0 THEN 'VCC_' ELSE 'N' END || l_orderkey AS net_name, CASE WHEN l_orderkey % 2 = 0 THEN 'power' ELSE 'signal' END AS net_type, l_partkey AS ref, l_suppkey AS pin FROM lineitem WHERE l_orderkey % 5 = 0),
+_NET_SQL = """nets AS (SELECT DISTINCT 'd' AS design_id, CASE WHEN l_orderkey % 2 = 0 THEN 'VCC_' ELSE 'N' END || l_orderkey AS net_name, CASE WHEN l_orderkey % 2 = 0 THEN 'power' ELSE 'signal' END AS net_type, l_partkey AS ref, l_suppkey AS pin FROM lineitem),
 p AS (SELECT net_name, net_type, count(*) FILTER (pin % 4 IN (0, 2)) AS outputs, bool_or(pin % 4 = 3 AND pin % 3 = 0) AS sourced, count(*) FILTER (pin % 4 IN (1, 2)) AS inputs FROM nets GROUP BY ALL)"""
 
 
@@ -599,11 +577,6 @@ def k6_electrical_checks(spark, sf):
     return K.electrical_checks(*_nets(spark, sf)).select("rule", "subject")
 
 
-@query()
-def k6_electrical_checks_whole(spark, sf):
-    return K.electrical_checks(*_nets(spark, sf, whole=True)).select("rule", "subject")
-
-
 @query(
     f"""WITH {_NET_SQL}, r AS (SELECT net_name, net_type, count(*) FILTER (pin % 4 = 0) AS so, count(*) FILTER (pin % 4 = 3) AS po, count(*) FILTER (pin % 4 <> 2) AS known FROM nets GROUP BY ALL)
 SELECT 'driver_conflict' AS rule, net_name || ':SIGNAL_OUT' AS subject FROM r WHERE so > 1 UNION ALL SELECT 'driver_conflict', net_name || ':POWER_OUT' FROM r WHERE po > 1 UNION ALL SELECT 'power_undriven', net_name FROM r WHERE net_type = 'power' AND known > 0 AND po = 0"""
@@ -612,11 +585,6 @@ def k11_role_checks(spark, sf):
     return K.role_checks(*_nets(spark, sf))[0].select("rule", "subject")
 
 
-@query()
-def k11_role_checks_whole(spark, sf):
-    return K.role_checks(*_nets(spark, sf, whole=True))[0].select("rule", "subject")
-
-
 @query(
     f"""WITH {_NET_SQL}, r AS (SELECT net_name, net_type, count(*) FILTER (pin % 4 = 0) AS so, count(*) FILTER (pin % 4 = 3) AS po, count(*) FILTER (pin % 4 <> 2) AS known FROM nets GROUP BY ALL),
 t AS (SELECT sum(CASE WHEN net_type = 'power' THEN 3 ELSE 2 END) AS checked, sum((so > 1)::INT + (po > 1)::INT) AS critical, sum((net_type = 'power' AND known > 0 AND po = 0)::INT) AS warning FROM r)
@@ -626,11 +594,6 @@ def d16_penalty_score(spark, sf):
     return K.scores(*K.role_checks(*_nets(spark, sf)))
 
 
-@query()
-def d16_penalty_score_whole(spark, sf):
-    return K.scores(*K.role_checks(*_nets(spark, sf, whole=True)))
-
-
 @query(
     """SELECT user_id, round(greatest(0.0, least(1.0, sum(s * w) / sum(w))), 4) AS score FROM (SELECT user_id, 1 + event_id % 5 AS layer, avg(value) / 100 AS s FROM events GROUP BY ALL) JOIN (VALUES (1, 0.35), (2, 0.3), (3, 0.2), (4, 0.1), (5, 0.05)) v(layer, w) USING (layer) GROUP BY 1"""
 )
@@ -732,15 +695,10 @@ def ext_rollup(spark, sf):
 
 
 @query(
-    """WITH t AS (SELECT p_partkey AS axiom_id, p_brand AS implication, p_name AS requirement FROM part WHERE p_partkey < 150)
+    """WITH t AS (SELECT p_partkey AS axiom_id, p_brand AS implication, p_name AS requirement FROM part)
 SELECT a.implication, a.axiom_id AS a, b.axiom_id AS b, round(1 - levenshtein(lower(a.requirement), lower(b.requirement)) / greatest(len(a.requirement), len(b.requirement)), 6) AS ratio FROM t a JOIN t b ON a.implication = b.implication AND a.axiom_id < b.axiom_id WHERE 1 - levenshtein(lower(a.requirement), lower(b.requirement)) / greatest(len(a.requirement), len(b.requirement)) < 0.6"""
 )
 def c11_axiom_conflicts(spark, sf):
-    return _axiom_conflicts(load(spark, sf, "part").filter("p_partkey < 150"))
-
-
-@query()
-def c11_axiom_conflicts_whole(spark, sf):
     return _axiom_conflicts(load(spark, sf, "part"))
 
 
@@ -805,11 +763,14 @@ def k5_verdict(spark, sf):
 
 
 @query(
-    """WITH r AS (SELECT doc_id, lower(text) AS t FROM documents), h AS (SELECT doc_id, CASE WHEN t LIKE '%tion%' THEN 'a' WHEN t LIKE '%ment%' THEN 'b' WHEN t LIKE '%keit%' THEN 'c' ELSE 'OTHER' END AS kind FROM r) SELECT kind, count(*) AS n FROM h GROUP BY 1"""
+    """SELECT p_partkey, CASE WHEN h IN ('dc characteristics', 'recommended operating conditions') THEN 'ELECTRICAL_CHARACTERISTICS' WHEN h = 'absolute maximum ratings' THEN 'ABSOLUTE_MAXIMUM_RATINGS' WHEN h = 'pin configuration' THEN 'PINOUT' WHEN h = 'switching characteristics' THEN 'TIMING' WHEN h = 'ordering code' THEN 'ORDERING' WHEN h = 'pcb layout' THEN 'LAYOUT_RECOMMENDATIONS' ELSE 'OTHER' END AS section
+FROM (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'dc characteristics' WHEN 1 THEN 'recommended operating conditions' WHEN 2 THEN 'absolute maximum ratings' WHEN 3 THEN 'pin configuration' WHEN 4 THEN 'switching characteristics' WHEN 5 THEN 'ordering code' WHEN 6 THEN 'pcb layout' ELSE p_name END AS h FROM part)"""
 )
 def h11_ordered_classifier(spark, sf):
-    kind = T.first_match(F.col("text"), (("a", "tion"), ("b", "ment"), ("c", "keit")), F.lit("OTHER"))
-    return load(spark, sf, "documents").select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    n = F.col("p_partkey") % 8
+    heads = ("DC  Characteristics", "6.3 Recommended Operating Conditions", "Absolute Maximum\nRatings", "Pin Configuration", "Switching Characteristics (VCC = 5 V)", "Ordering Code", "PCB Layout")
+    head = F.coalesce(*(F.when(n == i, F.lit(h)) for i, h in enumerate(heads)), F.col("p_name"))
+    return load(spark, sf, "part").select("p_partkey", T.section(head).alias("section"))
 
 
 @query("SELECT p_partkey, p_name || CASE WHEN p_name LIKE '%ring%' AND p_name NOT LIKE '%hoop%' THEN ' hoop' ELSE ' ' END AS expanded FROM part")
@@ -830,12 +791,10 @@ def f5_priority_order(spark, sf):
     return load(spark, sf, "orders").orderBy(V.priority_rank(rank), "o_orderkey").limit(50).select("o_orderkey", "o_orderpriority")
 
 
-@query("SELECT p_partkey FROM part WHERE p_name LIKE '%red%' OR p_name LIKE '%ring%' ORDER BY (p_name LIKE '%red%')::INT + (p_name LIKE '%ring%')::INT DESC, p_partkey LIMIT 5")
+@query("SELECT id AS p_partkey, 3 AS tier, (label LIKE '%small%')::INT + (label LIKE '%gear%')::INT AS hits FROM (SELECT p_partkey AS id, p_name AS label FROM part) WHERE label LIKE '%small%' OR label LIKE '%gear%' ORDER BY hits DESC, id LIMIT 5")
 def f6_goal_match(spark, sf):
     nodes = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
-    words = [F.when(F.contains("label", F.lit(w)), 1).otherwise(0) for w in ("red", "ring")]
-    hits = words[0] + words[1]
-    return nodes.filter(hits > 0).orderBy(hits.desc(), "id").limit(5).select(F.col("id").alias("p_partkey"))
+    return G.match_goal(nodes, "a_very_small_zzz_gear").select(F.col("id").alias("p_partkey"), "tier", "hits")
 
 
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY md5(text) ORDER BY source, doc_id) AS r FROM documents) WHERE r = 1")
@@ -846,7 +805,7 @@ def g7_first_wins_dedup(spark, sf):
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def g6_set_difference(spark, sf):
     orders = load(spark, sf, "orders")
-    return orders.filter("o_orderstatus = 'F'").select("o_custkey").exceptAll(orders.filter("o_orderstatus = 'P'").select("o_custkey")).distinct().join(orders.filter("o_orderstatus = 'P'").select("o_custkey"), "o_custkey", "left_anti")
+    return orders.filter("o_orderstatus = 'F'").select("o_custkey").subtract(orders.filter("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
@@ -945,3 +904,6 @@ def l2_beam_search(spark, sf):
 def _netlists(spark, sf) -> DataFrame:
     role = F.when(F.col("event_type") == "error", "NC").when(F.col("event_type") == "click", "POWER_OUT").when(F.col("event_type") == "view", "SIGNAL_OUT")
     return load(spark, sf, "events").select(F.col("user_id").cast("string").alias("design_id"), F.concat(F.lit("N"), (F.col("event_id") % 20).cast("string")).alias("net"), F.concat(F.lit("U"), (F.col("event_id") % 7).cast("string")).alias("ref"), F.col("event_id").cast("string").alias("pin"), role.alias("role"))
+
+
+from fathomgrid import domain_queries as _domain  # noqa: E402, F401  registers its queries

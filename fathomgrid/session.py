@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,3 +31,16 @@ def build_session(app: str = "fathomgrid", master: str | None = None, **conf: ob
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Read ``table`` from ``sf_dir``; any path that Spark's readers open will do."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` from a table in ``spark.checkpoint.dir``, deleted when the application ends, so that their plan runs once; as they are without the setting."""
+    spark = rows.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        return rows
+    path = f"{where}/level-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -33,6 +33,9 @@ def test_pins(spark):
     assert got["a", "VDD"] == ("POWER_POSITIVE", 1.0) and got["a", "gpio3"] == ("GPIO", 1.0) and got["a", "NRST"] == ("RESET", 1.0) and got["a", "EN_L"] == ("ENABLE", 1.0)
     assert got["b", "CLK"] == ("I2C_CLOCK", 0.9) and got["c", "CLK"] == ("SPI_CLOCK", 0.9) and got["d", "CLK"] == (None, 0.0)
     assert got["e", "DATA"] == ("UART_RECEIVE", 0.9) and got["b", "WAT"] == (None, 0.0)
+    more = spark.createDataFrame([("f", "NCS"), ("f", "MISO"), ("f", "IRQ"), ("f", "!EN"), ("f", "NRESET2"), ("g", "CS")], "component_id string, raw_name string")
+    got = {(r.component_id, r.raw_name): r.canonical for r in T.normalise_pins(more, aliases.limit(0)).collect()}
+    assert [got["f", n] for n in ("NCS", "MISO", "IRQ", "!EN", "NRESET2")] == ["SPI_CHIP_SELECT", None, "INTERRUPT", "ENABLE_ACTIVE_LOW", "RESET"] and got["g", "CS"] is None
 
 
 def test_small_functions(spark):
@@ -43,7 +46,11 @@ def test_small_functions(spark):
     assert each(spark, ["Place C1 close to the pin of U1. The sky is blue today."], T.placement_sentences) == [["Place C1 close to the pin of U1"]]
     assert each(spark, ["<p>multi-\n  line <b>x</b></p><script>1<2</script><!-- a > b -->"], T.clean_html) == ["multiline x"]
     assert each(spark, ["from 12V to 3.3V at 500mA and 2.4GHz"], T.parse_prompt)[0].asDict() == {"supply_v": 12.0, "output_v": 3.3, "current_ma": 500.0, "frequency_hz": 2.4e9}
-    assert each(spark, ["a good amplifier", "5V rail"], T.ambiguities) == [["no_voltage", "no_numbers", "vague"], []]
+    open_ = lambda goal, app, method, hz: [x.field for x in spark.createDataFrame([(goal, app, method, hz)], "g string, a string, m string, f double").select(T.ambiguities(F.col("g"), F.col("a"), F.col("m"), F.col("f")).alias("x")).first().x]
+    assert open_("my_circuit", "unspecified", "RF_highfreq", None) == ["goal", "application", "frequency"] and open_("patch_antenna", "drone", "RF_highfreq", 2.4e9) == []
+    d = each(spark, ["Please design a low power LoRa sensor, 4 layer board", "nothing"], T.parse_design)
+    assert (d[0].goal, d[0].method, d[0].application, d[0].board, d[0].constraints) == ("a_low_power_lora", "RF_highfreq", "iot sensor", "4_layer", ["low_power"])
+    assert (d[1].goal, d[1].method, d[1].application, d[1].board, d[1].constraints) == ("circuit", "standard_SMD", "unspecified", "double_sided_SMD", [])
     assert each(spark, ["Requires ", "is a", "zzz"], lambda c: T.mapped(c, {"requires": "REQUIRES", "is a": "IS_A"})) == ["REQUIRES", "IS_A", None]
     df = spark.createDataFrame([("kitten", "sitting", {"v": "3.3 V", "t": ""}, "a 3.3V part")], "a string, b string, m map<string,string>, q string")
     r = df.select(T.ratio(F.col("a"), F.col("b")).alias("r"), T.matching_properties(F.col("m"), F.col("q")).alias("k")).first()
