@@ -323,3 +323,324 @@ SELECT grid_id, round((CASE WHEN n > 4 THEN 1.0 ELSE n / 4 END + CASE WHEN e < 0
 )
 def d21_grid_quality(spark, sf):
     return S.grid_quality(made(spark, sf, _CELLS))
+
+
+# Aggregates and ranks
+
+
+@query("SELECT c_nationkey AS design_id, round(avg(v), 4) AS confidence FROM (SELECT c_nationkey, c_acctbal / 10000 AS v FROM customer UNION ALL SELECT s_nationkey, s_acctbal / 10000 FROM supplier) GROUP BY 1")
+def d18_mean_of_both(spark, sf):
+    customer, supplier = load(spark, sf, "customer"), load(spark, sf, "supplier")
+    return A.mean_of_both(customer.select(F.col("c_nationkey").alias("design_id"), (F.col("c_acctbal") / 10000).alias("confidence")), supplier.select(F.col("s_nationkey").alias("design_id"), (F.col("s_acctbal") / 10000).alias("confidence")))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(greatest(0.0, least(1.0, l_discount * 4 + l_tax * 3 + l_quantity / 50 * 0.3)), 6) AS confidence FROM lineitem")
+def d19_extraction_confidence(spark, sf):
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(A.extraction_confidence(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 50), 6).alias("confidence"))
+
+
+_GRIDS = "SELECT l_orderkey AS k, l_linenumber AS pos, l_quantity / 50 AS confidence, CASE WHEN l_suppkey % 3 = 0 THEN 'PINOUT' WHEN l_suppkey % 3 = 1 THEN 'TIMING' ELSE 'OTHER' END AS section, l_discount = 0 AS from_model FROM {lineitem}"
+
+
+@query(duck("SELECT k, round(avg(confidence), 4) AS confidence, coalesce(arg_min(section, pos) FILTER (section <> 'OTHER'), 'OTHER') AS section, bool_or(from_model) AS from_model FROM (SELECT k, pos, confidence, section, from_model FROM grids) GROUP BY 1", grids=_GRIDS.replace("l_linenumber AS pos", "l_linenumber * 1000000 + l_partkey AS pos")))
+def d22_merged_grids(spark, sf):
+    return A.merged_grids(made(spark, sf, _GRIDS.replace("l_linenumber AS pos", "l_linenumber * 1000000 + l_partkey AS pos")), ["k"], "pos")
+
+
+_RESULTS = "SELECT user_id AS task_id, event_type = 'purchase' AS passed FROM {events}"
+_TASKS = "SELECT c_custkey AS task_id, c_mktsegment AS level FROM {customer}"
+
+
+@query(duck("SELECT level, count(*) AS n_tasks, round(avg(CASE WHEN task_id IN (SELECT task_id FROM results WHERE passed) THEN 1.0 ELSE 0.0 END), 4) AS pass_rate FROM tasks GROUP BY 1", tasks=_TASKS, results=_RESULTS))
+def d13_rates_by_difficulty(spark, sf):
+    return A.rates_by(made(spark, sf, _TASKS), made(spark, sf, _RESULTS), "level")
+
+
+@query(duck("SELECT task_id FROM tasks WHERE task_id NOT IN (SELECT task_id FROM results WHERE passed)", tasks=_TASKS, results=_RESULTS))
+def d13_failed_tasks(spark, sf):
+    return A.failed_tasks(made(spark, sf, _TASKS), made(spark, sf, _RESULTS))
+
+
+@query(duck("SELECT task_id, task_id IN (SELECT task_id FROM results WHERE passed) AS covered FROM tasks", tasks=_TASKS, results=_RESULTS))
+def d15_coverage_map(spark, sf):
+    return A.coverage_map(made(spark, sf, _TASKS), made(spark, sf, _RESULTS).filter("passed"), ["task_id"])
+
+
+@query("SELECT count(*) AS matched, round(avg(CASE WHEN f.o_orderstatus = t.o_orderpriority THEN 1.0 WHEN (f.o_orderstatus = 'F') = (t.o_orderpriority = '1-URGENT') THEN 1.0 ELSE 0.0 END), 4) AS section_accuracy FROM orders f JOIN orders t ON f.o_orderkey = t.o_orderkey WHERE f.o_totalprice > 1000 AND t.o_totalprice < 400000")
+def d24_section_accuracy(spark, sf):
+    orders = load(spark, sf, "orders")
+    found = orders.filter("o_totalprice > 1000").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "urgent").otherwise("plain").alias("section"))
+    truth = orders.filter("o_totalprice < 400000").select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").otherwise("plain").alias("section"))
+    return A.section_accuracy(found, truth, ["o_orderkey"], "section")
+
+
+@query("SELECT p_brand, p_partkey, w FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY w * p_size DESC, p_partkey) AS r FROM (SELECT *, CASE WHEN p_name LIKE '%gear%' THEN 2.0::DOUBLE WHEN p_name LIKE '%rod%' THEN 0.5 ELSE 1.0 END AS w FROM part)) WHERE r = 1")
+def d4_weighted_best(spark, sf):
+    rows = load(spark, sf, "part").select("p_brand", "p_partkey", A.criticality_level(F.col("p_name"), ("gear",), ("rod",)).alias("w"), "p_size").withColumn("v", F.col("w") * F.col("p_size"))
+    return A.arg_max(rows, ["p_brand"], "v", "p_partkey").select("p_brand", "p_partkey", "w")
+
+
+@query(
+    """WITH p AS (SELECT event_type AS kind, user_id AS part, avg(value) AS m, count(*) AS n FROM events GROUP BY ALL), q AS (SELECT *, sum(n) OVER (PARTITION BY kind) AS nk FROM p)
+SELECT kind, part, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(m, 9) DESC, part) AS r FROM q WHERE nk >= 3 AND part % 2 = 0) WHERE r <= 2"""
+)
+def e4_alternatives(spark, sf):
+    history = load(spark, sf, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("part"), "value")
+    return R.preferred(history, "kind", "part", "value", current=history.filter("part % 2 <> 0")).select("kind", "part", "rank")
+
+
+_GRID_TEXT = "SELECT l_partkey AS grid_id, l_orderkey % 6 AS row, l_linenumber AS col, CASE l_suppkey % 4 WHEN 0 THEN '' ELSE CAST(l_suppkey % 3 AS STRING) END AS text, l_orderkey AS o FROM {lineitem}"
+_ONE_CELL = "cells AS (SELECT grid_id, row, col, arg_min(text, o) AS text FROM grid GROUP BY 1, 2, 3)"
+_RUNS = """, s AS (SELECT *, CASE WHEN text = lag(text) OVER w THEN 0 ELSE 1 END AS new FROM cells WINDOW w AS (PARTITION BY grid_id, {by} ORDER BY {at})), r AS (SELECT *, sum(new) OVER (PARTITION BY grid_id, {by} ORDER BY {at}) AS run FROM s)
+SELECT grid_id, {by}, min({at}) AS {at}, min(text) AS text, CASE WHEN length(min(text)) > 0 THEN count(*) ELSE 1 END AS {span} FROM r GROUP BY grid_id, {by}, run"""
+
+
+def _cells(spark, sf):
+    return made(spark, sf, _GRID_TEXT.replace("l_orderkey AS o", "l_orderkey * 100 + l_suppkey AS o")).groupBy("grid_id", "row", "col").agg(F.min_by("text", "o").alias("text"))
+
+
+@query(duck(", " + _ONE_CELL + _RUNS.format(by="row", at="col", span="colspan"), grid=_GRID_TEXT.replace("l_orderkey AS o", "l_orderkey * 100 + l_suppkey AS o")))
+def e6_column_spans(spark, sf):
+    return R.merged_cells(_cells(spark, sf))
+
+
+@query(duck(", " + _ONE_CELL + _RUNS.format(by="col", at="row", span="rowspan"), grid=_GRID_TEXT.replace("l_orderkey AS o", "l_orderkey * 100 + l_suppkey AS o")))
+def e6_row_spans(spark, sf):
+    return R.merged_rows(_cells(spark, sf))
+
+
+@query(
+    """WITH RECURSIVE t AS (SELECT user_id AS doc_id, CAST(event_id AS INTEGER) AS page, CAST(event_id % 2 AS INTEGER) AS n_cols, event_type AS header, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS event_id, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE 'y' END AS event_type FROM events)),
+w AS (SELECT doc_id, page, i, false AS same, n_cols AS base_cols, header AS base_header FROM t WHERE i = 1
+UNION ALL SELECT t.doc_id, t.page, t.i, c, CASE WHEN c THEN base_cols ELSE t.n_cols END, CASE WHEN c THEN base_header ELSE t.header END
+  FROM (SELECT t.*, w.base_cols, w.base_header, t.n_cols = w.base_cols AND t.page = w.page + 1 AND t.header = w.base_header AS c FROM t JOIN w ON t.doc_id = w.doc_id AND t.i = w.i + 1) t)
+SELECT doc_id, page, 0 AS pos, same AS is_continuation FROM w"""
+)
+def e5_continuations(spark, sf):
+    tables = made(spark, sf, "SELECT user_id AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS page, 0 AS pos, event_id FROM {events}")
+    tables = tables.select("doc_id", "page", "pos", (F.col("page") % 2).cast("int").alias("n_cols"), F.array(F.when(F.col("event_id") % 3 == 0, "x").otherwise("y")).alias("header"))
+    return R.continuations(tables)
+
+
+_ENTRIES = "SELECT l_orderkey AS design_id, CAST(l_partkey AS STRING) AS ref, l_linenumber - 1 AS alt_rank, l_quantity / 50 AS confidence FROM {lineitem}"
+
+
+@query(duck("SELECT design_id, alt_rank, v AS variant_confidence FROM (SELECT *, row_number() OVER (PARTITION BY design_id ORDER BY v DESC, alt_rank, ref) AS r FROM (SELECT *, round(confidence * pow(0.97, alt_rank), 4) AS v FROM entries)) WHERE r <= 3", entries=_ENTRIES))
+def f8_ladders(spark, sf):
+    return R.ladder(made(spark, sf, _ENTRIES), ["design_id"]).select("design_id", "alt_rank", "variant_confidence")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY s DESC NULLS LAST, side) AS r FROM (SELECT o_custkey, max(o_orderkey) AS o_orderkey, max(o_totalprice) AS o_totalprice, CASE WHEN o_custkey % 5 > 0 THEN max(o_totalprice) END AS s, 0 AS side FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 UNION ALL SELECT o_custkey, max(o_orderkey), max(o_totalprice), max(o_totalprice), 1 FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)) WHERE r = 1")
+def e13_better_extraction(spark, sf):
+    per = lambda rows: rows.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"), F.max("o_totalprice").alias("o_totalprice"))
+    orders = load(spark, sf, "orders")
+    a = per(orders.filter("o_orderstatus = 'F'")).withColumn("s", F.when(F.col("o_custkey") % 5 > 0, F.col("o_totalprice")))
+    b = per(orders.filter("o_orderstatus <> 'F'")).withColumn("s", F.col("o_totalprice"))
+    return R.better_of(a, b, ["o_custkey"], "s").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+# Joins
+
+_NOTES = "SELECT o_orderkey AS page, 'intro (' || CAST(o_custkey % 3 AS STRING) || ') cost ' || o_orderpriority || ' (9)  status ' || o_orderstatus || CASE WHEN o_orderkey % 4 = 0 THEN ' (9) again' ELSE '' END AS text FROM {orders}"
+_DEFINED = ", d AS (SELECT page, unnest(regexp_extract_all(text, '\\(([0-9]+)\\)', 1)) AS marker, unnest(range(length(text))) AS pos, unnest(regexp_split_to_array(text, '\\([0-9]+\\)')[2:]) AS body FROM notes), defined AS (SELECT page, marker, pos, trim(body) AS body FROM d WHERE marker IS NOT NULL)"
+
+
+@query(duck(_DEFINED + " SELECT page, marker, CAST(pos AS INTEGER) AS pos, body FROM defined", notes=_NOTES))
+def e7_definitions(spark, sf):
+    return J.definitions_of(made(spark, sf, _NOTES))
+
+
+@query(duck(_DEFINED + ", marks AS (SELECT o_orderkey AS page, CAST(o_custkey % 4 AS VARCHAR) AS marker FROM orders UNION ALL SELECT o_orderkey, '9' FROM orders) SELECT page, marker, (SELECT arg_min(body, pos) FROM defined x WHERE x.page = m.page AND x.marker = m.marker) AS body FROM marks m", notes=_NOTES))
+def c19_footnotes(spark, sf):
+    marks = made(spark, sf, "SELECT o_orderkey AS page, CAST(o_custkey % 4 AS STRING) AS marker FROM {orders} UNION ALL SELECT o_orderkey, '9' FROM {orders}")
+    return J.footnotes(marks, J.definitions_of(made(spark, sf, _NOTES)))
+
+
+_INSTANCES = "SELECT 'i' || CAST(p_partkey AS STRING) AS instance_id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE 'other' END AS component_type FROM {part}"
+_TYPES = "SELECT DISTINCT p_name AS type_id, p_name AS label FROM {part}"
+_RULES = "SELECT p_name AS source_id, 'i' || CAST(p_partkey + p_size AS STRING) AS target_id FROM {part} WHERE p_size > 25"
+
+
+@query(duck(", a AS (SELECT lower(component_type) AS t, min(instance_id) AS direct FROM instances GROUP BY 1), b AS (SELECT source_id, min(target_id) AS ruled FROM ruled WHERE target_id IN (SELECT instance_id FROM instances) GROUP BY 1) SELECT type_id, coalesce(direct, ruled) AS instance_id, CASE WHEN direct IS NOT NULL THEN 'property' WHEN ruled IS NOT NULL THEN 'rule' END AS via FROM types LEFT JOIN a ON lower(label) = t LEFT JOIN b ON source_id = type_id", instances=_INSTANCES, types=_TYPES, ruled=_RULES))
+def c6_resolved_types(spark, sf):
+    return J.resolve(made(spark, sf, _INSTANCES), made(spark, sf, _TYPES), made(spark, sf, _RULES)).select("type_id", "instance_id", "via")
+
+
+_NEEDED = "SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS slug FROM {orders}"
+_HAVE = "SELECT CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS STRING) ELSE 'x' END AS block_slug, 'block:' || CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey AS STRING) ELSE 'y' END AS block_id FROM {customer}"
+
+
+@query(duck("SELECT id, slug FROM needed WHERE slug NOT IN (SELECT block_slug FROM have) AND slug NOT IN (SELECT string_split(block_id, ':')[-1] FROM have)", needed=_NEEDED, have=_HAVE))
+def c17_open_requirements(spark, sf):
+    return J.unresolved_requirements(made(spark, sf, _NEEDED), made(spark, sf, _HAVE))
+
+
+# Texts
+
+_RAW_PINS = "SELECT DISTINCT l_orderkey % 400 AS component_id, CASE l_partkey % 19 WHEN 0 THEN 'VDD' WHEN 1 THEN 'gpio3' WHEN 2 THEN 'NRST' WHEN 3 THEN 'CLK' WHEN 4 THEN 'SDA' WHEN 5 THEN 'MOSI' WHEN 6 THEN 'TX1' WHEN 7 THEN 'DATA' WHEN 8 THEN 'CS' WHEN 9 THEN '!INT' WHEN 10 THEN 'NEN' ELSE 'P' || CAST(l_partkey % 19 AS STRING) END AS raw_name FROM {lineitem} WHERE l_linenumber < 3"
+_ALIASES = (("VDD", "POWER_POSITIVE"), ("GPIO", "GPIO"), ("RST", "RESET"), ("TX", "UART_TRANSMIT"))
+
+
+@query(
+    duck(
+        """, b AS (SELECT component_id, bool_or(raw_name = 'SDA') AS i2c, bool_or(raw_name = 'MOSI') AS spi, bool_or(raw_name = 'CS') AS cs, bool_or(raw_name = 'TX1') AS tx FROM pins GROUP BY 1)
+SELECT component_id, raw_name, CASE raw_name WHEN 'VDD' THEN 'POWER_POSITIVE' WHEN 'gpio3' THEN 'GPIO' WHEN 'NRST' THEN 'RESET' WHEN 'TX1' THEN 'UART_TRANSMIT' WHEN '!INT' THEN 'INTERRUPT' WHEN 'NEN' THEN 'ENABLE_ACTIVE_LOW'
+  WHEN 'CLK' THEN CASE WHEN (spi OR cs) AND NOT i2c THEN 'SPI_CLOCK' WHEN i2c AND NOT (spi OR cs) THEN 'I2C_CLOCK' END
+  WHEN 'DATA' THEN CASE WHEN (spi OR cs) AND NOT i2c AND NOT tx THEN 'SPI_DATA_IN' WHEN i2c AND NOT (spi OR cs) AND NOT tx THEN 'I2C_DATA' WHEN tx AND NOT (spi OR cs) AND NOT i2c THEN 'UART_RECEIVE' END
+  WHEN 'CS' THEN CASE WHEN spi THEN 'SPI_CHIP_SELECT' END END AS canonical FROM pins JOIN b USING (component_id)""",
+        pins=_RAW_PINS,
+    )
+)
+def h8_pin_cascade(spark, sf):
+    aliases = spark.createDataFrame(_ALIASES, "alias string, function string")
+    return T.normalise_pins(made(spark, sf, _RAW_PINS), aliases).select("component_id", "raw_name", "canonical")
+
+
+@query(duck("SELECT DISTINCT raw_name, CASE raw_name WHEN 'VDD' THEN 'POWER_POSITIVE' WHEN 'gpio3' THEN 'GPIO' WHEN 'NRST' THEN 'RESET' ELSE 'UART_TRANSMIT' END AS function FROM pins WHERE raw_name IN ('VDD', 'gpio3', 'NRST', 'TX1')", pins=_RAW_PINS))
+def h6_pin_dictionary(spark, sf):
+    return T.alias_of(made(spark, sf, _RAW_PINS), spark.createDataFrame(_ALIASES, "alias string, function string"))
+
+
+@query(
+    duck(
+        """, b AS (SELECT component_id, bool_or(raw_name = 'SDA') AS i2c, bool_or(raw_name IN ('MOSI', 'CS')) AS spi FROM pins GROUP BY 1) SELECT component_id, raw_name, CASE raw_name WHEN 'CLK' THEN CASE WHEN spi AND NOT i2c THEN 'SPI_CLOCK' WHEN i2c AND NOT spi THEN 'I2C_CLOCK' END WHEN '!INT' THEN 'INTERRUPT' ELSE 'ENABLE_ACTIVE_LOW' END AS canonical FROM pins JOIN b USING (component_id) WHERE raw_name IN ('CLK', '!INT', 'NEN')""",
+        pins=_RAW_PINS,
+    )
+)
+def h7_pin_context(spark, sf):
+    found = T.normalise_pins(made(spark, sf, _RAW_PINS), spark.createDataFrame([], "alias string, function string"))
+    return found.filter("raw_name IN ('CLK', '!INT', 'NEN')").select("component_id", "raw_name", "canonical")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'SPI_DATA_IN' WHEN 1 THEN 'spi' || p_size || '_sck' ELSE 'led' END AS name, CASE p_partkey % 3 WHEN 1 THEN 'SPI' || p_size END AS peripheral FROM part")
+def h9_alternate_functions(spark, sf):
+    rows = made(spark, sf, "SELECT p_partkey, array(CASE p_partkey % 3 WHEN 0 THEN ' mosi' WHEN 1 THEN 'spi' || CAST(p_size AS STRING) || '_sck' ELSE 'led' END) AS names FROM {part}")
+    return rows.select("p_partkey", T.alternate_functions(F.col("names"), {"MOSI": "SPI_DATA_IN"})[0].alias("x")).select("p_partkey", "x.name", "x.peripheral")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'GROUND' WHEN 1 THEN 'BIDIRECTIONAL' WHEN 2 THEN 'CLOCK' END AS role FROM part")
+def h10_roles(spark, sf):
+    n = F.col("p_partkey") % 4
+    return load(spark, sf, "part").select("p_partkey", T.role(F.when(n == 0, "POWER_GROUND").when(n == 1, "GPIO").when(n == 2, "SPI_CLOCK").otherwise("ODD")).alias("role"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'SOT-23-5' WHEN 1 THEN 'SOIC-8' WHEN 2 THEN 'LQFP-64' ELSE p_name END AS name, p_partkey % 4 = 3 AS needs_review FROM part")
+def h12_packages(spark, sf):
+    n = F.col("p_partkey") % 4
+    text = F.when(n == 0, "DRLR (SOT-23-5)").when(n == 1, "8-pin SOIC body").when(n == 2, "in lqfp 64 form").otherwise(F.concat(F.lit(" "), "p_name"))
+    return load(spark, sf, "part").select("p_partkey", T.package(text).alias("x")).select("p_partkey", "x.name", "x.needs_review")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'ldo:0.75' WHEN 1 THEN 'buck_boost:0.9' WHEN 2 THEN 'buck_converter:0.75,rc_lowpass:0.75' WHEN 3 THEN 'boost_converter:0.6,ldo:0.6' ELSE '' END AS found FROM part")
+def h13_topologies(spark, sf):
+    n = F.col("p_partkey") % 5
+    text = F.when(n == 0, "a 3.3V LDO").when(n == 1, "the buck-boost part").when(n == 2, "Buck Converter, low-pass filter").when(n == 3, "boost then ldo").otherwise("plain")
+    found = F.transform(T.topologies(text), lambda t: F.concat_ws(":", t["name"], t["confidence"].cast("string")))
+    return load(spark, sf, "part").select("p_partkey", F.array_join(found, ",").alias("found"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'RF_highfreq' WHEN 1 THEN 'power_management' ELSE 'standard_SMD' END AS method, p_partkey % 3 = 0 AS overridden FROM part")
+def h14_methods(spark, sf):
+    n = F.col("p_partkey") % 3
+    text, proposed = F.when(n == 0, "2.4GHz patch antenna").when(n == 1, "a buck for an adc").otherwise("plain board"), F.when(n == 1, "power_management").otherwise("standard_SMD")
+    return load(spark, sf, "part").select("p_partkey", T.methodology(text, proposed).alias("x")).select("p_partkey", "x.method", "x.overridden")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'ldo_regulator' WHEN 1 THEN 'unknown' WHEN 2 THEN 'low_noise_' || split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 1) || '_' || split_part(p_name, ' ', 2) END AS goal FROM part")
+def h15_goals(spark, sf):
+    n, name = F.col("p_partkey") % 4, F.split("p_name", " ")
+    text = F.when(n == 0, F.concat(F.lit("a_"), F.col("p_size").cast("string"), F.lit("v_ldo"))).when(n == 1, "the").when(n == 2, F.concat(F.lit("Build-a_low-noise_"), name[0])).otherwise(F.concat(name[0], F.lit("_"), name[1], F.lit("_for_the")))
+    return load(spark, sf, "part").select("p_partkey", T.clean_goal(text).alias("goal"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a_low_power_' || split_part(p_name, ' ', 2) ELSE 'circuit' END AS goal, CASE p_partkey % 4 WHEN 0 THEN 'RF_highfreq' ELSE 'standard_SMD' END AS method, CASE p_partkey % 4 WHEN 0 THEN 'drone' WHEN 2 THEN 'medical' ELSE 'unspecified' END AS application, CASE WHEN p_partkey % 2 = 0 THEN '4_layer' ELSE 'double_sided_SMD' END AS board, CASE WHEN p_partkey % 2 = 0 THEN 'low_power' ELSE '' END AS constraints FROM part")
+def h16_prompts(spark, sf):
+    n = F.col("p_partkey") % 4
+    end = F.when(n == 0, " with LoRa for a drone").when(n == 2, " for medical use").otherwise("")
+    text = F.when(n % 2 == 0, F.concat(F.lit("I will BUILD a low power "), F.split("p_name", " ")[1], end, F.lit(", 4 layer"))).otherwise("x")
+    found = load(spark, sf, "part").select("p_partkey", T.parse_design(text).alias("d"))
+    return found.select("p_partkey", "d.goal", "d.method", "d.application", "d.board", F.array_join("d.constraints", ",").alias("constraints"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'goal,application,frequency' WHEN 1 THEN 'application' ELSE '' END AS fields, p_partkey % 3 = 0 AS blocking FROM part")
+def h17_ambiguities(spark, sf):
+    n = F.col("p_partkey") % 3
+    found = T.ambiguities(F.when(n == 0, "my_Circuit").otherwise(F.col("p_name")), F.when(n == 2, "drone").otherwise("Unspecified"), F.when(n == 1, "standard_SMD").otherwise("RF_highfreq"), F.when(n == 2, 2.4e9))
+    rows = load(spark, sf, "part").select("p_partkey", found.alias("a"))
+    return rows.select("p_partkey", F.array_join(F.transform("a", lambda x: x["field"]), ",").alias("fields"), F.exists("a", lambda x: x["blocking"]).alias("blocking"))
+
+
+@query("SELECT p_partkey, array_to_string(list_distinct_ordered, ',') AS words FROM (SELECT p_partkey, list_filter([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), CASE WHEN lower(p_type) NOT IN (split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)) THEN lower(p_type) END], lambda x: x IS NOT NULL) AS list_distinct_ordered FROM part)")
+def h18_goal_words(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", F.array_join(T.goal_words(F.concat_ws("__", "p_name", "p_type", "p_name")), ",").alias("words"))
+
+
+@query("SELECT id AS p_partkey FROM (SELECT p_partkey AS id, p_name FROM part WHERE p_name = 'small gear' ORDER BY 1 LIMIT 5)")
+def h19_goal_nodes(spark, sf):
+    nodes = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
+    return G.match_goal(nodes, "small_gear").select(F.col("id").alias("p_partkey"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN 'Place C' || p_size || ' close to the pin of U1' ELSE '' END AS found FROM part")
+def h22_placement_sentences(spark, sf):
+    text = F.concat(F.lit("The sky is blue today. "), F.when(F.col("p_partkey") % 3 < 2, F.concat(F.lit("Place C"), F.col("p_size").cast("string"), F.lit(" close to the pin of U1. "))).otherwise(""), F.lit("Done now."))
+    return load(spark, sf, "part").select("p_partkey", F.array_join(T.placement_sentences(text), "|").alias("found"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'PROPERTY' WHEN 1 THEN 'DESIGN_PATTERN' ELSE 'COMPONENT_TYPE' END AS kind FROM part")
+def h24_node_kinds(spark, sf):
+    n = F.col("p_partkey") % 3
+    label = F.when(n == 0, F.concat(F.lit("gain of "), F.col("p_size").cast("string"), F.lit(" dB"))).when(n == 1, "Buck Converter").otherwise(F.col("p_name"))
+    return load(spark, sf, "part").select("p_partkey", N.node_kind(label).alias("kind"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'pin' WHEN 1 THEN 'pin' WHEN 2 THEN 'board_edge' ELSE 'component' END AS kind FROM part")
+def h26_relative_kinds(spark, sf):
+    n, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    return load(spark, sf, "part").select("p_partkey", T.relative_kind(F.when(n == 0, F.concat(F.lit("U1."), size)).when(n == 1, F.concat(F.lit("pin "), size)).when(n == 2, "the Board's edge").otherwise(F.concat(F.lit("C"), size))).alias("kind"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'v' ELSE '' END AS keys FROM part")
+def h32_matching_properties(spark, sf):
+    size = F.col("p_size").cast("string")
+    held = F.create_map(F.lit("v"), F.concat(size, F.lit(".5 V")), F.lit("t"), F.lit(""))
+    asked = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("part of "), size, F.lit(".5v rating"))).otherwise("none")
+    return load(spark, sf, "part").select("p_partkey", F.array_join(T.matching_properties(held, asked), ",").alias("keys"))
+
+
+@query("SELECT p_partkey, coalesce(CASE WHEN p_size > 5 THEN p_name END, 'Unresolved part') || ' serves as ' || lower(p_type) || ' part (confidence ' || printf('%.2f', CAST(p_size % 10 AS DOUBLE) / 10) || ')' AS text FROM part")
+def h34_justifications(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", T.justification(F.when(F.col("p_size") > 5, F.col("p_name")), F.concat(F.lower("p_type"), F.lit("_part")), (F.col("p_size") % 10).cast("double") / 10).alias("text"))
+
+
+@query("SELECT p_partkey, 'TPS' || (1000 + p_partkey) AS part, CASE WHEN p_size % 2 = 0 THEN 'SOIC-8' END AS package, CASE WHEN p_size % 3 = 0 THEN p_size || 'V to 90.5 V' END AS supply FROM part")
+def h35_headers(spark, sf):
+    size = F.col("p_size").cast("string")
+    text = F.concat_ws(" ", F.concat(F.lit("TPS"), (F.col("p_partkey") + 1000).cast("string")), F.when(F.col("p_size") % 2 == 0, "in SOIC-8"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("for "), size, F.lit("V to 90.5 V"))))
+    return load(spark, sf, "part").select("p_partkey", N.header_fields(text).alias("h")).select("p_partkey", "h.part", "h.package", "h.supply")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 4 ELSE 2 END AS layers, CASE WHEN p_size % 2 = 0 THEN 'Rogers_4003C' ELSE 'FR4' END AS material FROM part")
+def h41_boards(spark, sf):
+    designs = load(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "RF_highfreq").otherwise(F.col("p_type")).alias("methodology"))
+    return N.board_of(designs, spark).select("p_partkey", "layers", "material")
+
+
+@query("SELECT p_partkey, lower(p_type) || ' part ' || 'gain ' || p_size || ' noise max low' AS text FROM part")
+def h2_query_text(spark, sf):
+    rows = load(spark, sf, "part").select("p_partkey", T.query_text(F.concat(F.lower("p_type"), F.lit("_part")), F.create_map(F.lit("noise_max"), F.lit("low"), F.lit("gain"), F.col("p_size").cast("string"))).alias("text"))
+    return rows
+
+
+@query("SELECT p_partkey, 'component:' || replace(p_name, ' ', '_') || '_' || p_size AS id FROM part")
+def h25_graph_slugs(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", T.graph_slug(F.concat(F.lit(" "), F.initcap("p_name"), F.lit("!  -"), F.col("p_size").cast("string")), "component").alias("id"))
+
+
+_EMBEDDED = "SELECT l_partkey, collect_list(struct(CAST(l_orderkey AS STRING) AS name, CAST(l_linenumber AS STRING) AS value)) AS parameters FROM {lineitem} GROUP BY 1"
+
+
+@query("SELECT p_partkey, p_name || '. ' || p_type || '. ' || (SELECT string_agg(n || ': ' || v, '; ' ORDER BY n, v) FROM (SELECT CAST(l_orderkey AS VARCHAR) AS n, CAST(l_linenumber AS VARCHAR) AS v, row_number() OVER (ORDER BY CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)) AS r FROM lineitem WHERE l_partkey = p_partkey) WHERE r <= 10) AS text FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
+def f9_embedding_texts(spark, sf):
+    rows = load(spark, sf, "part").join(made(spark, sf, _EMBEDDED), F.col("p_partkey") == F.col("l_partkey"))
+    return rows.select("p_partkey", T.embedding_text(F.col("p_name"), F.col("p_type"), F.col("parameters")).alias("text"))
