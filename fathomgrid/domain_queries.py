@@ -23,7 +23,7 @@ from fathomgrid.operators import synthesis as S
 from fathomgrid.registry import query
 from fathomgrid.session import load
 
-TABLES = ("customer", "documents", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+TABLES = ("customer", "documents", "events", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 
 
 def made(spark: SparkSession, sf: str, piece: str) -> DataFrame:
@@ -644,3 +644,378 @@ _EMBEDDED = "SELECT l_partkey, collect_list(struct(CAST(l_orderkey AS STRING) AS
 def f9_embedding_texts(spark, sf):
     rows = load(spark, sf, "part").join(made(spark, sf, _EMBEDDED), F.col("p_partkey") == F.col("l_partkey"))
     return rows.select("p_partkey", T.embedding_text(F.col("p_name"), F.col("p_type"), F.col("parameters")).alias("text"))
+
+
+# Graph
+
+_NODES = """SELECT 'topology:' || p_brand AS id, 'TOPOLOGY' AS node_type, p_brand AS label, 1 AS layer, 1.0 AS confidence, CAST(NULL AS BIGINT) AS size FROM (SELECT DISTINCT p_brand FROM {part})
+UNION ALL SELECT 'part:' || CAST(p_partkey AS STRING), CASE p_partkey % 4 WHEN 0 THEN 'COMPONENT_TYPE' WHEN 1 THEN 'FUNCTIONAL_BLOCK' WHEN 2 THEN 'DESIGN_RECIPE' ELSE 'PROPERTY' END, p_name, 2 + CAST(p_partkey % 3 AS INT), p_size / 50.0, CASE WHEN p_size > 20 THEN CAST(p_size AS BIGINT) END FROM {part}"""
+_LINKS = """SELECT 'part:' || CAST(p_partkey AS STRING) AS source_id, 'PART_OF' AS relation, 'topology:' || p_brand AS target_id, 0.9 AS confidence FROM {part}
+UNION ALL SELECT 'topology:' || p_brand, 'USES', 'part:' || CAST(p_partkey AS STRING), 0.5 + p_size / 100.0 FROM {part} WHERE p_size % 3 = 0
+UNION ALL SELECT 'part:' || CAST(p_partkey AS STRING), 'REQUIRES', 'part:' || CAST(p_partkey + 1 AS STRING), 0.55 + (p_size % 10) / 20.0 FROM {part} WHERE p_partkey % 2 = 0"""
+_GOAL = "Brand#13"
+
+
+@query(duck("SELECT id FROM nodes WHERE node_type = 'COMPONENT_TYPE' AND layer = 3 AND size IS NOT NULL", nodes=_NODES))
+def b8_select_nodes(spark, sf):
+    return G.select_nodes(made(spark, sf, _NODES), "COMPONENT_TYPE", 3, having="size").select("id")
+
+
+@query(duck("SELECT id FROM nodes WHERE id IN ('part:1', 'part:2', 'part:99999999')", nodes=_NODES))
+def b8_nodes_by_id(spark, sf):
+    return G.select_nodes(made(spark, sf, _NODES), ids=["part:1", "part:2", "part:99999999"]).select("id")
+
+
+@query(duck("SELECT id FROM nodes WHERE node_type IN ('COMPONENT_TYPE', 'COMPONENT_INSTANCE', 'DESIGN_RECIPE')", nodes=_NODES))
+def b16_searchable(spark, sf):
+    return V.searchable(made(spark, sf, _NODES)).select("id")
+
+
+@query(duck("SELECT layer, n FROM (SELECT CAST(k AS INTEGER) AS layer, count(id) AS n FROM range(1, 6) r(k) LEFT JOIN nodes ON layer = k GROUP BY 1)", nodes=_NODES))
+def d6_layer_stats(spark, sf):
+    return G.layer_stats(made(spark, sf, _NODES))
+
+
+_STARTED = f", t AS (SELECT id FROM nodes WHERE string_split(id, ':')[-1] = '{_GOAL}'), start AS (SELECT id FROM t UNION SELECT source_id FROM links WHERE relation = 'PART_OF' AND target_id IN (SELECT id FROM t))"
+
+
+@query(duck(_STARTED + " SELECT id FROM start", nodes=_NODES, links=_LINKS))
+def i4_start_nodes(spark, sf):
+    return G.start_nodes(made(spark, sf, _NODES), made(spark, sf, _LINKS), spark.createDataFrame([(_GOAL,)], "slug string"))
+
+
+@query(duck(" SELECT id FROM nodes WHERE string_split(id, ':')[-1] IN ('7', '8') AND node_type <> 'TOPOLOGY'", nodes=_NODES))
+def g2_starts_of_several_goals(spark, sf):
+    goals = spark.createDataFrame([("7",), ("8",), ("7",)], "slug string")
+    return G.start_nodes(made(spark, sf, _NODES), made(spark, sf, _LINKS), goals)
+
+
+_REACHED = _STARTED + """, good AS (SELECT * FROM links WHERE confidence >= 0.6), l0 AS (SELECT id, 0 AS depth, 1.0 AS p FROM start),
+s1 AS (SELECT source_id, target_id, relation, g.confidence AS c, p * g.confidence AS q, row_number() OVER (PARTITION BY target_id ORDER BY p * g.confidence DESC, source_id) AS r FROM good g JOIN l0 ON source_id = id WHERE target_id NOT IN (SELECT id FROM l0)), l1 AS (SELECT target_id AS id, 1 AS depth, q AS p FROM s1 WHERE r = 1),
+s2 AS (SELECT source_id, target_id, relation, g.confidence AS c, p * g.confidence AS q, row_number() OVER (PARTITION BY target_id ORDER BY p * g.confidence DESC, source_id) AS r FROM good g JOIN l1 ON source_id = id WHERE target_id NOT IN (SELECT id FROM l0 UNION ALL SELECT id FROM l1)), l2 AS (SELECT target_id AS id, 2 AS depth, q AS p FROM s2 WHERE r = 1),
+v AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)"""
+
+
+@query(duck(_REACHED + " SELECT id, depth, round(p, 6) AS path_confidence, CASE node_type WHEN 'COMPONENT_TYPE' THEN 'components' WHEN 'TOPOLOGY' THEN 'topologies' WHEN 'FUNCTIONAL_BLOCK' THEN 'blocks' ELSE 'other' END AS category FROM v JOIN nodes USING (id) WHERE node_type <> 'PROPERTY'", nodes=_NODES, links=_LINKS))
+def i7_query_graph(spark, sf):
+    goals = spark.createDataFrame([(_GOAL,)], "slug string")
+    found = G.query_graph(made(spark, sf, _NODES), made(spark, sf, _LINKS), goals, suppressed=["PROPERTY"], depth=2)[0]
+    return found.select("id", "depth", F.round("path_confidence", 6).alias("path_confidence"), "category")
+
+
+@query(duck(_REACHED + " SELECT source_id, target_id, relation FROM s1 WHERE r = 1 AND relation = 'REQUIRES' UNION ALL SELECT source_id, target_id, relation FROM s2 WHERE r = 1 AND relation = 'REQUIRES'", nodes=_NODES, links=_LINKS))
+def i6_design_rules(spark, sf):
+    goals = spark.createDataFrame([(_GOAL,)], "slug string")
+    rule = F.when(F.col("relation") == "REQUIRES", F.create_map(F.lit("gap"), F.lit("1 mm"))).otherwise(F.create_map().cast("map<string,string>"))
+    edges = made(spark, sf, _LINKS).withColumn("constraints", rule)
+    return G.query_graph(made(spark, sf, _NODES), edges, goals, depth=2)[1].select("source_id", "target_id", "relation")
+
+
+_CHANGES = "SELECT 'part:' || CAST(l_partkey AS STRING) AS source_id, l_returnflag AS relation, 'part:' || CAST(l_suppkey AS STRING) AS target_id, l_discount AS confidence, l_orderkey * 10 + l_linenumber AS v FROM {lineitem}"
+_OLD = "SELECT 'part:' || CAST(p_partkey AS STRING) AS source_id, 'OLD' AS relation, 'part:' || CAST(p_partkey % 7 AS STRING) AS target_id, 0.5 AS confidence, CAST(0 AS BIGINT) AS v FROM {part}"
+_ENDS = "SELECT 'part:' || CAST(p_partkey AS STRING) AS id FROM {part} WHERE p_partkey % 5 > 0"
+
+
+@query(duck(", ok AS (SELECT * FROM changes WHERE source_id IN (SELECT id FROM ends) AND target_id IN (SELECT id FROM ends)), u AS (SELECT * FROM old UNION ALL SELECT * FROM ok) SELECT source_id, target_id, arg_max(relation, v) AS relation FROM u GROUP BY 1, 2", changes=_CHANGES.replace("l_orderkey * 10 + l_linenumber AS v", "(l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS v"), old=_OLD, ends=_ENDS))
+def i2_edge_upsert(spark, sf):
+    changes = made(spark, sf, _CHANGES.replace("l_orderkey * 10 + l_linenumber AS v", "(l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS v"))
+    return G.upsert_edges(made(spark, sf, _OLD), changes, made(spark, sf, _ENDS), "v")[0].select("source_id", "target_id", "relation")
+
+
+@query(duck("SELECT source_id, target_id, v FROM changes WHERE source_id NOT IN (SELECT id FROM ends) OR target_id NOT IN (SELECT id FROM ends)", changes=_CHANGES, ends=_ENDS))
+def i2_refused_edges(spark, sf):
+    changes = made(spark, sf, _CHANGES)
+    return G.upsert_edges(made(spark, sf, _OLD), changes, made(spark, sf, _ENDS), "v")[1].select("source_id", "target_id", "v")
+
+
+_SHEET = "SELECT CAST(o_custkey AS STRING) AS component_id, collect_list(struct(CAST(o_orderkey AS STRING) AS number, o_orderstatus AS function)) AS pins, collect_list(struct(CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END AS symbol, o_totalprice AS value, o_orderpriority AS section)) AS parameters FROM {orders} GROUP BY 1"
+
+
+@query("SELECT 'component:' || o_custkey AS id, 'COMPONENT_INSTANCE' AS node_type FROM orders GROUP BY o_custkey UNION ALL SELECT 'pin:' || o_custkey || ':' || o_orderkey, 'PIN' FROM orders UNION ALL SELECT DISTINCT 'property:' || o_custkey || ':' || CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus ELSE 'unknown' END || ':' || o_orderpriority, 'PROPERTY' FROM orders")
+def i8_datasheet_nodes(spark, sf):
+    sheets = made(spark, sf, _SHEET).withColumns({"part": F.concat(F.lit("P"), "component_id"), "confidence": F.lit(0.9)})
+    return G.datasheet_graph(sheets)[0].select("id", "node_type")
+
+
+_PLACING = "SELECT CASE c_custkey % 6 WHEN 0 THEN ' ' ELSE 'Cap ' || CAST(c_custkey % 20 AS STRING) END AS subject, c_mktsegment AS target, CASE WHEN c_nationkey % 2 = 0 THEN 'near' ELSE 'away' END AS kind, c_acctbal / 8000 AS confidence FROM {customer}"
+
+
+@query(duck(", good AS (SELECT * FROM placed WHERE trim(subject) <> '' AND confidence >= 0.65) SELECT DISTINCT 'PLACEMENT_RULE' AS node_type, subject || ' ' || kind || ' ' || target AS label FROM good UNION ALL SELECT 'COMPONENT_TYPE', min(subject) FROM good WHERE lower(replace(subject, ' ', '_')) <> 'cap_3' GROUP BY lower(replace(subject, ' ', '_'))", placed=_PLACING))
+def i9_placement_nodes(spark, sf):
+    return N.placement_graph(made(spark, sf, _PLACING), spark.createDataFrame([("cap_3",)], "id string"))[0].select("node_type", "label")
+
+
+@query("SELECT 'topology:buck_converter' AS target_id, count(*) AS n FROM range(5) UNION ALL SELECT 'topology:ldo', count(*) FROM range(4)")
+def i10_topology_blocks(spark, sf):
+    return N.topology_graph(spark)[1].groupBy("target_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT methodology, layers FROM (VALUES ('standard_SMD', 2), ('RF_highfreq', 4), ('power_management', 2), ('mixed_signal', 4), ('through_hole', 2)) v(methodology, layers)")
+def i11_methods(spark, sf):
+    return N.methods(spark).select("methodology", "layers")
+
+
+@query("SELECT DISTINCT 'metric:' || l_orderkey AS source_id, 'part:' || l_partkey AS target_id FROM lineitem")
+def i12_derived_edges(spark, sf):
+    metrics = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("inputs")).select(F.concat(F.lit("metric:"), F.col("l_orderkey").cast("string")).alias("metric_id"), "inputs", F.lit(1.0).alias("confidence"))
+    return G.derived_edges(metrics).select("source_id", "target_id")
+
+
+def _constraints(spark, sf):
+    intents = load(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("design_id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("scope"), F.struct(F.col("c_nationkey").alias("vin"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey") + 1).alias("vout")).alias("electrical"), F.when(F.col("c_custkey") % 4 == 0, F.struct(F.col("c_custkey").alias("t"))).alias("thermal"))
+    return N.constraint_nodes(intents, {"electrical": "electrical", "thermal": "thermal"})
+
+
+@query("SELECT 'constraint:' || c_custkey || ':electrical:' || CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'global' END AS id, 'vin=' || c_nationkey || CASE WHEN c_custkey % 2 = 0 THEN ',vout=' || (c_nationkey + 1) ELSE '' END AS properties FROM customer UNION ALL SELECT 'constraint:' || c_custkey || ':thermal:' || CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'global' END, 't=' || c_custkey FROM customer WHERE c_custkey % 4 = 0")
+def i14_constraint_nodes(spark, sf):
+    return _constraints(spark, sf).select("id", F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("properties"))
+
+
+@query("SELECT 'constraint:' || c_custkey || ':thermal:' || CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'global' END AS id FROM customer WHERE c_custkey = 8")
+def b10_scoped_records(spark, sf):
+    return N.scoped_records(_constraints(spark, sf), "8", "thermal").select("id")
+
+
+@query("SELECT c_custkey AS design_id, count(*) AS n FROM (SELECT c_custkey, c_nationkey AS v FROM customer UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END FROM customer) WHERE v IS NOT NULL GROUP BY 1")
+def h33_flattened_specs(spark, sf):
+    rows = _constraints(spark, sf).filter("kind = 'electrical'").select(F.col("design_id").cast("long").alias("design_id"), F.explode("properties").alias("k", "v"))
+    return rows.groupBy("design_id").agg(F.count("*").alias("n"))
+
+
+# Patterns of a netlist
+
+_SPARSE = "SELECT DISTINCT 'd' || CAST(CAST(floor(l_orderkey / 3) AS BIGINT) AS STRING) AS design_id, 'N' || CAST(l_orderkey AS STRING) AS net_name, CASE l_orderkey % 3 WHEN 0 THEN 'power' WHEN 1 THEN 'signal' ELSE 'ground' END AS net_type, 'U' || CAST(l_partkey % 18 AS STRING) AS ref FROM {lineitem}"
+_SPARSE_BOM = "SELECT DISTINCT 'd' || CAST(CAST(floor(l_orderkey / 3) AS BIGINT) AS STRING) AS design_id, 'U' || CAST(l_partkey % 18 AS STRING) AS ref, CASE l_partkey % 6 WHEN 0 THEN 'LDO' WHEN 1 THEN 'resistor' WHEN 2 THEN 'capacitor' WHEN 3 THEN 'op_amp' WHEN 4 THEN 'buck' ELSE 'plain' END AS component_type FROM {lineitem}"
+_LINKED = """, e AS (SELECT a.design_id, a.ref AS x, b.ref AS y, bool_or(a.net_type = 'power') AS p, bool_or(a.net_type <> 'signal') AS g FROM nets a JOIN nets b ON a.design_id = b.design_id AND a.net_name = b.net_name AND a.ref <> b.ref GROUP BY ALL), t AS (SELECT design_id, ref, lower(component_type) AS kind FROM bom),
+size AS (SELECT design_id, count(DISTINCT ref) AS n FROM nets GROUP BY 1), link AS (SELECT design_id, x, y FROM e),
+rc AS (SELECT DISTINCT r.design_id FROM t r JOIN e a ON a.design_id = r.design_id AND a.x = r.ref JOIN t c ON c.design_id = r.design_id AND c.ref = a.y AND c.kind LIKE '%capacitor%' JOIN e b ON b.design_id = r.design_id AND b.x = c.ref AND b.y <> r.ref AND b.g JOIN e s ON s.design_id = r.design_id AND s.x = r.ref AND s.y NOT IN (c.ref, b.y)
+  WHERE r.kind LIKE '%resistor%' AND (r.design_id, s.y, c.ref) NOT IN (SELECT * FROM link) AND (r.design_id, s.y, b.y) NOT IN (SELECT * FROM link) AND (r.design_id, r.ref, b.y) NOT IN (SELECT * FROM link)),
+cs AS (SELECT DISTINCT m.design_id FROM t m JOIN e a ON a.design_id = m.design_id AND a.x = m.ref JOIN t r ON r.design_id = m.design_id AND r.ref = a.y AND r.kind LIKE '%resistor%' JOIN e v ON v.design_id = m.design_id AND v.x = m.ref AND v.p AND v.y <> r.ref JOIN e b ON b.design_id = m.design_id AND b.x = r.ref AND b.g AND b.y NOT IN (m.ref, v.y)
+  WHERE m.kind LIKE '%op_amp%' AND (m.design_id, r.ref, v.y) NOT IN (SELECT * FROM link) AND (m.design_id, m.ref, b.y) NOT IN (SELECT * FROM link) AND (m.design_id, v.y, b.y) NOT IN (SELECT * FROM link)),
+due AS (SELECT DISTINCT design_id, 'rc_lowpass' AS name FROM t WHERE kind LIKE '%resistor%' UNION ALL SELECT DISTINCT design_id, 'current_source' FROM t WHERE kind LIKE '%op_amp%'),
+found AS (SELECT design_id, 'rc_lowpass' AS name FROM rc UNION ALL SELECT design_id, 'current_source' FROM cs)"""
+
+
+@query(duck(_LINKED + " SELECT design_id, CASE WHEN n < 4 THEN 'topology_too_small' ELSE 'topology_missing' END AS rule, name AS subject FROM due JOIN size USING (design_id) WHERE n < 4 OR (design_id, name) NOT IN (SELECT design_id, name FROM found)", nets=_SPARSE, bom=_SPARSE_BOM))
+def k13_topology_checks(spark, sf):
+    return K.topology_checks(made(spark, sf, _SPARSE), made(spark, sf, _SPARSE_BOM), ("rc_lowpass", "current_source"))[0].select("design_id", "rule", "subject")
+
+
+@query(duck(_LINKED + " SELECT design_id FROM found WHERE name = 'rc_lowpass'", nets=_SPARSE, bom=_SPARSE_BOM))
+def c23_template_match(spark, sf):
+    return K.pattern_found("rc_lowpass", *K.connections(made(spark, sf, _SPARSE), made(spark, sf, _SPARSE_BOM)))
+
+
+# Retrieval and plans
+
+_ASKED = "SELECT c_custkey AS design_id, CAST(n AS INT) AS pos, CASE (c_custkey + n) % 5 WHEN 0 THEN 'low_noise_ldo' WHEN 1 THEN 'precision_resistor_pair' WHEN 2 THEN 'pcb_layout_constraint' WHEN 3 THEN NULL ELSE 'relay' END AS implication, CASE (c_custkey * n) % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'LOW' ELSE 'odd' END AS priority, c_name AS requirement FROM {customer} JOIN (SELECT r_regionkey AS n FROM {region}) ON true"
+
+
+@query(duck("SELECT design_id, CASE implication WHEN 'precision_resistor_pair' THEN 'precision_resistor' ELSE implication END AS component_type, CASE implication WHEN 'low_noise_ldo' THEN 2 WHEN 'precision_resistor_pair' THEN 2 ELSE 0 END AS n_required, CAST(row_number() OVER (PARTITION BY design_id ORDER BY CASE priority WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'LOW' THEN 3 ELSE 99 END, pos) AS INTEGER) AS position FROM asked WHERE implication IS NOT NULL AND implication <> 'pcb_layout_constraint'", asked=_ASKED))
+def j1_component_plan(spark, sf):
+    return V.plan_components(made(spark, sf, _ASKED)).select("design_id", "component_type", F.size("required").alias("n_required"), "position")
+
+
+@query("SELECT c_custkey AS design_id, replace(lower(c_mktsegment), '_', ' ') || s AS search_term FROM customer, (VALUES (' circuit design'), (' application note')) v(s) WHERE c_acctbal / 10000 >= 0.6")
+def b11_document_plan(spark, sf):
+    topologies = load(spark, sf, "customer").select(F.col("c_custkey").alias("design_id"), F.lower("c_mktsegment").alias("name"), (F.col("c_acctbal") / 10000).alias("confidence"))
+    return V.plan_documents(topologies).select("design_id", "search_term")
+
+
+@query("SELECT doc_id, relevance FROM (SELECT doc_id, arg_min(n_chars, source) AS relevance FROM documents GROUP BY 1) ORDER BY relevance DESC, doc_id LIMIT 10")
+def f4_ranked_documents(spark, sf):
+    found = load(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("relevance"), F.col("source").alias("query_pos"))
+    return V.rank_documents(found, "doc_id")
+
+
+@query("SELECT doc_id, round(h / n, 9) AS rank_score FROM (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x IN ('releas', 'software'))) AS h, list_contains(w, 'releas') AND list_contains(w, 'software') AS every FROM (SELECT doc_id, list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in V.STOP_WORDS) + ")), lambda x: regexp_replace(x, '^(.{3,}?)(ings?|edly|ed|ly|es|s)$', '\\1')) AS w FROM documents)) WHERE every ORDER BY h / n DESC, doc_id LIMIT 20")
+def h30_stemmed_search(spark, sf):
+    return V.stemmed_search(load(spark, sf, "documents"), "the releasing of software", "doc_id", "text").select("doc_id", F.round("rank_score", 9).alias("rank_score"))
+
+
+@query("SELECT p_type, p_partkey, CAST(r AS INTEGER) AS kind_rank FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY round(CAST(p_size AS DOUBLE), 12) DESC, p_partkey) AS r FROM part) WHERE r <= 5")
+def f3_top_five_by_type(spark, sf):
+    rows = load(spark, sf, "part").select("p_type", "p_partkey", F.col("p_size").cast("double").alias("final_score"))
+    return V.top_by_kind(rows, "p_type", "p_partkey").select("p_type", "p_partkey", "kind_rank")
+
+
+_SEEN = "SELECT o_orderkey AS url, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS etag, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey END AS content_length, o_orderpriority AS head_hash FROM {orders} WHERE o_orderkey % 5 > 0"
+_NOW = "SELECT o_orderkey AS url, CASE WHEN o_orderkey % 2 > 0 THEN 'F' END AS etag, CASE WHEN o_orderkey % 7 > 0 THEN o_custkey + o_orderkey % 2 END AS content_length, '1-URGENT' AS head_hash FROM {orders}"
+
+
+@query(duck("SELECT n.url, coalesce(n.etag <> s.etag, n.content_length <> s.content_length, n.head_hash <> s.head_hash, true) AS changed FROM now n LEFT JOIN seen s USING (url)", seen=_SEEN, now=_NOW))
+def j9_freshness(spark, sf):
+    return L.freshness(made(spark, sf, _NOW), made(spark, sf, _SEEN), "url").select("url", "changed")
+
+
+@query(duck("SELECT b.design_id, b.ref, CASE WHEN p_partkey % 3 = 0 THEN 'gen' WHEN b.part IN ('P1', 'P2') THEN 'fix' WHEN component_type IN ('connector', 'op_amp') THEN component_type ELSE 'Device:IC' END AS symbol FROM bom b LEFT JOIN (SELECT DISTINCT 'P' || (p_partkey % 9) AS part, p_partkey % 9 AS p_partkey FROM part) USING (part)", bom=BOM))
+def c26_symbols(spark, sf):
+    generated = made(spark, sf, "SELECT DISTINCT 'P' || CAST(p_partkey % 9 AS STRING) AS part, 'gen' AS symbol FROM {part} WHERE p_partkey % 9 % 3 = 0")
+    fixed = spark.createDataFrame([("P1", "fix"), ("P2", "fix"), ("P3", "lost")], "part string, symbol string")
+    by_type = spark.createDataFrame([("connector", "connector"), ("op_amp", "op_amp"), ("op_amp", "z")], "component_type string, symbol string")
+    return N.resolve_symbols(made(spark, sf, BOM), generated, fixed, by_type).select("design_id", "ref", "symbol")
+
+
+@query(duck("SELECT design_id, ref, string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags FROM (SELECT design_id, ref, flag FROM flags UNION ALL SELECT design_id, ref, 'unresolved' FROM bom WHERE part IS NULL) WHERE (design_id, ref) IN (SELECT design_id, ref FROM bom) GROUP BY 1, 2", bom=BOM, flags=_FLAGS))
+def c25_flags_united(spark, sf):
+    bom = made(spark, sf, BOM)
+    flags = made(spark, sf, _FLAGS).unionByName(bom.filter("part IS NULL").select("design_id", "ref", F.lit("unresolved").alias("flag")))
+    return S.assemble(bom, made(spark, sf, _SHEETS), flags).filter(F.size("flags") > 0).select("design_id", "ref", F.array_join("flags", ",").alias("flags"))
+
+
+@query(duck("SELECT design_id, ref, string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags FROM flags WHERE (design_id, ref) IN (SELECT design_id, ref FROM bom) GROUP BY 1, 2", bom=BOM, flags=_FLAGS))
+def g4_flag_sets(spark, sf):
+    return S.assemble(made(spark, sf, BOM), made(spark, sf, _SHEETS), made(spark, sf, _FLAGS)).filter(F.size("flags") > 0).select("design_id", "ref", F.array_join("flags", ",").alias("flags"))
+
+
+@query("SELECT o_orderkey, p_partkey, same_kind FROM (SELECT o_orderkey, p_partkey, same AS same_kind, row_number() OVER (PARTITION BY o_orderkey ORDER BY NOT same, p_partkey) AS r FROM (SELECT o_orderkey, p_partkey, o_custkey % 4 = p_size % 4 AS same FROM orders JOIN part ON o_totalprice BETWEEN p_retailprice * 100 AND p_retailprice * 100 + 900)) WHERE r = 1")
+def c22_best_range(spark, sf):
+    points = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 4).cast("int").alias("kind"))
+    ranges = load(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("low"), (F.col("p_retailprice") * 100 + 900).alias("high"), (F.col("p_size") % 4).alias("kind"))
+    return J.best_range(points, ranges, "o_orderkey", "o_totalprice", "low", "high", "kind", "p_partkey", 500.0).select("o_orderkey", "p_partkey", "same_kind")
+
+
+@query("SELECT user_id AS design_id, event_type AS kind, CAST(event_id % 9 AS VARCHAR) AS net, min(event_id) AS pos FROM events GROUP BY 1, 2, 3")
+def g9_distinct_moves(spark, sf):
+    from fathomgrid.operators.search import distinct_moves
+
+    moves = load(spark, sf, "events").select(F.col("user_id").alias("design_id"), F.col("event_type").alias("kind"), (F.col("event_id") % 9).cast("string").alias("net"), F.lit("U1").alias("ref"), F.lit("1").alias("pin"), F.col("event_id").alias("pos"))
+    return distinct_moves(moves).select("design_id", "kind", "net", "pos")
+
+
+@query("SELECT p_partkey, part, CAST(alt AS INTEGER) AS alt_rank, round(p_size / 50.0 * pow(0.97, alt), 4) AS variant_confidence FROM (SELECT p_partkey, p_size, 'own' AS part, 0 AS alt FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_size, b, k FROM part, (VALUES ('best', 1), ('own', 2), ('last', 3), ('none', 4)) v(b, k) WHERE p_partkey % 3 = 0 AND p_type = 'PROMO' AND b <> 'own') QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY round(p_size / 50.0 * pow(0.97, alt), 4) DESC, alt) <= 3")
+def l3_enriched_ladders(spark, sf):
+    entries = load(spark, sf, "part").filter("p_partkey % 3 = 0").select("p_partkey", F.col("p_type").alias("kind"), F.lit("own").alias("part"), (F.col("p_size") / 50.0).cast("double").alias("confidence"))
+    best = spark.createDataFrame([("PROMO", "best", 1), ("PROMO", "own", 2), ("PROMO", "last", 3), ("PROMO", "none", 4)], "kind string, part string, rank int")
+    return R.enriched_ladder(entries, best, ["p_partkey"], "kind").select("p_partkey", "part", "alt_rank", "variant_confidence")
+
+
+# Sources, sinks and the review log
+
+
+@query("SELECT page_id, url FROM pages WHERE url = (SELECT url FROM pages WHERE page_id = 3) ORDER BY page_id LIMIT 1")
+def a4_document_lookup(spark, sf):
+    pages = load(spark, sf, "pages").select("page_id", "url")
+    wanted = pages.filter("page_id = 3").first().url
+    return L.lookup(pages, "url", wanted, order="page_id").select("page_id", "url")
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events WHERE event_id % 4 > 0 GROUP BY 1")
+def a12_json_records(spark, sf):
+    from fathomgrid.sources.readers import blobs
+
+    rows = load(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 4 > 0, F.col("props")).otherwise("{broken").alias("blob"))
+    return blobs(rows, "blob", "k INT")[0].groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS source, 'power' AS term, CAST(0 AS INTEGER) AS pos, p_name AS alias FROM part UNION ALL SELECT p_partkey, 'power', 1, lower(p_type) FROM part UNION ALL SELECT p_partkey, 'clock', 0, 'clk' FROM part UNION ALL SELECT p_partkey, 'clock', 1, 'x' || p_size FROM part")
+def a13_vocabulary(spark, sf):
+    from fathomgrid.sources.readers import vocabulary
+
+    body = F.concat(F.lit("# words\npower:  # supplies\n  - \""), "p_name", F.lit("\"\n  - "), F.lower("p_type"), F.lit("\nclock: [clk, 'x"), F.col("p_size").cast("string"), F.lit("']\nempty:\n"))
+    return vocabulary(load(spark, sf, "part").select("p_partkey", body.alias("body")), "p_partkey", "body")
+
+
+@query("SELECT 'S' || p_partkey AS symbol, '1' AS pin_number, 'IN' AS pin_name, 'input' AS pin_type FROM part UNION ALL SELECT 'S' || p_partkey, '2', upper(p_type), CASE WHEN p_size % 2 = 0 THEN 'output' ELSE 'passive' END FROM part")
+def a15_symbol_pins(spark, sf):
+    from fathomgrid.sources.readers import symbol_pins
+
+    n = F.col("p_partkey").cast("string")
+    body = F.concat(F.lit('(kicad_symbol_lib (symbol "S'), n, F.lit('" (property "Reference" "U") (symbol "S'), n, F.lit('_1_1" (pin input line (name "IN") (number "1")) (pin '), F.when(F.col("p_size") % 2 == 0, "output").otherwise("passive"), F.lit(' line (name "'), F.upper("p_type"), F.lit('") (number "2")))))'))
+    return symbol_pins(load(spark, sf, "part").select(n.alias("path"), body.alias("body")), "path", "body").select("symbol", "pin_number", "pin_name", "pin_type")
+
+
+@query("SELECT 'F' || p_partkey AS footprint, CAST(CASE WHEN p_size % 3 = 0 THEN 0 ELSE 2 * p_size END AS DOUBLE) AS width, CAST(CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size + 1 END AS DOUBLE) AS height, p_size % 3 = 0 AS needs_review FROM part")
+def a16_footprint_boxes(spark, sf):
+    from fathomgrid.sources.readers import footprint_boxes
+
+    size = F.col("p_size").cast("string")
+    layer = F.when(F.col("p_size") % 3 == 0, "F.SilkS").otherwise("F.CrtYd")
+    body = F.concat(F.lit('(footprint "F'), F.col("p_partkey").cast("string"), F.lit('" (fp_line (start -'), size, F.lit(" -1) (end "), size, F.lit(" "), size, F.lit(') (layer "'), layer, F.lit('")))'))
+    return footprint_boxes(load(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), body.alias("body")), "path", "body").select("footprint", "width", "height", "needs_review")
+
+
+@query("SELECT p_name AS name, arg_max(p_type, p_partkey) AS path FROM part GROUP BY 1")
+def a17_library_map(spark, sf):
+    from fathomgrid.sources.readers import library_map
+
+    return library_map(load(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("path"), F.col("p_partkey").alias("v")), "name", "v").select("name", "path")
+
+
+@query("SELECT run_id, phase FROM (SELECT c_custkey AS run_id, phase, max(CASE WHEN NOT done THEN 1 ELSE 0 END) OVER (PARTITION BY c_custkey ORDER BY pos) AS gap FROM (SELECT c_custkey, r_name AS phase, r_regionkey AS pos, (c_custkey + r_regionkey) % 3 > 0 AS done FROM customer, region)) WHERE gap = 1")
+def a25_phases_to_run(spark, sf):
+    phases = made(spark, sf, "SELECT c_custkey AS run_id, r_name AS phase, r_regionkey AS pos FROM {customer} JOIN {region} ON true")
+    return N.phases_to_run(phases, phases.filter("(run_id + pos) % 3 > 0")).select("run_id", "phase")
+
+
+@query(duck("SELECT design_id, '(export' || chr(10) || string_agg(net, chr(10) ORDER BY net) || ')' AS value FROM (SELECT design_id, '  (net (name \"' || net_name || '\")' || chr(10) || string_agg('    (node (ref ' || ref || ') (pin ' || pin_number || '))', chr(10) ORDER BY '    (node (ref ' || ref || ') (pin ' || pin_number || '))') || ')' AS net FROM nets WHERE net_name LIKE 'N1%' GROUP BY design_id, net_name) GROUP BY 1", nets=NETS))
+def a26_netlist_text(spark, sf):
+    from fathomgrid.sources.sinks import netlist_text
+
+    return netlist_text(made(spark, sf, NETS).filter("net_name LIKE 'N1%'"))
+
+
+@query("SELECT '<node id=\"' || p_partkey || '\"><data key=\"properties\">{&quot;name&quot;:&quot;' || p_name || ' &amp; &lt;co&quot;}</data></node>' AS value FROM part UNION ALL SELECT '<edge source=\"' || p_partkey || '\" target=\"' || p_size || '\"><data key=\"properties\">{&quot;w&quot;:&quot;1&quot;}</data></edge>' FROM part")
+def a10_graphml_lines(spark, sf):
+    from fathomgrid.sources.sinks import graphml_lines
+
+    part = load(spark, sf, "part")
+    nodes = part.select(F.col("p_partkey").cast("string").alias("id"), F.create_map(F.lit("name"), F.concat("p_name", F.lit(" & <co"))).alias("properties"))
+    edges = part.select(F.col("p_partkey").cast("string").alias("source_id"), F.col("p_size").cast("string").alias("target_id"), F.create_map(F.lit("w"), F.lit("1")).alias("properties"))
+    return graphml_lines(nodes, edges)
+
+
+@query(duck("SELECT design_id, string_agg(severity || ' ' || rule || ' ' || subject, chr(10) ORDER BY severity, rule, subject) AS found FROM (SELECT design_id, 'CRITICAL' AS severity, 'many' AS rule, net_name AS subject FROM nets WHERE net_name LIKE 'N2%' GROUP BY ALL UNION ALL SELECT design_id, 'WARNING', 'few', net_name FROM nets WHERE net_name LIKE 'N1%' GROUP BY ALL) GROUP BY 1", nets=NETS))
+def f7_findings_by_severity(spark, sf):
+    from fathomgrid.sources.sinks import report_text
+
+    nets = made(spark, sf, NETS).select("design_id", "net_name").distinct()
+    of = lambda like, severity, rule: nets.filter(F.col("net_name").like(like)).select("design_id", F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.col("net_name").alias("subject"))
+    report = report_text(made(spark, sf, BOM), of("N1%", "WARNING", "few").unionByName(of("N2%", "CRITICAL", "many")))
+    return report.select("design_id", F.replace(F.element_at(F.split("value", "## Findings\n\n"), -1), F.lit("- "), F.lit("")).alias("found")).filter("found <> 'none'")
+
+
+def _log(spark, sf):
+    from fathomgrid.streaming.review import states
+
+    status = F.when(F.col("event_type") == "click", "approved").when(F.col("event_type") == "error", "corrected").when(F.col("event_type") == "view", "rejected").otherwise("pending")
+    return states(load(spark, sf, "events").select((F.col("event_id") % 700).alias("item_id"), F.col("user_id").alias("design_id"), F.lit("s").alias("stage"), status.alias("status"), F.col("event_id").cast("string").alias("payload"), F.col("ts").alias("created_at"), F.col("event_id").alias("seq")))
+
+
+_LOG = """WITH e AS (SELECT event_id % 700 AS item_id, user_id AS design_id, CASE event_type WHEN 'click' THEN 'approved' WHEN 'error' THEN 'corrected' WHEN 'view' THEN 'rejected' ELSE 'pending' END AS status, event_id, ts FROM events),
+items AS (SELECT item_id, arg_min(design_id, (ts, event_id)) AS design_id, min(ts) AS created_at, coalesce(arg_min(status, (ts, event_id)) FILTER (status <> 'pending'), 'pending') AS status, arg_min(event_id, (ts, event_id)) FILTER (status <> 'pending') AS payload FROM e GROUP BY 1)"""
+
+
+@query(_LOG + " SELECT item_id FROM items WHERE status = 'pending'")
+def f10_pending(spark, sf):
+    from fathomgrid.streaming.review import pending
+
+    return pending(_log(spark, sf)).select("item_id")
+
+
+@query(_LOG + " SELECT design_id, status, CASE WHEN status = 'corrected' THEN CAST(payload AS VARCHAR) END AS correction FROM (SELECT *, row_number() OVER (PARTITION BY design_id ORDER BY created_at DESC, item_id DESC) AS r FROM items) WHERE r = 1 AND status IN ('approved', 'corrected')")
+def l4_resumable(spark, sf):
+    from fathomgrid.streaming.review import resumable
+
+    return resumable(_log(spark, sf)).select("design_id", "status", "correction")
+
+
+@query("SELECT c_custkey, 'approved' AS status FROM customer WHERE c_custkey % 4 > 0 UNION ALL SELECT c_custkey, 'pending' FROM customer WHERE c_custkey % 4 = 0")
+def a7_insert_with_gate(spark, sf):
+    rows = load(spark, sf, "customer").select("c_custkey", F.lit("n").alias("name"), F.lit(1).alias("v"))
+    given = rows.select("c_custkey", F.lit(1.0).alias("value"))
+    gate = rows.select("c_custkey", (F.col("c_custkey") % 4 > 0).alias("passed"))
+    stored = given.limit(0).withColumn("status", F.lit("approved"))
+    return L.insert_components(rows.limit(0), stored, rows, given, gate, "c_custkey", "v")[1].select("c_custkey", "status")
+
+
+@query(
+    """WITH RECURSIVE b AS (SELECT user_id, event_id AS box_id, value % 50 AS x, CAST(event_id % 40 AS DOUBLE) AS y, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS i FROM events),
+w AS (SELECT user_id, i, [{'x': x, 'y': y, 'id': box_id}] AS kept FROM b WHERE i = 1
+UNION ALL SELECT b.user_id, b.i, CASE WHEN len(list_filter(kept, lambda k: greatest(0, 20 - abs(k.x - b.x)) * greatest(0, 20 - abs(k.y - b.y)) / (800 - greatest(0, 20 - abs(k.x - b.x)) * greatest(0, 20 - abs(k.y - b.y))) >= 0.5)) = 0 THEN list_append(kept, {'x': b.x, 'y': b.y, 'id': b.box_id}) ELSE kept END
+  FROM b JOIN w ON b.user_id = w.user_id AND b.i = w.i + 1)
+SELECT user_id, k.id AS box_id FROM (SELECT user_id, unnest(arg_max(kept, i)) AS k FROM w GROUP BY 1)"""
+)
+def g8_box_suppression(spark, sf):
+    box = load(spark, sf, "events").select("user_id", F.col("event_id").alias("box_id"), (F.col("value") % 50).alias("x0"), (F.col("event_id") % 40).cast("double").alias("y0"), F.col("value").alias("confidence"))
+    return J.keep_best_boxes(box.withColumns({"x1": F.col("x0") + 20, "y1": F.col("y0") + 20}), ["user_id"]).select("user_id", "box_id")

@@ -166,3 +166,19 @@ def merged_grids(grids: DataFrame, keys: Sequence[str], order: str) -> DataFrame
     """
     first = F.min_by("section", F.when(F.col("section") != "OTHER", F.col(order)))
     return grids.groupBy(*keys).agg(F.round(F.avg("confidence"), 4).alias("confidence"), F.coalesce(first, F.lit("OTHER")).alias("section"), F.bool_or("from_model").alias("from_model"))
+
+
+def import_totals(rows: DataFrame, totals: Mapping[str, Column], counts: Mapping[str, Column]) -> DataFrame:
+    """Totals of a batch: the number of rows, sums, and counts of rows for which a condition holds."""
+    return rows.agg(F.count("*").alias("n_rows"), *(F.sum(c).alias(n) for n, c in totals.items()), *(F.count_if(c).alias(n) for n, c in counts.items()))
+
+
+def ordered_nested(rows: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """An array of ``struct(order, value)`` a group, in order, without null values; a group is one row, so it must fit in one."""
+    kept = rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias(name))
+    return kept
+
+
+def index_lists(n: Column, low: int = 10, high: int = 1000) -> Column:
+    """Lists of an inverted vector index over ``n`` rows: the whole part of their square root, clamped."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.floor(F.sqrt(n)))).cast("int")

@@ -47,6 +47,13 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return left.join(right, [*on, "_bin"]).filter(F.col(point).between(F.col(low), F.col(high))).drop("_bin")
 
 
+def best_range(points: DataFrame, ranges: DataFrame, id_col: str, point: str, low: str, high: str, kind: str, range_id: str, width: float) -> DataFrame:
+    """For each point the range that holds it, one of the point's kind before others, then the smallest id; points without a range are left out."""
+    held = range_join(points, ranges.withColumnRenamed(kind, "_kind"), point, low, high, width)
+    other = F.when(F.col(kind).eqNullSafe(F.col("_kind")), 0).otherwise(1)
+    return held.groupBy(id_col).agg(F.min(F.struct(other.alias("other"), F.col(range_id))).alias("_b")).select(id_col, F.col(f"_b.{range_id}").alias(range_id), (F.col("_b.other") == 0).alias("same_kind"))
+
+
 def co_occurrence(members: DataFrame, group: str, item: str, label: str) -> DataFrame:
     """Pairs of items ``a < b`` that share a group, with the sorted labels of the groups that they share."""
     one = members.select(group, item, label).distinct()
@@ -78,9 +85,10 @@ def resolve(instances: DataFrame, types: DataFrame, rules: DataFrame) -> DataFra
 
 
 def unresolved_requirements(requirements: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Requirements ``slug`` without a block whose slug is equal or whose id ends with it."""
-    hit = (F.col("slug") == F.col("block_slug")) | F.endswith("block_id", F.concat(F.lit(":"), F.col("slug")))
-    return requirements.join(F.broadcast(blocks) if blocks.count() <= 10_000 else blocks, hit, "left_anti")
+    """Requirements ``slug`` without a block whose slug is equal or whose id's last part is."""
+    last = blocks.filter(F.contains("block_id", F.lit(":"))).select(F.element_at(F.split("block_id", ":"), -1).alias("_known"))
+    known = blocks.select(F.col("block_slug").alias("_known")).unionByName(last).distinct()
+    return requirements.join(known, F.col("slug") == F.col("_known"), "left_anti")
 
 
 def triangles(edges: DataFrame, induced_without: DataFrame | None = None) -> DataFrame:
@@ -120,21 +128,22 @@ def keep_best_boxes(boxes: DataFrame, group: Sequence[str], limit: float = 0.5)
 
     Each decision depends on the ones before it, so a group (a page) is one pandas frame.
     """
+    import numpy as np
     import pandas as pd
 
     def greedy(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["confidence", "box_id"], ascending=[False, True])
-        kept: list[pd.Series] = []
-        for _, b in page.iterrows():
-            def iou(k, b=b):
-                w, h = min(b.x1, k.x1) - max(b.x0, k.x0), min(b.y1, k.y1) - max(b.y0, k.y0)
-                inter = max(w, 0) * max(h, 0)
-                union = (b.x1 - b.x0) * (b.y1 - b.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - inter
-                return inter / union if union > 0 else 0.0
-
-            if all(iou(k) < limit for k in kept):
-                kept.append(b)
-        return pd.DataFrame(kept, columns=page.columns)
+        x0, y0, x1, y1 = (page[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1"))
+        area, kept, left = (x1 - x0) * (y1 - y0), [], np.arange(len(page))
+        while len(left):
+            best, left = left[0], left[1:]
+            kept.append(best)
+            w = np.minimum(x1[best], x1[left]) - np.maximum(x0[best], x0[left])
+            h = np.minimum(y1[best], y1[left]) - np.maximum(y0[best], y0[left])
+            inter = np.maximum(w, 0) * np.maximum(h, 0)
+            union = area[best] + area[left] - inter
+            left = left[inter / np.where(union > 0, union, 1) * (union > 0) < limit]
+        return page.iloc[kept]
 
     return boxes.groupBy(*group).applyInPandas(greedy, boxes.schema)
 

@@ -114,6 +114,16 @@ def ladder(entries: DataFrame, keys: Sequence[str], n: int = 3, factor: float =
     return top_n(scored, keys, [F.col("variant_confidence").desc(), F.col("alt_rank")], n)
 
 
+def enriched_ladder(entries: DataFrame, preferred_parts: DataFrame, keys: Sequence[str], kind: str, n: int = 3, factor: float = 0.97) -> DataFrame:
+    """Ladders whose alternatives are the preferred parts of the entry's type: the entry's own part first, then those by rank, each with the factor once more.
+
+    ``preferred_parts(kind, part, rank)``; an entry's own part isn't its alternative.
+    """
+    own = entries.select(*keys, kind, "part", "confidence", F.lit(0).alias("alt_rank"))
+    other = entries.select(*keys, kind, F.col("part").alias("_own"), "confidence").join(preferred_parts.select(kind, "part", F.col("rank").cast("int").alias("alt_rank")), kind).filter(~F.col("part").eqNullSafe(F.col("_own"))).drop("_own")
+    return ladder(own.unionByName(other), keys, n, factor)
+
+
 def better_of(a: DataFrame, b: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """Of two extractions of a key the one with the higher score; the first on ties."""
     both = a.withColumn("_s", F.lit(1)).unionByName(b.withColumn("_s", F.lit(0)))

@@ -135,3 +135,20 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 def priority_merge(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``first``, and what of ``second`` has no row with the same keys there."""
     return first.unionByName(second.join(first.select(*keys).distinct(), list(keys), "left_anti"))
+
+
+def component_details(components: DataFrame, owners: DataFrame, categories: DataFrame, owner: tuple[str, str], category: tuple[str, str]) -> DataFrame:
+    """Components with their owner, which must be there, and their category, which may be missing; each pair names the two key columns."""
+    out = components.join(owners, F.col(owner[0]) == F.col(owner[1]))
+    return out.join(categories, F.col(category[0]) == F.col(category[1]), "left")
+
+
+def insert_components(base: DataFrame, parameters: DataFrame, new: DataFrame, new_parameters: DataFrame, gate: DataFrame, key: str, version: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(components, parameters, queue)`` after new components: an upsert by key, their parameters appended with their status, and the ids that failed the gate queued for review.
+
+    ``gate(key, passed)``; a component that isn't in it passed.
+    """
+    failed = gate.filter(~F.col("passed")).select(key).distinct()
+    status = new_parameters.join(failed.withColumn("_bad", F.lit(True)), key, "left").withColumn("status", F.when(F.col("_bad"), "pending").otherwise("approved")).drop("_bad")
+    queue = new.select(key).distinct().join(failed, key, "left_semi").withColumn("reason", F.lit("quality_gate"))
+    return upsert(base, new, [key], version), parameters.unionByName(status), queue

@@ -83,7 +83,8 @@ def a5_parents_with_children(spark, sf):
 def a6_component_details(spark, sf):
     part, supplier, nation = (load(spark, sf, t) for t in ("part", "supplier", "nation"))
     some = nation.filter("n_regionkey = 1")
-    return part.join(supplier, F.col("p_partkey") % 100 == F.col("s_suppkey")).join(some, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("p_partkey", "p_name", "n_name")
+    found = L.component_details(part.withColumn("owner", F.col("p_partkey") % 100), supplier, some, ("owner", "s_suppkey"), ("s_nationkey", "n_nationkey"))
+    return found.select("p_partkey", "p_name", "n_name")
 
 
 @query(
@@ -483,7 +484,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval of items by number: facts of parts, texts of documents, vectors and role candidates, fused by rank."""
     conditions = P.predicates({"noise_nV_rtHz": "<2", "tolerance_pct": ">=0.08"})
     parametric = P.search(_facts(spark, sf_dir), conditions, "component_id").select(F.col("component_id").alias("id"), F.lit(1.0).alias("score"))
-    text = V.stemmed_search(load(spark, sf_dir, "documents"), "the released software", "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("rank_score").alias("score"))
+    text = V.stemmed_search(load(spark, sf_dir, "documents"), "the releasing software", "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("rank_score").alias("score"))
     vector = V.vector_search(load(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), "vec_id", "embedding", 0.1).select(F.col("vec_id").alias("id"), F.col("similarity").alias("score"))
     roles = spark.createDataFrame([(1, "r", "Supplier#000000007", None), (1, "s", None, 3)], "pattern_id int, role string, part string, category int")
     components = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("component_id"), F.col("s_name").alias("part"), F.col("s_nationkey").alias("category"))
@@ -655,7 +656,7 @@ def h36_content_hash(spark, sf):
 @query("SELECT n, CAST(greatest(10, least(1000, floor(sqrt(n)))) AS INTEGER) AS lists FROM (SELECT l_partkey * 1000 AS n FROM lineitem GROUP BY 1) WHERE n >= 10000")
 def h38_index_lists(spark, sf):
     n = load(spark, sf, "lineitem").select((F.col("l_partkey") * 1000).alias("n")).distinct().filter("n >= 10000")
-    return n.select("n", F.greatest(F.lit(10), F.least(F.lit(1000), F.floor(F.sqrt("n")))).cast("int").alias("lists"))
+    return n.select("n", A.index_lists(F.col("n")).alias("lists"))
 
 
 @query(
@@ -827,12 +828,12 @@ def d23_values_confidence(spark, sf):
 
 @query("SELECT count(*) AS n_docs, count(*) FILTER (len(text) > 1000) AS n_long, sum(n_chars)::BIGINT AS n_chars FROM documents")
 def d25_import_totals(spark, sf):
-    return load(spark, sf, "documents").agg(F.count("*").alias("n_docs"), F.count_if(F.length("text") > 1000).alias("n_long"), F.sum("n_chars").alias("n_chars"))
+    return A.import_totals(load(spark, sf, "documents"), {"n_chars": F.col("n_chars")}, {"n_long": F.length("text") > 1000}).withColumnRenamed("n_rows", "n_docs")
 
 
 @query("SELECT conv_id, string_agg(role || ':' || turn, ',' ORDER BY turn) AS turns FROM conversations WHERE text IS NOT NULL GROUP BY 1")
 def d26_ordered_nested(spark, sf):
-    rows = load(spark, sf, "conversations").filter("text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    rows = A.ordered_nested(load(spark, sf, "conversations").filter("text IS NOT NULL"), ["conv_id"], "turn", "role", "t")
     return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat_ws(":", x["role"], x["turn"].cast("string"))), ",").alias("turns"))
 
 
@@ -875,18 +876,6 @@ def a19_markdown_tables(spark, sf):
     return markdown_cells(load(spark, sf, "documents").select("doc_id", made.alias("made")), "doc_id", "made")
 
 
-@query()
-def e5_continuations(spark, sf):
-    tables = load(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").cast("int").alias("page"), F.lit(0).alias("pos"), (F.col("event_id") % 3).cast("int").alias("n_cols"), F.array("event_type").alias("header"))
-    return R.continuations(tables)
-
-
-@query()
-def g8_box_suppression(spark, sf):
-    box = load(spark, sf, "events").select("user_id", F.col("event_id").alias("box_id"), (F.col("value") % 50).alias("x0"), (F.col("event_id") % 40).cast("double").alias("y0"), F.col("value").alias("confidence"))
-    return J.keep_best_boxes(box.withColumns({"x1": F.col("x0") + 20, "y1": F.col("y0") + 20}), ["user_id"])
-
-
 @query()
 def l1_annealing(spark, sf):
     from fathomgrid.operators.search import anneal, qualities

@@ -36,6 +36,21 @@ def markdown_cells(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return numbered.select("grid_id", "row", F.posexplode(F.split(inner, r"\|")).alias("col", "text")).select("grid_id", "row", "col", F.trim("text").alias("text"), (F.col("row") == 0).alias("is_header"))
 
 
+def vocabulary(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``source, term, pos, alias`` of vocabulary files: a line ``term:`` and its aliases below it as ``- alias`` lines, or behind it as ``[a, b]``; # begins a comment."""
+    lines = texts.select(F.col(id_col).alias("source"), F.posexplode(F.split(text_col, r"\r?\n")).alias("_l", "line")).withColumn("line", F.regexp_replace("line", r"\s*(^|\s)#.*$", ""))
+    over = Window.partitionBy("source").orderBy("_l").rowsBetween(Window.unboundedPreceding, 0)
+    key = F.nullif(F.regexp_extract("line", r"^\s*([^\s:#-][^:]*?)\s*:", 1), F.lit(""))
+    rows = lines.withColumn("term", F.last(key, True).over(over))
+    inline = F.split(F.regexp_extract("line", r":\s*\[(.*)\]\s*$", 1), r"\s*,\s*")
+    item = F.array(F.regexp_extract("line", r"^\s*-\s+(.*?)\s*$", 1))
+    found = rows.withColumn("a", F.when(F.rlike("line", F.lit(r":\s*\[.*\]\s*$")), inline).when(F.rlike("line", F.lit(r"^\s*-\s+\S")), item)).filter("a IS NOT NULL AND term IS NOT NULL")
+    plain = lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")
+    each = found.select("source", "term", "_l", F.posexplode("a").alias("_i", "alias")).select("source", "term", "_l", "_i", plain(F.col("alias")).alias("alias")).filter("alias <> ''")
+    order = Window.partitionBy("source", "term").orderBy("_l", "_i")
+    return each.select("source", "term", (F.row_number().over(order) - 1).alias("pos"), "alias")
+
+
 class _Table(HTMLParser):
     """Collects the cells of the first table with their spans."""
 

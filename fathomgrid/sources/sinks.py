@@ -28,6 +28,18 @@ def report_text(bom: DataFrame, violations: DataFrame) -> DataFrame:
     return parts.join(found, "design_id", "left").select("design_id", F.concat(F.lit("# "), "design_id", F.format_string("\n\nConfidence %.4f\n\n", "c"), "rows", F.lit("\n\n## Findings\n\n"), F.coalesce("found", F.lit("none"))).alias("value"))
 
 
+def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``value``: one GraphML element a row for ``nodes(id, properties map)`` and ``edges(source_id, target_id, properties map)``, the properties as a JSON blob.
+
+    `knowledge.graphml` reads such elements back, in whatever order files hold them.
+    """
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    data = F.concat(F.lit('<data key="properties">'), safe(F.to_json("properties")), F.lit("</data>"))
+    node = nodes.select(F.concat(F.lit('<node id="'), safe(F.col("id")), F.lit('">'), data, F.lit("</node>")).alias("value"))
+    edge = edges.select(F.concat(F.lit('<edge source="'), safe(F.col("source_id")), F.lit('" target="'), safe(F.col("target_id")), F.lit('">'), data, F.lit("</edge>")).alias("value"))
+    return node.unionByName(edge)
+
+
 def write_text(documents: DataFrame, path: str) -> None:
     """One folder a design, one text file in it."""
     documents.write.mode("overwrite").partitionBy("design_id").text(path)

@@ -31,6 +31,11 @@ def latest_for_stage(items: DataFrame) -> DataFrame:
     return items.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def resumable(items: DataFrame) -> DataFrame:
+    """Designs and stages that may go on: the newest item was approved or corrected; a correction's payload takes the place of the item's own."""
+    return latest_for_stage(items).filter(F.col("status").isin("approved", "corrected")).select("design_id", "stage", "status", F.when(F.col("status") == "corrected", F.col("payload")).alias("correction"))
+
+
 def pending(items: DataFrame) -> DataFrame:
     return items.filter("status = 'pending'").orderBy(F.col("created_at").desc(), F.col("item_id").desc())
 
