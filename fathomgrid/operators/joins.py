@@ -8,12 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def group_pairs(rows: DataFrame, group: Sequence[str], order: str, block: int = 10_000) -> DataFrame:
+    """Pairs of rows of a group, ``{column}_a`` and ``{column}_b``, with ``order_a < order_b``.
+
+    A group of more than ``block`` rows is split: its rows are dealt to blocks, and each
+    block meets the whole group in a task of its own.
+    """
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")).filter("_blocks > 1")
+    held = rows.join(sizes, list(group), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    other = [c for c in rows.columns if c not in group]
+    a = held.select(*group, *(F.col(c).alias(f"{c}_a") for c in other), F.pmod(F.xxhash64(order), F.col("_blocks")).cast("int").alias("_block"))
+    b = held.select(*group, *(F.col(c).alias(f"{c}_b") for c in other), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    return a.join(b, [*group, "_block"]).filter(F.col(f"{order}_a") < F.col(f"{order}_b")).drop("_block")
+
+
 def apart_pairs(rows: DataFrame, group: Sequence[str], order: str, value: str, gap: float) -> DataFrame:
     """Pairs ``order_a < order_b`` of a group whose values differ by more than ``gap``; nulls pair with nothing."""
-    keep = rows.filter(F.col(value).isNotNull())
-    a = keep.select(*group, F.col(order).alias(f"{order}_a"), F.col(value).alias(f"{value}_a"))
-    b = keep.select(*group, F.col(order).alias(f"{order}_b"), F.col(value).alias(f"{value}_b"))
-    return a.join(b, list(group)).filter((F.col(f"{order}_a") < F.col(f"{order}_b")) & (F.abs(F.col(f"{value}_a") - F.col(f"{value}_b")) > gap))
+    pairs = group_pairs(rows.filter(F.col(value).isNotNull()).select(*group, order, value), group, order)
+    return pairs.filter(F.abs(F.col(f"{value}_a") - F.col(f"{value}_b")) > gap)
 
 
 def conflicting_groups(rows: DataFrame, group: Sequence[str], value: str, gap: float) -> DataFrame:
@@ -57,8 +69,8 @@ def best_range(points: DataFrame, ranges: DataFrame, id_col: str, point: str, lo
 def co_occurrence(members: DataFrame, group: str, item: str, label: str) -> DataFrame:
     """Pairs of items ``a < b`` that share a group, with the sorted labels of the groups that they share."""
     one = members.select(group, item, label).distinct()
-    a, b = one.withColumnRenamed(item, "a"), one.select(group, F.col(item).alias("b"))
-    return a.join(b, group).filter("a < b").groupBy("a", "b").agg(F.array_sort(F.collect_set(label)).alias("labels"))
+    pairs = group_pairs(one, [group], item).withColumnsRenamed({f"{item}_a": "a", f"{item}_b": "b"})
+    return pairs.groupBy("a", "b").agg(F.array_sort(F.collect_set(f"{label}_a")).alias("labels"))
 
 
 def footnotes(markers: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from fathomgrid.functions.text import contains_any, mapped, ratio, slug
 
+from .joins import group_pairs
+
 #: Verbs by the relation that they express.
 VERBS = {
     "require": "REQUIRES", "requires": "REQUIRES", "need": "REQUIRES", "needs": "REQUIRES", "must have": "REQUIRES", "depend on": "REQUIRES", "depends on": "REQUIRES", "requirement": "REQUIRES", "needs to have": "REQUIRES", "must possess": "REQUIRES", "necessitate": "REQUIRES", "necessitates": "REQUIRES",
@@ -107,10 +109,8 @@ def contradictions(designs: DataFrame) -> DataFrame:
 
 def axiom_conflicts(axioms: DataFrame, alike: float = 0.6) -> DataFrame:
     """Pairs of axioms ``axiom_id, implication, requirement`` with the same implication and unlike requirements."""
-    a = axioms.select("implication", F.col("axiom_id").alias("a"), F.col("requirement").alias("ra"))
-    b = axioms.select("implication", F.col("axiom_id").alias("b"), F.col("requirement").alias("rb"))
-    pairs = a.join(b, "implication").filter("a < b")
-    return pairs.withColumn("ratio", ratio(F.lower("ra"), F.lower("rb"))).filter(F.col("ratio") < alike).select("implication", "a", "b", "ratio")
+    pairs = group_pairs(axioms.select("implication", "axiom_id", "requirement"), ["implication"], "axiom_id").withColumnsRenamed({"axiom_id_a": "a", "axiom_id_b": "b"})
+    return pairs.withColumn("ratio", ratio(F.lower("requirement_a"), F.lower("requirement_b"))).filter(F.col("ratio") < alike).select("implication", "a", "b", "ratio")
 
 
 def role_candidates(roles: DataFrame, components: DataFrame) -> DataFrame:

@@ -80,6 +80,12 @@ def test_joins(spark):
     assert rows(J.unresolved_requirements(needs, blocks), "slug") == [("uvlo",)]
 
 
+def test_large_groups_are_split(spark):
+    df = spark.range(60).selectExpr("id AS i", "CASE WHEN id < 40 THEN 1 ELSE id % 3 END AS g", "CAST(id % 7 AS DOUBLE) AS v")
+    whole = rows(J.group_pairs(df, ["g"], "i"), "g", "i_a", "i_b")
+    assert whole == rows(J.group_pairs(df, ["g"], "i", 8), "g", "i_a", "i_b") and len(whole) == len(set(whole)) > 40 * 39 // 2
+
+
 def test_ranking(spark):
     cells = spark.createDataFrame([("g", 0, 0, "A"), ("g", 0, 1, "A"), ("g", 0, 2, ""), ("g", 0, 3, ""), ("g", 1, 0, None)], "grid_id string, row int, col int, text string")
     assert rows(R.merged_cells(cells), "row", "col", "colspan") == [(0, 0, 2), (0, 2, 1), (1, 0, 1)]
