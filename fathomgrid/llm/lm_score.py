@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import materialise, sized_join
 
 _START = xxhash.xxh64_intdigest(b"\n")  # what stands before the first word; no word holds white space
-_FLUSH = 500_000  # n-grams whose counts are added up before they are sent
+_FLUSH = 500_000  # n-grams that are held before they are sent
+_WORDS = 0  # stands for no n-gram: its count is the number of words
 
 
 class Hasher(dict):
@@ -65,20 +66,23 @@ def _orders(words: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def ngram_counts(texts: DataFrame, order: int) -> DataFrame:
-    """``g, c``: how often each n-gram of each order stands in ``texts(text)``; those that stand once are left out, as nothing else can hold them.
+def ngram_counts(texts: DataFrame, order: int, parts: int) -> DataFrame:
+    """``g, c``, in ``parts`` partitions: how often each n-gram of each order stands in ``texts(text)``; those that stand once are left out, as nothing else can hold them.
 
-    Counts are added up for half a million n-grams at a time before they are dealt, so a frequent one is a row for each of these.
+    Counts are added up for half a million n-grams at a time before they are dealt, so a
+    frequent one is a row for each of these. The row of n-gram 0 holds the number of words.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = Hasher(), [[] for _ in range(order)], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            held.append([np.full(size, _WORDS, np.uint64)])
             for parts in held:
                 g, c = np.unique(np.concatenate(parts), return_counts=True)
                 parts.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], names=["g", "c"])
+            held.pop()
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -86,14 +90,14 @@ def ngram_counts(texts: DataFrame, order: int) -> DataFrame:
                 if len(words):
                     for k, grams in enumerate(_orders(words, order), 1):
                         held[k - 1].append(grams[max(order - 1 - k, 0) :])  # from the last that is all start marks
-                    size += len(words)
+                    size += len(words) - order + 1
                     if size > _FLUSH:
                         yield from flush()
                         size = 0
         if size:
             yield from flush()
 
-    return texts.select("text").mapInArrow(counted, "g long, c long").repartition("g").groupBy("g").agg(F.sum("c").alias("c")).filter("c > 1")
+    return texts.select("text").mapInArrow(counted, "g long, c long").repartition(parts, "g").groupBy("g").agg(F.sum("c").alias("c")).filter("c > 1")
 
 
 def exploded(texts: DataFrame, k: int, order: int) -> DataFrame:
@@ -101,9 +105,17 @@ def exploded(texts: DataFrame, k: int, order: int) -> DataFrame:
     schema = "g long, doc long, n int, t int, head long, tail long"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, parts, docs = Hasher(), [], []
+
+        def flush() -> pa.RecordBatch:
+            g, n, t, head, tail = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            doc = np.repeat(np.array([d for d, _ in docs], np.int64), [size for _, size in docs])
+            parts.clear()
+            docs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(head.view(np.int64)), pa.array(tail.view(np.int64))], names=[x.split()[0] for x in schema.split(", ")])
+
+        size = 0
         for batch in batches:
-            parts, docs = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = hasher.words(text, order)
                 if not len(words):
@@ -115,10 +127,12 @@ def exploded(texts: DataFrame, k: int, order: int) -> DataFrame:
                 shorter = grams[-2] if k > 1 else np.zeros(len(words) + 1, np.uint64)
                 parts.append((g, n, t, shorter[first + skip], shorter[first + skip + 1]))
                 docs.append((doc, len(g)))
-            if parts:
-                g, n, t, head, tail = (np.concatenate([p[i] for p in parts]) for i in range(5))
-                doc = np.repeat(np.array([d for d, _ in docs], np.int64), [size for _, size in docs])
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(head.view(np.int64)), pa.array(tail.view(np.int64))], names=[x.split()[0] for x in schema.split(", ")])
+                size += len(g)
+                if size > _FLUSH:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
 
     return texts.select("doc", "text").mapInArrow(emit, schema)
 
@@ -127,9 +141,9 @@ def _counted(rows: DataFrame, counts: DataFrame, least: float, parts: int) -> Da
     """``rows`` added up by n-gram and document in ``parts`` partitions, with ``others``: how often other rows hold the n-gram; n-grams that stand ``least`` times are broadcast."""
     hot = counts.filter(F.col("c") >= least)
     rows = rows.join(F.broadcast(hot.select("g", F.col("c").alias("often"))), "g", "left")
-    rows = rows.withColumn("salt", F.when(F.col("often").isNull(), 0).otherwise(F.pmod("doc", F.lit(parts)))).repartition(parts, "g", "salt")
+    rows = rows.withColumn("salt", F.when(F.col("often").isNull(), F.lit(0).cast("long")).otherwise(F.pmod("doc", F.lit(parts)))).repartition(parts, "g", "salt")
     rows = rows.groupBy("g", "salt", "doc").agg(F.max("n").alias("n"), F.max("t").alias("t"), F.max("head").alias("head"), F.max("tail").alias("tail"), F.sum("explained").alias("explained"), F.sum("context").alias("context"), F.max("often").alias("often"))
-    rest = counts.filter(F.col("c") < least).select("g", F.lit(0).cast("long").alias("salt"), "c")
+    rest = counts.filter(F.col("c") < least).select("g", F.pmod("c", F.lit(1)).alias("salt"), "c")  # always 0; a literal would leave the join with g alone, and deal the rows once more
     return rows.join(rest, ["g", "salt"], "left").withColumn("others", F.greatest(F.coalesce("often", "c", F.lit(0)) - F.col("n"), F.lit(0)))
 
 
@@ -144,7 +158,7 @@ def _log(x: Column) -> Column:
     return F.log10(F.greatest(x.cast("double"), F.lit(1.0)))
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, share: int = 65_536, partition_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, share: int = 65_536, partition_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_known, log10_score, mean_log10.
 
     Words are split at ASCII white space, A-Z lower-cased, and follow ``order`` - 1 start
@@ -153,14 +167,16 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, share: i
     and empty texts). Every row counts for the tables, repeated ones too: a row that
     stands twice is known from its copy. Null ids are kept; rows of the same text get
     the same score. No rows give no rows; other columns are ignored. A partition of the
-    exploded n-grams of an order holds those of about ``partition_words`` words.
+    exploded n-grams of an order holds those of about ``partition_bytes`` bytes of text.
     """
     text = F.col(text_col)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc"), text.alias("text"))
-    counts = materialise(ngram_counts(keyed, order))
-    words = keyed.agg(F.sum(_n_words(F.col("text")))).first()[0] or 0
+    octets = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(octets / partition_bytes))
+    counts = materialise(ngram_counts(keyed, order, parts))
+    total = counts.filter(F.col("g") == _WORDS).first()
+    words = total.c if total else 0  # or one, which leaves nothing to divide by either
     texts = _distinct_texts(keyed)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / partition_words))
     below, sums = None, []
     zero = F.lit(0).cast("long")
     for k in range(order, 0, -1):
@@ -183,6 +199,3 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, share: i
     out = keyed.select("doc_id", "doc").join(of_doc, F.col("doc") == F.col("of"), "left")
     return out.select("doc_id", F.coalesce("n", zero).alias("n_words"), F.coalesce("known", zero).alias("n_known"), F.coalesce("score", F.lit(0.0)).alias("log10_score"), (F.col("score") / F.col("n")).alias("mean_log10"))
 
-
-def _n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
