@@ -30,6 +30,17 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
 }
 
+#: Three words that tell a template from others of like wording; a span without them isn't of that licence.
+MARKS = {
+    "agpl": "gnu affero general",
+    "apache": "the apache license",
+    "cc-by": "commons attribution 4",
+    "gpl": "gnu general public",
+    "gpl-notice": "gnu general public",
+    "lgpl": "gnu lesser general",
+    "mit-notice": "the mit license",
+}
+
 #: Phrases whose every occurrence is reported, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -48,13 +59,15 @@ def _places(words: Column, phrase: str) -> Column:
 
 
 def template_grams(docs: DataFrame, k: int, templates: dict[str, str]) -> DataFrame:
-    """Template k-grams: label, t (position), gram, size (words of the template).
+    """Template k-grams: label, t (position), gram, size (words of the template), mark (whether it is what tells the template from others; null for a template without such words).
 
     As many rows as the templates, a parameter, have words, so they are broadcast.
     """
     rows = docs.sparkSession.createDataFrame(sorted(templates.items()), "label string, body string")
     words = rows.select("label", plain_words(F.col("body")).alias("w"))
-    return words.select("label", F.size("w").alias("size"), F.posexplode(_grams(F.col("w"), k)).alias("t", "gram"))
+    phrase = F.coalesce(*(F.when(F.col("label") == label, F.lit(m)) for label, m in MARKS.items()))
+    grams = words.select("label", "w", F.size("w").alias("size"), F.posexplode(_grams(F.col("w"), k)).alias("t", "gram"))
+    return grams.select("label", "size", "t", "gram", (F.array_join(F.slice("w", F.col("t") + 1, 3), " ") == phrase).alias("mark"))
 
 
 def _grams(words: Column, k: int) -> Column:
@@ -67,24 +80,26 @@ def diagonal_matches(docs: DataFrame, k: int = 3, near: int = 3, cover: float =
 
     ``docs`` has the columns doc_id, text_hash and w (words). Diagonals of one template
     not more than ``near`` apart merge. A span is kept if its hits cover at least
-    ``cover`` of the template's words and ``dense`` of the span's words. Rows that
+    ``cover`` of the template's words and ``dense`` of the span's words, and if the words
+    that tell the template from others of like wording are among its hits. Rows that
     repeat an id and a text count once.
     """
     grams = docs.select("doc_id", "text_hash", F.posexplode(_grams(F.col("w"), k)).alias("p", "gram"))
     hits = grams.join(F.broadcast(template_grams(docs, k, templates or TEMPLATES)), "gram")
     key = ["doc_id", "text_hash", "label"]
-    votes = hits.groupBy(*key, (F.col("p") - F.col("t")).alias("diagonal")).agg(F.first("size").alias("size"), F.collect_set("t").alias("ts"))  # a set no longer than the template
+    votes = hits.groupBy(*key, (F.col("p") - F.col("t")).alias("diagonal")).agg(F.first("size").alias("size"), F.collect_set("t").alias("ts"), F.bool_or("mark").alias("mark"))  # a set no longer than the template
     order = Window.partitionBy(*key).orderBy("diagonal")
     begun = votes.withColumn("run", F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= near, 0).otherwise(1)).over(order))
     covered = lambda ts: F.size(F.array_distinct(F.flatten(F.transform(ts, lambda t: F.sequence(t, t + k - 1)))))
     runs = begun.groupBy(*key, "run").agg(
         F.first("size").alias("size"),
         F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"),
+        F.bool_or("mark").alias("mark"),
         F.min(F.array_min("ts") + F.col("diagonal")).alias("start"),
         (F.max(F.array_max("ts") + F.col("diagonal")) + (k - 1)).alias("end"),
     )
     n = covered(F.col("ts"))
-    spans = runs.select(*key, F.col("start").cast("long"), F.col("end").cast("long"), (n / F.col("size")).alias("coverage"), (n / (F.col("end") - F.col("start") + 1)).alias("density"))
+    spans = runs.filter(F.coalesce("mark", F.lit(True))).select(*key, F.col("start").cast("long"), F.col("end").cast("long"), (n / F.col("size")).alias("coverage"), (n / (F.col("end") - F.col("start") + 1)).alias("density"))
     return spans.filter((F.col("coverage") >= cover) & (F.col("density") >= dense))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .common import table
 from .decontaminate import decontaminate
-from .license_scan import TEMPLATES, scan_licences
+from .license_scan import MARKS, TEMPLATES, scan_licences
 from .line_dedup import dedup_lines
 from .lm_score import backoff_scores
 from .packing import pack
@@ -112,6 +112,7 @@ FROM docs LEFT JOIN (SELECT k, count(*) FILTER (known) AS n_known, sum(s) AS tot
 """
 
 _TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(label, body.replace("'", "''")) for label, body in sorted(TEMPLATES.items()))
+_MARK_ROWS = ", ".join(f"('{label}', '{phrase}')" for label, phrase in MARKS.items())
 _LICENCE_WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP10_SQL = f"""
@@ -124,7 +125,8 @@ diagonals AS (SELECT k, label, diagonal, CASE WHEN diagonal - lag(diagonal) OVER
 runs AS (SELECT k, label, diagonal, sum(new) OVER (PARTITION BY k, label ORDER BY diagonal) AS run FROM diagonals),
 covered AS (SELECT k, label, run, count(DISTINCT q) AS n_covered FROM (SELECT k, label, run, unnest([t, t + 1, t + 2]) AS q FROM hits JOIN runs USING (k, label, diagonal)) GROUP BY ALL),
 spans AS (SELECT k, label, run, n, min(t + diagonal) AS a, max(t + diagonal) + 2 AS b FROM hits JOIN runs USING (k, label, diagonal) GROUP BY ALL),
-kept AS (SELECT k, regexp_replace(label, '-notice$', '') AS label, n_covered / n AS cover FROM spans JOIN covered USING (k, label, run) WHERE n_covered / n >= 0.6 AND n_covered / (b - a + 1) >= 0.5),
+told AS (SELECT k, label, run, bool_or(gram = phrase) AS mark FROM hits JOIN runs USING (k, label, diagonal) JOIN marks USING (label, t) LEFT JOIN (VALUES {_MARK_ROWS}) p(label, phrase) USING (label) GROUP BY ALL),
+kept AS (SELECT k, regexp_replace(label, '-notice$', '') AS label, n_covered / n AS cover FROM spans JOIN covered USING (k, label, run) JOIN told USING (k, label, run) WHERE coalesce(mark, true) AND n_covered / n >= 0.6 AND n_covered / (b - a + 1) >= 0.5),
 places AS (
   SELECT k, p, label FROM (SELECT k, w, unnest(range(len(w))) AS p FROM docs), (VALUES ('mit', ['mit', 'license']), ('apache', ['apache', 'license']), ('gpl', ['general', 'public', 'license'])) x(label, phrase)
   WHERE w[p + 1 : p + len(phrase)] = phrase),

@@ -219,6 +219,12 @@ def test_licences(spark):
     assert got[len(ODD) + 4].labels == ""
 
 
+def test_licences_of_like_wording_are_told_apart(spark):
+    texts = [TEMPLATES["gpl"], TEMPLATES["agpl"], TEMPLATES["lgpl"], TEMPLATES["cc-by"], "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "This software is released under the BSD License", "this software is released under the terms agreed", "This software is released under the MIT licence", TEMPLATES["mit-notice"]]
+    got = {r.doc_id: r.labels for r in scan_licences(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == ["gpl", "agpl,gpl", "gpl,lgpl", "cc-by", "", "", "", "", "mit"]
+
+
 def test_null_ids_repeats_and_no_rows(spark):
     rows = [(None, "MIT license"), (None, "MIT license"), (1, "token: abcdefgh"), (1, "token: abcdefgh"), (1, "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
