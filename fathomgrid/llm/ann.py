@@ -149,7 +149,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, projections: int =
         for part in search(batches):
             yield pa.RecordBatch.from_pandas(part, preserve_index=False)
 
-    dealt = base.union(asked).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "asks")
+    dealt = base.union(asked).repartition(8 * shards, "dim", "shard").sortWithinPartitions("dim", "shard", "asks")
     local = dealt.mapInArrow(found, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
