@@ -876,6 +876,42 @@ def a19_markdown_tables(spark, sf):
     return markdown_cells(load(spark, sf, "documents").select("doc_id", made.alias("made")), "doc_id", "made")
 
 
+_PIN_SQL = """WITH p AS (SELECT CAST(user_id AS VARCHAR) AS design_id, event_id % 20 AS net, CASE event_type WHEN 'error' THEN 'NC' WHEN 'click' THEN 'POWER_OUT' WHEN 'view' THEN 'SIGNAL_OUT' END AS role FROM events),
+n AS (SELECT design_id, net, count(*) AS pins, greatest(count(*) FILTER (role = 'POWER_OUT') - 1, 0) + greatest(count(*) FILTER (role = 'SIGNAL_OUT') - 1, 0) + CASE WHEN count(*) > 1 THEN count(*) FILTER (role = 'NC') ELSE 0 END AS bad FROM p GROUP BY ALL),
+q AS (SELECT design_id, sum(pins) AS n_pins, greatest(0.0, (2 * count(*) - sum(bad)) / (2.0 * count(*))) AS score FROM n GROUP BY 1)"""
+
+
+@query(_PIN_SQL + " SELECT design_id, round_even(score, 4) AS score FROM q")
+def l1_quality(spark, sf):
+    from fathomgrid.operators.search import qualities
+
+    return qualities(_netlists(spark, sf))
+
+
+def _repaired(spark, sf, how) -> DataFrame:
+    """For each design what must hold of any repair: its pins are all there and it is no worse."""
+    from fathomgrid.operators.search import qualities
+
+    pins = _netlists(spark, sf)
+    done = how(pins)
+    after = qualities(done).select("design_id", F.col("score").alias("after")).join(done.groupBy("design_id").agg(F.count("*").alias("n_pins")), "design_id")
+    return qualities(pins).join(after, "design_id").select("design_id", "n_pins", (F.col("after") >= F.col("score")).alias("no_worse"))
+
+
+@query(_PIN_SQL + " SELECT design_id, CAST(n_pins AS BIGINT) AS n_pins, true AS no_worse FROM q")
+def l1_annealing_holds(spark, sf):
+    from fathomgrid.operators.search import anneal
+
+    return _repaired(spark, sf, anneal)
+
+
+@query(_PIN_SQL + " SELECT design_id, CAST(n_pins AS BIGINT) AS n_pins, true AS no_worse FROM q")
+def l2_beam_holds(spark, sf):
+    from fathomgrid.operators.search import beam
+
+    return _repaired(spark, sf, beam)
+
+
 @query()
 def l1_annealing(spark, sf):
     from fathomgrid.operators.search import anneal, qualities
