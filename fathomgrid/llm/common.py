@@ -40,20 +40,35 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
 
     Unlike ``checkpoint()`` this runs the plan once and keeps columnar statistics. The
     folder is deleted when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    files, at = _folder(spark, path)
+    files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    files, at = _folder(spark, path)
+    files.delete(at, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null stays null."""
     return F.translate(text, UPPER, LOWER)

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .collocations import collocations
 from .common import table
 from .decontaminate import decontaminate
 from .license_scan import MARKS, TEMPLATES, scan_licences
 from .line_dedup import dedup_lines
 from .lm_score import backoff_scores
+from .mixing import mix_sources
 from .packing import pack
 from .secret_scan import scan_secrets
 from .simhash import simhash_components
 from .token_counts import token_counts
 from .toxicity import score_toxicity
+from .vector_codes import vector_codes
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +141,50 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM docs LEFT JOIN base USING (k) LEFT JOIN labelled USING (k) LEFT JOIN best USING (k)
 """
 
+#: A round is: the nearest entry of every part (its number), then the floored means; // of DuckDB cuts, so that means of sums below zero are floored by hand.
+_OP12_ROUND = """
+code{k} AS MATERIALIZED (SELECT v, p, part, min({{'d': list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS best FROM cut JOIN book{k} USING (p) GROUP BY v, p, part),
+mean{k} AS (SELECT p, e, list(m ORDER BY j) AS entry FROM (
+  SELECT p, best.e AS e, j, (sum(part[j]) - ((sum(part[j]) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM code{k}, range(1, 5) t(j) WHERE j <= len(part) GROUP BY p, best.e, j) GROUP BY p, e),
+book{n} AS MATERIALIZED (SELECT p, e, coalesce(m.entry, b.entry) AS entry FROM book{k} b LEFT JOIN mean{k} m USING (p, e)),
+"""
+
+#: Vectors of these tables have 64 components, so that a part has four.
+OP12_SQL = f"""
+WITH whole AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS v, vec_id, label, x
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)),
+cut AS MATERIALIZED (SELECT v, p, x[4 * p + 1 : 4 * p + 4] AS part FROM whole, range(16) t(p)),
+book0 AS MATERIALIZED (SELECT p, v - 1 AS e, part AS entry FROM cut WHERE v <= 64),
+{_OP12_ROUND.format(k=0, n=1)}{_OP12_ROUND.format(k=1, n=2)}{_OP12_ROUND.format(k=2, n=3).partition("mean2")[0]}
+coded AS (SELECT v, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM code2 GROUP BY v),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(entry, lambda c: CAST(c AS VARCHAR)), ','), ',' ORDER BY p, e)) AS sha FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM whole JOIN coded USING (v), books
+"""
+
+#: g holds each phrase of one to five words with its count f; a longer phrase absorbs what stands inside it as often.
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+said AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w)) AS n FROM said GROUP BY lang),
+g AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM said, range(1, 6) t(k) WHERE len(w) >= k))
+  GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
+absorbed AS (SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN (
+    SELECT lang, a, array_to_string(w[i : j], ' ') AS phrase FROM (SELECT lang, w, a, k, i, unnest(range(i + 1, k + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM candidates)) WHERE j - i + 1 < k) x
+  ON x.lang = c.lang AND x.phrase = c.phrase WHERE 100 * x.a >= 100 * c.a),
+cuts AS (SELECT lang, phrase, a, c, array_to_string(w[1 : c], ' ') AS first, array_to_string(w[c + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS c FROM candidates ANTI JOIN absorbed USING (lang, phrase))),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, min({'score': 1000::HUGEINT * a * n // (x.f::HUGEINT * y.f), 'c': c, 'l': x.f, 'r': y.f}) AS best, n
+  FROM cuts JOIN total USING (lang) JOIN g x ON x.lang = cuts.lang AND x.phrase = first JOIN g y ON y.lang = cuts.lang AND y.phrase = rest GROUP BY cuts.lang, cuts.phrase, a, n)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY best.score DESC, a DESC, phrase) AS rank, phrase, a, best.l AS l, best.r AS r, CAST(n AS BIGINT) AS n, CAST(best.score AS BIGINT) AS score
+FROM scored QUALIFY rank <= 2000
+"""
+
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
@@ -170,9 +217,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_neighbours, op4_simhash_dedup, op5_line_dedup, op6_decontamination, op7_token_counts, op8_secret_scan, op9_lm_score, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_neighbours, op4_simhash_dedup, op5_line_dedup, op6_decontamination, op7_token_counts, op8_secret_scan, op9_lm_score, op10_license_scan, op11_mixing, op12_vector_codes, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_lm_score": OP9_SQL, "op10_license_scan": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_lm_score": OP9_SQL, "op10_license_scan": OP10_SQL, "op12_vector_codes": OP12_SQL, "op13_collocations": OP13_SQL}
