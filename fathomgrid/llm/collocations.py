@@ -32,7 +32,7 @@ _BYTES[ord("A") : ord("Z") + 1] += 32
 _BYTES[[ord(c) for c in ".,;:!?\n\v\f\r"]] = _BREAK
 _BYTES[9] = _BLANK
 
-_BLOCK_BYTES = 6_000_000  # texts are numbered together up to about this size
+_BLOCK_BYTES = 2_000_000  # texts are numbered together up to about this size
 _SLAB = 32_768  # buckets whose counts travel together, and bits of one bitmap of Spark's
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,10 +63,10 @@ class Block:
         inside = (raw != _BLANK) & (raw != _BREAK)
         begins = inside & (np.concatenate([[True], ~inside[:-1]]) | first[:-1]) if len(raw) else inside
         starts = np.flatnonzero(begins)
-        piece = np.cumsum((raw == _BREAK).astype(np.int32) + first[:-1])[starts]
+        piece = np.cumsum((raw == _BREAK) + first[:-1].astype(np.int8), dtype=np.int32)[starts]
         self.follows = np.append(piece[1:] == piece[:-1], False)[: len(starts)]
         text = np.searchsorted(offsets, starts, "right") - 1
-        at = np.append((np.cumsum(inside) - 1)[starts], inside.sum()).astype(np.int32)
+        at = np.append(np.cumsum(inside, dtype=np.int32)[starts] - 1, inside.sum()).astype(np.int32)
         named = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(raw[inside])]).dictionary_encode()
         self.words = named.dictionary
         self.number = named.indices.to_numpy().astype(np.int64)
