@@ -61,6 +61,23 @@ def search(facts: DataFrame, conditions: Mapping[str, Column], key: str) -> Data
     return met.filter(reduce(operator.and_, (F.col(n) for n in flags))).select(key)
 
 
+def search_batch(facts: DataFrame, wanted: DataFrame, key: str = "component_id") -> DataFrame:
+    """``query_id, key`` for each of many queries whose conditions ``wanted(query_id, symbol, field, op, bound)`` all hold, each by some fact.
+
+    ``field`` is one of value_min, value_typ and value_max, ``op`` a comparison. A fact meets the conditions on
+    its symbol by an equality join; conditions alike within a query count once, and queries that
+    share a condition share its answer. A null bound, or a field or comparison of another name, is met by nothing.
+    """
+    terms = ["symbol", "field", "op", "bound"]
+    wanted = wanted.select("query_id", *terms).distinct()
+    sizes = wanted.groupBy("query_id").agg(F.count("*").alias("n_wanted"))
+    value = F.coalesce(*(F.when(F.col("field") == c, F.col(c)) for c in ("value_min", "value_typ", "value_max")))
+    holds = F.coalesce(*(F.when(F.col("op") == name, f(value, F.col("bound"))) for name, f in _COMPARE.items()))
+    met = facts.join(wanted.select(*terms).distinct(), "symbol").filter(holds).select(key, *terms).distinct()
+    counted = met.join(wanted, terms).groupBy("query_id", key).agg(F.count("*").alias("n_met"))
+    return counted.join(sizes, "query_id").filter("n_met = n_wanted").select("query_id", key)
+
+
 def parametric_search(components: DataFrame, facts: DataFrame, required: Mapping[str, str], key: str = "component_id", active: Column | None = None, category: Column | None = None, limit: int = 20) -> DataFrame:
     """Active components that meet all requirements, in key order; all of them without requirements."""
     live = components.filter(active) if active is not None else components
