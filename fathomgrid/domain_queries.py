@@ -828,11 +828,6 @@ def f4_ranked_documents(spark, sf):
     return V.rank_documents(found, "doc_id")
 
 
-@query("SELECT doc_id, round(h / n, 9) AS rank_score FROM (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x IN ('licens', 'work'))) AS h, list_contains(w, 'licens') AND list_contains(w, 'work') AS every FROM (SELECT doc_id, list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in V.STOP_WORDS) + ")), lambda x: regexp_replace(x, '^(.{3,}?)(ings?|edly|ed|ly|es|s)$', '\\1')) AS w FROM documents)) WHERE every ORDER BY h / n DESC, doc_id LIMIT 20")
-def h30_stemmed_search(spark, sf):
-    return V.stemmed_search(load(spark, sf, "documents"), "the works licensed", "doc_id", "text").select("doc_id", F.round("rank_score", 9).alias("rank_score"))
-
-
 @query("SELECT p_type, p_partkey, CAST(r AS INTEGER) AS kind_rank FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY round(CAST(p_size AS DOUBLE), 12) DESC, p_partkey) AS r FROM part) WHERE r <= 5")
 def f3_top_five_by_type(spark, sf):
     rows = load(spark, sf, "part").select("p_type", "p_partkey", F.col("p_size").cast("double").alias("final_score"))

@@ -1,8 +1,7 @@
-"""Full-text, vector and fused retrieval, each for a batch of queries in one plan."""
+"""Full-text and vector search of one query, rank fusion, query planning; `postings` and `ivf` search for many queries at once."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,33 +29,10 @@ SEARCHABLE = ("COMPONENT_TYPE", "COMPONENT_INSTANCE", "DESIGN_RECIPE")
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
-_ENDINGS = r"^(.{3,}?)(ings?|edly|ed|ly|es|s)$"
-
-
 def searchable(nodes: DataFrame, kinds: Sequence[str] = SEARCHABLE) -> DataFrame:
     return nodes.filter(F.col("node_type").isin(*kinds))
 
 
-def stem(word: Column) -> Column:
-    """A word without the commonest English endings, of three letters or more."""
-    return F.regexp_replace(word, _ENDINGS, "$1")
-
-
-def stemmed_search(docs: DataFrame, query: str, id_col: str, text_col: str, limit: int = 20) -> DataFrame:
-    """Documents that hold the stems of all words of ``query`` but stop words, by the share of their words that have such a stem; ties by id.
-
-    A query of nothing but stop words finds nothing.
-    """
-    stems = list(dict.fromkeys(re.sub(_ENDINGS, r"\1", w) for w in re.findall("[a-z0-9]+", query.lower()) if w not in STOP_WORDS))
-    wanted, low = F.array(*map(F.lit, stems)).cast("array<string>"), F.lower(F.col(text_col))
-    for word in stems:  # a text with the stem of a word holds the stem
-        docs = docs.filter(F.contains(low, F.lit(word)))
-    rows = docs.select(F.col(id_col), F.filter(tokens(F.col(text_col)), lambda t: ~t.isin(*STOP_WORDS)).alias("w")).select(id_col, F.transform("w", stem).alias("w"))
-    found = rows.withColumn("hits", F.size(F.filter("w", lambda t: F.array_contains(wanted, t))))
-    kept = found.filter((F.size(wanted) > 0) & (F.size(F.array_intersect(wanted, F.col("w"))) == F.size(wanted)))
-    return kept.select(id_col, (F.col("hits") / F.size("w")).alias("rank_score")).orderBy(F.col("rank_score").desc(), id_col).limit(limit)
-
-
 def rank_documents(found: DataFrame, id_col: str, limit: int = 10) -> DataFrame:
     """``found(id, relevance, query_pos)`` once for each id, of the first query that found it, the most relevant first."""
     once = found.groupBy(id_col).agg(F.min_by("relevance", "query_pos").alias("relevance"))

@@ -22,8 +22,10 @@ from fathomgrid.operators import ranking as R
 from fathomgrid.operators import relational as L
 from fathomgrid.operators import retrieval as V
 from fathomgrid.operators import rules as K
+from fathomgrid.operators.postings import build_postings, search_postings
 from fathomgrid.plans.hybrid import hybrid
 from fathomgrid.session import load
+from fathomgrid.stem_sql import ONE_SEARCH
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -464,15 +466,14 @@ def d14_layer_hits(spark, sf):
 
 _HYBRID_SQL = f"""WITH {_FACT_SQL},
 p1 AS (SELECT component_id AS id, 1.0 AS score FROM facts GROUP BY 1 HAVING bool_or(symbol = 'en' AND value_typ < 2) AND bool_or(symbol = 'tol' AND value_max >= 0.08)),
-w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ({{STOP}})) AS w FROM documents),
-st AS (SELECT doc_id, list_transform(w, lambda x: regexp_replace(x, '^(.{{3,}}?)(ings?|edly|ed|ly|es|s)$', '\\1')) AS w FROM w),
-p2 AS (SELECT doc_id AS id, len(list_filter(w, lambda x: x IN ('licens', 'work'))) / len(w) AS score FROM st WHERE list_contains(w, 'licens') AND list_contains(w, 'work')),
+{ONE_SEARCH},
+p2 AS (SELECT doc_id AS id, h / n AS score FROM hits),
 q AS (SELECT embedding AS x FROM embeddings WHERE vec_id = 0),
 p3 AS (SELECT vec_id AS id, s AS score FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(x AS DOUBLE[])) AS s FROM embeddings, q) WHERE s > 0.1),
 p4 AS (SELECT s_suppkey AS id, 1.0 AS score FROM supplier WHERE s_name = 'Supplier#000000007' UNION ALL SELECT s_suppkey, 0.8 FROM supplier WHERE s_nationkey = 3),
 l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r, 'parametric' AS layer FROM p1 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id), 'fts' FROM p2 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id), 'vector' FROM p3 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id), 'kg' FROM p4),
 f AS (SELECT id, sum(1.0 / (r + 60)) AS s, string_agg(layer, ',' ORDER BY layer) AS layers FROM l WHERE r <= 20 GROUP BY 1)
-SELECT id, round(s, 9) AS final_score, layers, CAST(p AS INTEGER) AS position FROM (SELECT *, row_number() OVER (ORDER BY round(s, 12) DESC, id) AS p FROM f) WHERE p <= 10""".replace("{STOP}", ", ".join(f"'{w}'" for w in V.STOP_WORDS))
+SELECT id, round(s, 9) AS final_score, layers, CAST(p AS INTEGER) AS position FROM (SELECT *, row_number() OVER (ORDER BY round(s, 12) DESC, id) AS p FROM f) WHERE p <= 10"""
 
 
 @query(_HYBRID_SQL)
@@ -484,7 +485,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval of items by number: facts of parts, texts of documents, vectors and role candidates, fused by rank."""
     conditions = P.predicates({"noise_nV_rtHz": "<2", "tolerance_pct": ">=0.08"})
     parametric = P.search(_facts(spark, sf_dir), conditions, "component_id").select(F.col("component_id").alias("id"), F.lit(1.0).alias("score"))
-    text = V.stemmed_search(load(spark, sf_dir, "documents"), "the works licensed", "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("rank_score").alias("score"))
+    asked = spark.createDataFrame([(0, "the works licensed")], "query_id int, query string")
+    text = search_postings(build_postings(load(spark, sf_dir, "documents"), "doc_id", "text", stemmed=True), asked).select("id", F.col("rank_score").alias("score"))
     vector = V.vector_search(load(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), "vec_id", "embedding", 0.1).select(F.col("vec_id").alias("id"), F.col("similarity").alias("score"))
     roles = spark.createDataFrame([(1, "r", "Supplier#000000007", None), (1, "s", None, 3)], "pattern_id int, role string, part string, category int")
     components = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("component_id"), F.col("s_name").alias("part"), F.col("s_nationkey").alias("category"))

@@ -5,69 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomgrid.functions import stemming as S
 from fathomgrid.functions.stemming import stems
 from fathomgrid.operators import ivf
 from fathomgrid.operators import knowledge as N
 from fathomgrid.operators import parametric as P
 from fathomgrid.operators import postings as I
-from fathomgrid.operators.retrieval import STOP_WORDS, tokens
+from fathomgrid.operators.retrieval import tokens
 from fathomgrid.plans.hybrid import hybrid
 from fathomgrid.registry import _FACT_SQL, _facts, query
 from fathomgrid.session import load
+from fathomgrid.stem_sql import ONE_SEARCH, STOPPED, WORDS, stem_sql
 
-# The stemmer in SQL: a common table a step, over distinct words
 
-_V, _C = "[aeiouy]", "[^aeiouy]"
-
-
-def _ending(table: dict[str, str] | tuple[str, ...]) -> str:
-    return "regexp_extract(x, '(" + "|".join(sorted(table, key=len, reverse=True)) + ")$')"
-
-
-def _replaced(table: dict[str, str]) -> str:
-    return "CASE e " + " ".join(f"WHEN '{e}' THEN '{r}'" for e, r in table.items()) + " END"
-
-
-_IN = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_SHORT = f"regexp_full_match({{}}, '.*{_C}{_V}[^aeiouywxY]|{_V}{_C}')"
-
-
-def stem_sql(words: str) -> str:
-    """Common tables that end with ``stemmed(w, stem)`` for the distinct words ``w`` of the table ``words``."""
-    whole = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in S.WHOLE_WORDS.items())
-    kept = ", ".join(f"'{w}'" for w in S.KEPT_AFTER_PLURALS)
-    return f"""voc AS (SELECT DISTINCT w FROM {words}),
-marked AS (SELECT w, list_reduce(list_prepend('', string_split(w, '')), lambda a, c: a || CASE WHEN c = 'y' AND (a = '' OR right(a, 1) IN ('a', 'e', 'i', 'o', 'u', 'y')) THEN 'Y' ELSE c END) AS x FROM voc),
-region1 AS (SELECT w, x, CASE WHEN regexp_matches(x, '^({"|".join(S.R1_PREFIXES)})') THEN length(regexp_extract(x, '^({"|".join(S.R1_PREFIXES)})'))
-  WHEN regexp_matches(x, '{_V}{_C}') THEN length(regexp_extract(x, '^.*?{_V}{_C}')) ELSE length(x) END AS r1 FROM marked),
-region2 AS (SELECT w, x, r1, CASE WHEN regexp_matches(substr(x, r1 + 1), '{_V}{_C}') THEN r1 + length(regexp_extract(substr(x, r1 + 1), '^.*?{_V}{_C}')) ELSE length(x) END AS r2 FROM region1),
-plural AS (SELECT w, r1, r2, CASE WHEN x LIKE '%sses' THEN left(x, -2) WHEN x LIKE '%ied' OR x LIKE '%ies' THEN left(x, CASE WHEN length(x) > 4 THEN -2 ELSE -1 END)
-  WHEN x LIKE '%us' OR x LIKE '%ss' THEN x WHEN regexp_matches(x, '{_V}.*.s$') THEN left(x, -1) ELSE x END AS x FROM region2),
-past0 AS (SELECT *, regexp_extract(x, '(eedly|ingly|edly|eed|ing|ed)$') AS e, x IN ({kept}) AS done FROM plural),
-past1 AS (SELECT *, left(x, length(x) - length(e)) AS b FROM past0),
-past AS (SELECT w, r1, r2, done, CASE WHEN done OR e = '' THEN x WHEN e IN ('eed', 'eedly') THEN CASE WHEN length(b) >= r1 THEN b || 'ee' ELSE x END WHEN NOT regexp_matches(b, '{_V}') THEN x
-  WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e' WHEN regexp_matches(b, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(b, -1) WHEN r1 >= length(b) AND {_SHORT.format("b")} THEN b || 'e' ELSE b END AS x FROM past1),
-last_y AS (SELECT w, r1, r2, done, CASE WHEN NOT done AND regexp_matches(x, '.{_C}[yY]$') THEN left(x, -1) || 'i' ELSE x END AS x FROM past),
-step2 AS (SELECT *, {_ending(S.STEP_2)} AS e FROM last_y),
-step3 AS (SELECT w, r1, r2, done, CASE WHEN done OR e = '' OR length(x) - length(e) < r1 OR (e = 'ogi' AND x NOT LIKE '%logi') OR (e = 'li' AND NOT regexp_matches(x, '[{S.BEFORE_LI}]li$')) THEN x ELSE left(x, length(x) - length(e)) || {_replaced(S.STEP_2)} END AS x FROM step2),
-step3e AS (SELECT *, {_ending(S.STEP_3)} AS e FROM step3),
-step4 AS (SELECT w, r1, r2, done, CASE WHEN done OR e = '' OR length(x) - length(e) < CASE e WHEN 'ative' THEN r2 ELSE r1 END THEN x ELSE left(x, length(x) - length(e)) || {_replaced(S.STEP_3)} END AS x FROM step3e),
-step4e AS (SELECT *, {_ending(S.STEP_4)} AS e FROM step4),
-step5 AS (SELECT w, r1, r2, done, CASE WHEN done OR e = '' OR length(x) - length(e) < r2 OR (e = 'ion' AND NOT regexp_matches(x, '[st]ion$')) THEN x ELSE left(x, length(x) - length(e)) END AS x FROM step4e),
-stemmed AS (SELECT w, CASE WHEN length(w) < 3 THEN w ELSE CASE w {whole} ELSE replace(CASE WHEN done THEN x
-  WHEN x LIKE '%e' AND (length(x) - 1 >= r2 OR (length(x) - 1 >= r1 AND NOT {_SHORT.format("left(x, -1)")})) OR x LIKE '%ll' AND length(x) - 1 >= r2 THEN left(x, -1) ELSE x END, 'Y', 'y') END END AS stem FROM step5)"""
-
-
-_WORDS = "SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS w FROM documents"
-
-
-@query(f"WITH words AS ({_WORDS}), {stem_sql('words')} SELECT w AS word, stem FROM stemmed")
+@query(f"WITH words AS ({WORDS}), {stem_sql('words')} SELECT w AS word, stem FROM stemmed")
 def h30_stems(spark: SparkSession, sf: str) -> DataFrame:
     words = load(spark, sf, "documents").select(F.explode(tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", stems("word").alias("stem"))
 
 
+@query(f"WITH {ONE_SEARCH} SELECT doc_id, round(h / n, 9) AS rank_score FROM hits ORDER BY h / n DESC, doc_id LIMIT 20")
+def h30_stemmed_search(spark: SparkSession, sf: str) -> DataFrame:
+    asked = spark.createDataFrame([(0, "the works licensed")], "query_id int, query string")
+    found = I.search_postings(I.build_postings(load(spark, sf, "documents"), "doc_id", "text", stemmed=True), asked)
+    return found.select(F.col("id").alias("doc_id"), F.round("rank_score", 9).alias("rank_score"))
+
+
 # Batched searches: the queries are all runs of words of the benchmark's items
 
 _RUNS_SQL = """SELECT CAST(item_id AS VARCHAR) || ':' || i AS query_id, item_id, i, w[i : i + {n} - 1] AS q
@@ -91,7 +53,7 @@ scored AS (SELECT query_id, doc_id, h / size AS s FROM hits JOIN n_wanted USING
 found AS (SELECT query_id, doc_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM scored QUALIFY rank <= 20)"""
 
 
-@query(f"WITH words AS ({_WORDS}), postings AS (SELECT doc_id, w AS t FROM words), runs AS ({_RUNS_SQL.format(n=3)}), asked AS (SELECT query_id, unnest(q) AS t FROM runs), {_SEARCH_SQL} SELECT query_id, doc_id, round(s, 9) AS rank_score, CAST(rank AS INTEGER) AS rank FROM found")
+@query(f"WITH words AS ({WORDS}), postings AS (SELECT doc_id, w AS t FROM words), runs AS ({_RUNS_SQL.format(n=3)}), asked AS (SELECT query_id, unnest(q) AS t FROM runs), {_SEARCH_SQL} SELECT query_id, doc_id, round(s, 9) AS rank_score, CAST(rank AS INTEGER) AS rank FROM found")
 def j3_batched_search(spark: SparkSession, sf: str) -> DataFrame:
     index = I.build_postings(load(spark, sf, "documents"), "doc_id", "text")
     found = I.search_postings(index, _runs(spark, sf, 3).select("query_id", "query"))
@@ -99,9 +61,9 @@ def j3_batched_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stemmed_sql(n: int) -> str:
-    return f"""words AS ({_WORDS}), runs AS ({_RUNS_SQL.format(n=n)}), said AS (SELECT query_id, unnest(q) AS w FROM runs), everything AS (SELECT w FROM words UNION ALL SELECT w FROM said),
+    return f"""words AS ({WORDS}), runs AS ({_RUNS_SQL.format(n=n)}), said AS (SELECT query_id, unnest(q) AS w FROM runs), everything AS (SELECT w FROM words UNION ALL SELECT w FROM said),
 {stem_sql("everything")},
-postings AS (SELECT doc_id, stem AS t FROM words JOIN stemmed USING (w) WHERE w NOT IN ({_IN})), asked AS (SELECT query_id, stem AS t FROM said JOIN stemmed USING (w) WHERE w NOT IN ({_IN})), {_SEARCH_SQL}"""
+postings AS (SELECT doc_id, stem AS t FROM words JOIN stemmed USING (w) WHERE w NOT IN ({STOPPED})), asked AS (SELECT query_id, stem AS t FROM said JOIN stemmed USING (w) WHERE w NOT IN ({STOPPED})), {_SEARCH_SQL}"""
 
 
 @query(f"WITH {_stemmed_sql(2)} SELECT query_id, doc_id, round(s, 9) AS rank_score, CAST(rank AS INTEGER) AS rank FROM found")

@@ -23,4 +23,4 @@ def test_published_stems(word, stem):
 
 def test_column(spark):
     rows = spark.createDataFrame([("flies",), (None,), ("",), ("42nds",)], "w string").select(stems(F.col("w"))).collect()
-    assert [r[0] for r in rows] == ["fli", None, "", "42nds"[:-1]]
+    assert [r[0] for r in rows] == ["fli", None, "", "42nds"]
