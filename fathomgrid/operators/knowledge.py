@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomgrid.functions.text import contains_any, mapped, ratio, slug
+from fathomgrid.functions.blocks import block_ratio
+from fathomgrid.functions.text import contains_any, mapped, slug
 
 from .joins import group_pairs
 
@@ -108,9 +109,9 @@ def contradictions(designs: DataFrame) -> DataFrame:
 
 
 def axiom_conflicts(axioms: DataFrame, alike: float = 0.6) -> DataFrame:
-    """Pairs of axioms ``axiom_id, implication, requirement`` with the same implication and unlike requirements."""
+    """Pairs of axioms ``axiom_id, implication, requirement`` with the same implication and unlike requirements, by their matching blocks."""
     pairs = group_pairs(axioms.select("implication", "axiom_id", "requirement"), ["implication"], "axiom_id").withColumnsRenamed({"axiom_id_a": "a", "axiom_id_b": "b"})
-    return pairs.withColumn("ratio", ratio(F.lower("requirement_a"), F.lower("requirement_b"))).filter(F.col("ratio") < alike).select("implication", "a", "b", "ratio")
+    return pairs.withColumn("ratio", block_ratio(F.lower("requirement_a"), F.lower("requirement_b"))).filter(F.col("ratio") < alike).select("implication", "a", "b", "ratio")
 
 
 def role_candidates(roles: DataFrame, components: DataFrame) -> DataFrame:

@@ -697,10 +697,22 @@ def ext_rollup(spark, sf):
 # Knowledge, sources and the rest
 
 
-@query(
-    """WITH t AS (SELECT p_partkey AS axiom_id, p_brand AS implication, p_name AS requirement FROM part)
-SELECT a.implication, a.axiom_id AS a, b.axiom_id AS b, round(1 - levenshtein(lower(a.requirement), lower(b.requirement)) / greatest(len(a.requirement), len(b.requirement)), 6) AS ratio FROM t a JOIN t b ON a.implication = b.implication AND a.axiom_id < b.axiom_id WHERE 1 - levenshtein(lower(a.requirement), lower(b.requirement)) / greatest(len(a.requirement), len(b.requirement)) < 0.6"""
-)
+#: span: what of two texts is left to match, and the size of the block that was found; common: all their common runs.
+_BLOCK_SQL = """WITH RECURSIVE t AS (SELECT p_partkey AS axiom_id, p_brand AS implication, lower(p_name) AS requirement FROM part),
+texts AS (SELECT DISTINCT requirement FROM t),
+pairs AS (SELECT x.requirement AS a, y.requirement AS b FROM texts x, texts y),
+common AS MATERIALIZED (SELECT * FROM (SELECT a, b, i, j, unnest(range(1, CAST(least(len(a) - i, len(b) - j) AS BIGINT) + 1)) AS k FROM (SELECT a, b, i, unnest(range(len(b))) AS j FROM (SELECT a, b, unnest(range(len(a))) AS i FROM pairs)) WHERE a[i + 1] = b[j + 1]) WHERE substr(a, i + 1, k) = substr(b, j + 1, k)),
+span AS (
+  SELECT a, b, 0::BIGINT AS a0, len(a)::BIGINT AS a1, 0::BIGINT AS b0, len(b)::BIGINT AS b1, 0::BIGINT AS size FROM pairs
+  UNION ALL
+  SELECT a, b, p.a0, p.a1, p.b0, p.b1, p.size FROM (
+    SELECT a, b, unnest([{'a0': a0, 'a1': -best.i, 'b0': b0, 'b1': -best.j, 'size': best.k}, {'a0': best.k - best.i, 'a1': a1, 'b0': best.k - best.j, 'b1': b1, 'size': 0}]) AS p
+    FROM (SELECT a, b, a0, a1, b0, b1, max({'k': k, 'i': -i, 'j': -j}) AS best FROM span JOIN common USING (a, b) WHERE i >= a0 AND i + k <= a1 AND j >= b0 AND j + k <= b1 GROUP BY a, b, a0, a1, b0, b1))),
+alike AS (SELECT a, b, 2 * sum(size) / (len(a) + len(b)) AS ratio FROM span GROUP BY a, b)
+SELECT x.implication, x.axiom_id AS a, y.axiom_id AS b, round(ratio, 6) AS ratio FROM t x JOIN t y ON x.implication = y.implication AND x.axiom_id < y.axiom_id JOIN alike ON alike.a = x.requirement AND alike.b = y.requirement WHERE ratio < 0.6"""
+
+
+@query(_BLOCK_SQL)
 def c11_axiom_conflicts(spark, sf):
     return _axiom_conflicts(load(spark, sf, "part"))
 

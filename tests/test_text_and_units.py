@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from fathomgrid.functions import text as T
 from fathomgrid.functions import units as U
+from fathomgrid.functions.blocks import block_ratio
 
 
 def each(spark, values, column):
@@ -53,8 +54,8 @@ def test_small_functions(spark):
     assert (d[1].goal, d[1].method, d[1].application, d[1].board, d[1].constraints) == ("circuit", "standard_SMD", "unspecified", "double_sided_SMD", [])
     assert each(spark, ["Requires ", "is a", "zzz"], lambda c: T.mapped(c, {"requires": "REQUIRES", "is a": "IS_A"})) == ["REQUIRES", "IS_A", None]
     df = spark.createDataFrame([("kitten", "sitting", {"v": "3.3 V", "t": ""}, "a 3.3V part")], "a string, b string, m map<string,string>, q string")
-    r = df.select(T.ratio(F.col("a"), F.col("b")).alias("r"), T.matching_properties(F.col("m"), F.col("q")).alias("k")).first()
-    assert r.r == pytest.approx(1 - 3 / 7) and r.k == ["v"]
+    r = df.select(block_ratio("a", "b").alias("r"), T.matching_properties(F.col("m"), F.col("q")).alias("k")).first()
+    assert r.r == pytest.approx(2 * 4 / 13) and r.k == ["v"]
 
 
 def test_goals_and_roles(spark):
