@@ -777,15 +777,19 @@ def k5_verdict(spark, sf):
     return load(spark, sf, "customer").select("c_custkey", K.verdict(F.col("c_acctbal") / 10000, flags).alias("verdict"))
 
 
+#: A heading that each pattern was written for, once with and once without blanks.
+_HEADINGS = [p.replace(r"\s*.*", " x ").replace(r"\s*", gap) for patterns in T.SECTIONS.values() for p in patterns for gap in (" ", "")]
+_HEADING_SQL = "CASE p_partkey % 4 WHEN 0 THEN '6.3 ' || upper(h) WHEN 1 THEN h || ' (' || p_name || ')' WHEN 2 THEN p_name || ' of ' || h ELSE p_type || ' ' || p_name END"
+
+
 @query(
-    """SELECT p_partkey, CASE WHEN h IN ('dc characteristics', 'recommended operating conditions') THEN 'ELECTRICAL_CHARACTERISTICS' WHEN h = 'absolute maximum ratings' THEN 'ABSOLUTE_MAXIMUM_RATINGS' WHEN h = 'pin configuration' THEN 'PINOUT' WHEN h = 'switching characteristics' THEN 'TIMING' WHEN h = 'ordering code' THEN 'ORDERING' WHEN h = 'pcb layout' THEN 'LAYOUT_RECOMMENDATIONS' ELSE 'OTHER' END AS section
-FROM (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'dc characteristics' WHEN 1 THEN 'recommended operating conditions' WHEN 2 THEN 'absolute maximum ratings' WHEN 3 THEN 'pin configuration' WHEN 4 THEN 'switching characteristics' WHEN 5 THEN 'ordering code' WHEN 6 THEN 'pcb layout' ELSE p_name END AS h FROM part)"""
+    f"""WITH headings AS (SELECT p_partkey, {_HEADING_SQL} AS heading FROM part, (SELECT [{", ".join(f"'{h}'" for h in _HEADINGS)}] AS all_h), LATERAL (SELECT all_h[CAST(p_partkey % len(all_h) + 1 AS BIGINT)] AS h)),
+rules AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{name}', '{p}')" for i, (name, patterns) in enumerate(T.SECTIONS.items()) for p in patterns)}) r(i, name, pattern))
+SELECT p_partkey, coalesce(arg_min(name, i), 'OTHER') AS section FROM headings LEFT JOIN rules ON regexp_matches(heading, pattern, 'i') GROUP BY 1"""
 )
 def h11_ordered_classifier(spark, sf):
-    n = F.col("p_partkey") % 8
-    heads = ("DC  Characteristics", "6.3 Recommended Operating Conditions", "Absolute Maximum\nRatings", "Pin Configuration", "Switching Characteristics (VCC = 5 V)", "Ordering Code", "PCB Layout")
-    head = F.coalesce(*(F.when(n == i, F.lit(h)) for i, h in enumerate(heads)), F.col("p_name"))
-    return load(spark, sf, "part").select("p_partkey", T.section(head).alias("section"))
+    h = F.element_at(F.array(*map(F.lit, _HEADINGS)), (F.col("p_partkey") % len(_HEADINGS) + 1).cast("int"))
+    return load(spark, sf, "part").withColumn("h", h).select("p_partkey", T.section(F.expr(_HEADING_SQL)).alias("section"))
 
 
 @query("SELECT p_partkey, p_name || CASE WHEN p_name LIKE '%ring%' AND p_name NOT LIKE '%hoop%' THEN ' hoop' ELSE ' ' END AS expanded FROM part")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomgrid.functions import text as T
 from fathomgrid.functions.stemming import stems
 from fathomgrid.operators import ivf
 from fathomgrid.operators import knowledge as N
 from fathomgrid.operators import parametric as P
 from fathomgrid.operators import postings as I
-from fathomgrid.operators.retrieval import tokens
+from fathomgrid.operators.matching import find_phrases
+from fathomgrid.operators.retrieval import STOP_WORDS, tokens
 from fathomgrid.plans.hybrid import hybrid
 from fathomgrid.registry import _FACT_SQL, _facts, query
 from fathomgrid.session import load
@@ -157,3 +159,18 @@ def j7_batched_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     related = N.role_candidates(roles, components).select(F.col("pattern_id").alias("query_id"), F.col("component_id").alias("id"), "score")
     found = hybrid(parametric, texts, near, related, "id", "query_id", limit=5)
     return found.select("query_id", "id", F.round("final_score", 9).alias("final_score"), F.array_join("source_layers", ",").alias("layers"), "position")
+
+
+# Phrases of all vocabularies in one pass
+
+_VOCABULARIES = {"topology": T.TOPOLOGIES, "method": T.METHODS, "stop": {w: [w] for w in STOP_WORDS}}
+_PHRASES_SQL = ", ".join(f"('{v}', '{t}', '{p}')" for v, terms in _VOCABULARIES.items() for t, phrases in terms.items() for p in phrases)
+
+
+@query(
+    f"""SELECT doc_id, vocabulary, term, phrase, CAST(CASE WHEN len(phrase) > 1 AND left(phrase, 1) = right(phrase, 1) THEN len(list_filter(range(len(low)), lambda i: substr(low, i + 1, len(phrase)) = phrase)) ELSE (len(low) - len(replace(low, phrase, ''))) // len(phrase) END AS BIGINT) AS n, CAST(strpos(low, phrase) - 1 AS BIGINT) AS first
+FROM (SELECT doc_id, lower(text) AS low FROM documents), (VALUES {_PHRASES_SQL}) v(vocabulary, term, phrase) WHERE contains(low, phrase)"""
+)
+def h13_phrases_in_documents(spark: SparkSession, sf: str) -> DataFrame:
+    found = find_phrases(load(spark, sf, "documents"), "doc_id", "text", _VOCABULARIES)
+    return found.withColumnRenamed("id", "doc_id")
