@@ -873,24 +873,35 @@ def j8_missing_to_review(spark, sf):
     return missing_to_queue(wanted, found, "2024-01-01 00:00:00").select(F.col("payload").alias("item"))
 
 
+#: One to three tables a page with spans that vary; in every fifth page each table has another inside its last cell.
+_PAGE_TABLE = "concat('text<table><tr><th rowspan=\"', 2 + t % 2, '\">T', t, '</th><td colspan=', 1 + page_id % 2, '> ', u, '<tr><td>', n, CASE WHEN page_id % 5 = 0 THEN '<table><td> in </table>' ELSE '' END, '</td></tr></table>')"
+
+
 @query(
-    """WITH p AS (SELECT page_id, regexp_replace(url, '[^a-z0-9]', 'x', 'g') AS u, CAST(length(html) AS VARCHAR) AS n FROM pages)
-SELECT page_id AS grid_id, 0 AS row, 0 AS col, 'Page' AS text, true AS is_header, 2 AS rowspan, 1 AS colspan FROM p UNION ALL SELECT page_id, 0, 1, u, false, 1, 1 FROM p UNION ALL SELECT page_id, 1, 1, n, false, 1, 1 FROM p"""
+    """WITH p AS (SELECT page_id, regexp_replace(url, '[^a-z0-9]', 'x', 'g') AS u, CAST(length(html) AS VARCHAR) AS n, unnest(range(page_id % 3 + 1)) AS t FROM pages), k AS (SELECT *, CAST(CASE WHEN page_id % 5 = 0 THEN 2 * t ELSE t END AS INTEGER) AS no FROM p)
+SELECT page_id AS grid_id, no AS "table", 0 AS row, 0 AS col, 'T' || t AS text, true AS is_header, CAST(2 + t % 2 AS INTEGER) AS rowspan, 1 AS colspan FROM k UNION ALL SELECT page_id, no, 0, 1, u, false, 1, CAST(1 + page_id % 2 AS INTEGER) FROM k
+UNION ALL SELECT page_id, no, 1, 1, n, false, 1, 1 FROM k UNION ALL SELECT page_id, no + 1, 0, 0, 'in', false, 1, 1 FROM k WHERE page_id % 5 = 0"""
 )
 def a20_html_tables(spark, sf):
     from fathomgrid.sources.readers import html_cells
 
-    made = F.concat(F.lit('<table><tr><th rowspan="2">Page</th><td> '), F.regexp_replace("url", "[^a-z0-9]", "x"), F.lit("</td></tr>\n<tr><td>"), F.length("html").cast("string"), F.lit("</td></tr></table>"))
-    return html_cells(load(spark, sf, "pages").select("page_id", made.alias("made")), "page_id", "made")
+    pages = load(spark, sf, "pages").select("page_id", F.regexp_replace("url", "[^a-z0-9]", "x").alias("u"), F.length("html").alias("n"), F.explode(F.sequence(F.lit(0), F.pmod("page_id", F.lit(3)))).alias("t"))
+    made = pages.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", F.expr(_PAGE_TABLE).alias("h")))), lambda x: x["h"]), "<p>").alias("made"))
+    return html_cells(made, "page_id", "made")
 
 
+#: Up to three tables a text, of one to four rows.
 @query(
-    """SELECT doc_id AS grid_id, 0 AS row, 0 AS col, 'id' AS text, true AS is_header FROM documents UNION ALL SELECT doc_id, 0, 1, 'n', true FROM documents UNION ALL SELECT doc_id, 1, 0, source, false FROM documents UNION ALL SELECT doc_id, 1, 1, CAST(n_chars AS VARCHAR), false FROM documents"""
+    """WITH t AS (SELECT doc_id, unnest(range(doc_id % 3 + 1)) AS t, source, n_chars FROM documents), b AS (SELECT *, unnest(range((doc_id + t) % 4)) AS r FROM t)
+SELECT doc_id AS grid_id, CAST(t AS INTEGER) AS "table", 0 AS row, c AS col, CASE c WHEN 0 THEN 'id' ELSE 'n' || t END AS text, true AS is_header FROM t, (VALUES (0), (1)) v(c)
+UNION ALL SELECT doc_id, CAST(t AS INTEGER), CAST(r + 1 AS INTEGER), c, CASE c WHEN 0 THEN source ELSE CAST(n_chars + r AS VARCHAR) END, false FROM b, (VALUES (0), (1)) v(c)"""
 )
 def a19_markdown_tables(spark, sf):
     from fathomgrid.sources.readers import markdown_cells
 
-    made = F.concat(F.lit("head\n| id | n |\n|---|---|\n| "), "source", F.lit(" | "), F.col("n_chars").cast("string"), F.lit(" |\ntail"))
+    line = "concat('| ', source, ' | ', n_chars + r, ' |')"
+    one = f"concat('head\\n| id | n', t, ' |\\n|---|:-:|\\n', array_join(CASE WHEN (doc_id + t) % 4 = 0 THEN array() ELSE transform(sequence(0L, (doc_id + t) % 4 - 1), r -> {line}) END, '\\n'))"
+    made = F.expr(f"array_join(transform(sequence(0L, doc_id % 3), t -> {one}), '\\ntail\\n')")
     return markdown_cells(load(spark, sf, "documents").select("doc_id", made.alias("made")), "doc_id", "made")
 
 

@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 
 def json_folder(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
@@ -28,12 +29,17 @@ def blobs(rows: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFra
 
 
 def markdown_cells(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``grid_id, row, col, text, is_header`` of the pipe table in a text; the rule line isn't a row."""
-    lines = texts.select(F.col(id_col).alias("grid_id"), F.posexplode(F.split(text_col, r"\r?\n")).alias("_l", "line"))
-    lines = lines.filter(F.rlike(F.trim("line"), F.lit(r"^\|.*\|$")) & ~F.rlike(F.trim("line"), F.lit(r"^\|[\s:|-]+\|$")))
-    numbered = lines.withColumn("row", F.row_number().over(Window.partitionBy("grid_id").orderBy("_l")) - 1)
+    """``grid_id, table, row, col, text, is_header`` of the pipe tables in a text, numbered from 0; the rule line isn't a row.
+
+    Lines between pipes that follow each other are one table.
+    """
+    lines = texts.select(F.col(id_col).alias("grid_id"), F.posexplode(F.split(text_col, r"\r?\n")).alias("_l", "line")).filter(F.rlike(F.trim("line"), F.lit(r"^\|.*\|$")))
+    by_place = Window.partitionBy("grid_id").orderBy("_l")
+    begins = F.coalesce(F.col("_l") - F.lag("_l").over(by_place) > 1, F.lit(False)).cast("int")
+    numbered = lines.withColumn("_b", begins).withColumn("table", F.sum("_b").over(by_place).cast("int"))
+    kept = numbered.filter(~F.rlike(F.trim("line"), F.lit(r"^\|[\s:|-]+\|$"))).withColumn("row", F.row_number().over(Window.partitionBy("grid_id", "table").orderBy("_l")) - 1)
     inner = F.expr("substring(trim(line), 2, length(trim(line)) - 2)")
-    return numbered.select("grid_id", "row", F.posexplode(F.split(inner, r"\|")).alias("col", "text")).select("grid_id", "row", "col", F.trim("text").alias("text"), (F.col("row") == 0).alias("is_header"))
+    return kept.select("grid_id", "table", "row", F.posexplode(F.split(inner, r"\|")).alias("col", "text")).select("grid_id", "table", "row", "col", F.trim("text").alias("text"), (F.col("row") == 0).alias("is_header"))
 
 
 def vocabulary(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,53 +57,74 @@ def vocabulary(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("source", "term", (F.row_number().over(order) - 1).alias("pos"), "alias")
 
 
-class _Table(HTMLParser):
-    """Collects the cells of the first table with their spans."""
+Cell = tuple[int, int, int, str, bool, int, int]
+
+
+class _Tables(HTMLParser):
+    """Places the cells of all tables of a page; a table inside a cell is a table of its own, its text not the cell's."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.rows: list[list[tuple[str, bool, int, int]]] = []
-        self.cell: list | None = None
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        given = dict(attrs)
-        span = lambda n: max(1, min(1000, int(given.get(n) or 1))) if str(given.get(n) or 1).isdigit() else 1
-        if tag == "tr":
-            self.rows.append([])
-        elif tag in ("td", "th"):
-            self.cell = ["", tag == "th", span("rowspan"), span("colspan")]
+        self.count, self.cells, self.open = 0, [], []
+
+    def _end_cell(self) -> None:
+        table = self.open[-1]
+        if table["cell"] is None:
+            return
+        (text, header, down, across), row, col = table["cell"], max(table["row"], 0), 0
+        while (row, col) in table["taken"]:
+            col += 1
+        table["taken"] |= {(row + i, col + j) for i in range(down) for j in range(across)}
+        self.cells.append((table["number"], row, col, " ".join("".join(text).split()), header, down, across))
+        table["cell"] = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "table":
+            self.open.append({"number": self.count, "row": -1, "cell": None, "taken": set()})
+            self.count += 1
+        elif self.open and tag == "tr":
+            self._end_cell()
+            self.open[-1]["row"] += 1
+        elif self.open and tag in ("td", "th"):
+            self._end_cell()
+            given = dict(attrs)
+            down, across = (min(1000, int(n)) if (n := given.get(name) or "1").isdecimal() and int(n) else 1 for name in ("rowspan", "colspan"))
+            self.open[-1]["cell"] = ([], tag == "th", down, across)
 
     def handle_data(self, data: str) -> None:
-        if self.cell is not None:
-            self.cell[0] += data
+        if self.open and self.open[-1]["cell"]:
+            self.open[-1]["cell"][0].append(data)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th") and self.cell is not None:
-            if not self.rows:
-                self.rows.append([])
-            self.rows[-1].append(tuple(self.cell))
-            self.cell = None
+        if self.open and tag in ("td", "th", "tr", "table"):
+            self._end_cell()
+            if tag == "table":
+                self.open.pop()
+
+
+_CELL = StructType([StructField("table", IntegerType()), StructField("row", IntegerType()), StructField("col", IntegerType()), StructField("text", StringType()), StructField("is_header", BooleanType()), StructField("rowspan", IntegerType()), StructField("colspan", IntegerType())])
+
+
+@F.udtf(returnType=_CELL)
+class HtmlCells:
+    """The cells of the tables of a page, for a LATERAL join; no rows for null or a page without cells."""
+
+    def eval(self, html: str) -> Iterator[Cell]:
+        page = _Tables()
+        page.feed(html or "")
+        page.close()
+        while page.open:  # tables that the page doesn't close
+            page.handle_endtag("table")
+        yield from page.cells
 
 
 def html_cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """``grid_id, row, col, text, is_header, rowspan, colspan`` of the cells of every page's table, placed past earlier spans."""
+    """``grid_id, table, row, col, text, is_header, rowspan, colspan`` of the cells of every page's tables, numbered from 0 as they begin; cells are placed past earlier spans.
 
-    def laid(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pages in frames:
-            out = []
-            for grid, html in zip(pages.grid_id, pages.html, strict=True):
-                parser, taken = _Table(), set()
-                parser.feed(html or "")
-                for r, cells in enumerate(parser.rows):
-                    c = 0
-                    for text, header, down, across in cells:
-                        while (r, c) in taken:
-                            c += 1
-                        taken |= {(r + i, c + j) for i in range(down) for j in range(across)}
-                        out.append((grid, r, c, " ".join(text.split()), header, down, across))
-            yield pd.DataFrame(out, columns=["grid_id", "row", "col", "text", "is_header", "rowspan", "colspan"])
-
-    return pages.select(F.col(id_col).cast("long").alias("grid_id"), F.col(html_col).alias("html")).mapInPandas(laid, "grid_id long, row int, col int, text string, is_header boolean, rowspan int, colspan int")
+    Cells and rows that aren't closed end with the next one, spans that aren't numbers from 1 to 1000 are 1 or 1000.
+    """
+    rows = pages.select(F.col(id_col).alias("grid_id"), F.col(html_col).alias("html"))
+    return rows.lateralJoin(HtmlCells(F.col("html").outer())).drop("html")
 
 
 _ATOM = re.compile(r'"((?:[^"\\]|\\.)*)"|([()])|([^\s()"]+)')

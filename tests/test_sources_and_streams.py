@@ -25,6 +25,10 @@ def test_tables(spark):
     assert rows(cells, "row", "col", "text") == [(0, 0, "A"), (0, 1, "B"), (1, 0, "1"), (1, 1, "2"), (2, 0, "3"), (2, 1, "")]
     assert rows(grid_quality(cells), "score") == [(1.0,)]
     html = spark.createDataFrame([(7, "<table><tr><th colspan=2>H</th></tr><tr><td rowspan=2>a</td><td>b <i>c</i></td></tr><tr><td>d</td></tr></table>"), (8, None)], "id int, h string")
+    odd = spark.createDataFrame([(1, "<td>out</td><table><tr><td rowspan=x colspan=0>a<td>b<table><th>in</table>c<tr><td>d</table><table><tr><td>second</td></tr>"), (2, "<table></table>"), (3, "")], "id int, h string")
+    assert rows(I.html_cells(odd, "id", "h"), "table", "row", "col", "text", "rowspan", "colspan") == [(0, 0, 0, "a", 1, 1), (0, 0, 1, "bc", 1, 1), (0, 1, 0, "d", 1, 1), (1, 0, 0, "in", 1, 1), (2, 0, 0, "second", 1, 1)]
+    two = spark.createDataFrame([(1, "| a |\n|---|\n| 1 |\n\n| b |\n| 2 |")], "id int, t string")
+    assert rows(I.markdown_cells(two, "id", "t"), "table", "row", "text") == [(0, 0, "a"), (0, 1, "1"), (1, 0, "b"), (1, 1, "2")]
     assert rows(I.html_cells(html, "id", "h"), "row", "col", "text", "is_header", "rowspan", "colspan") == [(0, 0, "H", True, 1, 2), (1, 0, "a", False, 2, 1), (1, 1, "b c", False, 1, 1), (2, 1, "d", False, 1, 1)]
 
 
