@@ -145,19 +145,6 @@ def layer_stats(nodes: DataFrame, low: int = 1, high: int = 5) -> DataFrame:
     return filled_counts(nodes, "layer", low, high)
 
 
-def snapshot(nodes: DataFrame, edges: DataFrame, path: str, version: str) -> None:
-    """Write both tables and append a row with their counts to the log beside them."""
-    for name, rows in (("nodes", nodes), ("edges", edges)):
-        rows.write.mode("overwrite").parquet(f"{path}/{version}/{name}")
-    spark = nodes.sparkSession
-    n, e = (spark.read.parquet(f"{path}/{version}/{name}").count() for name in ("nodes", "edges"))
-    spark.createDataFrame([(version, n, e)], "version string, n_nodes long, n_edges long").withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/log")
-
-
-def restore(spark, path: str, version: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/{version}/nodes"), spark.read.parquet(f"{path}/{version}/edges")
-
-
 def datasheet_graph(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of ``sheets(component_id, part, confidence, pins array<struct<number,function>>, parameters array<struct<symbol,value,section>>)``.
 

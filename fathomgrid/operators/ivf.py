@@ -71,7 +71,7 @@ def fit_centres(sample: DataFrame, lists: int, rounds: int, seed: int) -> np.nda
 
 
 def build_lists(vectors: DataFrame, id_col: str, vector_col: str, lists: int | None = None, rounds: int = 8, sample_per_list: int = 256, shard_rows: int = 20_000, seed: int = 5) -> Lists:
-    """The index of all usable vectors, written to ``spark.checkpoint.dir`` where that is set.
+    """The index of all usable vectors, written to the shared folder.
 
     The smallest vector by hash sets the length; vectors of another length take no part, as do null,
     zero and non-finite ones and those with a null id. Centres are fitted to at most

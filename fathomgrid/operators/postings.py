@@ -41,7 +41,7 @@ def _counted(rows: DataFrame, key: str, text: Column, stemmed: bool) -> DataFram
 def build_postings(docs: DataFrame, id_col: str, text_col: str, stemmed: bool = False) -> Postings:
     """The index of all texts; texts with a null id, and those without a term, are in none of its tables.
 
-    Rows of one id are one text. With ``spark.checkpoint.dir`` set the tables are written there.
+    Rows of one id are one text. The tables are written to the shared folder.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     postings = written(_counted(rows, "id", F.col("_text"), stemmed).select("term", "id", "n").repartition("term", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("term", "id"))

@@ -1,7 +1,11 @@
-"""Registered queries of batched retrieval: many queries, taken from the tables, in one plan."""
+"""Registered queries of batched retrieval, many queries taken from the tables in one plan, and of what is written and read back."""
 
 from __future__ import annotations
 
+from contextlib import suppress
+from functools import reduce
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +17,11 @@ from fathomgrid.operators import parametric as P
 from fathomgrid.operators import postings as I
 from fathomgrid.operators.matching import find_phrases
 from fathomgrid.operators.retrieval import STOP_WORDS, tokens
+from fathomgrid.operators.snapshots import commit_snapshot, history, restore_snapshot
 from fathomgrid.plans.hybrid import hybrid
 from fathomgrid.registry import _FACT_SQL, _facts, query
-from fathomgrid.session import load
+from fathomgrid.session import load, scratch
+from fathomgrid.sources.sinks import write_graphml
 from fathomgrid.stem_sql import ONE_SEARCH, STOPPED, WORDS, stem_sql
 
 
@@ -174,3 +180,38 @@ FROM (SELECT doc_id, lower(text) AS low FROM documents), (VALUES {_PHRASES_SQL})
 def h13_phrases_in_documents(spark: SparkSession, sf: str) -> DataFrame:
     found = find_phrases(load(spark, sf, "documents"), "doc_id", "text", _VOCABULARIES)
     return found.withColumnRenamed("id", "doc_id")
+
+
+# Snapshots and files of a graph
+
+
+@query(
+    """SELECT version, kind, count(*) AS n, CAST(sum(k) AS BIGINT) AS key_sum FROM (
+SELECT 'v1' AS version, 'nodes' AS kind, c_custkey AS k FROM customer UNION ALL SELECT 'v1', 'edges', o_orderkey FROM orders WHERE o_orderstatus <> 'O'
+UNION ALL SELECT 'v2', 'nodes', c_custkey FROM customer UNION ALL SELECT 'v2', 'nodes', s_suppkey FROM supplier UNION ALL SELECT 'v2', 'edges', o_orderkey FROM orders) GROUP BY ALL"""
+)
+def a28_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions written and restored, with an attempt at the second that fails after its nodes between them."""
+    path = scratch(spark)
+    customers = load(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    nodes, edges = customers.union(load(spark, sf, "supplier").select("s_suppkey")), load(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
+    commit_snapshot(customers, edges.filter("o_orderstatus <> 'O'"), path, "v1")
+    with suppress(PySparkException):
+        commit_snapshot(nodes, edges.withColumn("o_orderstatus", F.raise_error(F.lit("no edges yet")).cast("string")), path, "v2")
+    if history(spark, path).count() == 1:
+        commit_snapshot(nodes, edges, path, "v2")
+    parts = [rows.select(F.lit(v).alias("version"), F.lit(kind).alias("kind"), "k") for v in ("v1", "v2") for kind, rows in zip(("nodes", "edges"), restore_snapshot(spark, path, v), strict=True)]
+    return reduce(DataFrame.unionByName, parts).groupBy("version", "kind").agg(F.count("*").alias("n"), F.sum("k").alias("key_sum"))
+
+
+@query("SELECT 'node' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name || ' & <co \"x\"' AS value FROM part UNION ALL SELECT 'edge', p_partkey || '>' || p_size, CAST(p_size AS VARCHAR) FROM part")
+def a10_graphml_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes and edges written as GraphML text and read back."""
+    part, path = load(spark, sf, "part"), scratch(spark)
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    nodes = part.select(key.alias("id"), F.create_map(F.lit("v"), F.concat("p_name", F.lit(' & <co "x"'))).alias("properties"))
+    edges = part.select(key.alias("source_id"), size.alias("target_id"), F.create_map(F.lit("v"), size).alias("properties"))
+    write_graphml(nodes, edges, path)
+    value = F.try_element_at("properties", F.lit("v")).alias("value")
+    back = N.graphml(spark, f"{path}/nodes", "node").select(F.lit("node").alias("kind"), "id", value)
+    return back.union(N.graphml(spark, f"{path}/edges", "edge").select(F.lit("edge"), F.concat_ws(">", "source", "target"), value))

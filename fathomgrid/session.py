@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +35,26 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def written(rows: DataFrame) -> DataFrame:
-    """``rows`` from a table in ``spark.checkpoint.dir``, deleted when the application ends, so that their plan runs once; as they are without the setting."""
-    spark = rows.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``, deleted when the application ends.
+
+    Where the setting is absent a temporary folder is set in local mode; a cluster without it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        return rows
-    path = f"{where}/level-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+        where = "file://" + tempfile.mkdtemp(prefix="fathomgrid-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where}/part-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(rows.schema).parquet(path)
+    return path
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` from a table at a `scratch` path, so that their plan runs once."""
+    path = scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

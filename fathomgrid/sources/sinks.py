@@ -31,7 +31,7 @@ def report_text(bom: DataFrame, violations: DataFrame) -> DataFrame:
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``value``: one GraphML element a row for ``nodes(id, properties map)`` and ``edges(source_id, target_id, properties map)``, the properties as a JSON blob.
 
-    `knowledge.graphml` reads such elements back, in whatever order files hold them.
+    Such rows are the inside of a graph element; `write_graphml` writes whole files.
     """
     safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     data = F.concat(F.lit('<data key="properties">'), safe(F.to_json("properties")), F.lit("</data>"))
@@ -40,6 +40,17 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return node.unionByName(edge)
 
 
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """GraphML files for the tables of `graphml_lines`, a graph element a file: those of nodes in ``path``/nodes, of edges in ``path``/edges.
+
+    `knowledge.graphml` reads them back, and files that hold both.
+    """
+    data = F.struct(F.lit("properties").alias("_key"), F.to_json("properties").alias("_VALUE")).alias("data")
+    kinds = (("node", nodes.select(F.col("id").alias("_id"), data)), ("edge", edges.select(F.col("source_id").alias("_source"), F.col("target_id").alias("_target"), data)))
+    for kind, rows in kinds:
+        rows.write.format("xml").option("rootTag", "graph").option("rowTag", kind).save(f"{path}/{kind}s")
+
+
 def write_text(documents: DataFrame, path: str) -> None:
     """One folder a design, one text file in it."""
     documents.write.mode("overwrite").partitionBy("design_id").text(path)

@@ -130,9 +130,6 @@ def test_graph_changes(spark, tmp_path):
     assert rows(G.match_goal(nodes, "buck_converter"), "id", "tier") == [("topology:buck", 1)] and rows(G.match_goal(nodes, "some inductor"), "id", "tier") == [("block:l", 3)]
     assert rows(G.integrity(nodes, edges), "problem", "key") == [("blank_label", "x"), ("node_confidence", "x")]
     assert rows(G.layer_stats(nodes), "layer", "n") == [(1, 1), (2, 1), (3, 0), (4, 0), (5, 0)]
-    G.snapshot(nodes, edges, str(tmp_path), "v1")
-    again = G.restore(spark, str(tmp_path), "v1")
-    assert again[0].count() == 3 and again[1].count() == 2 and spark.read.parquet(f"{tmp_path}/log").first().n_nodes == 3
     sheets = spark.createDataFrame([("c1", "P1", 0.9, [("1", "VDD")], [("Vn", 1.0, "EC"), ("Vn", 2.0, "EC"), (None, 3.0, "EC")])], "component_id string, part string, confidence double, pins array<struct<number:string,function:string>>, parameters array<struct<symbol:string,value:double,section:string>>")
     made, links = G.datasheet_graph(sheets)
     assert made.count() == 4 and links.count() == 3
