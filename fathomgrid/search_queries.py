@@ -23,6 +23,7 @@ from fathomgrid.registry import _FACT_SQL, _facts, query
 from fathomgrid.session import load, scratch
 from fathomgrid.sources.sinks import write_graphml
 from fathomgrid.stem_sql import ONE_SEARCH, STOPPED, WORDS, stem_sql
+from fathomgrid.streaming import review
 
 
 @query(f"WITH words AS ({WORDS}), {stem_sql('words')} SELECT w AS word, stem FROM stemmed")
@@ -215,3 +216,28 @@ def a10_graphml_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     value = F.try_element_at("properties", F.lit("v")).alias("value")
     back = N.graphml(spark, f"{path}/nodes", "node").select(F.lit("node").alias("kind"), "id", value)
     return back.union(N.graphml(spark, f"{path}/edges", "edge").select(F.lit("edge"), F.concat_ws(">", "source", "target"), value))
+
+
+# The review queue as a stream
+
+
+@query(
+    """WITH e AS (SELECT event_id % 700 AS item_id, CASE event_type WHEN 'click' THEN 'approved' WHEN 'error' THEN 'corrected' WHEN 'view' THEN 'rejected' ELSE 'pending' END AS status, event_id, user_id, ts FROM events)
+SELECT CAST(item_id AS VARCHAR) AS item_id, CAST(arg_min(user_id, (ts, event_id)) AS VARCHAR) AS design_id, coalesce(arg_min(status, (ts, event_id)) FILTER (status <> 'pending'), 'pending') AS status,
+arg_min(CAST(event_id AS VARCHAR), (ts, event_id)) FILTER (status <> 'pending') AS payload, greatest(count(*) FILTER (status <> 'pending') - 1, 0) AS refused FROM e GROUP BY 1"""
+)
+def l4_review_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All events, in order of time, through the stateful stream in four batches, with a restart from the checkpoint after two."""
+    status = F.when(F.col("event_type") == "click", "approved").when(F.col("event_type") == "error", "corrected").when(F.col("event_type") == "view", "rejected").otherwise("pending")
+    events = load(spark, sf, "events")
+    log = events.select((F.col("event_id") % 700).cast("string").alias("item_id"), F.col("user_id").cast("string").alias("design_id"), F.lit("s").alias("stage"), status.alias("status"), F.col("event_id").cast("string").alias("payload"), F.col("ts").cast("timestamp").alias("created_at"), F.col("event_id").alias("seq"))
+    first, last = log.agg(F.min(F.unix_micros("created_at")), F.max(F.unix_micros("created_at"))).first()
+    quarter = F.floor((F.unix_micros("created_at") - first) * 4 / (last - first + 1))
+    path = scratch(spark)
+    review.use_rocksdb(spark)
+    for part in range(4):
+        log.filter(quarter == part).coalesce(1).write.mode("append").parquet(f"{path}/events")
+        if part % 2:
+            stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
+            review.keep_states(review.lifecycle(stream), f"{path}/states", f"{path}/checkpoint").awaitTermination()
+    return review.current_states(spark, f"{path}/states").select("item_id", "design_id", "status", "payload", "refused")

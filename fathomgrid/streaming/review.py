@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from datetime import timedelta
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 #: Which status may follow which.
 NEXT = {"pending": ("approved", "rejected", "corrected"), "approved": (), "rejected": (), "corrected": ()}
@@ -55,6 +60,83 @@ def follow(events: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+_ITEM = "design_id string, stage string, created_at timestamp, status string, payload string, decided_at timestamp, refused long"
+_FIELDS = [f.split()[0] for f in _ITEM.split(", ")]
+ITEM_STATE = f"item_id string, {_ITEM}"
+
+
+class Lifecycle(StatefulProcessor):
+    """One item's way through the review queue: a row of state, changed by events that may follow it.
+
+    An event whose status may not follow the item's is counted as refused. With ``due``, an item that is
+    pending when the watermark has passed its creation by so long becomes ``expired``, which nothing follows.
+    """
+
+    def __init__(self, due: timedelta | None) -> None:
+        self.due = due
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.item = handle.getValueState("item", _ITEM)
+
+    def _row(self, key: Any, item: dict[str, Any]) -> Iterator[pd.DataFrame]:
+        self.item.update(tuple(item[f] for f in _FIELDS))
+        yield pd.DataFrame([{"item_id": key[0], **item}])
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["created_at", "seq"], kind="stable")
+        item = dict(zip(_FIELDS, self.item.get(), strict=True)) if self.item.exists() else None
+        for e in events.itertuples(index=False):
+            at = e.created_at.to_pydatetime()
+            if item is None:
+                item = {"design_id": e.design_id, "stage": e.stage, "created_at": at, "status": "pending", "payload": None, "decided_at": None, "refused": 0}
+                if self.due is not None:
+                    self.handle.registerTimer(int((e.created_at + self.due).timestamp() * 1000))
+            if e.status in NEXT.get(item["status"], ()):
+                item |= {"status": e.status, "payload": e.payload, "decided_at": at}
+            elif e.status != "pending":
+                item["refused"] += 1
+        yield from self._row(key, item)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        item = dict(zip(_FIELDS, self.item.get(), strict=True))
+        if item["status"] == "pending":
+            yield from self._row(key, item | {"status": "expired"})
+
+    def close(self) -> None:
+        pass
+
+
+def lifecycle(events: DataFrame, due: timedelta | None = None, late: str = "1 hour") -> DataFrame:
+    """The stream of item states, a row for each item that a batch changes, from a stream of events like those of `states`.
+
+    An item's events must come in order of ``created_at, seq`` from batch to batch. State is kept by RocksDB, which the session
+    must name (`use_rocksdb`). With ``due`` the stream has a watermark of ``late``; events behind it are dropped.
+    """
+    timed = events.withWatermark("created_at", late) if due is not None else events
+    return timed.groupBy("item_id").transformWithStateInPandas(Lifecycle(due), ITEM_STATE, "Update", "EventTime" if due is not None else "None")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def keep_states(changes: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Append the changes of `lifecycle` to ``table``, a folder a batch, until there is no more input; goes on from the checkpoint."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_states(spark: SparkSession, table: str) -> DataFrame:
+    """Each item as the last batch that changed it left it."""
+    rows = spark.read.parquet(table)
+    newest = rows.groupBy("item_id").agg(F.max_by(F.struct(*_FIELDS), "batch").alias("item"))
+    return newest.select("item_id", "item.*")
+
+
 def windowed_counts(events: DataFrame, time: str, kind: str, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
     """Counts by window and kind with a watermark (an extension); works on streams and tables."""
     return events.withWatermark(time, late).groupBy(F.window(time, size), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), kind, "n")

@@ -1,4 +1,7 @@
 import json
+from datetime import timedelta
+
+from pyspark.sql import functions as F
 
 from fathomgrid.operators.synthesis import grid_quality
 from fathomgrid.sources import readers as I
@@ -83,6 +86,25 @@ def test_review_stream(spark, tmp_path):
     assert rows(W.states(spark.read.parquet(log)), "item_id", "status") == [("a", "approved"), ("b", "pending"), ("c", "corrected")]
 
 
+def test_review_lifecycle(spark, tmp_path):
+    """Batches of a stream, a restart between them, refused transitions and items that nobody decides in time."""
+    W.use_rocksdb(spark)
+    source, log, check = (str(tmp_path / n) for n in ("in", "log", "check"))
+    order = events(spark).orderBy("created_at", "seq")
+    for part, due in (("minute(created_at) < 5", None), ("minute(created_at) >= 5", None)):
+        order.filter(part).coalesce(1).write.mode("append").parquet(source)
+        W.keep_states(W.lifecycle(spark.readStream.schema(order.schema).parquet(source), due), log, check).awaitTermination()
+    want = W.states(events(spark)).select("item_id", "design_id", "status", "payload", "decided_at", "refused")
+    assert rows(W.current_states(spark, log), *want.columns) == rows(want, *want.columns)
+
+    source, log, check = (str(tmp_path / n) for n in ("in2", "log2", "check2"))
+    late = spark.createDataFrame([("z", "d", "bom", "pending", "9", "2024-01-02 00:00:00", 0), ("b", "d", "bom", "approved", "4", "2024-01-02 01:00:00", 0)], EVENT.replace("timestamp", "string")).withColumn("created_at", F.to_timestamp("created_at"))
+    for part in (order, late.filter("item_id = 'z'"), late.filter("item_id = 'b'")):
+        part.coalesce(1).write.mode("append").parquet(source)
+        W.keep_states(W.lifecycle(spark.readStream.schema(order.schema).parquet(source), timedelta(minutes=10), "1 minute"), log, check).awaitTermination()
+    assert rows(W.current_states(spark, log), "item_id", "status", "refused") == [("a", "approved", 1), ("b", "expired", 1), ("c", "corrected", 0), ("z", "expired", 0)]
+
+
 def test_windowed_stream(spark):
     out = W.windowed_counts(events(spark), "created_at", "status", size="5 minutes")
     assert ("pending", 3) in rows(out, "status", "n")
