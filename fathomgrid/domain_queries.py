@@ -20,6 +20,7 @@ from fathomgrid.operators import relational as L
 from fathomgrid.operators import retrieval as V
 from fathomgrid.operators import rules as K
 from fathomgrid.operators import synthesis as S
+from fathomgrid.operators import topologies as Y
 from fathomgrid.registry import query
 from fathomgrid.session import load
 
@@ -131,7 +132,7 @@ def k14_power_invariants(spark, sf):
     return found.select("design_id", F.when(F.col("rule") == "kelvin_short", F.concat_ws(":", "rule", F.col("refs")[0])).otherwise(F.col("rule")).alias("rule"), "subject")
 
 
-_PLACES = "SELECT DISTINCT 'd' || CAST(l_orderkey % 50 AS STRING) AS design_id, 'U' || CAST(l_suppkey % 14 AS STRING) AS ref FROM {lineitem} WHERE l_linenumber = 1"
+_PLACES = "SELECT DISTINCT 'd' || CAST(l_orderkey % 50 AS STRING) AS design_id, 'U' || CAST(l_suppkey % 14 AS STRING) AS ref FROM {lineitem}"
 
 
 @query(
@@ -301,7 +302,7 @@ def c24_passive_nets(spark, sf):
     return S.passive_nets(made(spark, sf, BOM), pins, S.power_nets(pins))[0].select("design_id", "ref", "net_name", "pin_number")
 
 
-_SHEETS = "SELECT 'P' || CAST(p_partkey AS STRING) AS part, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS footprint, p_size / 100.0 AS datasheet_confidence FROM {part} WHERE p_partkey < 7"
+_SHEETS = "SELECT 'P' || CAST(p_partkey AS STRING) AS part, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS footprint, p_size / 100.0 AS datasheet_confidence FROM {part}"
 _FLAGS = "SELECT DISTINCT 'd' || CAST(l_orderkey % 50 AS STRING) AS design_id, 'U' || CAST(l_partkey % 12 AS STRING) AS ref, l_linestatus || l_returnflag AS flag FROM {lineitem} WHERE l_quantity < 10"
 
 
@@ -477,7 +478,7 @@ def c17_open_requirements(spark, sf):
 
 # Texts
 
-_RAW_PINS = "SELECT DISTINCT l_orderkey % 400 AS component_id, CASE l_partkey % 19 WHEN 0 THEN 'VDD' WHEN 1 THEN 'gpio3' WHEN 2 THEN 'NRST' WHEN 3 THEN 'CLK' WHEN 4 THEN 'SDA' WHEN 5 THEN 'MOSI' WHEN 6 THEN 'TX1' WHEN 7 THEN 'DATA' WHEN 8 THEN 'CS' WHEN 9 THEN '!INT' WHEN 10 THEN 'NEN' ELSE 'P' || CAST(l_partkey % 19 AS STRING) END AS raw_name FROM {lineitem} WHERE l_linenumber < 3"
+_RAW_PINS = "SELECT DISTINCT l_orderkey % 400 AS component_id, CASE l_partkey % 19 WHEN 0 THEN 'VDD' WHEN 1 THEN 'gpio3' WHEN 2 THEN 'NRST' WHEN 3 THEN 'CLK' WHEN 4 THEN 'SDA' WHEN 5 THEN 'MOSI' WHEN 6 THEN 'TX1' WHEN 7 THEN 'DATA' WHEN 8 THEN 'CS' WHEN 9 THEN '!INT' WHEN 10 THEN 'NEN' ELSE 'P' || CAST(l_partkey % 19 AS STRING) END AS raw_name FROM {lineitem}"
 _ALIASES = (("VDD", "POWER_POSITIVE"), ("GPIO", "GPIO"), ("RST", "RESET"), ("TX", "UART_TRANSMIT"))
 
 
@@ -745,14 +746,49 @@ def i9_placement_nodes(spark, sf):
     return N.placement_graph(made(spark, sf, _PLACING), spark.createDataFrame([("cap_3",)], "id string"))[0].select("node_type", "label")
 
 
-@query("SELECT 'topology:buck_converter' AS target_id, count(*) AS n FROM range(5) UNION ALL SELECT 'topology:ldo', count(*) FROM range(4)")
+_BLOCK_ROWS = ", ".join(f"('{t}', '{b}', {i})" for t, b, _, names in Y.BLOCKS for i in range(len(names)))
+_LAW_ROWS = ", ".join(f"('{t}', '{p}', '{a}', {sign}, {repr(c) if c else 'NULL'})" for t, _, p, a, sign, c in Y.LAWS)
+_BUILT = "SELECT 'd' || CAST(o_orderkey AS STRING) AS design_id, CASE WHEN o_custkey % 2 = 0 THEN 'ldo' ELSE 'buck_converter' END AS topology FROM {orders}"
+
+
+@query(duck(f"SELECT design_id, 'topology:' || topology AS topology, count(DISTINCT b) AS n_blocks, count(*) AS n_inputs FROM built JOIN (VALUES {_BLOCK_ROWS}) v(topology, b, i) USING (topology) GROUP BY ALL", built=_BUILT))
 def i10_topology_blocks(spark, sf):
-    return N.topology_graph(spark)[1].groupBy("target_id").agg(F.count("*").alias("n"))
+    """The library's blocks for every design, and how many quantities they depend on."""
+    parts = made(spark, sf, _BUILT).join(F.broadcast(Y.blocks(spark)), "topology")
+    return parts.groupBy("design_id", "topology").agg(F.count("*").alias("n_blocks"), F.sum(F.size("depends_on")).alias("n_inputs")).withColumn("topology", F.concat(F.lit("topology:"), "topology"))
+
+
+#: A change of a parameter for each line item; laws of the library and, between what they affect and further quantities, a chain with a cycle from the suppliers.
+_CHANGES = """SELECT DISTINCT 'd' || CAST(l_orderkey % 500 AS STRING) AS design_id, CASE WHEN l_orderkey % 2 = 0 THEN 'ldo' ELSE 'buck_converter' END AS topology,
+CASE l_partkey % 6 WHEN 0 THEN 'switching_frequency_hz' WHEN 1 THEN 'divider_impedance_ohm' WHEN 2 THEN 'esr_ohm' WHEN 3 THEN 'output_current_a' WHEN 4 THEN 'output_cap_esr_ohm' ELSE 'x' || CAST(l_suppkey % 30 AS STRING) END AS quantity,
+CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS sign, CASE WHEN l_orderkey % 3 = 0 THEN 'voltage-mode control' WHEN l_orderkey % 3 = 1 THEN 'ESR-zero-compensated LDO' END AS holds FROM {lineitem} WHERE l_quantity > 45"""
+_CHAIN = "SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN 'ldo' ELSE 'buck_converter' END AS topology, CASE s_suppkey % 4 WHEN 0 THEN 'switching_loss_w' WHEN 1 THEN 'power_dissipation_w' ELSE 'x' || CAST(s_suppkey % 30 AS STRING) END AS parameter, 'x' || CAST((s_suppkey * 7 + 3) % 30 AS STRING) AS affects, CASE WHEN s_suppkey % 9 = 0 THEN -1 ELSE 1 END AS sign FROM {supplier}"
+
+
+@query(
+    duck(
+        f""", conditions AS (SELECT DISTINCT design_id, holds FROM changes), laws AS (SELECT * FROM (VALUES {_LAW_ROWS}) v(topology, parameter, affects, sign, condition) UNION ALL SELECT *, NULL FROM chained),
+known(design_id, topology, quantity, sign) AS (SELECT design_id, topology, quantity, sign FROM changes
+  UNION SELECT k.design_id, k.topology, affects, CAST(k.sign * l.sign AS INTEGER) FROM known k JOIN laws l ON l.topology = k.topology AND l.parameter = k.quantity LEFT JOIN conditions c ON c.design_id = k.design_id AND c.holds = l.condition WHERE l.condition IS NULL OR c.holds IS NOT NULL)
+SELECT design_id, quantity, CASE WHEN count(DISTINCT sign) > 1 THEN 'both' WHEN max(sign) = 1 THEN 'up' ELSE 'down' END AS direction FROM known GROUP BY design_id, topology, quantity""",
+        changes=_CHANGES, chained=_CHAIN,
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def i10_scaling_laws(spark, sf):
+    changes = made(spark, sf, _CHANGES).withColumn("conditions", F.array_compact(F.array("holds")))
+    own = made(spark, sf, _CHAIN).withColumn("condition", F.lit(None).cast("string"))
+    return Y.influences(changes, Y.laws(spark).drop("block").unionByName(own)).select("design_id", "quantity", "direction")
+
+
+_METHOD_ROWS = ", ".join(f"('{m}', {n}, '{material}', {mm})" for m, n, material, mm in N.METHODS)
 
 
-@query("SELECT methodology, layers FROM (VALUES ('standard_SMD', 2), ('RF_highfreq', 4), ('power_management', 2), ('mixed_signal', 4), ('through_hole', 2)) v(methodology, layers)")
+@query(f"WITH d AS (SELECT c_custkey, (['{"', '".join(m for m, *_ in N.METHODS)}', 'unheard_of'])[CAST(c_custkey % 6 + 1 AS BIGINT)] AS methodology FROM customer), m AS (SELECT * FROM (VALUES {_METHOD_ROWS}) v(methodology, layers, material, clearance_mm)) SELECT c_custkey, CAST(layers AS INTEGER) AS layers, material, CAST(clearance_mm AS DOUBLE) AS clearance_mm FROM d JOIN m ON m.methodology = CASE WHEN d.methodology IN (SELECT methodology FROM m) THEN d.methodology ELSE 'standard_SMD' END")
 def i11_methods(spark, sf):
-    return N.methods(spark).select("methodology", "layers")
+    """Board, material and clearance of every design by its method."""
+    names = F.array(*(F.lit(m) for m, *_ in N.METHODS), F.lit("unheard_of"))
+    designs = load(spark, sf, "customer").select("c_custkey", F.element_at(names, (F.col("c_custkey") % 6 + 1).cast("int")).alias("methodology"))
+    return N.board_of(designs, spark).select("c_custkey", "layers", "material", "clearance_mm")
 
 
 @query("SELECT DISTINCT 'metric:' || l_orderkey AS source_id, 'part:' || l_partkey AS target_id FROM lineitem")
@@ -878,9 +914,9 @@ def g9_distinct_moves(spark, sf):
     return distinct_moves(moves).select("design_id", "kind", "net", "pos")
 
 
-@query("SELECT p_partkey, part, CAST(alt AS INTEGER) AS alt_rank, round(p_size / 50.0 * pow(0.97, alt), 4) AS variant_confidence FROM (SELECT p_partkey, p_size, 'own' AS part, 0 AS alt FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_size, b, k FROM part, (VALUES ('best', 1), ('own', 2), ('last', 3), ('none', 4)) v(b, k) WHERE p_partkey % 3 = 0 AND p_type = 'PROMO' AND b <> 'own') QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY round(p_size / 50.0 * pow(0.97, alt), 4) DESC, alt) <= 3")
+@query("SELECT p_partkey, part, CAST(alt AS INTEGER) AS alt_rank, round(p_size / 50.0 * pow(0.97, alt), 4) AS variant_confidence FROM (SELECT p_partkey, p_size, 'own' AS part, 0 AS alt FROM part UNION ALL SELECT p_partkey, p_size, b, k FROM part, (VALUES ('best', 1), ('own', 2), ('last', 3), ('none', 4)) v(b, k) WHERE p_type = 'PROMO' AND b <> 'own') QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY round(p_size / 50.0 * pow(0.97, alt), 4) DESC, alt) <= 3")
 def l3_enriched_ladders(spark, sf):
-    entries = load(spark, sf, "part").filter("p_partkey % 3 = 0").select("p_partkey", F.col("p_type").alias("kind"), F.lit("own").alias("part"), (F.col("p_size") / 50.0).cast("double").alias("confidence"))
+    entries = load(spark, sf, "part").select("p_partkey", F.col("p_type").alias("kind"), F.lit("own").alias("part"), (F.col("p_size") / 50.0).cast("double").alias("confidence"))
     best = spark.createDataFrame([("PROMO", "best", 1), ("PROMO", "own", 2), ("PROMO", "last", 3), ("PROMO", "none", 4)], "kind string, part string, rank int")
     return R.enriched_ladder(entries, best, ["p_partkey"], "kind").select("p_partkey", "part", "alt_rank", "variant_confidence")
 
@@ -943,11 +979,11 @@ def a25_phases_to_run(spark, sf):
     return N.phases_to_run(phases, phases.filter("(run_id + pos) % 3 > 0")).select("run_id", "phase")
 
 
-@query(duck("SELECT design_id, '(export' || chr(10) || string_agg(net, chr(10) ORDER BY net) || ')' AS value FROM (SELECT design_id, '  (net (name \"' || net_name || '\")' || chr(10) || string_agg('    (node (ref ' || ref || ') (pin ' || pin_number || '))', chr(10) ORDER BY '    (node (ref ' || ref || ') (pin ' || pin_number || '))') || ')' AS net FROM nets WHERE net_name LIKE 'N1%' GROUP BY design_id, net_name) GROUP BY 1", nets=NETS))
+@query(duck("SELECT design_id, '(export' || chr(10) || string_agg(net, chr(10) ORDER BY net) || ')' AS value FROM (SELECT design_id, '  (net (name \"' || net_name || '\")' || chr(10) || string_agg('    (node (ref ' || ref || ') (pin ' || pin_number || '))', chr(10) ORDER BY '    (node (ref ' || ref || ') (pin ' || pin_number || '))') || ')' AS net FROM nets GROUP BY design_id, net_name) GROUP BY 1", nets=NETS))
 def a26_netlist_text(spark, sf):
     from fathomgrid.sources.sinks import netlist_text
 
-    return netlist_text(made(spark, sf, NETS).filter("net_name LIKE 'N1%'"))
+    return netlist_text(made(spark, sf, NETS))
 
 
 @query("SELECT '<node id=\"' || p_partkey || '\"><data key=\"properties\">{&quot;name&quot;:&quot;' || p_name || ' &amp; &lt;co&quot;}</data></node>' AS value FROM part UNION ALL SELECT '<edge source=\"' || p_partkey || '\" target=\"' || p_size || '\"><data key=\"properties\">{&quot;w&quot;:&quot;1&quot;}</data></edge>' FROM part")
@@ -960,13 +996,13 @@ def a10_graphml_lines(spark, sf):
     return graphml_lines(nodes, edges)
 
 
-@query(duck("SELECT design_id, string_agg(severity || ' ' || rule || ' ' || subject, chr(10) ORDER BY severity, rule, subject) AS found FROM (SELECT design_id, 'CRITICAL' AS severity, 'many' AS rule, net_name AS subject FROM nets WHERE net_name LIKE 'N2%' GROUP BY ALL UNION ALL SELECT design_id, 'WARNING', 'few', net_name FROM nets WHERE net_name LIKE 'N1%' GROUP BY ALL) GROUP BY 1", nets=NETS))
+@query(duck("SELECT design_id, string_agg(severity || ' ' || rule || ' ' || subject, chr(10) ORDER BY severity, rule, subject) AS found FROM (SELECT design_id, 'CRITICAL' AS severity, 'many' AS rule, net_name AS subject FROM nets WHERE net_name NOT LIKE 'N1%' GROUP BY ALL UNION ALL SELECT design_id, 'WARNING', 'few', net_name FROM nets WHERE net_name LIKE 'N1%' GROUP BY ALL) GROUP BY 1", nets=NETS))
 def f7_findings_by_severity(spark, sf):
     from fathomgrid.sources.sinks import report_text
 
     nets = made(spark, sf, NETS).select("design_id", "net_name").distinct()
-    of = lambda like, severity, rule: nets.filter(F.col("net_name").like(like)).select("design_id", F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.col("net_name").alias("subject"))
-    report = report_text(made(spark, sf, BOM), of("N1%", "WARNING", "few").unionByName(of("N2%", "CRITICAL", "many")))
+    of = lambda kept, severity, rule: nets.filter(kept).select("design_id", F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.col("net_name").alias("subject"))
+    report = report_text(made(spark, sf, BOM), of("net_name LIKE 'N1%'", "WARNING", "few").unionByName(of("net_name NOT LIKE 'N1%'", "CRITICAL", "many")))
     return report.select("design_id", F.replace(F.element_at(F.split("value", "## Findings\n\n"), -1), F.lit("- "), F.lit("")).alias("found")).filter("found <> 'none'")
 
 

@@ -26,12 +26,6 @@ VERBS = {
     "replace": "REPLACES", "replaces": "REPLACES", "substitute": "REPLACES", "substitutes": "REPLACES", "substitute for": "REPLACES", "is alternative to": "REPLACES", "is an alternative to": "REPLACES",
 }
 
-#: Circuit topologies and the blocks they are made of.
-TOPOLOGY_BLOCKS = {
-    "buck_converter": ("switch", "power_inductor", "output_capacitor", "feedback_divider", "input_capacitor"),
-    "ldo": ("pass_element", "output_capacitor", "input_capacitor", "reference"),
-}
-
 #: Design methods, their board and clearance.
 METHODS = (("standard_SMD", 2, "FR4", 0.15), ("RF_highfreq", 4, "Rogers_4003C", 0.10), ("power_management", 2, "FR4", 0.30), ("mixed_signal", 4, "FR4", 0.15), ("through_hole", 2, "FR4", 0.25))
 
@@ -40,14 +34,6 @@ def methods(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(METHODS, "methodology string, layers int, material string, clearance_mm double")
 
 
-def topology_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Nodes and PART_OF edges of the topology library."""
-    nodes = [(f"topology:{t}", "TOPOLOGY", t.replace("_", " "), 1, 1.0) for t in TOPOLOGY_BLOCKS]
-    nodes += [(f"block:{t}:{b}", "FUNCTIONAL_BLOCK", b.replace("_", " "), 2, 1.0) for t, blocks in TOPOLOGY_BLOCKS.items() for b in blocks]
-    edges = [(f"block:{t}:{b}", "PART_OF", f"topology:{t}", 1.0) for t, blocks in TOPOLOGY_BLOCKS.items() for b in blocks]
-    return spark.createDataFrame(nodes, "id string, node_type string, label string, layer int, confidence double"), spark.createDataFrame(edges, "source_id string, relation string, target_id string, confidence double")
-
-
 def board_of(designs: DataFrame, spark: SparkSession) -> DataFrame:
     """Designs with their method's board; an unknown method takes that of standard parts."""
     known = methods(spark)

@@ -298,16 +298,19 @@ def check_constraints(rows: DataFrame, checks: dict[str, Column], key: str) -> D
     return rows.select(F.col(key), F.explode(broken).alias("check"))
 
 
-def out_of_range(parameters: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Parameters ``name, value_min, value_typ, value_max`` with a value outside the first range whose pattern the name contains.
+def out_of_range(parameters: DataFrame, ranges: DataFrame, most: int = 1000) -> DataFrame:
+    """Parameters ``name, value_min, value_typ, value_max`` with a value outside the first range whose pattern the name contains, and that range.
 
-    ``ranges(pos, pattern, low, high)`` is a short list of settings.
+    ``ranges(pos, pattern, low, high)`` are settings, ``most`` at most; more are an error. Rows alike stay apart.
     """
-    hit = parameters.join(F.broadcast(ranges), F.contains(F.lower("name"), F.lower("pattern")))
-    keys = parameters.columns
-    first = hit.groupBy(*keys).agg(F.min_by(F.struct("low", "high"), "pos").alias("r"))
+    rules = ranges.orderBy("pos").limit(most + 1).collect()
+    if len(rules) > most:
+        raise ValueError(f"more than {most} ranges")
+    name = F.lower("name")
+    first = [F.when(F.contains(name, F.lit(r.pattern.lower())), F.struct(F.lit(r.low).cast("double").alias("low"), F.lit(r.high).cast("double").alias("high"))) for r in rules]
+    hit = parameters.withColumn("_r", F.coalesce(*first) if first else F.lit(None).cast("struct<low:double,high:double>"))
     values = F.array_compact(F.array("value_min", "value_typ", "value_max"))
-    return first.filter(F.exists(values, lambda v: (v < F.col("r.low")) | (v > F.col("r.high")))).select(*keys, "r.low", "r.high")
+    return hit.filter(F.exists(values, lambda v: (v < F.col("_r.low")) | (v > F.col("_r.high")))).select(*parameters.columns, "_r.low", "_r.high")
 
 
 def placement_problems(constraints: DataFrame) -> DataFrame:

@@ -631,12 +631,12 @@ def k4_constraints(spark, sf):
 
 
 @query(
-    """SELECT o_orderkey, min_input_v, required_mw, string_agg(x, ',') AS conflicts FROM (SELECT o_orderkey, round(out + CASE WHEN o_orderstatus = 'F' THEN 0.3 ELSE 0 END, 6) AS min_input_v, out * ma AS required_mw, unnest([CASE WHEN sup < round(out + CASE WHEN o_orderstatus = 'F' THEN 0.3 ELSE 0 END, 6) THEN 'voltage_chain' END, CASE WHEN out * ma > budget THEN 'power_budget' END]) AS x
-FROM (SELECT o_orderkey, o_orderstatus, CAST(o_orderkey % 12 AS DOUBLE) AS sup, CAST(o_custkey % 10 AS DOUBLE) AS out, CAST(o_orderkey % 500 AS DOUBLE) AS ma, o_totalprice / 200 AS budget FROM orders WHERE o_orderstatus IN ('F', 'P'))) GROUP BY 1, 2, 3"""
+    """SELECT o_orderkey, min_input_v, required_mw, string_agg(x, ',') AS conflicts FROM (SELECT o_orderkey, round(out + CASE o_orderstatus WHEN 'F' THEN 0.3 WHEN 'P' THEN 0 END, 6) AS min_input_v, out * ma AS required_mw, unnest([CASE WHEN sup < round(out + CASE o_orderstatus WHEN 'F' THEN 0.3 WHEN 'P' THEN 0 END, 6) THEN 'voltage_chain' END, CASE WHEN out * ma > budget THEN 'power_budget' END]) AS x
+FROM (SELECT o_orderkey, o_orderstatus, CAST(o_orderkey % 12 AS DOUBLE) AS sup, CAST(o_custkey % 10 AS DOUBLE) AS out, CAST(o_orderkey % 500 AS DOUBLE) AS ma, o_totalprice / 200 AS budget FROM orders)) GROUP BY 1, 2, 3"""
 )
 def h39_interval_conflicts(spark, sf):
-    orders = load(spark, sf, "orders").filter("o_orderstatus IN ('F', 'P')")
-    rows = orders.select(F.col("o_orderkey").alias("design_id"), F.when(F.col("o_orderstatus") == "F", "ldo").otherwise("buck_converter").alias("topology"), (F.col("o_orderkey") % 12).cast("double").alias("supply_max_v"), (F.col("o_custkey") % 10).cast("double").alias("output_v"), (F.col("o_orderkey") % 500).cast("double").alias("output_ma"), (F.col("o_totalprice") / 200).alias("budget_mw"))
+    topology = F.when(F.col("o_orderstatus") == "F", "ldo").when(F.col("o_orderstatus") == "P", "buck_converter").otherwise("unknown")
+    rows = load(spark, sf, "orders").select(F.col("o_orderkey").alias("design_id"), topology.alias("topology"), (F.col("o_orderkey") % 12).cast("double").alias("supply_max_v"), (F.col("o_custkey") % 10).cast("double").alias("output_v"), (F.col("o_orderkey") % 500).cast("double").alias("output_ma"), (F.col("o_totalprice") / 200).alias("budget_mw"))
     return K.interval_conflicts(rows).select(F.col("design_id").alias("o_orderkey"), "min_input_v", "required_mw", F.nullif(F.array_join("conflicts", ","), F.lit("")).alias("conflicts"))
 
 

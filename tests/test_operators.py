@@ -13,6 +13,7 @@ from fathomgrid.operators import retrieval as V
 from fathomgrid.operators import rules as K
 from fathomgrid.operators import search as S
 from fathomgrid.operators import synthesis as N
+from fathomgrid.operators.topologies import topology_graph
 
 
 def rows(df, *columns):
@@ -227,7 +228,7 @@ def test_interval_and_verdict(spark):
 def test_knowledge(spark, tmp_path):
     from fathomgrid.operators import knowledge as W
 
-    nodes, edges = W.topology_graph(spark)
+    nodes, edges = topology_graph(spark)
     assert nodes.filter("node_type = 'TOPOLOGY'").count() == 2 and edges.count() == nodes.count() - 2
     boards = W.board_of(spark.createDataFrame([("a", "RF_highfreq"), ("b", "unheard")], "design_id string, methodology string"), spark)
     assert rows(boards, "design_id", "layers", "material") == [("a", 4, "Rogers_4003C"), ("b", 2, "FR4")]
@@ -256,6 +257,6 @@ def test_grids_and_ranges(spark):
     assert [round(r.x, 3) for r in a.select(A.extraction_confidence(F.lit(0.97), F.lit(0.95), F.lit(0.88)).alias("x")).collect()] == [0.937]
     p = spark.createDataFrame([("Supply Voltage", None, 99.0, None), ("supply current", 1.0, None, None), ("gain", 1e9, None, None)], "name string, value_min double, value_typ double, value_max double")
     r = spark.createDataFrame([(1, "supply voltage", 0.0, 60.0), (2, "supply", 0.0, 5.0)], "pos int, pattern string, low double, high double")
-    assert rows(K.out_of_range(p, r), "name", "high") == [("Supply Voltage", 60.0)]
+    assert rows(K.out_of_range(p.union(p), r), "name", "high") == [("Supply Voltage", 60.0)] * 2 and K.out_of_range(p, r.limit(0)).count() == 0
     c = spark.createDataFrame([("C1", 0.9), (" ", 0.9), ("C2", 0.2)], "subject string, confidence double")
     assert rows(K.placement_problems(c), "problem") == [("low_confidence",), ("no_subject",)]
