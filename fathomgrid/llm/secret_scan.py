@@ -2,15 +2,16 @@
 
 A value's guess cost is the smallest sum, over all ways to segment it, of the log10
 guesses of its parts: dictionary words, dates and years, keyboard walks, repeats of what
-stands before and brute-forced characters. Every part but words and dates is paid by
-the character once begun, so all sub-spans of walks and repeats are weighed and the
-dynamic programme is linear in the value's length: values of any length are scored
-whole. The dictionary is a short fixed list and the corpus's own frequent words.
+stands anywhere before and brute-forced characters. Every part but words and dates is
+paid by the character once begun, so all sub-spans of walks and repeats, of any period and length, are
+weighed in n log n steps: values of any length are scored whole. The dictionary is a
+short fixed list and the corpus's own frequent words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -43,7 +44,7 @@ _DAY, _MONTH, _YEAR, _GAP = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "
 DATES = tuple((re.compile(p), cost) for p, cost in ((_YEAR, 2.1), (_YEAR + _GAP + _MONTH, 3.3), (_YEAR + _GAP + _MONTH + _GAP + _DAY, 4.6), (_DAY + _GAP + _MONTH + _GAP + _YEAR, 4.6), (_MONTH + _GAP + _DAY + _GAP + _YEAR, 4.6)))
 CHANGED = 0.3  # for capitals, and for characters that stand for others
 WALK_START, WALK_STEP = 3.1, 0.2  # a row, a place and a direction; each further key
-REPEAT_START, REPEAT_STEP, LONGEST_REPEAT = 1.0, 0.1, 16  # how much is repeated; each repeated character
+REPEAT_START, REPEAT_STEP = 1.0, 0.1  # how much is repeated; each repeated character
 
 _STEP = {pair for row in WALKS for line in (row, row[::-1]) for pair in zip(line, line[1:], strict=False)}
 _LEET = str.maketrans("@4301$57!", "aaeolssti")
@@ -73,28 +74,74 @@ def _plain(value: str) -> tuple[str, str]:
     return low, low.translate(_LEET)
 
 
+def longest_before(text: str) -> list[int]:
+    """For each place the length of the longest run from there that also begins at an earlier place; the two may overlap.
+
+    A suffix automaton of the text knows where a run first ends. The run of a place is that of the place
+    before without its first character, made longer as far as it goes, so all of them take linear time.
+    """
+    after: list[dict[str, int]] = [{}]
+    link, size, ends = [-1], [0], [-1]
+    last = 0
+    for i, c in enumerate(text):
+        new, at = len(after), last
+        after.append({})
+        link.append(0)
+        size.append(i + 1)
+        ends.append(i)
+        while at >= 0 and c not in after[at]:
+            after[at][c] = new
+            at = link[at]
+        if at >= 0:
+            known = after[at][c]
+            if size[known] == size[at] + 1:
+                link[new] = known
+            else:
+                copy = len(after)
+                after.append(dict(after[known]))
+                link.append(link[known])
+                size.append(size[at] + 1)
+                ends.append(ends[known])
+                link[known] = link[new] = copy
+                while at >= 0 and after[at].get(c) == known:
+                    after[at][c] = copy
+                    at = link[at]
+        last = new
+    out, at, length = [], 0, 0
+    for i in range(len(text)):
+        if length:  # drop the first character
+            length -= 1
+            if length == size[link[at]]:
+                at = link[at]
+        while i + length < len(text) and (more := after[at].get(text[i + length])) is not None and ends[more] < i + length:
+            at, length = more, length + 1
+        out.append(length)
+    return out
+
+
 def guess_cost(value: str, words: Words = _COMMON) -> float:
     """log10 of the guesses of the cheapest segmentation; 0 for an empty value.
 
-    ``best[i]`` is the least cost of the first i characters; ``walk`` and ``same[p]`` are
-    the least costs of those whose last part is a walk, or a repeat of the p characters
-    before, that may go on.
+    ``best[i]`` is the least cost of the first i characters and ``walk`` that of those whose last part is a
+    walk that may go on. A repeat that begins at i may end at any place up to ``last``; what it
+    costs beside the place of its end is kept in ``repeats``, the cheapest first.
     """
     n, one = len(value), _alphabet(value)
     low, plain = _plain(value)
+    run = longest_before(low)
     best = [0.0] + [math.inf] * n
-    walk, same = math.inf, [math.inf] * (LONGEST_REPEAT + 1)
+    walk, repeats = math.inf, []
     for i in range(n):
         here = best[i]
         cost = here + one
         walk = min(walk, best[i - 1] + WALK_START) + WALK_STEP if i and (low[i - 1], low[i]) in _STEP else math.inf
         cost = min(cost, walk)
-        for p in range(1, min(i, LONGEST_REPEAT) + 1):
-            if low[i - p] == low[i]:
-                same[p] = min(same[p], here + REPEAT_START) + REPEAT_STEP
-                cost = min(cost, same[p])
-            else:
-                same[p] = math.inf
+        if run[i]:
+            heapq.heappush(repeats, (here + REPEAT_START - REPEAT_STEP * i, i + run[i]))
+        while repeats and repeats[0][1] <= i:
+            heapq.heappop(repeats)
+        if repeats:
+            cost = min(cost, repeats[0][0] + REPEAT_STEP * (i + 1))
         best[i + 1] = min(best[i + 1], cost)
         for j in range(i + 2, min(n, i + words.longest) + 1):
             for spelled in {low[i:j], plain[i:j]}:
@@ -133,15 +180,16 @@ def scan(text: str, strong: float = 8.0, words: Words = _COMMON) -> tuple[list[t
 _SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_credential long, max_guess_log10 double"
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 65_536, share: int = 1_048_576) -> list[str]:
-    """The words of 4 to 24 lower-case letters that are at least one in ``share`` of all such words of the corpus, ``most`` at most, the most frequent first.
+def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 65_536, share: int = 1_048_576, least: int = 20) -> list[str]:
+    """The words of 4 to 24 lower-case letters that stand ``least`` times and are at least one in ``share`` of all such words of the corpus, ``most`` at most, the most frequent first.
 
-    Words that rare texts hold, such as passwords, don't get in. Counting covers all rows.
+    The list is a parameter of the costs and is sent to every task, so its size is bounded; ``least`` keeps words
+    that few texts hold, such as passwords, out of it in a small corpus. Counting covers all rows.
     """
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z]{4,}"), 0)).alias("word")).filter(F.length("word") <= 24)
     counts = materialise(words.groupBy("word").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r.word for r in counts.filter((F.col("n") * share >= total) & (F.col("n") >= 20)).orderBy(F.col("n").desc(), "word").limit(most).collect()]
+    return [r.word for r in counts.filter((F.col("n") * share >= total) & (F.col("n") >= least)).orderBy(F.col("n").desc(), "word").limit(most).collect()]
 
 
 def scan_secrets(docs: DataFrame, strong: float = 8.0, dictionary: Iterable[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -128,7 +128,7 @@ def brute_cost(value, words):
         found = [one] if j == i + 1 else []
         if j - i >= 2 and all(low[k : k + 2] in steps for k in range(i, j - 1)):
             found.append(S.WALK_START + S.WALK_STEP * (j - i - 1))
-        for p in range(1, min(i, S.LONGEST_REPEAT) + 1):
+        for p in range(1, i + 1):
             if all(low[k] == low[k - p] for k in range(i, j)):
                 found.append(S.REPEAT_START + S.REPEAT_STEP * (j - i))
         for rank, word in enumerate(words):
@@ -154,6 +154,25 @@ def test_guess_cost_is_the_least():
         assert guess_cost(value, Words(words)) == pytest.approx(brute_cost(value, words)), value
 
 
+def test_repeats_of_any_period():
+    """Blocks of 17 to 40 characters, repeated whole and in part, with other blocks between them."""
+    rng = random.Random(8)
+    for size in (*range(17, 41), 3, 8):
+        block, other = ("".join(chr(rng.randint(33, 126)) for _ in range(size)) for _ in range(2))
+        for value in (block * 2, block + other + block, block + block[: size // 2] + other[:5] + block[3:], block[:5] + block + other + block.upper()):
+            assert guess_cost(value, Words([])) == pytest.approx(brute_cost(value, [])), value
+        once = guess_cost(block, Words([]))
+        assert guess_cost(block * 4, Words([])) <= once + 1 + 0.1 * 3 * size + 1e-9
+
+
+def test_longest_runs_before():
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choices("ab", k=rng.randint(0, 30)) + rng.choices("abc", k=rng.randint(0, 20)))
+        want = [max([k for k in range(len(text) - i + 1) if any(text[j : j + k] == text[i : i + k] for j in range(i))], default=0) for i in range(len(text))]
+        assert S.longest_before(text) == want, text
+
+
 def brute_spans(text, words):
     """Values in credential contexts, by plain steps from every keyword."""
     taken = {m.start(2) for m in S.ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6}
