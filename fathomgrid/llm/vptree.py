@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 _BLOCK = 512
 
 
@@ -127,17 +129,31 @@ def shards(values: DataFrame, radius: int, leaf: int = 2048, max_depth: int = 16
     return values.select("fp").mapInArrow(routed, "fp long, shard int")
 
 
-def links(values: DataFrame, radius: int, **options: int) -> DataFrame:
+def paired(dealt: DataFrame, block: int) -> DataFrame:
+    """``dealt(fp, shard)`` with the columns i and j: a shard of more than ``block`` fingerprints as pairs of its blocks of about that many.
+
+    Any two fingerprints of a shard are together in a pair. There is a row a large shard to broadcast, so no more
+    than the tree has leaves.
+    """
+    large = dealt.groupBy("shard").agg(F.ceil(F.count("*") / block).alias("n_blocks")).filter("n_blocks > 1")
+    n = F.coalesce("n_blocks", F.lit(1))
+    own = dealt.join(F.broadcast(large), "shard", "left").withColumn("own", F.pmod(F.xxhash64("fp"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    return own.filter("own <> other or n_blocks is null").select("fp", "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def links(values: DataFrame, radius: int, block: int = 16_384, **options: int) -> DataFrame:
     """Edges ``u, v`` over distinct ``values(fp)`` with the connected components of all pairs within ``radius``.
 
-    A shard gives one edge for each member of a local component but its first, however
-    many pairs there are; components that cross shards share members.
+    A group, that is a shard or a pair of a large shard's blocks, gives one edge for each
+    member of a local component but its first, however many pairs there are; components
+    that cross groups share members. No group holds much more than two blocks, as where many
+    near copies can't be told apart by any vantage point.
     """
 
-    def local(shard: pd.DataFrame) -> pd.DataFrame:
-        fp = np.unique(shard.fp.to_numpy(np.int64))
+    def local(group: pd.DataFrame) -> pd.DataFrame:
+        fp = np.unique(group.fp.to_numpy(np.int64))
         root = components_of(fp.view(np.uint64), radius)
         other = root != np.arange(len(fp))
         return pd.DataFrame({"u": fp[root[other]], "v": fp[other]})
 
-    return shards(values, radius, **options).groupBy("shard").applyInPandas(local, "u long, v long")
+    return paired(materialise(shards(values, radius, **options)), block).groupBy("shard", "i", "j").applyInPandas(local, "u long, v long")

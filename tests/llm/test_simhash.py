@@ -86,3 +86,24 @@ def test_connected_components(spark, edges):
     nodes = {n for e in edges for n in e}
     want = {n: r for n, r in brute_roots(edges, nodes).items() if n != r}
     assert got == want
+
+
+def test_a_crowd_about_one_value_is_split(spark):
+    """Half of the fingerprints lie within five flips of one value: groups stay bounded, components equal brute force."""
+    rng = np.random.default_rng(6)
+    centre = np.uint64(rng.integers(0, 1 << 63))
+    crowd = np.array([np.bitwise_xor.reduce([np.uint64(1) << np.uint64(b) for b in rng.choice(64, rng.integers(1, 6), replace=False)] + [centre]) for _ in range(1500)], np.uint64)
+    fps = np.unique(np.concatenate([crowd, rng.integers(0, 1 << 63, 1500).astype(np.uint64)]))
+    df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long")
+    sizes = vptree.paired(vptree.shards(df, 2, leaf=256), 200).groupBy("shard", "i", "j").count().collect()
+    assert max(r["count"] for r in sizes) <= 2 * 200 * 1.4 and len({r.shard for r in sizes if r.j}) >= 1
+    label = vptree.components_of(fps, 2)
+    a, b = np.nonzero(vptree.distance(fps[:, None], fps[None]) <= 2)
+    whole = vptree.Forest(len(fps))
+    whole.join(a, b)
+    assert (label == whole.label).all()
+    edges = vptree.links(df, 2, block=200, leaf=256).collect()
+    at = {int(v): i for i, v in enumerate(fps.view(np.int64))}
+    got = vptree.Forest(len(fps))
+    got.join(np.array([at[r.u] for r in edges]), np.array([at[r.v] for r in edges]))
+    assert (got.label == whole.label).all()
