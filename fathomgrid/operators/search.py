@@ -1,7 +1,7 @@
 """Searches over netlists for the repairs that raise a design's score, for many designs at once.
 
-Each step of one design depends on the step before, so a design is one pandas frame;
-designs are spread over the cluster. A netlist is pins(design_id, net, ref, pin, role).
+Each step of annealing a design depends on the step before, so a design is one pandas frame;
+designs are spread over the cluster. `beam` searches with states as rows. A netlist is pins(design_id, net, ref, pin, role).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_DRIVERS = ("POWER_OUT", "SIGNAL_OUT", "ANALOG_OUT")
+DRIVERS = ("POWER_OUT", "SIGNAL_OUT", "ANALOG_OUT")
 _SCHEMA = "design_id string, net string, ref string, pin string, role string"
 
 
@@ -29,7 +29,7 @@ def conflicts(nets: dict[tuple[str, str], str], roles: dict[tuple[str, str], str
             role = roles[p]
             if role == "NC" and len(pins) > 1:
                 out.append(("disconnect", p))
-            elif role in _DRIVERS:
+            elif role in DRIVERS:
                 if role in seen:
                     out.append(("split", p))
                 seen.add(role)
@@ -75,25 +75,6 @@ def anneal(pins: DataFrame, seed: int = 42, steps: int = 50, cooling: float = 0.
     return pins.groupBy("design_id").applyInPandas(run, _SCHEMA)
 
 
-def beam(pins: DataFrame, width: int = 3, depth: int = 4, actions: int = 5) -> DataFrame:
-    """Beam search: up to ``actions`` repairs of each of the ``width`` best states, ``depth`` times; ties go to the earlier repair."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        roles = {(r, p): (x if isinstance(x, str) else None) for r, p, x in zip(pdf.ref, pdf.pin, pdf.role, strict=True)}
-        first = {(r, p): n for r, p, n in zip(pdf.ref, pdf.pin, pdf.net, strict=True)}
-        states = [(quality(first, roles), first)]
-        best = states[0]
-        for _ in range(depth):
-            tried = [_moved(s, *move) for _, s in states for move in list(dict.fromkeys(conflicts(s, roles)))[:actions]]
-            if not tried or best[0] >= 1.0:
-                break
-            states = sorted(((quality(s, roles), s) for s in tried), key=lambda x: -x[0])[:width]
-            best = max(best, states[0], key=lambda x: x[0])
-        return _frame(pdf, best[1])
-
-    return pins.groupBy("design_id").applyInPandas(run, _SCHEMA)
-
-
 def distinct_moves(moves: DataFrame, key: tuple[str, ...] = ("design_id", "kind", "net", "ref", "pin"), order: str = "pos") -> DataFrame:
     """Moves of designs without those that repeat an earlier one of the same kind, net, ref and pin."""
     return moves.groupBy(*key).agg(F.min(order).alias(order))

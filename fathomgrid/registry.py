@@ -936,7 +936,7 @@ def l1_annealing_holds(spark, sf):
 
 @query(_PIN_SQL + " SELECT design_id, CAST(n_pins AS BIGINT) AS n_pins, true AS no_worse FROM q")
 def l2_beam_holds(spark, sf):
-    from fathomgrid.operators.search import beam
+    from fathomgrid.operators.beam import beam
 
     return _repaired(spark, sf, beam)
 
@@ -950,11 +950,37 @@ def l1_annealing(spark, sf):
 
 @query()
 def l2_beam_search(spark, sf):
-    from fathomgrid.operators.search import beam, qualities
+    from fathomgrid.operators.beam import beam
+    from fathomgrid.operators.search import qualities
 
     return qualities(beam(_netlists(spark, sf)))
 
 
+#: s: the states of a level, up to three a design, by the numbers of their moved pins; a net of two pins has no conflict without one of them, a larger one has one less.
+_BEAM_SQL = """WITH RECURSIVE p AS (SELECT CAST(user_id AS VARCHAR) AS design_id, 'N' || (event_id % 20) AS net, 'U' || (event_id % 7) AS ref, CAST(event_id AS VARCHAR) AS pin, CASE event_type WHEN 'error' THEN 'NC' WHEN 'click' THEN 'POWER_OUT' WHEN 'view' THEN 'SIGNAL_OUT' END AS role FROM events),
+w AS (SELECT *, count(*) OVER (PARTITION BY design_id, net) AS n, row_number() OVER (PARTITION BY design_id, net, role ORDER BY ref, pin) AS k FROM p),
+start AS (SELECT design_id, count(DISTINCT net) AS nets, count(*) FILTER ((role = 'NC' AND n > 1) OR (role IN ('POWER_OUT', 'SIGNAL_OUT') AND k > 1)) AS bad FROM w GROUP BY 1),
+s AS (
+  SELECT design_id, 0 AS level, 1 AS place, []::VARCHAR[] AS moved, nets, bad, greatest(0.0::DOUBLE, (2 * nets - bad) / (2.0::DOUBLE * nets)) AS score, greatest(0.0::DOUBLE, (2 * nets - bad) / (2.0::DOUBLE * nets)) AS best FROM start
+  UNION ALL
+  SELECT design_id, level + 1, CAST(rank AS INTEGER), list_append(moved, pin), nets, bad, score, greatest(best, max(score) OVER (PARTITION BY design_id)) FROM (
+    SELECT *, row_number() OVER (PARTITION BY design_id ORDER BY score DESC, place, k) AS rank FROM (
+      SELECT design_id, level, place, moved, pin, best, k, nets + 1 AS nets, bad - gone AS bad, greatest(0.0::DOUBLE, (2 * (nets + 1) - (bad - gone)) / (2.0::DOUBLE * (nets + 1))) AS score FROM (
+        SELECT *, CASE WHEN n = 2 THEN on_net ELSE 1 END AS gone, row_number() OVER (PARTITION BY design_id, place ORDER BY first, ref, pin) AS k FROM (
+          SELECT *, count(*) FILTER (hit) OVER (PARTITION BY design_id, place, net) AS on_net FROM (
+            SELECT *, (role = 'NC' AND n > 1) OR (role IN ('POWER_OUT', 'SIGNAL_OUT') AND r > 1) AS hit FROM (
+              SELECT s.*, net, ref, pin, role, count(*) OVER (PARTITION BY design_id, place, net) AS n, row_number() OVER (PARTITION BY design_id, place, net, role ORDER BY ref, pin) AS r, min({'r': ref, 'p': pin}) OVER (PARTITION BY design_id, place, net) AS first
+              FROM s JOIN p USING (design_id) WHERE level < 4 AND best < 1 AND NOT list_contains(moved, pin))))
+        WHERE hit) WHERE k <= 5)) WHERE rank <= 3)"""
+
+
+@query(_BEAM_SQL + " SELECT design_id, round(score, 6) AS score, array_to_string(moved, ',') AS moves FROM s QUALIFY row_number() OVER (PARTITION BY design_id ORDER BY score DESC, level, place) = 1")
+def l2_beam_states(spark, sf):
+    from fathomgrid.operators.beam import beam_states
+
+    return beam_states(_netlists(spark, sf)).select("design_id", F.round("score", 6).alias("score"), F.array_join(F.transform("moves", lambda m: m["pin"]), ",").alias("moves"))
+
+
 def _netlists(spark, sf) -> DataFrame:
     role = F.when(F.col("event_type") == "error", "NC").when(F.col("event_type") == "click", "POWER_OUT").when(F.col("event_type") == "view", "SIGNAL_OUT")
     return load(spark, sf, "events").select(F.col("user_id").cast("string").alias("design_id"), F.concat(F.lit("N"), (F.col("event_id") % 20).cast("string")).alias("net"), F.concat(F.lit("U"), (F.col("event_id") % 7).cast("string")).alias("ref"), F.col("event_id").cast("string").alias("pin"), role.alias("role"))

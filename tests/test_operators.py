@@ -13,6 +13,7 @@ from fathomgrid.operators import retrieval as V
 from fathomgrid.operators import rules as K
 from fathomgrid.operators import search as S
 from fathomgrid.operators import synthesis as N
+from fathomgrid.operators.beam import beam
 from fathomgrid.operators.topologies import topology_graph
 
 
@@ -213,7 +214,7 @@ def test_synthesis(spark):
 def test_searches_repair_what_they_can(spark):
     pins = spark.createDataFrame([("d", "N", "U1", "1", "SIGNAL_OUT"), ("d", "N", "U2", "1", "SIGNAL_OUT"), ("d", "N", "U3", "1", "NC"), ("e", "M", "U1", "1", None)], "design_id string, net string, ref string, pin string, role string")
     assert rows(S.qualities(pins), "design_id", "score") == [("d", 0.0), ("e", 1.0)]
-    for how in (S.anneal, S.beam):
+    for how in (S.anneal, beam):
         assert rows(S.qualities(how(pins)), "design_id", "score") == [("d", 1.0), ("e", 1.0)]
         assert rows(how(pins), "net") == rows(how(pins), "net")
 
