@@ -759,10 +759,10 @@ def i10_topology_blocks(spark, sf):
 
 
 #: A change of a parameter for each line item; laws of the library and, between what they affect and further quantities, a chain with a cycle from the suppliers.
-_CHANGES = """SELECT DISTINCT 'd' || CAST(l_orderkey % 500 AS STRING) AS design_id, CASE WHEN l_orderkey % 2 = 0 THEN 'ldo' ELSE 'buck_converter' END AS topology,
+_SHIFTED = """SELECT DISTINCT 'd' || CAST(l_orderkey % 500 AS STRING) AS design_id, CASE WHEN l_orderkey % 2 = 0 THEN 'ldo' ELSE 'buck_converter' END AS topology,
 CASE l_partkey % 6 WHEN 0 THEN 'switching_frequency_hz' WHEN 1 THEN 'divider_impedance_ohm' WHEN 2 THEN 'esr_ohm' WHEN 3 THEN 'output_current_a' WHEN 4 THEN 'output_cap_esr_ohm' ELSE 'x' || CAST(l_suppkey % 30 AS STRING) END AS quantity,
 CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS sign, CASE WHEN l_orderkey % 3 = 0 THEN 'voltage-mode control' WHEN l_orderkey % 3 = 1 THEN 'ESR-zero-compensated LDO' END AS holds FROM {lineitem} WHERE l_quantity > 45"""
-_CHAIN = "SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN 'ldo' ELSE 'buck_converter' END AS topology, CASE s_suppkey % 4 WHEN 0 THEN 'switching_loss_w' WHEN 1 THEN 'power_dissipation_w' ELSE 'x' || CAST(s_suppkey % 30 AS STRING) END AS parameter, 'x' || CAST((s_suppkey * 7 + 3) % 30 AS STRING) AS affects, CASE WHEN s_suppkey % 9 = 0 THEN -1 ELSE 1 END AS sign FROM {supplier}"
+_CHAINED = "SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN 'ldo' ELSE 'buck_converter' END AS topology, CASE s_suppkey % 4 WHEN 0 THEN 'switching_loss_w' WHEN 1 THEN 'power_dissipation_w' ELSE 'x' || CAST(s_suppkey % 30 AS STRING) END AS parameter, 'x' || CAST((s_suppkey * 7 + 3) % 30 AS STRING) AS affects, CASE WHEN s_suppkey % 9 = 0 THEN -1 ELSE 1 END AS sign FROM {supplier}"
 
 
 @query(
@@ -771,12 +771,12 @@ _CHAIN = "SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN 'ldo' ELSE 'buck_conv
 known(design_id, topology, quantity, sign) AS (SELECT design_id, topology, quantity, sign FROM changes
   UNION SELECT k.design_id, k.topology, affects, CAST(k.sign * l.sign AS INTEGER) FROM known k JOIN laws l ON l.topology = k.topology AND l.parameter = k.quantity LEFT JOIN conditions c ON c.design_id = k.design_id AND c.holds = l.condition WHERE l.condition IS NULL OR c.holds IS NOT NULL)
 SELECT design_id, quantity, CASE WHEN count(DISTINCT sign) > 1 THEN 'both' WHEN max(sign) = 1 THEN 'up' ELSE 'down' END AS direction FROM known GROUP BY design_id, topology, quantity""",
-        changes=_CHANGES, chained=_CHAIN,
+        changes=_SHIFTED, chained=_CHAINED,
     ).replace("WITH ", "WITH RECURSIVE ", 1)
 )
 def i10_scaling_laws(spark, sf):
-    changes = made(spark, sf, _CHANGES).withColumn("conditions", F.array_compact(F.array("holds")))
-    own = made(spark, sf, _CHAIN).withColumn("condition", F.lit(None).cast("string"))
+    changes = made(spark, sf, _SHIFTED).withColumn("conditions", F.array_compact(F.array("holds")))
+    own = made(spark, sf, _CHAINED).withColumn("condition", F.lit(None).cast("string"))
     return Y.influences(changes, Y.laws(spark).drop("block").unionByName(own)).select("design_id", "quantity", "direction")
 
 
