@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomgrid.session import written
@@ -148,15 +149,47 @@ def layer_stats(nodes: DataFrame, low: int = 1, high: int = 5) -> DataFrame:
 def datasheet_graph(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of ``sheets(component_id, part, confidence, pins array<struct<number,function>>, parameters array<struct<symbol,value,section>>)``.
 
-    A component, its pins and its properties; property ids don't tell repeated symbols apart.
+    A component, its pins and its properties on layer 3 and, from ``rules
+    array<struct<kind,subject,relative_to,hard,distance_mm,confidence>>`` where the
+    column is given, its placement rules on layer 4, numbered by their position. Nodes
+    have their fields that aren't null as ``properties``. Property ids don't tell
+    repeated symbols apart: of nodes of one id the last of the sheet stays. A null symbol
+    or section is ``unknown``; null arrays count as empty.
     """
     own = F.concat(F.lit("component:"), "component_id")
-    comp = sheets.select(own.alias("id"), F.lit("COMPONENT_INSTANCE").alias("node_type"), F.col("part").alias("label"), "confidence")
-    pins = sheets.select(own.alias("owner"), "component_id", "confidence", F.explode("pins").alias("p")).select("owner", F.concat(F.lit("pin:"), "component_id", F.lit(":"), "p.number").alias("id"), F.lit("PIN").alias("node_type"), F.col("p.function").alias("label"), "confidence")
-    props = sheets.select(own.alias("owner"), "component_id", "confidence", F.explode("parameters").alias("p")).select("owner", F.concat(F.lit("property:"), "component_id", F.lit(":"), F.coalesce("p.symbol", F.lit("unknown")), F.lit(":"), "p.section").alias("id"), F.lit("PROPERTY").alias("node_type"), F.col("p.symbol").alias("label"), "confidence")
-    nodes = comp.unionByName(pins.drop("owner")).unionByName(props.drop("owner")).dropDuplicates(["id"])
-    edges = pins.select(F.col("owner").alias("source_id"), F.lit("HAS_PIN").alias("relation"), F.col("id").alias("target_id"), "confidence").unionByName(props.select(F.col("owner").alias("source_id"), F.lit("HAS_PROPERTY").alias("relation"), F.col("id").alias("target_id"), "confidence"))
-    return nodes, edges.dropDuplicates(["source_id", "target_id"])
+    at = lambda kind, *parts: F.concat_ws(":", F.lit(kind), "component_id", *parts)
+    unknown = lambda c: F.coalesce(c, F.lit("unknown"))
+
+    def held(column: str) -> Column:
+        """The fields of a struct column that aren't null, as a map of strings."""
+        fields = sheets.schema[column].dataType.elementType.names
+        return F.map_from_entries(F.array_compact(F.array(*(F.when(F.col(f"_x.{f}").isNotNull(), F.struct(F.lit(f).alias("key"), F.col(f"_x.{f}").cast("string").alias("value"))) for f in fields))))
+
+    def part(column: str, node_type: str, relation: str, layer: int, id_: Column, label: Column, confidence: Column) -> DataFrame:
+        rows = sheets.select("component_id", "confidence", F.posexplode(column).alias("_pos", "_x"))
+        return rows.select(own.alias("source_id"), F.lit(relation).alias("relation"), id_.alias("id"), F.lit(node_type).alias("node_type"), label.alias("label"), confidence.alias("confidence"), F.lit(layer).alias("layer"), held(column).alias("properties"), "_pos")
+
+    x, pos = (lambda f: F.col(f"_x.{f}")), F.col("_pos").cast("string")
+    parts = [
+        part("pins", "PIN", "HAS_PIN", 3, at("pin", x("number")), x("function"), F.col("confidence")),
+        part("parameters", "PROPERTY", "HAS_PROPERTY", 3, at("property", unknown(x("symbol")), unknown(x("section"))), x("symbol"), F.col("confidence")),
+    ]
+    if "rules" in sheets.columns:
+        label = F.concat(x("kind"), F.lit(": "), x("subject"), F.lit(" -> "), x("relative_to"))
+        parts.append(part("rules", "PLACEMENT_RULE", "GOVERNED_BY", 4, at("placement_rule", pos), label, F.coalesce(x("confidence"), "confidence")))
+    rows = reduce(DataFrame.unionByName, parts)
+    comp = sheets.select(own.alias("id"), F.lit("COMPONENT_INSTANCE").alias("node_type"), F.col("part").alias("label"), "confidence", F.lit(3).alias("layer"), F.create_map(F.lit("pin_count"), F.greatest(F.size("pins"), F.lit(0)).cast("string")).alias("properties"), F.lit(0).alias("_pos"))
+    node = F.struct("node_type", "label", "confidence", "layer", "properties")
+    order = F.struct("_pos", "confidence", "label", F.to_json("properties"))
+    nodes = comp.unionByName(rows.drop("source_id", "relation")).groupBy("id").agg(F.max_by(node, order).alias("_n")).select("id", "_n.*")
+    edges = rows.groupBy("source_id", "relation", F.col("id").alias("target_id")).agg(F.max_by("confidence", order).alias("confidence"), F.max("layer").alias("layer"))
+    return nodes, edges
+
+
+def import_counts(made: DataFrame, stored: DataFrame) -> DataFrame:
+    """``node_type, created, updated`` of made nodes, by whether the stored graph holds their id."""
+    old = stored.select("id").distinct().withColumn("_old", F.lit(True))
+    return made.join(old, "id", "left").groupBy("node_type").agg(F.count_if(F.col("_old").isNull()).alias("created"), F.count("_old").alias("updated"))
 
 
 def derived_edges(metrics: DataFrame) -> DataFrame:

@@ -39,24 +39,35 @@ def overlaps(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
     return F.coalesce((la <= hb) & (lb <= ha), F.lit(False))
 
 
-def overlapping_pairs(rows: DataFrame, key: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs of keys ``a < b`` whose ranges meet as ``overlaps`` has it, through bins of ``width``: each pair in the first bin that both touch."""
+def overlapping_pairs(rows: DataFrame, key: str, low: str, high: str, width: float, block: int = 10_000) -> DataFrame:
+    """Pairs of keys ``a < b`` whose ranges meet as ``overlaps`` has it, through bins of ``width``: each pair in the first bin that both touch.
+
+    Bins of more than ``block`` ranges are split as in ``group_pairs``; ``a`` and ``b`` of
+    rows that repeat a key don't pair with each other.
+    """
     lo, hi = F.coalesce(low, high), F.coalesce(high, low)
     spans = rows.select(F.col(key).alias("k"), lo.alias("lo"), hi.alias("hi"), F.floor(F.least(lo, hi) / width).alias("first"), F.floor(F.greatest(lo, hi) / width).alias("last")).filter("lo IS NOT NULL")
     binned = spans.withColumn("_bin", F.explode(F.sequence("first", "last"))).drop("last")
-    a, b = (binned.select("_bin", *(F.col(c).alias(f"{c}_{s}") for c in ("k", "lo", "hi", "first"))) for s in "ab")
     meets = overlaps(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b"))
-    return a.join(b, "_bin").filter((F.col("k_a") < F.col("k_b")) & (F.col("_bin") == F.greatest("first_a", "first_b")) & meets).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
+    pairs = group_pairs(binned, ["_bin"], "k", block)
+    return pairs.filter((F.col("_bin") == F.greatest("first_a", "first_b")) & meets).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, on: Sequence[str] = ()) -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, on: Sequence[str] = (), block: int = 10_000) -> DataFrame:
     """Points joined to the ranges that hold them, through bins of ``width``, so that it is an equi-join.
 
-    A range is repeated for every bin that it touches; choose a width near the usual range's.
+    A range is repeated for every bin that it touches; choose a width near the usual
+    range's. A bin of more than ``block`` ranges is split: its ranges are dealt to parts,
+    and a point of the bin meets each part in a row of its own.
     """
     left = points.withColumn("_bin", F.floor(F.col(point) / width))
     right = ranges.filter(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return left.join(right, [*on, "_bin"]).filter(F.col(point).between(F.col(low), F.col(high))).drop("_bin")
+    key = [*on, "_bin"]
+    hot = right.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("_parts")).filter("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    left = left.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    right = right.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*ranges.columns), parts).cast("int")).drop("_parts")
+    return left.join(right, [*key, "_part"]).filter(F.col(point).between(F.col(low), F.col(high))).drop("_bin", "_part")
 
 
 def best_range(points: DataFrame, ranges: DataFrame, id_col: str, point: str, low: str, high: str, kind: str, range_id: str, width: float) -> DataFrame:

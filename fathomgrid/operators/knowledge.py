@@ -54,6 +54,40 @@ def node_kind(label: Column) -> Column:
     return F.when(measure, "PROPERTY").when(contains_any(label, ("converter", "amplifier", "filter", "oscillator", "regulator circuit")), "DESIGN_PATTERN").otherwise("COMPONENT_TYPE")
 
 
+#: Words that make a subject a design recipe, and the units of measurements.
+RECIPE_WORDS = ("design", "circuit", "topology", "converter", "amplifier", "filter", "oscillator", "regulator", "driver", "rectifier", "inverter", "charge pump", "reference", "bias")
+UNITS = ("mV", "V", "mA", "A", "µA", "uA", "kΩ", "Ω", "ohm", "Hz", "kHz", "MHz", "GHz", "pF", "nF", "µF", "uF", "mF", "F", "dB", "ppm", "ppb")
+#: Prefixes of node ids.
+PREFIXES = {"DESIGN_RECIPE": "design_recipe", "COMPONENT_TYPE": "component_type", "ELECTRICAL_PROPERTY": "electrical_property"}
+
+
+def measured(text: Column) -> Column:
+    """Whether a text holds a number by itself or with a unit; letters and digits of any script bound a word."""
+    edge = r"[\p{L}\p{N}_]"
+    return F.rlike(text, F.lit(rf"(?iu)(?<!{edge})\d+\.?\d*(?:\s*(?:{'|'.join(UNITS)}))?(?!{edge})"))
+
+
+def typed_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, edges)`` on layer 2 of design triples ``found(subject, relation, object, confidence)``.
+
+    A subject with a recipe's word is a DESIGN_RECIPE, an object with a measurement an
+    ELECTRICAL_PROPERTY, either a COMPONENT_TYPE otherwise; ids are the kind and the
+    name's words. Of nodes and edges of one id the most confident stays (of equals the
+    smallest label). Triples without a subject, a relation or an object, or whose names
+    hold no letter or digit, are left out.
+    """
+    name = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), r"\s+", "_"), r"[^\p{L}\p{N}_]", ""), r"^_+|_+$", "")
+    kinds = {"subject": F.when(contains_any(F.col("subject"), RECIPE_WORDS), "DESIGN_RECIPE").otherwise("COMPONENT_TYPE"), "object": F.when(measured(F.col("object")), "ELECTRICAL_PROPERTY").otherwise("COMPONENT_TYPE")}
+    mapped_kind = lambda kind: F.coalesce(*(F.when(kind == k, F.lit(v)) for k, v in PREFIXES.items()))
+    node = lambda c: F.struct(F.concat_ws(":", mapped_kind(kinds[c]), name(F.col(c))).alias("id"), kinds[c].alias("node_type"), F.col(c).alias("label"))
+    named = found.filter((name(F.col("subject")) != "") & (name(F.col("object")) != "") & F.col("relation").isNotNull())
+    rows = named.select(node("subject").alias("s"), "relation", node("object").alias("o"), "confidence")
+    ends = rows.select("confidence", F.explode(F.array("s", "o")).alias("n")).select("n.*", "confidence")
+    nodes = ends.groupBy("id").agg(F.min("node_type").alias("node_type"), F.min_by("label", F.struct(-F.col("confidence"), "label")).alias("label"), F.max("confidence").alias("confidence")).withColumn("layer", F.lit(2))
+    edges = rows.groupBy(F.col("s.id").alias("source_id"), "relation", F.col("o.id").alias("target_id")).agg(F.max("confidence").alias("confidence")).withColumn("layer", F.lit(2))
+    return nodes, edges
+
+
 def placement_graph(rules: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New nodes and edges of ``rules(subject, target, kind, confidence)``; empty subjects and low confidence are left out."""
     good = rules.filter((F.coalesce(F.trim("subject"), F.lit("")) != "") & (F.col("confidence") >= 0.65))

@@ -12,8 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomgrid.session import written
+
 from .aggregates import penalty_score
-from .joins import apart_pairs
+from .joins import apart_pairs, group_pairs
 
 KEY = ["design_id", "net_name"]
 _REFS = "array<string>"
@@ -124,13 +126,19 @@ PATTERNS = {
 }
 
 
-def connections(nets: DataFrame, bom: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(vertices, edges)``: every ref on a net with its lower-cased type, and every ordered pair of refs that share one, with whether a power or ground net is among them."""
+def connections(nets: DataFrame, bom: DataFrame, block: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """``(vertices, edges)``: every ref on a net with its lower-cased type, and every ordered pair of refs that share one, with whether a power or ground net is among them.
+
+    Both are written once, since patterns join the edges for each of their pairs; nets of
+    more than ``block`` refs are paired in blocks.
+    """
     on = nets.select("design_id", "net_name", "ref", F.coalesce("net_type", F.lit("signal")).alias("net_type")).distinct()
     vertices = on.select("design_id", "ref").distinct().join(bom.select("design_id", "ref", F.lower("component_type").alias("kind")), ["design_id", "ref"], "left")
-    other = on.select("design_id", "net_name", F.col("ref").alias("other"))
-    edges = on.join(other, ["design_id", "net_name"]).filter("ref <> other").groupBy("design_id", "ref", "other").agg(F.bool_or(F.col("net_type") == "power").alias("power"), F.bool_or(F.col("net_type") == "ground").alias("ground"))
-    return vertices.fillna("", ["kind"]), edges
+    types = on.groupBy("design_id", "net_name", "ref").agg(F.bool_or(F.col("net_type") == "power").alias("power"), F.bool_or(F.col("net_type") == "ground").alias("ground"))
+    pairs = group_pairs(types, ["design_id", "net_name"], "ref", block)
+    one = pairs.groupBy("design_id", "ref_a", "ref_b").agg(*(F.struct(F.bool_or(f"{t}_a").alias("a"), F.bool_or(f"{t}_b").alias("b")).alias(t) for t in ("power", "ground")))
+    ends = F.explode(F.array(*(F.struct(F.col(f"ref_{x}").alias("ref"), F.col(f"ref_{y}").alias("other"), F.col(f"power.{x}").alias("power"), F.col(f"ground.{x}").alias("ground")) for x, y in ("ab", "ba"))))
+    return written(vertices.fillna("", ["kind"])), written(one.select("design_id", ends.alias("e")).select("design_id", "e.*"))
 
 
 def pattern_found(name: str, vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -987,4 +987,5 @@ def _netlists(spark, sf) -> DataFrame:
 
 
 from fathomgrid import domain_queries as _domain  # noqa: E402, F401  registers its queries
+from fathomgrid import keyword_queries as _keywords  # noqa: E402, F401  registers its queries
 from fathomgrid import search_queries as _search  # noqa: E402, F401  registers its queries
