@@ -12,27 +12,33 @@ bounded table.
 
 Between two characters that no piece holds side by side the transducer is back in its
 start state. A text is cut there into segments, whose walks are composed once and kept.
-A chunk of a long text has a *state map* ``(head, emitted, tail)``: what belongs to a
-segment begun before it, the tokens of whole segments inside it, and the segment still
-open at its end. State maps compose associatively: chunks of long texts are rows of
-their own, mapped apart, and joined level by level.
+A chunk of a long text has a *state map*: for each state in which it may be entered the
+tokens emitted over it and the state in which it is left. The states of entry are those
+that the characters before the chunk leave: one where a segment begins among them, else
+those left when the reading begins at any of as many places as the longest piece has
+characters, most of which are the same by then. State maps compose associatively: chunks of
+long texts are rows of their own, mapped apart, and joined level by level, without their
+texts. Should a chunk be entered in a state that its map lacks, it is mapped again with it.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 SPACE = "▁"
 
-#: (head, emitted, tail); tail is None while the chunk lies inside one segment.
-StateMap = tuple[str, int, "str | None"]
+#: State of entry -> tokens emitted and state of exit, states as their keys.
+StateMap = dict[str, tuple[int, str]]
 
 
 class State:
@@ -43,6 +49,13 @@ class State:
     def __init__(self, node: int, begun: dict[int, tuple[str | None, int]]) -> None:
         self.node, self.open, self.next = node, begun, {}
 
+    def key(self) -> str:
+        """The state as text, alike in every worker that reads the same model."""
+        return json.dumps([self.node, *((n, *seen) for n, seen in self.open.items())])
+
+
+START = State(0, {0: (None, 0)}).key()
+
 
 def read_pieces(model: str) -> dict[str, float]:
     """Ordinary pieces of a sentencepiece model and their scores; the model falls back to bytes."""
@@ -61,7 +74,7 @@ class Transducer:
     """
 
     def __init__(self, pieces: dict[str, float], limit: int = 200_000) -> None:
-        self.pieces, self.limit, self.size = pieces, limit, 0
+        self.pieces, self.limit, self.longest = pieces, limit, max(map(len, pieces))
         self.beside = {pair for p in pieces for pair in zip(p, p[1:], strict=False)}
         self._automaton()
         self.start = State(0, {0: (None, 0)})
@@ -166,48 +179,81 @@ class Transducer:
             found = self.states[key] = State(node, begun)
         return found, emitted
 
-    def walk(self, text: str) -> int:
-        """Tokens emitted from the start state over a whole text."""
-        state, n = self.start, 0
+    def advance(self, state: State, text: str) -> tuple[State, int]:
+        """The state after a text and the tokens emitted over it."""
+        n = 0
         for c in text:
             step = state.next.get(c)
             if step is None:
                 step = state.next[c] = self._compile(state, c)
             state, emitted = step
             n += emitted
-        return n
+        return state, n
 
-    def map(self, chunk: str) -> StateMap:
+    def walk(self, text: str) -> int:
+        """Tokens emitted from the start state over a whole text."""
+        return self.advance(self.start, text)[1]
+
+    def state(self, key: str) -> State:
+        node, *begun = json.loads(key)
+        return self.start if key == START else State(node, {n: (before, since) for n, before, since in begun})
+
+    def entries(self, before: str, whole: bool) -> list[State]:
+        """States that the characters ``before`` a chunk may leave; ``whole`` if they are all of them."""
+        if whole:
+            return [self.advance(self.start, before)[0]]
+        found = self.segments(before)
+        if len(found) > 1:
+            return [self.advance(self.start, found[-1])[0]]
+        left = (self.advance(self.start, before[i:])[0] for i in range(min(self.longest, len(before))))
+        return list({s.key(): s for s in left}.values())
+
+    def map(self, before: str, chunk: str, whole: bool, more: Iterable[str] = (), block: int = 1024) -> StateMap:
+        """The state map of a chunk, with the states ``more`` among those of entry.
+
+        States are followed a ``block`` at a time, those that have become one only once.
+        """
+        states = {s.key(): s for s in [*self.entries(before, whole), *map(self.state, more)]}
         found = self.segments(chunk)
+        head = found[0] if len(found) > 1 else chunk
+        fates = {key: (0, key) for key in states}
+        for at in range(0, len(head), block):
+            after = {key: self.advance(s, head[at : at + block]) for key, s in states.items()}
+            keys = {key: s.key() for key, (s, _) in after.items()}
+            fates = {entry: (n + after[key][1], keys[key]) for entry, (n, key) in fates.items()}
+            states = {keys[key]: s for key, (s, _) in after.items()}
         if len(found) < 2:
-            return chunk, 0, None
-        return found[0], sum(map(self.known.__getitem__, found[1:-1])), found[-1]
-
-    def join(self, a: StateMap, b: StateMap) -> StateMap:
-        (head, n, tail), (head_b, n_b, tail_b) = a, b
-        if tail is None:
-            head, m, open_ = self.map(head + head_b)
-            if tail_b is None:
-                return head, m, open_
-            return head, m + n_b + (self.known[open_] if open_ is not None else 0), tail_b
-        middle = self.segments(tail + head_b)
-        if tail_b is None:
-            return head, n + sum(map(self.known.__getitem__, middle[:-1])), middle[-1] if middle else tail
-        return head, n + n_b + sum(map(self.known.__getitem__, middle)), tail_b
-
-    def scan(self, maps: list[StateMap]) -> StateMap:
-        while len(maps) > 1:  # one level of the scan
-            maps = [self.join(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
-
-    def total(self, whole: StateMap) -> int:
-        head, n, tail = whole
-        return n + self.known[head] + (self.known[tail] if tail is not None else 0)
+            return fates
+        last, n_last = self.advance(self.start, found[-1])
+        n_rest = sum(map(self.known.__getitem__, found[1:-1])) + n_last
+        return {entry: (n + n_rest, last.key()) for entry, (n, _) in fates.items()}
 
     def count(self, text: str | None) -> int:
         return sum(map(self.known.__getitem__, self.segments(spaced(text)))) if text else 0
 
 
+def joined(a: StateMap, b: StateMap) -> StateMap:
+    """The map of two neighbouring chunks; without the entries that leave ``a`` in a state that ``b`` lacks."""
+    return {entry: (n + b[key][0], b[key][1]) for entry, (n, key) in a.items() if key in b}
+
+
+def scan(maps: list[StateMap]) -> StateMap:
+    """The map of a whole text, its chunks' maps joined level by level."""
+    while len(maps) > 1:
+        maps = [joined(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
+
+
+def lacking(maps: list[StateMap]) -> tuple[int, str] | None:
+    """The first chunk that is entered in a state its map lacks, and that state."""
+    key = START
+    for i, found in enumerate(maps):
+        if key not in found:
+            return i, key
+        key = found[key][1]
+    return None
+
+
 class _Halves(dict):
     """Piece -> the two parts that its last merge joins."""
 
@@ -259,45 +305,65 @@ def token_count(text: Column, model: str) -> Column:
     return counted(text)
 
 
-def _long_counts(docs: DataFrame, model: str, chunk: int) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens`` of long texts: a row a chunk, mapped apart, the maps joined for each text."""
+def _long_counts(docs: DataFrame, model: str, chunk: int, context: int) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens`` of long texts: a row a chunk, mapped apart, the maps joined for each text.
+
+    No row or group holds more of a text than a chunk and the ``context`` characters
+    before it. Texts of which a chunk is entered in a state that its map lacks are mapped
+    again with it, until none is left; each round settles a chunk more of each.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch.column(3).to_pylist()):
                 text = spaced(text)
                 for at in range(0, len(text), chunk):
-                    yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 1) for j in range(3)), pa.array([at // chunk], pa.int64()), pa.array([text[at : at + chunk]])], names=["row", "doc_id", "n_bytes", "at", "part"])
+                    parts = [pa.array([at // chunk], pa.int64()), pa.array([text[max(0, at - context) : at]]), pa.array([text[at : at + chunk]]), pa.array([at <= context])]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 1) for j in range(3)), *parts], names=["row", "doc_id", "n_bytes", "at", "before", "part", "whole"])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            head, emitted, tail = zip(*map(transducer(model).map, batch.column(4).to_pylist()), strict=True) if len(batch) else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(4)), pa.array(head, pa.string()), pa.array(emitted, pa.int64()), pa.array(tail, pa.string())], names=["row", "doc_id", "n_bytes", "at", "head", "emitted", "tail"])
-
-    def joined(maps: pd.DataFrame) -> pd.DataFrame:
-        t, maps = transducer(model), maps.sort_values("at")
-        parts = [(h, int(n), None if pd.isna(x) else x) for h, n, x in zip(maps["head"], maps["emitted"], maps["tail"], strict=True)]
-        return pd.DataFrame({"doc_id": maps["doc_id"].iloc[:1].astype("Int64"), "n_bytes": maps["n_bytes"].iloc[:1], "n_tokens": [t.total(t.scan(parts))]})
-
-    row = "row long, doc_id long, n_bytes long, at long"
+            before, part, whole, more = (batch.column(j).to_pylist() for j in range(4, 8))
+            maps = [transducer(model).map(*row) for row in zip(before, part, whole, more, strict=True)]
+            fates = [pa.array([list(m) for m in maps], pa.list_(pa.string())), *(pa.array([[f[i] for f in m.values()] for m in maps], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.string())))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(4)), *fates], names=["row", "doc_id", "n_bytes", "at", "entered", "emitted", "left"])
+
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        maps = [dict(zip(e, zip(map(int, n), x, strict=True), strict=True)) for e, n, x in zip(rows["entered"], rows["emitted"], rows["left"], strict=True)]
+        n, (at, key) = scan(maps).get(START, (None, None))[0], lacking(maps) or (None, None)
+        one = rows.iloc[:1]
+        return pd.DataFrame({"row": one["row"], "doc_id": one["doc_id"].astype("Int64"), "n_bytes": one["n_bytes"], "n_tokens": pd.array([n], "Int64"), "at": pd.array([at], "Int64"), "state": [key]})
+
+    row, more = "row long, doc_id long, n_bytes long, at long", F.array().cast("array<string>").alias("more")
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", "text")
-    chunks = keyed.mapInArrow(cut, f"{row}, part string").repartition("row", "at")
-    maps = chunks.mapInArrow(mapped, f"{row}, head string, emitted long, tail string")
-    return maps.groupBy("row").applyInPandas(joined, "doc_id long, n_bytes long, n_tokens long")
-
-
-def token_counts(docs: DataFrame, model: str, limit: int = 4096, chunk: int = 262_144, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    chunks = materialise(keyed.mapInArrow(cut, f"{row}, before string, part string, whole boolean").repartition("row", "at")).withColumn("more", more)
+    settled = []
+    while True:
+        maps = chunks.mapInArrow(mapped, f"{row}, entered array<string>, emitted array<long>, left array<string>")
+        found = materialise(maps.groupBy("row").applyInPandas(counted, "row long, doc_id long, n_bytes long, n_tokens long, at long, state string"))
+        settled.append(found.filter("n_tokens IS NOT NULL").select("doc_id", "n_bytes", "n_tokens"))
+        open_ = found.filter("n_tokens IS NULL")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        again = chunks.join(open_.select("row", F.col("at").alias("_at"), "state"), "row")
+        added = F.when(F.col("at") == F.col("_at"), F.array_append("more", F.col("state"))).otherwise(F.col("more"))
+        chunks = materialise(again.withColumn("more", added).select(*chunks.columns))
+
+
+def token_counts(docs: DataFrame, model: str, limit: int = 4096, chunk: int = 262_144, context: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
     A null or empty text has no bytes and no tokens; a null id and repeated rows are
     kept as they come; no rows give no rows; other columns are ignored. Texts of up to
     ``chunk`` characters are counted in one narrow pass; longer ones are cut into chunks
-    that are dealt anew. ``model``, a byte-pair model with byte fallback, must be
+    that are dealt anew, each with the ``context`` characters before it; ``context`` and
+    ``chunk`` change no result. ``model``, a byte-pair model with byte fallback, must be
     readable at the same path on every executor.
     """
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(text, F.lit("")).alias("text"))
     short = F.length("text") <= chunk
     counted = rows.filter(short).select("doc_id", "n_bytes", token_count(F.col("text"), model).alias("n_tokens"))
-    counted = counted.unionByName(_long_counts(rows.filter(~short), model, chunk))
+    counted = counted.unionByName(_long_counts(rows.filter(~short), model, chunk, context))
     return counted.select("*", (F.col("n_tokens") > limit).alias("over_limit"))

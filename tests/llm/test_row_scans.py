@@ -12,7 +12,7 @@ import sentencepiece
 from fathomgrid.llm.license_scan import TEMPLATES, scan_licences
 from fathomgrid.llm import secret_scan as S
 from fathomgrid.llm.secret_scan import Words, guess_cost, scan_secrets
-from fathomgrid.llm.token_counts import SPACE, Transducer, read_pieces, spaced, token_counts
+from fathomgrid.llm.token_counts import SPACE, START, Transducer, lacking, read_pieces, scan, spaced, token_counts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", None, " ", "  ", "a ", " a", "\n", "a\n\n b", "▁x▁▁y", "x" * 3000, "a b " * 900, "é日本　語 \U0001f600", "<s> </s>", "tab\tand\r\nline", "  \n  \n", "DE!! UNE!! ÈTRE"]
@@ -46,13 +46,43 @@ def test_long_texts_are_cut_and_joined(spark):
         assert got == [(i, len(t.encode()), len(sp.encode(t))) for i, t in enumerate(texts + texts[:3])]
 
 
+def by_maps(t, read, chunk, context):
+    """The count by state maps, chunks entered in a state that their map lacks mapped again; and how many were."""
+    mapped = lambda j, more=(): t.map(read[max(0, j * chunk - context) : j * chunk], read[j * chunk : (j + 1) * chunk], j * chunk <= context, more, block=5)
+    maps, again = [mapped(j) for j in range(-(-len(read) // chunk))], 0
+    while (missing := lacking(maps)) is not None:
+        assert again or START not in scan(maps)
+        maps[missing[0]] = mapped(missing[0], [missing[1]])
+        again += 1
+    return scan(maps)[START][0], again
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 3, 7, 64])
 def test_state_maps_compose(chunk):
     sp, t = sentencepiece.SentencePieceProcessor(model_file=MODEL), Transducer(read_pieces(MODEL), limit=50)
-    for text in ODD[2:]:
+    for text in [*ODD[2:], "abcdefgh" * 20, "a" * 150, "日本語" * 30, "QmFzZTY0dGV4dA" * 9]:
         read = spaced(text)
-        whole = t.scan([t.map(read[i : i + chunk]) for i in range(0, len(read), chunk)])
-        assert t.total(whole) == len(sp.encode(text)) == t.walk(read), (chunk, text[:60])
+        for context in (0, 2, 40):
+            assert by_maps(t, read, chunk, context)[0] == len(sp.encode(text)) == t.walk(read), (chunk, context, text[:60])
+
+
+def test_context_settles_the_states():
+    """Without a space: after 256 characters the states of entry are few, and the true one is among them."""
+    rng, t = random.Random(6), Transducer(read_pieces(MODEL))
+    for some in ("abcdefghijklmnopqrstuvwxyzABCDEFXYZ0123456789+/", "a", "ab", "日本語中文字", "="):
+        read = spaced("".join(rng.choice(some) for _ in range(6000)))
+        n, again = by_maps(t, read, 1000, 256)
+        assert n == t.walk(read) and again == 0
+        assert all(len(t.entries(read[i - 256 : i], False)) <= t.longest for i in range(1000, 6000, 1000))
+
+
+def test_spaceless_texts_in_rounds(spark):
+    """Texts of one segment over many chunks; without context before the chunks they are mapped again, in rounds."""
+    texts = ["a" * 100, "abc" * 30, "日本" * 45, "word " * 12 + "x" * 40]
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for context in (0, 3, 64):
+        got = sorted((r.doc_id, r.n_tokens) for r in token_counts(frame(spark, texts), MODEL, chunk=24, context=context).collect())
+        assert got == [(i, len(sp.encode(t))) for i, t in enumerate(texts)]
 
 
 def test_transitions_equal_the_library_on_random_texts():
@@ -80,7 +110,7 @@ def test_pieces_across_segments():
         assert t.count(text) == sum(len(t.merged(x)) if "c" not in x else len(x.encode()) for x in re.findall("c|[^c]+", spaced(text))), text
         for chunk in (1, 2, 3):
             read = spaced(text)
-            assert t.total(t.scan([t.map(read[i : i + chunk]) for i in range(0, len(read), chunk)])) == t.count(text)
+            assert by_maps(t, read, chunk, 2)[0] == t.count(text)
 
 
 def brute_secrets(text):
