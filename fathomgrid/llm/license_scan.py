@@ -34,11 +34,16 @@ TEMPLATES = {
 MARKS = {
     "agpl": "gnu affero general",
     "apache": "the apache license",
+    "bsd": "retain the above",
     "cc-by": "commons attribution 4",
     "gpl": "gnu general public",
     "gpl-notice": "gnu general public",
+    "isc": "and or distribute",
     "lgpl": "gnu lesser general",
+    "mit": "any person obtaining",
     "mit-notice": "the mit license",
+    "mpl": "the mozilla public",
+    "unlicense": "free and unencumbered",
 }
 
 #: Phrases whose every occurrence is reported, and their labels.

@@ -268,6 +268,21 @@ def test_licences(spark):
     assert got[len(ODD) + 4].labels == ""
 
 
+def test_notices_of_other_licences_are_not_labelled(spark):
+    """Wording that licences outside the templates share with them; every template still finds itself."""
+    others = [
+        "Permission to use, copy, modify, distribute, and sell this software and its documentation for any purpose is hereby granted without fee, provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation",
+        "This Source Code Form is subject to the terms of the Eclipse Public License, v. 2.0. If a copy of the EPL was not distributed with this file, You can obtain one at http://eclipse.org/EPL/2.0/",
+        "This Source Code Form is subject to the terms of the Common Public License, v. 1.0. If a copy of the CPL was not distributed with this file, You can obtain one at http://example.org/CPL/1.0/",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software",
+    ]
+    labels = sorted(TEMPLATES)
+    got = {r.doc_id: r.labels for r in scan_licences(frame(spark, [*others, *(TEMPLATES[x] for x in labels)])).collect()}
+    assert [got[i] for i in range(len(others))] == ["", "", "", ""]
+    for i, label in enumerate(labels, len(others)):
+        assert label.removesuffix("-notice") in got[i].split(","), label
+
+
 def test_licences_of_like_wording_are_told_apart(spark):
     texts = [TEMPLATES["gpl"], TEMPLATES["agpl"], TEMPLATES["lgpl"], TEMPLATES["cc-by"], "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "This software is released under the BSD License", "this software is released under the terms agreed", "This software is released under the MIT licence", TEMPLATES["mit-notice"]]
     got = {r.doc_id: r.labels for r in scan_licences(frame(spark, texts)).collect()}
