@@ -22,7 +22,7 @@ from fathomgrid.operators import rules as K
 from fathomgrid.operators import synthesis as S
 from fathomgrid.operators import topologies as Y
 from fathomgrid.registry import query
-from fathomgrid.session import load
+from fathomgrid.session import load, load_in_order
 
 TABLES = ("customer", "documents", "events", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 
@@ -345,7 +345,8 @@ _GRIDS = "SELECT l_orderkey AS k, l_linenumber AS pos, l_quantity / 50 AS confid
 
 @query(duck("SELECT k, round(avg(confidence), 4) AS confidence, coalesce(arg_min(section, pos) FILTER (section <> 'OTHER'), 'OTHER') AS section, bool_or(from_model) AS from_model FROM (SELECT k, pos, confidence, section, from_model FROM grids) GROUP BY 1", grids=_GRIDS.replace("l_linenumber AS pos", "l_linenumber * 1000000 + l_partkey AS pos")))
 def d22_merged_grids(spark, sf):
-    return A.merged_grids(made(spark, sf, _GRIDS.replace("l_linenumber AS pos", "l_linenumber * 1000000 + l_partkey AS pos")), ["k"], "pos")
+    piece = _GRIDS.replace("l_linenumber AS pos", "l_linenumber * 1000000 + l_partkey AS pos").replace(" FROM", ", _file, _row FROM")
+    return A.merged_grids(spark.sql(piece, lineitem=load_in_order(spark, sf, "lineitem")), ["k"], "pos", ["_file", "_row"])
 
 
 _RESULTS = "SELECT user_id AS task_id, event_type = 'purchase' AS passed FROM {events}"

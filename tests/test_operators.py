@@ -253,6 +253,13 @@ def test_knowledge(spark, tmp_path):
 def test_grids_and_ranges(spark):
     g = spark.createDataFrame([("t", 2, 0.5, "PINOUT", False), ("t", 1, 1.0, "OTHER", True), ("t", 3, 0.9, "TIMING", False)], "k string, pos int, confidence double, section string, from_model boolean")
     assert rows(A.merged_grids(g, ["k"], "pos"), "confidence", "section", "from_model") == [(0.8, "PINOUT", True)]
+    tied = spark.createDataFrame([("t", 1, i, c, s, False) for i, c, s in ((0, 0.1, "PINOUT"), (1, 0.2, "TIMING"), (2, 0.3, "OTHER"))], "k string, pos int, row int, confidence double, section string, from_model boolean")
+    for order in (["row"], [F.desc("row")]):
+        assert rows(A.merged_grids(tied.repartition(3, "row").sort(*order), ["k"], "pos", ["row"]), "confidence", "section") == [(0.2, "PINOUT")]
+    parts = spark.createDataFrame([(1,)], "component_id int")
+    facts = spark.createDataFrame([(1, 7, row, "en", float(row)) for row in (3, 2, 4)], "component_id int, parameter_id int, row int, symbol string, value_typ double")
+    for some in (facts, facts.sort("row"), facts.sort(F.desc("row"))):
+        assert P.matched_attributes(parts, some, ["noise_nV_rtHz"], order=("parameter_id", "row")).first().matched == {"noise_nV_rtHz": 2.0}
     a = spark.createDataFrame([("d", 0.5)], "design_id string, confidence double")
     assert rows(A.mean_of_both(a, a.withColumn("confidence", F.lit(1.0))), "confidence") == [(0.75,)]
     assert [round(r.x, 3) for r in a.select(A.extraction_confidence(F.lit(0.97), F.lit(0.95), F.lit(0.88)).alias("x")).collect()] == [0.937]
