@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +19,9 @@ from fathomgrid.operators.aggregates import index_lists
 from fathomgrid.session import written
 
 
+_SENT = 20_000  # queries that are sent to a list at once
+
+
 @dataclass(frozen=True)
 class Lists:
     """``rows(list, shard, id, x)`` with x of length one, and the lists' centres, as many rows as there are lists."""
@@ -50,15 +52,17 @@ def fit_centres(sample: DataFrame, lists: int, rounds: int, seed: int) -> np.nda
     start = sample.orderBy(F.xxhash64(F.lit(seed), "id", "x")).limit(lists).collect()
     centres = np.array([r.x for r in start])
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros_like(centres), np.zeros(len(centres), int)
         for batch in batches:
+            if not len(batch):
+                continue
             x = _matrix(batch["x"])
             best = (x @ centres.T).argmax(1)
             np.add.at(total, best, x)
             n += np.bincount(best, minlength=len(centres))
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pandas(pd.DataFrame({"list": used, "total": [total[i].tolist() for i in used]}), schema=pa.schema([("list", pa.int32()), ("total", pa.list_(pa.float64()))]), preserve_index=False)
+        used = np.flatnonzero(n)  # none in a task without vectors
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used].tolist(), pa.list_(pa.float64()))], names=["list", "total"])
 
     for _ in range(rounds):
         parts = sample.select("x").mapInArrow(sums, "list int, total array<double>")
@@ -101,7 +105,7 @@ def build_lists(vectors: DataFrame, id_col: str, vector_col: str, lists: int | N
     return Lists(written(salted.repartition("list", "shard").sortWithinPartitions("list", "shard")), centres, shards)
 
 
-def search_lists(index: Lists, queries: DataFrame, query_col: str, vector_col: str, probes: int, limit: int = 20, threshold: float | None = None, block_rows: int = 1024) -> DataFrame:
+def search_lists(index: Lists, queries: DataFrame, query_col: str, vector_col: str, probes: int, limit: int = 20, threshold: float | None = None, block_rows: int = 256) -> DataFrame:
     """``query_id, id, similarity, rank``: the ``limit`` most similar vectors of the ``probes`` nearest lists of each query, ties by id.
 
     Similarity is the cosine; only those above ``threshold`` are returned, if it is given. Queries are
@@ -118,8 +122,10 @@ def search_lists(index: Lists, queries: DataFrame, query_col: str, vector_col: s
             near = np.argsort(-(_matrix(batch["x"]) @ centres.T), axis=1, kind="stable")[:, :probes]
             pairs = [(row, at, s) for row, lists in enumerate(near.tolist()) for at in lists for s in range(shards.get(at, 0))]
             row, at, shard = (np.array(c, np.int32) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int32),) * 3
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(shard), batch["id"].take(take), batch["x"].take(take)], names=["list", "shard", "id", "x"])
+            for start in range(0, len(row), _SENT):
+                some = slice(start, start + _SENT)
+                take = pa.array(row[some])
+                yield pa.RecordBatch.from_arrays([pa.array(at[some]), pa.array(shard[some]), batch["id"].take(take), batch["x"].take(take)], names=["list", "shard", "id", "x"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, bool], pa.RecordBatch]]:
         """Slices of one shard and kind of row."""

@@ -84,3 +84,11 @@ def test_odd_vectors(spark):
     assert [(r.query_id, r.id, r.rank) for r in got] == [(1, 1, 1), (1, 6, 2), (1, 8, 3), (6, 1, 1), (6, 6, 2), (6, 8, 3), (7, 7, 1), (7, 8, 2), (7, 8, 3), (8, 8, 1), (8, 8, 2), (8, 1, 3)]
     nothing = ivf.build_lists(df.filter("vec_id = 2"), "vec_id", "embedding")
     assert ivf.search_lists(nothing, df, "vec_id", "embedding", 3).count() == 0
+
+
+def test_centres_where_a_task_has_no_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "id long, x array<double>")
+    sparse = df.repartition(2, "id").filter("id >= 0").union(df.filter("id < 0"))
+    assert sparse.rdd.glom().map(len).collect().count(0)
+    centres = ivf.fit_centres(sparse, 2, 3, 5)
+    assert centres.shape == (2, 2) and abs((centres**2).sum(1) - 1).max() < 1e-9
