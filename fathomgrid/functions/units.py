@@ -30,12 +30,11 @@ def number(text: Column) -> Column:
 
 
 def to_si(value: Column, unit: Column) -> Column:
-    """``struct(value, unit, known)``; an unknown unit leaves both as they are."""
-    table = _units()
-    names = F.trim(unit)
-    pairs = [F.when(names == u, F.struct(F.lit(b).alias("b"), F.lit(s).alias("s"))) for u, (b, s) in sorted(table.items())]
-    hit = F.coalesce(*pairs)
-    return F.struct((value * F.coalesce(hit["s"], F.lit(1.0))).alias("value"), F.coalesce(hit["b"], names).alias("unit"), hit.isNotNull().alias("known"))
+    """``struct(value, unit, known)``; an unknown unit leaves both as they are. The unit is worked out once and looked up once."""
+    table = F.create_map(*(c for u, (b, s) in sorted(_units().items()) for c in (F.lit(u), F.struct(F.lit(b).alias("b"), F.lit(s).alias("s")))))
+    found = F.transform(F.array(F.trim(unit)), lambda name: F.struct(name.alias("name"), F.try_element_at(table, name).alias("hit")))
+    made = lambda f: F.struct((value * F.coalesce(f["hit"]["s"], F.lit(1.0))).alias("value"), F.coalesce(f["hit"]["b"], f["name"]).alias("unit"), f["hit"].isNotNull().alias("known"))
+    return F.get(F.transform(found, made), 0)
 
 
 def quantity(text: Column) -> Column:

@@ -64,3 +64,9 @@ def test_goals_and_roles(spark):
     df = spark.createDataFrame([(["spi1_sck", "MOSI", "led"],)], "n array<string>")
     got = df.select(T.alternate_functions(F.col("n"), {"MOSI": "SPI_DATA_IN"}).alias("x")).first().x
     assert [tuple(g) for g in got] == [("spi1_sck", "SPI1"), ("SPI_DATA_IN", None), ("led", None)]
+
+
+def test_a_unit_is_worked_out_once(spark):
+    df = spark.createDataFrame([("3.3 kΩ",), ("7 furlong",), ("x",)], "t string").select(U.quantity(F.col("t")).alias("q"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+    assert [r.q and tuple(r.q) for r in df.collect()] == [(3300.0, "Ω", True), (7.0, "furlong", False), None]
