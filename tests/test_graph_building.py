@@ -71,3 +71,27 @@ def test_split_nets(spark):
         got = edges.collect()
         assert {(r.ref, r.other): (r.power, r.ground) for r in got} == want and len(got) == len(want)
         assert vertices.count() == 25 and vertices.filter("kind = 'ldo'").count() == 1
+
+
+def test_best_range_and_split_keys(spark):
+    """The best range of each point against trying all; axioms and roles however small the parts are."""
+    from fathomgrid.functions.blocks import matched
+
+    spans = [(i, i % 7 * 10.0 - 20, i % 7 * 10.0 - 20 + (i % 5) ** 3, i % 3 if i % 4 else None) for i in range(60)] + [(60, 5.0, 4.0, 1), (61, None, 9.0, 1), (62, -1000.0, 1000.0, 9)]
+    at = [(i, i / 3 - 30, i % 4 if i % 5 else None) for i in range(400)] + [(400, None, 1), (401, 5000.0, 1)]
+    points = spark.createDataFrame(at, "p int, at double, kind int")
+    ranges = spark.createDataFrame(spans, "r int, lo double, hi double, kind int")
+    held = {p: min((k != kind, r) for r, lo, hi, k in spans if lo is not None and lo <= x <= hi) for p, x, kind in at if x is not None and x <= 1000}
+    for width in (2.0, 700.0, 100_000.0):
+        found = J.best_range(points, ranges, "p", "at", "lo", "hi", "kind", "r", width, block=3).collect()
+        assert {r.p: (not r.same_kind, r.r) for r in found} == held and len(found) == len(held)
+
+    axioms = [(i, f"x{i % 2}", ("Abcab", "bcabA", "zz", "abc")[i % 4]) for i in range(23)] + [(23, None, "zz"), (24, "x0", None)]
+    ratio = lambda a, b: 2 * matched(a.lower(), b.lower()) / (len(a) + len(b))
+    want = sorted((a, b) for (a, m, s), (b, n, t) in combinations(axioms, 2) if m and s and t and m == n and ratio(s, t) < 0.6)
+    held = spark.createDataFrame(axioms, "axiom_id int, implication string, requirement string")
+    roles = spark.createDataFrame([(i, "r", None, 1) for i in range(30)] + [(30, "r", "p1", 1), (31, "r", None, None)], "pattern_id int, role string, part string, category int")
+    parts = spark.createDataFrame([(1, "p1", 2), (2, "p2", 1), (3, None, None)], "component_id int, part string, category int")
+    for block in (2, 1000):
+        assert sorted((r.a, r.b) for r in N.axiom_conflicts(held, block=block).collect()) == want
+        assert sorted((r.pattern_id, r.component_id, r.score) for r in N.role_candidates(roles, parts, block).collect()) == [(i, 2, 0.8) for i in range(30)] + [(30, 1, 1.0)]
