@@ -4,9 +4,11 @@ import math
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from fathomgrid.llm.lm_score import backoff_scores
+from fathomgrid.llm.lm_score import _send, backoff_scores, pack_counts, pack_grams, unpack_counts, unpack_grams
 from fathomgrid.llm.queries import op9_lm_score, oracle_sql
 
 
@@ -72,3 +74,26 @@ def test_equals_sql(spark):
     got = op9_lm_score(spark, d)
     want = duck.sql(oracle_sql()["op9_lm_score"])
     assert sorted(map(tuple, got.collect())) == sorted(want.select(*got.columns).fetchall())
+
+
+def test_packed_grams():
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 1000):
+        for grams in (np.unique(rng.integers(0, 2**64, size, np.uint64)), np.arange(size, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(size, dtype=np.uint64)[::-1]):
+            assert (unpack_grams(pack_grams(grams), len(grams)) == grams).all()
+            assert (unpack_counts(pack_counts(grams.view(np.int64)), len(grams)) == grams.view(np.int64)).all()
+
+
+def test_blocks_send_packed_grams(spark):
+    """Texts in several blocks; a block sends each of its n-grams once in under seven bytes, not rows of a document and an n-gram."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:20])), "doc_id long, text string")
+    got = {r.doc_id: r for r in backoff_scores(df, block_bytes=20_000).collect()}
+    for i, (n, known, score) in enumerate(brute(texts + texts[:20])):
+        assert (got[i].n_words, got[i].n_known) == (n, known)
+        assert got[i].log10_score == pytest.approx(score, abs=1e-6)
+    rows = pa.table({"doc": list(range(len(texts))), "copies": [1] * len(texts), "text": texts})
+    sent = _send(3, 7)((pa.scalar(0),), rows)
+    grams = np.concatenate([unpack_grams(g, n) for g, n in zip(sent["grams"].to_pylist(), sent["size"].to_pylist(), strict=True)])
+    assert (grams[1:] > grams[:-1]).all()
+    assert sum(map(len, sent["grams"].to_pylist())) < 7 * len(grams) + 100
