@@ -92,3 +92,16 @@ def test_centres_where_a_task_has_no_vectors(spark):
     assert sparse.rdd.glom().map(len).collect().count(0)
     centres = ivf.fit_centres(sparse, 2, 3, 5)
     assert centres.shape == (2, 2) and abs((centres**2).sum(1) - 1).max() < 1e-9
+
+
+def test_terms_are_counted_where_texts_are_read(spark):
+    """Before terms are dealt nothing is sent; rows of one id are one text, stems and stop words included."""
+    from pyspark.sql import functions as F
+
+    from fathomgrid.operators.postings import _counted, build_postings
+
+    docs = spark.createDataFrame([(1, "The Works, working"), (1, "worked on a"), (2, None), (3, "the"), (None, "works")], "id long, text string")
+    assert "Exchange" not in _counted(docs, "id", F.col("text"), True)._jdf.queryExecution().executedPlan().toString()
+    index = build_postings(docs, "id", "text", stemmed=True)
+    assert [tuple(r) for r in index.postings.collect()] == [("work", 1, 3)]
+    assert [tuple(r) for r in index.sizes.collect()] == [(1, 3)]
