@@ -146,6 +146,9 @@ def layer_stats(nodes: DataFrame, low: int = 1, high: int = 5) -> DataFrame:
     return filled_counts(nodes, "layer", low, high)
 
 
+PART_ROWS = 250_000  # parts of data sheets in a task
+
+
 def datasheet_graph(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of ``sheets(component_id, part, confidence, pins array<struct<number,function>>, parameters array<struct<symbol,value,section>>)``.
 
@@ -154,8 +157,12 @@ def datasheet_graph(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
     column is given, its placement rules on layer 4, numbered by their position. Nodes
     have their fields that aren't null as ``properties``. Property ids don't tell
     repeated symbols apart: of nodes of one id the last of the sheet stays. A null symbol
-    or section is ``unknown``; null arrays count as empty.
+    or section is ``unknown``; null arrays count as empty. Sheets are written once, as each kind of
+    part reads them, and parts are dealt to tasks of about ``PART_ROWS``.
     """
+    sheets = written(sheets)
+    held_parts = sum((F.greatest(F.size(c), F.lit(0)) for c in ("pins", "parameters", "rules") if c in sheets.columns), F.lit(1))
+    tasks = max(int(sheets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sheets.agg(F.sum(held_parts)).first()[0] or 0) // PART_ROWS))
     own = F.concat(F.lit("component:"), "component_id")
     at = lambda kind, *parts: F.concat_ws(":", F.lit(kind), "component_id", *parts)
     unknown = lambda c: F.coalesce(c, F.lit("unknown"))
@@ -181,8 +188,8 @@ def datasheet_graph(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
     comp = sheets.select(own.alias("id"), F.lit("COMPONENT_INSTANCE").alias("node_type"), F.col("part").alias("label"), "confidence", F.lit(3).alias("layer"), F.create_map(F.lit("pin_count"), F.greatest(F.size("pins"), F.lit(0)).cast("string")).alias("properties"), F.lit(0).alias("_pos"))
     node = F.struct("node_type", "label", "confidence", "layer", "properties")
     order = F.struct("_pos", "confidence", "label", F.to_json("properties"))
-    nodes = comp.unionByName(rows.drop("source_id", "relation")).groupBy("id").agg(F.max_by(node, order).alias("_n")).select("id", "_n.*")
-    edges = rows.groupBy("source_id", "relation", F.col("id").alias("target_id")).agg(F.max_by("confidence", order).alias("confidence"), F.max("layer").alias("layer"))
+    nodes = comp.unionByName(rows.drop("source_id", "relation")).repartition(tasks, "id").groupBy("id").agg(F.max_by(node, order).alias("_n")).select("id", "_n.*")
+    edges = rows.withColumnRenamed("id", "target_id").repartition(tasks, "target_id").groupBy("source_id", "relation", "target_id").agg(F.max_by("confidence", order).alias("confidence"), F.max("layer").alias("layer"))
     return nodes, edges
 
 

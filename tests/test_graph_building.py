@@ -95,3 +95,14 @@ def test_best_range_and_split_keys(spark):
     for block in (2, 1000):
         assert sorted((r.a, r.b) for r in N.axiom_conflicts(held, block=block).collect()) == want
         assert sorted((r.pattern_id, r.component_id, r.score) for r in N.role_candidates(roles, parts, block).collect()) == [(i, 2, 0.8) for i in range(30)] + [(30, 1, 1.0)]
+
+
+def test_parts_of_sheets_are_dealt_by_their_number(spark, monkeypatch):
+    """More parts get more tasks, so that a task's memory doesn't grow with the sheets."""
+    from fathomgrid.operators import graph as G
+
+    monkeypatch.setattr(G, "PART_ROWS", 10)
+    sheets = spark.createDataFrame([(str(i), "P", 0.9, [(str(j), "f") for j in range(10)], None) for i in range(20)], "component_id string, part string, confidence double, pins array<struct<number string, function string>>, parameters array<struct<symbol string, value double, section string>>")
+    nodes, edges = G.datasheet_graph(sheets)
+    assert (nodes.count(), edges.count()) == (220, 200)
+    assert nodes.rdd.getNumPartitions() == edges.rdd.getNumPartitions() == 22
