@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, sized_join
@@ -33,19 +34,35 @@ _BYTES[[ord(c) for c in ".,;:!?\n\v\f\r"]] = _BREAK
 _BYTES[9] = _BLANK
 
 _BLOCK_BYTES = 2_000_000  # texts are numbered together up to about this size
+_BATCH_BYTES = 4_000_000  # a task gets about this much at a time
+_BATCH_ROWS = 32_768  # and sends this many phrases at a time,
+_BATCH_SLABS = 32  # or slabs
 _SLAB = 32_768  # buckets whose counts travel together, and bits of one bitmap of Spark's
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+@contextmanager
+def _bounded_batches(spark: SparkSession, size: int = _BATCH_BYTES) -> Iterator[None]:
+    """Tasks get batches of about ``size`` bytes inside, a row at least: Spark holds a batch several times over, and 10,000 rows can be any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int = _BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with about ``limit`` bytes of text, a row at least."""
+    """Slices of batches, of like size, with about ``limit`` bytes of text, a row at least."""
     for batch in batches:
         if not len(batch):
             continue
         ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        share = max(1, ends[-1] / max(1, round(ends[-1] / limit)))
         at = 0
         while at < len(batch):
-            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            end = min(len(batch), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + share)) + 1)
             yield batch.slice(at, end - at)
             at = end
 
@@ -136,7 +153,9 @@ def _pass(texts: DataFrame, size: int, longest: int, least: int, buckets: int, m
                 first, n = block.distinct(places, hashes, size)
                 own = hashes[np.searchsorted(places, first)].view(np.int64)
                 lang = block.langs.take(pa.array(block.lang[first])).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([lang, block.spelled(first, size), pa.array(own), pa.array(n.astype(np.int64)), pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary())], schema=arrow)
+                sent = pa.RecordBatch.from_arrays([lang, block.spelled(first, size), pa.array(own), pa.array(n.astype(np.int64)), pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary())], schema=arrow)
+                for start in range(0, len(sent), _BATCH_ROWS):
+                    yield sent.slice(start, _BATCH_ROWS)
             if filled is not None:
                 _, further = block.longer(places, hashes, size)
                 at, n = np.unique((further & np.uint64(buckets - 1)).astype(np.int64), return_counts=True)
@@ -144,8 +163,10 @@ def _pass(texts: DataFrame, size: int, longest: int, least: int, buckets: int, m
         if filled is not None:
             slabs = filled.reshape(-1, min(_SLAB, buckets))
             used = np.flatnonzero(slabs.any(1))
-            nothing = [pa.nulls(len(used), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*nothing, pa.array(used.astype(np.int32)), pa.array([slabs[i].tobytes() for i in used.tolist()], pa.binary())], schema=arrow)
+            for start in range(0, len(used), _BATCH_SLABS):
+                part = used[start : start + _BATCH_SLABS]
+                nothing = [pa.nulls(len(part), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*nothing, pa.array(part.astype(np.int32)), pa.array([slabs[i].tobytes() for i in part.tolist()], pa.binary())], schema=arrow)
 
     return texts.mapInArrow(count, schema)
 
@@ -192,7 +213,8 @@ def frequent_phrases(texts: DataFrame, least: int, longest: int, buckets: int) -
     """
     found, maps = None, []
     for size in range(1, longest + 1):
-        counts = materialise(_pass(texts, size, longest, least, buckets, maps))
+        with _bounded_batches(texts.sparkSession):
+            counts = materialise(_pass(texts, size, longest, least, buckets, maps))
         sums = counts.filter("slab is null").groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("n"))
         sums = materialise(sums if size == 1 else sums.filter(F.col("n") >= least))
         rows = sums.select("lang", "phrase", F.lit(size).alias("size"), "n")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from fathomgrid.llm import collocations as C
 from fathomgrid.llm.collocations import Block, collocations, frequent_phrases
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -97,3 +98,41 @@ def test_odd_rows(spark, least):
     assert found(df, least=least) == plain(rows, least)
     assert collocations(df.limit(0)).count() == 0
     assert collocations(frame(spark, [("", "en"), (None, None)])).count() == 0
+
+
+class Texts:
+    """Stands for a table; gives the function of a task."""
+
+    def mapInArrow(self, task, schema):
+        return task
+
+
+def test_what_a_task_sends_is_bounded():
+    """Counts of 2**22 buckets, and a block of many phrases, go in batches; whole they are 4 MB and more."""
+    rng = random.Random(3)
+    texts = pa.array([" ".join(f"w{rng.randrange(300_000)}" for _ in range(300)) for _ in range(800)])
+    batch = pa.record_batch([pa.array(["en"] * len(texts)), texts], names=["lang", "text"])
+    sent = list(C._pass(Texts(), 1, 2, 2, 1 << 22, [])(iter([batch])))
+    assert max(len(b) for b in sent) <= 32_768
+    assert max(sum(len(x) for x in b.column("counts").drop_null().to_pylist()) for b in sent) == 1 << 20
+    assert sum(n for b in sent for n in b.column("n").drop_null().to_pylist()) == 300 * len(texts)
+
+
+def test_what_a_task_gets_is_bounded(spark):
+    """Long texts come a few at a time, and the session's own bound is back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    seen = lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    df = spark.range(100).selectExpr("repeat('a b ', 50000) as text").coalesce(1).mapInArrow(seen, "n long")
+    with C._bounded_batches(spark):
+        assert max(r.n for r in df.collect()) < 4_500_000
+    assert spark.conf.get(key) == before
+
+
+def test_blocks_are_of_like_size():
+    rows = lambda sizes: pa.record_batch([pa.array(["x" * n for n in sizes], pa.string())], names=["text"])
+    cut = lambda sizes, limit: [len(b) for b in C._blocks([rows(sizes)], limit)]
+    assert cut([10] * 21, 100) == [11, 10]
+    assert cut([0] * 5, 100) == [5]
+    assert cut([500, 1, 1], 100) == [1, 2]
+    assert cut([1, 1, 500], 100) == [3]
