@@ -840,7 +840,7 @@ def k13_topology_checks(spark, sf):
 
 @query(duck(_LINKED + " SELECT design_id FROM found WHERE name = 'rc_lowpass'", nets=_SPARSE, bom=_SPARSE_BOM))
 def c23_template_match(spark, sf):
-    return K.pattern_found("rc_lowpass", *K.connections(made(spark, sf, _SPARSE), made(spark, sf, _SPARSE_BOM)))
+    return K.patterns_in(made(spark, sf, _SPARSE), made(spark, sf, _SPARSE_BOM), ("rc_lowpass",)).filter(F.array_contains("found", "rc_lowpass")).select("design_id")
 
 
 # Retrieval and plans

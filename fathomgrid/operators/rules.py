@@ -6,9 +6,10 @@ pin_number, pin_type, function, role, pin_name).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,19 +142,26 @@ def connections(nets: DataFrame, bom: DataFrame, block: int = 10_000) -> tuple[D
     return written(vertices.fillna("", ["kind"])), written(one.select("design_id", ends.alias("e")).select("design_id", "e.*"))
 
 
+def _binding(name: str) -> tuple[list[str], dict[frozenset[str], str | None]]:
+    """A pattern's vertices in the order in which they are bound, those with a word first, and its edges."""
+    kinds, links = PATTERNS[name]
+    wanted = {frozenset(e[:2]): e[2] for e in links}
+    order = [next(v for v, word in kinds.items() if word)]
+    while len(order) < len(kinds):
+        near = [v for v in kinds if v not in order and any(frozenset((v, o)) in wanted for o in order)]
+        order.append(next((v for v in near if kinds[v]), near[0]))
+    return order, wanted
+
+
 def pattern_found(name: str, vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Designs that hold a pattern as an induced subgraph.
 
     Vertices are bound one after the other, those with a word first, each joined through
     an edge to one that is bound; pairs without an edge in the pattern must have none.
     """
-    kinds, links = PATTERNS[name]
-    wanted = {frozenset(e[:2]): e[2] for e in links}
+    kinds = PATTERNS[name][0]
     fits = lambda word: vertices.filter(F.contains("kind", F.lit(word))) if word else vertices
-    order = [next(v for v, word in kinds.items() if word)]
-    while len(order) < len(kinds):
-        near = [v for v in kinds if v not in order and any(frozenset((v, o)) in wanted for o in order)]
-        order.append(next((v for v in near if kinds[v]), near[0]))
+    order, wanted = _binding(name)
     bound = fits(kinds[order[0]]).select("design_id", F.col("ref").alias(order[0]))
     for i, v in enumerate(order[1:], 1):
         first = next(o for o in order[:i] if frozenset((v, o)) in wanted)
@@ -177,23 +185,117 @@ def _carries(kind: str | None) -> Column:
     return F.lit(True) if kind is None else F.col("_p") | F.col("_g") if kind == "ground" else F.col("_p")
 
 
-def topology_checks(nets: DataFrame, bom: DataFrame, names: Sequence[str] = tuple(PATTERNS)) -> tuple[DataFrame, DataFrame]:
+def _word(name: str) -> str:
+    return next(w for w in PATTERNS[name][0].values() if w)
+
+
+def _bind(steps: list[tuple[str, list[tuple[int, str]]]], fits: dict[str, int], near: dict[str, list[int]], bound: tuple[int, ...] = ()) -> bool:
+    """Whether the vertices ``bound`` can be followed to the end of ``steps``; sets of refs are the bits of a number."""
+    if len(bound) == len(steps):
+        return True
+    word, links = steps[len(bound)]
+    free = fits[word]
+    for at, kind in links:
+        free &= near[kind][bound[at]]
+    for v in bound:
+        free &= ~(1 << v)
+    while free:
+        low = free & -free
+        if _bind(steps, fits, near, (*bound, low.bit_length() - 1)):
+            return True
+        free ^= low
+    return False
+
+
+def _in_rows(designs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``design_id, n, asked, found`` of designs of a row each: ``pins(net, ref, type)`` and ``kinds(ref, kind)``."""
+    words = {w for name in names for w in PATTERNS[name][0].values()}
+    steps = {}
+    for name in names:
+        order, wanted = _binding(name)
+        steps[name] = [(PATTERNS[name][0][v], [(j, (wanted[e] or "any") if (e := frozenset((v, o))) in wanted else "apart") for j, o in enumerate(order[:i])]) for i, v in enumerate(order)]
+
+    def one(pins: list[dict], kinds: list[dict]) -> tuple[int, list[str], list[str]]:
+        asked = [name for name in names if any(_word(name) in k["kind"] for k in kinds if k["kind"] is not None)]
+        place = {r: i for i, r in enumerate(dict.fromkeys(p["ref"] for p in pins if p["ref"] is not None))}
+        rows = dict.fromkeys(place, 0)
+        fits = dict.fromkeys(words, 0)
+        fits[""] = (1 << len(place)) - 1
+        for k in kinds:
+            if k["ref"] in place:
+                rows[k["ref"]] += 1
+                for w in words:
+                    if w and w in (k["kind"] or ""):
+                        fits[w] |= 1 << place[k["ref"]]
+        n = sum(max(1, x) for x in rows.values()) + any(p["ref"] is None for p in pins)
+        if any(fits[_word(name)] for name in asked):
+            nets: dict[str, int] = {}
+            for p in pins:
+                if p["ref"] is not None and p["net"] is not None:
+                    nets[p["net"]] = nets.get(p["net"], 0) | 1 << place[p["ref"]]
+            near = {kind: [0] * len(place) for kind in ("any", "power", "ground")}
+            for p in pins:
+                if p["ref"] is not None and p["net"] is not None:
+                    i = place[p["ref"]]
+                    others = nets[p["net"]] & ~(1 << i)
+                    near["any"][i] |= others
+                    if p["type"] == "power":
+                        near["power"][i] |= others
+                    if p["type"] in ("power", "ground"):
+                        near["ground"][i] |= others
+            near["apart"] = [~x for x in near["any"]]
+            return n, asked, [name for name in asked if _bind(steps[name], fits, near)]
+        return n, asked, []
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [one(p or [], k or []) for p, k in zip(batch.column("pins").to_pylist(), batch.column("kinds").to_pylist(), strict=True)]
+            names_of = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("design_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], names_of), pa.array([x[2] for x in out], names_of)], names=["design_id", "n", "asked", "found"])
+
+    return designs.mapInArrow(search, f"design_id {designs.schema['design_id'].dataType.simpleString()}, n long, asked array<string>, found array<string>")
+
+
+def _in_joins(nets: DataFrame, bom: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The same for designs of any size, by joins."""
+    vertices, edges = connections(nets, bom)
+    size = vertices.groupBy("design_id").agg(F.count("*").alias("n"))
+    hits = union([pattern_found(name, vertices, edges).withColumn("name", F.lit(name)) for name in names]).groupBy("design_id").agg(F.collect_set("name").alias("found"))
+    words = [F.when(F.bool_or(F.contains(F.lower("component_type"), F.lit(_word(name)))), F.lit(name)) for name in names]
+    asked = bom.groupBy("design_id").agg(F.array_compact(F.array(*words)).alias("asked"))
+    both = asked.join(size, "design_id", "full").join(hits, "design_id", "left")
+    return both.select("design_id", F.coalesce("n", F.lit(0)).alias("n"), *(F.coalesce(c, F.array().cast(_REFS)).alias(c) for c in ("asked", "found")))
+
+
+def patterns_in(nets: DataFrame, bom: DataFrame, names: Sequence[str], most: int = 64) -> DataFrame:
+    """``design_id, n, asked, found``: a design's refs on nets, the patterns of ``names`` whose word is in its types, and which of these it holds.
+
+    A design of up to ``most`` rows of both tables is put into one row and searched there,
+    so that tables, written once, are dealt by design once; larger ones are searched by joins of their edges.
+    """
+    nets, bom = written(nets.select("design_id", "net_name", "net_type", "ref")), written(bom.select("design_id", "ref", "component_type"))
+    rows = nets.select("design_id").unionByName(bom.select("design_id")).groupBy("design_id").agg(F.count("*").alias("n"))
+    large = written(rows.filter(F.col("n") > most).select("design_id"))
+    some = large.limit(1).count() > 0
+    same = lambda df: df["design_id"].eqNullSafe(large["design_id"])
+    of = lambda df, how: df.join(large, same(df), how) if some else df
+    pins = of(nets, "left_anti").groupBy("design_id").agg(F.collect_list(F.struct(F.col("net_name").alias("net"), "ref", F.col("net_type").alias("type"))).alias("pins"))
+    kinds = of(bom, "left_anti").groupBy("design_id").agg(F.collect_list(F.struct("ref", F.lower("component_type").alias("kind"))).alias("kinds"))
+    found = _in_rows(pins.join(kinds, "design_id", "full"), names)
+    return written(found.unionByName(_in_joins(of(nets, "left_semi"), of(bom, "left_semi"), names)) if some else found)
+
+
+def topology_checks(nets: DataFrame, bom: DataFrame, names: Sequence[str] = tuple(PATTERNS), most: int = 64) -> tuple[DataFrame, DataFrame]:
     """``(violations, checked)``: of the patterns whose word is in a design's types, those that it lacks.
 
     A design with fewer refs than a pattern has vertices gets a warning, any other a
-    critical finding.
+    critical finding; designs of up to ``most`` rows are searched in one row.
     """
-    vertices, edges = connections(nets, bom)
-    size = vertices.groupBy("design_id").agg(F.count("*").alias("n"))
-    parts, asked = [], []
-    for name in names:
-        word = next(w for w in PATTERNS[name][0].values() if w)
-        due = bom.filter(F.contains(F.lower("component_type"), F.lit(word))).select("design_id").distinct().join(size, "design_id", "left").fillna(0, ["n"])
-        asked.append(due.select("design_id"))
-        few = F.col("n") < len(PATTERNS[name][0])
-        parts.append(_violation(due.filter(few), "WARNING", "topology_too_small", F.array(), F.lit(name)))
-        parts.append(_violation(due.filter(~few).join(pattern_found(name, vertices, edges), "design_id", "left_anti"), "CRITICAL", "topology_missing", F.array(), F.lit(name)))
-    return union(parts), union(asked).groupBy("design_id").agg(F.count("*").alias("checked"))
+    per = patterns_in(nets, bom, names, most)
+    due = per.select("design_id", "n", "found", F.explode("asked").alias("name"))
+    few = F.col("n") < reduce(lambda c, name: c.when(F.col("name") == name, len(PATTERNS[name][0])), names, F)
+    violations = due.filter(few | ~F.array_contains("found", F.col("name"))).select("design_id", F.when(few, "WARNING").otherwise("CRITICAL").alias("severity"), F.when(few, "topology_too_small").otherwise("topology_missing").alias("rule"), F.col("name").alias("subject"), F.array().cast(_REFS).alias("refs"))
+    return violations, per.filter(F.size("asked") > 0).select("design_id", F.size("asked").cast("long").alias("checked"))
 
 
 def scores(violations: DataFrame, checked: DataFrame) -> DataFrame:

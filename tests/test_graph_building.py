@@ -1,5 +1,6 @@
 """Graphs from triples and data sheets, and joins whose bins and nets are split."""
 
+import random
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -106,3 +107,37 @@ def test_parts_of_sheets_are_dealt_by_their_number(spark, monkeypatch):
     nodes, edges = G.datasheet_graph(sheets)
     assert (nodes.count(), edges.count()) == (220, 200)
     assert nodes.rdd.getNumPartitions() == edges.rdd.getNumPartitions() == 22
+
+
+def test_patterns_of_designs_in_a_row_and_by_joins(spark):
+    """A design put into one row gives what joins of its edges give, whatever its size; null ids, refs and types, refs of two types, nets of two types."""
+    rng = random.Random(5)
+    types = ["LDO", "resistor", "capacitor", "op_amp", "buck", "inductor", None]
+    pins, bom = [], []
+    for d in range(200):
+        refs = [f"U{i}" for i in range(rng.randint(1, 12))]
+        design = None if d == 0 else f"d{d}"
+        for n in range(rng.randint(1, 7)):
+            pins += [(design, f"N{n}" if rng.random() < 0.97 else None, rng.choice(["power", "signal", "ground", None]) if rng.random() < 0.2 else ["power", "signal", "ground"][n % 3], r if rng.random() < 0.97 else None) for r in refs if rng.random() < 0.3]
+        bom += [(design, r, rng.choice(types)) for r in refs for _ in range(rng.choice([0, 1, 1, 1, 2]))]
+    nets = spark.createDataFrame(pins, "design_id string, net_name string, net_type string, ref string")
+    parts = spark.createDataFrame(bom, "design_id string, ref string, component_type string")
+    seen = lambda most: sorted((str(r.design_id), r.n, tuple(sorted(r.asked)), tuple(sorted(r.found))) for r in K.patterns_in(nets, parts, tuple(K.PATTERNS), most).collect() if r.design_id is not None)
+    row = seen(64)
+    assert row == seen(0) == seen(12)
+    assert {name for r in row for name in r[3]} >= {"ldo", "voltage_divider", "rc_lowpass", "current_source"}
+    by_row, by_joins = (K.topology_checks(nets, parts, most=most) for most in (64, 0))
+    for one, other in zip(by_row, by_joins, strict=True):
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+
+
+def test_small_designs_need_no_edges(spark, monkeypatch):
+    """Edges, joined again for each pair of a pattern, are made for large designs only."""
+    made = []
+    monkeypatch.setattr(K, "connections", lambda *tables, of=K.connections: made.append(1) or of(*tables))
+    nets = spark.createDataFrame([("d", "N", "power", "A"), ("d", "N", "power", "B"), ("d", "M", "signal", "A")], "design_id string, net_name string, net_type string, ref string")
+    bom = spark.createDataFrame([("d", "A", "LDO"), ("e", "A", "Resistor")], "design_id string, ref string, component_type string")
+    violations, checked = K.topology_checks(nets, bom, ("ldo", "rc_lowpass"))
+    assert sorted((r.design_id, r.rule, r.subject) for r in violations.collect()) == [("d", "topology_too_small", "ldo"), ("e", "topology_too_small", "rc_lowpass")]
+    assert sorted(tuple(r) for r in checked.collect()) == [("d", 1), ("e", 1)]
+    assert not made
