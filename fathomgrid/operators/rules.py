@@ -41,27 +41,42 @@ def _violation(rows: DataFrame, severity: str, rule: str, refs: Column, subject:
 
 
 def electrical_checks(nets: DataFrame, pins: DataFrame) -> DataFrame:
-    """Five checks: output conflicts, supply nets without a source, floating required pins, mixed levels, floating inputs."""
-    on = _on_nets(nets, pins)
-    out, low = F.col("pin_type").isin(*OUTPUTS), F.lower("ref")
-    per = on.groupBy(*KEY, "net_type").agg(
-        F.count_if(out).alias("outputs"),
-        F.array_sort(F.collect_set(F.when(out, F.col("ref")))).alias("drivers"),
-        F.array_sort(F.collect_set("ref")).alias("all_refs"),
-        F.bool_or(F.coalesce(F.col("function") == "POWER_POSITIVE", F.lit(False)) | F.contains(low, F.lit("regulator"))).alias("sourced"),
-        F.array_sort(F.collect_set(F.when(F.col("pin_type").isin(*INPUTS) & ~F.coalesce(F.col("function").isin(*POWER_FUNCTIONS), F.lit(False)), F.col("ref")))).alias("inputs"),
+    """Five checks: output conflicts, supply nets without a source, floating required pins, mixed levels, floating inputs.
+
+    One join and one aggregation: a required pin that no net has is a group of its own. What the checks ask
+    is counted apart from the refs that they list, so that callers who drop the refs don't collect them.
+    """
+    place = ["design_id", "ref", "pin_number"]
+    on = nets.withColumn("_net", F.lit(True)).join(pins.select(*place, "pin_type", "function"), place, "full")
+    required = F.col("_net").isNull() & F.col("function").isin(*REQUIRED_FUNCTIONS)
+    on = on.withColumn("floating", F.when(required, F.struct("ref", "pin_number"))).filter(F.col("_net") | required)
+    driver = F.when(F.col("pin_type").isin(*OUTPUTS), F.col("ref"))
+    listener = F.when(F.col("pin_type").isin(*INPUTS) & ~F.coalesce(F.col("function").isin(*POWER_FUNCTIONS), F.lit(False)), F.col("ref"))
+    refs = lambda c: F.array_sort(F.collect_set(c))
+    per = on.groupBy(*KEY, "net_type", "floating").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("pin_type").isin(*OUTPUTS)).alias("outputs"),
+        F.count(driver).alias("n_drivers"),
+        F.count(listener).alias("n_inputs"),
+        F.bool_or(F.coalesce(F.col("function") == "POWER_POSITIVE", F.lit(False)) | F.contains(F.lower("ref"), F.lit("regulator"))).alias("sourced"),
+        refs(driver).alias("drivers"),
+        refs(listener).alias("inputs"),
+        refs("ref").alias("all_refs"),
     )
     name = F.col("net_name")
-    required = pins.filter(F.col("function").isin(*REQUIRED_FUNCTIONS)).join(nets.select("design_id", "ref", "pin_number").distinct(), ["design_id", "ref", "pin_number"], "left_anti")
-    return union(
-        [
-            _violation(per.filter("outputs > 1"), "CRITICAL", "no_output_conflict", F.col("drivers"), name),
-            _violation(per.filter(F.startswith("net_name", F.lit("VCC")) & ~F.col("sourced")), "CRITICAL", "power_net_has_source", F.col("all_refs"), name),
-            _violation(required, "CRITICAL", "no_required_pin_floating", F.array("ref"), F.concat_ws(".", "ref", "pin_number")),
-            _violation(per.filter(F.contains(F.upper(name), F.lit("3V3")) & F.contains(F.upper(name), F.lit("5V"))), "WARNING", "no_logic_level_mismatch", F.col("all_refs"), name),
-            _violation(per.filter((F.col("net_type") != "power") & (F.size("drivers") == 0) & (F.size("inputs") > 0)), "WARNING", "no_floating_inputs", F.col("inputs"), name),
-        ]
-    )
+    rules = {
+        "no_output_conflict": F.col("outputs") > 1,
+        "power_net_has_source": F.startswith(name, F.lit("VCC")) & ~F.col("sourced"),
+        "no_logic_level_mismatch": F.contains(F.upper(name), F.lit("3V3")) & F.contains(F.upper(name), F.lit("5V")),
+        "no_floating_inputs": (F.col("net_type") != "power") & (F.col("n_drivers") == 0) & (F.col("n_inputs") > 0),
+    }
+    loose = F.col("floating").isNotNull()
+    broken = F.when(loose, F.array_repeat(F.lit("no_required_pin_floating"), F.col("n").cast("int"))).otherwise(F.array_compact(F.array(*(F.when(fails, rule) for rule, fails in rules.items()))))
+    found = per.withColumn("rule", F.explode(broken))
+    listed = F.when(loose, F.array("floating.ref")).when(F.col("rule") == "no_output_conflict", F.col("drivers")).when(F.col("rule") == "no_floating_inputs", F.col("inputs")).otherwise(F.col("all_refs"))
+    severity = F.when(F.col("rule").isin("no_logic_level_mismatch", "no_floating_inputs"), "WARNING").otherwise("CRITICAL")
+    subject = F.when(loose, F.concat_ws(".", "floating.ref", "floating.pin_number")).otherwise(name)
+    return found.select("design_id", severity.alias("severity"), "rule", subject.alias("subject"), listed.cast(_REFS).alias("refs"))
 
 
 def role_checks(nets: DataFrame, pins: DataFrame) -> tuple[DataFrame, DataFrame]:
