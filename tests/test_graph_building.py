@@ -141,3 +141,16 @@ def test_small_designs_need_no_edges(spark, monkeypatch):
     assert sorted((r.design_id, r.rule, r.subject) for r in violations.collect()) == [("d", "topology_too_small", "ldo"), ("e", "topology_too_small", "rc_lowpass")]
     assert sorted(tuple(r) for r in checked.collect()) == [("d", 1), ("e", 1)]
     assert not made
+
+
+def test_pairs_of_members_travel_in_arrays(spark):
+    members = spark.createDataFrame([(g, k) for g in "xyz" for k in range(20)] + [("x", 3)], "g string, k int")
+    pairs = spark.createDataFrame([("x", "y", 1), ("z", "z", 2)], "g_a string, g_b string, n int")
+    of = {g: [r.k for r in members.collect() if r.g == g] for g in "xyz"}
+    want = sorted((n, a, b) for x, y, n in (("x", "y", 1), ("z", "z", 2)) for a in of[x] for b in of[y])
+    for block, piece in ((1_000, 64), (7, 3), (1, 1)):
+        found = J.member_pairs(pairs, members, [], "g", "k", block, piece)
+        assert sorted((r.n, r.k_a, r.k_b) for r in found.collect()) == want
+    rows = spark.createDataFrame([(k, k % 3, k % 3 + 1) for k in range(50)], "k int, lo int, hi int")
+    for made in (J.overlapping_pairs(rows, "k", "lo", "hi", 2.0),):
+        assert made.rdd.getNumPartitions() == 4  # tasks that read little aren't joined to one: they make much
