@@ -152,5 +152,7 @@ def test_pairs_of_members_travel_in_arrays(spark):
         found = J.member_pairs(pairs, members, [], "g", "k", block, piece)
         assert sorted((r.n, r.k_a, r.k_b) for r in found.collect()) == want
     rows = spark.createDataFrame([(k, k % 3, k % 3 + 1) for k in range(50)], "k int, lo int, hi int")
-    for made in (J.overlapping_pairs(rows, "k", "lo", "hi", 2.0),):
+    axioms = spark.createDataFrame([(k, "i", text) for k, text in enumerate(("abc", "xyz", "uvw", "abd"))], "axiom_id int, implication string, requirement string")
+    for made in (J.overlapping_pairs(rows, "k", "lo", "hi", 2.0), N.axiom_conflicts(axioms)):
         assert made.rdd.getNumPartitions() == 4  # tasks that read little aren't joined to one: they make much
+    assert {r.ratio for r in N.axiom_conflicts(spark.createDataFrame([(1, "i", "abcdefg"), (2, "i", "xyza")], axioms.schema), digits=2).collect()} == {0.18}
