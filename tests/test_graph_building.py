@@ -156,3 +156,20 @@ def test_pairs_of_members_travel_in_arrays(spark):
     for made in (J.overlapping_pairs(rows, "k", "lo", "hi", 2.0), N.axiom_conflicts(axioms)):
         assert made.rdd.getNumPartitions() == 4  # tasks that read little aren't joined to one: they make much
     assert {r.ratio for r in N.axiom_conflicts(spark.createDataFrame([(1, "i", "abcdefg"), (2, "i", "xyza")], axioms.schema), digits=2).collect()} == {0.18}
+
+
+def test_ranges_that_repeat(spark):
+    """Points meet distinct ranges, by key too; rows of a range, with nulls and repeats, follow in parts however small."""
+    spans = [(i if i % 5 else None, i % 2, i % 4 * 10.0, i % 4 * 10.0 + 7, "n" if i % 3 else None) for i in range(40)] + [(1, 1, 10.0, 17.0, "n"), (2, None, 0.0, 90.0, "n"), (3, 1, 9.0, 8.0, "n"), (4, 0, 0.0, 31.0, "n")]
+    at = [(i, i % 2 if i % 7 else None, i / 2 - 20) for i in range(200)] + [(200, 1, None), (201, 1, 1e9)]
+    points = spark.createDataFrame(at, "p int, g int, at double")
+    ranges = spark.createDataFrame(spans, "k int, g int, lo double, hi double, name string")
+    held = lambda g: sorted(((p, k, lo, hi, n) for p, a, x in at for k, b, lo, hi, n in spans if x is not None and lo <= x <= hi and (not g or a == b is not None)), key=repr)
+    for width, block in ((5.0, 2), (1e-3, 3), (200.0, 10_000)):
+        whole = J.range_join(points, ranges.withColumnRenamed("g", "h"), "at", "lo", "hi", width, block=block).select("p", "k", "lo", "hi", "name")
+        assert sorted(map(tuple, whole.collect()), key=repr) == held(False)
+        keyed = J.range_join(points, ranges, "at", "lo", "hi", width, ["g"], block).select("p", "k", "lo", "hi", "name")
+        assert sorted(map(tuple, keyed.collect()), key=repr) == held(True)
+    ends = J.range_join(points.select("p", "at"), ranges.select("lo", "hi"), "at", "lo", "hi", 5.0)
+    assert ends.count() == len(held(False)) and ends.columns == ["p", "at", "lo", "hi"]
+    assert whole.rdd.getNumPartitions() == 4  # tasks that read little aren't joined to one: they make much
