@@ -105,3 +105,15 @@ def test_terms_are_counted_where_texts_are_read(spark):
     index = build_postings(docs, "id", "text", stemmed=True)
     assert [tuple(r) for r in index.postings.collect()] == [("work", 1, 3)]
     assert [tuple(r) for r in index.sizes.collect()] == [(1, 3)]
+
+
+def test_sets_of_terms_go_in_parts(spark):
+    """The same texts however few terms go at a time; a set's terms may stand in texts that its rarest term isn't in."""
+    words = ["ash", "box", "cog", "dam", "elm", "fig"]
+    docs = [(i, " ".join(w for j, w in enumerate(words) for _ in range(i % (j + 2)))) for i in range(60)]
+    queries = [(f"q{i}{j}", f"{a} {b} {a}") for i, a in enumerate(words) for j, b in enumerate(words)] + [("one", "fig"), ("all", " ".join(words)), ("none", "fig yew"), ("no", "")]
+    q, d = spark.createDataFrame(queries, "query_id string, query string"), spark.createDataFrame(docs, "doc_id long, text string")
+    index = postings.build_postings(d, "doc_id", "text")
+    for batch in (25, 1_000_000):
+        got = sorted((r.query_id, r.id, round(r.rank_score, 9), r.rank) for r in postings.search_postings(index, q, 7, batch).collect())
+        assert got == brute(docs, queries, 7)
